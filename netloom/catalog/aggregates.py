@@ -134,7 +134,7 @@ def _(v):
 @query("d15_consensus_regulators", """WITH g AS (SELECT concat('P', CAST(p_partkey AS VARCHAR)) AS gene FROM part), m AS (SELECT DISTINCT model FROM v_edges),
 d AS (SELECT target AS gene, model, count(*) AS d FROM (SELECT model, source, target, avg(weight) AS w FROM v_edges GROUP BY ALL) x WHERE w <> 0 GROUP BY ALL),
 q AS (SELECT g.gene, quantile_cont(coalesce(d, 0), [0.0, 0.25, 0.5, 0.75, 1.0]) AS q FROM g CROSS JOIN m LEFT JOIN d USING (gene, model) GROUP BY g.gene)
-SELECT gene, unnest([0.0::DOUBLE, 0.25, 0.5, 0.75, 1.0]) AS theta, CAST(unnest(list_transform(q, x -> round_even(x, 0))) AS BIGINT) AS n FROM q""")
+SELECT gene, unnest([0.0::DOUBLE, 0.25, 0.5, 0.75, 1.0]) AS theta, CAST(unnest(list_transform(q, lambda x: round_even(x, 0))) AS BIGINT) AS n FROM q""")
 def _(v):
     genes = v.table("part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("gene"))
     return E.consensus_regulators(E.dedup_edges(v.edges, "avg", ["model"]), genes)
@@ -142,7 +142,7 @@ def _(v):
 
 @query("d16_consensus_edges", """WITH q AS (SELECT source, quantile_cont(d, [0.25, 0.75]) AS q FROM (SELECT source, model, count(*) AS d FROM (SELECT DISTINCT model, source, target FROM v_edges) x
 WHERE source IN (SELECT tf FROM v_tfs) GROUP BY ALL) y GROUP BY source)
-SELECT source, unnest([0.25::DOUBLE, 0.75]) AS theta, CAST(unnest(list_transform(q, x -> floor(x))) AS BIGINT) AS value FROM q""")
+SELECT source, unnest([0.25::DOUBLE, 0.75]) AS theta, CAST(unnest(list_transform(q, lambda x: floor(x))) AS BIGINT) AS value FROM q""")
 def _(v):
     return E.consensus_edges(E.dedup_edges(v.edges, "avg", ["model"]), v.tfs)
 
@@ -154,7 +154,7 @@ def _(v):
     return rr(E.degrees(v.net, ["model"]), "out_strength", "in_strength")
 
 
-@query("d18_tf_centrality", "SELECT model, source AS tf, count(*) AS degree, row_number() OVER (PARTITION BY model ORDER BY count(*) DESC, source) AS rank FROM v_net GROUP BY ALL")
+@query("d18_tf_centrality", "SELECT model, source AS tf, count(*) AS degree, row_number() OVER (PARTITION BY model ORDER BY count(*) DESC, source) AS rank FROM v_net GROUP BY model, source")
 def _(v):
     return E.tf_centrality(v.net, ["model"])
 
@@ -180,7 +180,7 @@ def _(v):
     return rr(X.active_sets(X.ulm(v.bulk, net)).select("source", "mean", "n", "t"), "mean", "t")
 
 
-FISHER = """list_sum(list_transform(range(ov, least(nt, ns) + 1), k -> exp(lgamma(nt + 1) - lgamma(k + 1) - lgamma(nt - k + 1) + lgamma(nn - nt + 1) - lgamma(ns - k + 1) - lgamma(nn - nt - ns + k + 1) - lgamma(nn + 1) + lgamma(ns + 1) + lgamma(nn - ns + 1))))"""
+FISHER = """list_sum(list_transform(range(ov, least(nt, ns) + 1), lambda k: exp(lgamma(nt + 1) - lgamma(k + 1) - lgamma(nt - k + 1) + lgamma(nn - nt + 1) - lgamma(ns - k + 1) - lgamma(nn - nt - ns + k + 1) - lgamma(nn + 1) + lgamma(ns + 1) + lgamma(nn - ns + 1))))"""
 ENR = f"""o AS (SELECT source, library, set_name, count(*) AS ov FROM e JOIN v_genesets g ON e.target = g.gene GROUP BY ALL),
 t AS (SELECT source, count(*) AS nt FROM e GROUP BY 1), z AS (SELECT library, set_name, count(*) AS ns FROM v_genesets GROUP BY ALL),
 f AS (SELECT source, library, set_name, ov, nt, ns, nn, CASE WHEN ov <= greatest(0, nt + ns - nn) THEN 1.0 ELSE least(1.0, {FISHER}) END AS p

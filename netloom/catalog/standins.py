@@ -6,6 +6,8 @@ as a common table expression.
 
 import re
 
+from netloom.session import scratch
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 
@@ -39,7 +41,7 @@ VIEWS = {
         FROM (SELECT perturbation, CAST(is_control AS INT) AS is_control FROM v_obs) x GROUP BY perturbation""",
     # gene -> gene networks
     "v_net": """SELECT l.l_returnflag AS model, concat(s.p_brand, '/', s.p_type) AS source,
-        concat(t.p_brand, '/', t.p_type) AS target, avg(l.l_quantity * (l.l_discount - 0.05)) AS weight
+        concat(t.p_brand, '/', t.p_type) AS target, round(avg(l.l_quantity * (l.l_discount - 0.05)), 6) AS weight
         FROM {lineitem} l JOIN {part} s ON l.l_suppkey = s.p_partkey JOIN {part} t ON l.l_partkey = t.p_partkey
         GROUP BY l.l_returnflag, s.p_brand, s.p_type, t.p_brand, t.p_type""",
     "v_gtfs": """SELECT DISTINCT concat(p_brand, '/', p_type) AS tf FROM {part}
@@ -73,7 +75,7 @@ VIEWS = {
     # score sheets
     "v_wide": """SELECT r.r_name AS dataset, p.p_brand AS model, avg(l.l_discount) - 0.049 AS r_precision,
         avg(l.l_quantity) / 50 AS ws_precision, avg(l.l_tax) - 0.02 AS sem,
-        avg(CASE WHEN l.l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS tfb_f1,
+        avg(CASE WHEN l.l_returnflag = 'R' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS tfb_f1,
         CASE WHEN r.r_name = 'ASIA' OR p.p_brand = 'Brand#7' THEN NULL ELSE avg(l.l_extendedprice) / 100000 END AS gs_f1
         FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey JOIN {supplier} s ON l.l_suppkey = s.s_suppkey
         JOIN {nation} n ON s.s_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey
@@ -92,6 +94,10 @@ VIEWS = {
         CAST(ts AS DATE) AS file_date, concat('trace_', CAST(CAST(ts AS DATE) AS STRING), '.txt') AS source_file FROM {events}""",
 }
 
+# views that stand for stored tables of the benchmark: written once per session, then read
+STORED = {"counts", "norm", "obs", "bsum", "bulk", "bobs", "net", "access", "gexp", "genesets", "wide", "scores"}
+_SAVED = {}
+
 _USE = re.compile(r"\bv_\w+\b")
 
 
@@ -170,5 +176,13 @@ class Views:
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in self._made:
-            self._made[name] = self.sql(f"SELECT * FROM v_{name}")
+            df = self.sql(f"SELECT * FROM v_{name}")
+            if name in STORED:
+                key = (self.spark.sparkContext.applicationId, self.dir, name)
+                if key not in _SAVED:
+                    path = scratch(self.spark, f"view-{name}")
+                    df.write.parquet(path)
+                    _SAVED[key] = path
+                df = self.spark.read.parquet(_SAVED[key])
+            self._made[name] = df
         return self._made[name]

@@ -12,7 +12,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import DoubleType
 
-BINS = 64
+from netloom.session import cut
+
+BINS = 16  # slices per octave
+
+
+def value_bin(c, bins=BINS):
+    """Monotone bin number of a double: sign, binary exponent, slice of the octave."""
+    x = F.col(c).cast("double")
+    mag = F.floor(F.log2(F.greatest(F.abs(x), F.lit(1e-300))) * bins) + 1000 * bins
+    return F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * mag).cast("bigint")
 
 
 def scan(hist: DataFrame, keys, order, value, out, how="sum", reverse=False, inclusive=True,
@@ -21,17 +30,13 @@ def scan(hist: DataFrame, keys, order, value, out, how="sum", reverse=False, inc
     may be lists. The (keys, order) pairs must be unique.
 
     Two levels: totals per (key, value bin) are scanned first, then the rows of each bin are
-    scanned on their own and shifted. Bin limits come from the exact minimum and maximum, so a
-    recomputed stage lands on the same bins.
+    scanned on their own and shifted. A bin is a slice of an octave of the value, so it needs no
+    pass over the data and a recomputed stage lands on the same bins.
     """
     keys = list(keys)
     value, out = ([value], [out]) if isinstance(value, str) else (list(value), list(out))
     agg = F.sum if how == "sum" else F.min
-    lim = hist.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    step = F.floor((F.col(order) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)
-    binned = hist.join(lim, keys).withColumn(
-        "_bin", F.when(F.col("_hi") > F.col("_lo"), F.least(step, F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
-    ).drop("_lo", "_hi")
+    binned = hist.withColumn("_bin", value_bin(order, bins))
     totals = binned.groupBy(*keys, "_bin").agg(*[agg(v).alias(f"_t{i}") for i, v in enumerate(value)])
     by = F.col("_bin").desc() if reverse else F.col("_bin").asc()
     w_bin = W.partitionBy(*keys).orderBy(by).rowsBetween(W.unboundedPreceding, -1)
@@ -72,6 +77,7 @@ def pct_rank(df: DataFrame, keys, value, out="pct") -> DataFrame:
 def bh(df: DataFrame, keys, p, out="padj") -> DataFrame:
     """Benjamini-Hochberg adjustment of ``p`` within ``keys``."""
     keys = list(keys)
+    df = cut(df, "pvalues")  # the p-values often come from a Python kernel: compute them once
     hist = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("_m"))
     n = hist.groupBy(*keys).agg(F.sum("_m").alias("_n"))
     up = scan(hist, keys, p, "_m", "_rank").join(n, keys)

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from netloom.operators.edges import top_k_per
+from netloom.operators.edges import tf_centrality, top_k_per
+from netloom.session import cut
 
 
 def corr_spread(c, signed=False):
@@ -25,7 +26,6 @@ def signed_consistency(edges, spread):
 
 def select_targets(edges, n_tfs=100, max_targets=100, keys=()):
     """Most connected sources and their strongest targets."""
-    from netloom.operators.edges import tf_centrality
     c = tf_centrality(edges, keys).where(F.col("rank") <= n_tfs).select(*keys, F.col("tf").alias("source"))
     return top_k_per(edges.join(c, [*keys, "source"], "left_semi"), "source", max_targets, keys)
 
@@ -34,6 +34,7 @@ def coregulation(edges, consistency, keys=()):
     """Weighted consistency of factor-target links and of target-target pairs, per source.
     ``consistency`` holds each unordered pair once (a < b)."""
     keys = list(keys)
+    consistency, edges = cut(consistency, "consistency"), cut(edges, "edges")
     both = consistency.select("a", "b", "consistency").unionByName(
         consistency.select(F.col("b").alias("a"), F.col("a").alias("b"), "consistency"))
     tot = edges.groupBy(*keys, "source").agg(F.sum(F.abs("weight")).alias("_t"), F.count("*").alias("k"))

@@ -7,6 +7,7 @@ from netloom.functions import det
 from netloom.functions.stats import (bh, rank_table, scan, t_p_greater, t_p_two, top_k, weighted_percentile,
                                      welch_t)
 from netloom.operators.blocks import attach_all, pair_sums
+from netloom.session import cut
 
 
 def one_to_one(obs, key, cols):
@@ -125,6 +126,7 @@ def _contrast(expr, obs, group, control):
     o = obs.select("obs_id", F.when(F.col("is_control"), F.lit(control)).otherwise(F.col(group)).alias(group)) \
         if control is not None else obs.select("obs_id", group)
     hist, sizes = group_hist(expr, o, group)
+    hist = cut(hist, "hist")
     axis = hist.groupBy("gene", "value").agg(F.sum(F.when(F.col(group) == control, F.col("n")).otherwise(0)).alias("c"))
     return hist, sizes, axis
 
@@ -153,6 +155,7 @@ def rank_sum(expr, obs, group="perturbation", control="control", max_controls=10
 def rank_sum_rest(expr, obs, group):
     """Rank-sum z of every group against all other samples, per gene, with mean log fold change."""
     hist, sizes = group_hist(expr, obs, group)
+    hist = cut(hist, "hist")
     total = obs.select(F.count("*")).scalar()
     ranks = rank_table(hist.groupBy("gene", "value").agg(F.sum("n").alias("n")), ["gene"], "value").drop("n")
     r = (hist.join(ranks, ["gene", "value"]).groupBy("gene", group)
@@ -175,9 +178,9 @@ def wasserstein(expr, obs, group="perturbation", control="control"):
     """
     hist, sizes, axis = _contrast(expr, obs, group, control)
     n0 = sizes.where(F.col(group) == control).select(F.sum("size")).scalar()
-    ax = scan(axis.withColumn("cv", F.col("c") * F.col("value")), ["gene"], "value", ["c", "cv"], ["C", "S"])
-    ax = ax.select("gene", "value", "c", (F.col("C") / n0).alias("f"), ((F.col("C") - F.col("c")) / n0).alias("f_before"),
-                   ((F.col("value") * F.col("C") - F.col("S")) / n0).alias("g"))
+    ax = scan(axis.withColumn("cv", F.col("c") * F.col("value")), ["gene"], "value", ["c", "cv"], ["run_n", "run_s"])
+    ax = ax.select("gene", "value", "c", (F.col("run_n") / n0).alias("f"), ((F.col("run_n") - F.col("c")) / n0).alias("f_before"),
+                   ((F.col("value") * F.col("run_n") - F.col("run_s")) / n0).alias("g"))
     ends = ax.groupBy("gene").agg(F.max_by(F.struct("value", "g"), "value").alias("end"))
     w = W.partitionBy("gene", group).orderBy("value")
     n1 = F.sum("n").over(W.partitionBy("gene", group))
@@ -240,7 +243,7 @@ def correlation(expr, obs, method="pearson", keys=(), left=None):
     keys = list(keys)
     e = expr.select("obs_id", *keys, "gene", "value")
     if method == "spearman":
-        e = rank_transform(e, obs, keys)
+        e = cut(rank_transform(e, obs, keys), "ranks")
     elif method != "pearson":
         raise ValueError(f"unknown correlation {method}")
     lhs = e if left is None else e.join(left.select("gene"), "gene", "left_semi")
