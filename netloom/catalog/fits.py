@@ -1 +1,110 @@
-""""""
+"""J and E4, D14: per-target fits."""
+
+from pyspark.sql import functions as F
+
+from netloom.catalog import query
+from netloom.catalog.aggregates import rr
+from netloom.operators import edges as E, expression as X, fits as J, nulls as Z
+from netloom.session import cut
+
+
+def net_r(v):
+    return v.net.where("model = 'R'").select("source", "target", "weight")
+
+
+def consensus(v):
+    """Regulator counts per gene from the three networks, as (gene, theta, n)."""
+    c = E.consensus_regulators(v.net.where("weight > 0.25"), v.counts.select("gene").distinct())
+    return cut(c, "consensus")
+
+
+def fold_moments(v):
+    return J.moments(X.robust_scale(v.bulk, v.bobs), Z.folds(v.bobs))
+
+
+def strong(v):
+    return v.net.where("model = 'R' and weight > 0.25 and source != target").select("source", "target", "weight")
+
+
+E4 = """WITH need AS (SELECT target, quantile_cont(coalesce(d, 0), 0.25) AS q FROM (SELECT DISTINCT gene AS target FROM v_counts) g CROSS JOIN (SELECT DISTINCT model FROM v_net) m
+LEFT JOIN (SELECT target, model, count(*) AS d FROM v_net WHERE weight > 0.25 GROUP BY ALL) x USING (target, model) GROUP BY target),
+pool AS (SELECT n.target, t.tf AS source, CAST(round_even(n.q, 0) AS BIGINT) AS n, coalesce(e.weight, 0) AS w FROM need n CROSS JOIN v_gtfs t LEFT JOIN v_net e ON e.model = 'R' AND e.source = t.tf AND e.target = n.target WHERE t.tf <> n.target)
+SELECT target, source, rn FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY abs(w) DESC, $HASH(source, target, '51966'), source) AS rn FROM pool) z WHERE rn <= n"""
+
+
+@query("e4_regulators", E4)
+def _(v):
+    return J.select_regulators(net_r(v), v.gtfs, consensus(v).where("theta = 0.25"))
+
+
+@query("d14_partial_corr")
+def _(v):
+    m = J.moments(v.bulk, v.bobs.select("obs_id", F.lit("all").alias("fold")))
+    return J.partial_corr(cut(X.correlation(v.bulk, v.bobs), "corr"), m)
+
+
+@query("j1_ridge_cv")
+def _(v):
+    regs = J.select_regulators(net_r(v), v.gtfs, consensus(v).where("theta = 0.25"))
+    return J.ridge_cv(cut(regs, "regs"), fold_moments(v))
+
+
+@query("j2_ridge_cv_raw")
+def _(v):
+    return J.ridge_cv(cut(J.raw_regulators(strong(v), v.gtfs), "regs"), fold_moments(v))
+
+
+@query("j3_elastic_refit")
+def _(v):
+    m = J.moments(v.bulk, v.bobs.where("is_control").select("obs_id", F.lit("control").alias("fold")))
+    return J.refit_elastic(strong(v), m, signed=True)
+
+
+J4 = """WITH s AS (SELECT obs_id, gene, value FROM v_bulk WHERE gene IN (SELECT tf FROM v_gtfs)), a AS (SELECT source, target, weight * 0.1 AS w FROM v_net WHERE model = 'R' AND source <> target),
+t1 AS (SELECT obs_id, target AS gene, sum(value * w) AS value FROM s JOIN a ON s.gene = a.source GROUP BY ALL), t2 AS (SELECT obs_id, target AS gene, sum(value * w) AS value FROM t1 JOIN a ON t1.gene = a.source GROUP BY ALL)
+SELECT obs_id, gene, r(sum(value)) AS value FROM (SELECT * FROM s UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2) u GROUP BY ALL"""
+
+
+@query("j4_propagate", J4)
+def _(v):
+    shocks = v.bulk.join(v.gtfs.withColumnRenamed("tf", "gene"), "gene", "left_semi")
+    a = net_r(v).where("source != target").withColumn("weight", F.col("weight") * 0.1)
+    return rr(J.propagate(shocks, a), "value")
+
+
+@query("j5_anchor_shift", """WITH b AS (SELECT o.obs_id, o.donor_id, g.gene, coalesce(n.value, 0) AS v FROM v_bobs o CROSS JOIN (SELECT DISTINCT gene FROM v_bulk) g LEFT JOIN v_bulk n ON n.obs_id = o.obs_id AND n.gene = g.gene)
+SELECT obs_id, gene, r(v + (sqrt(1.2) - 1) * avg(v) OVER (PARTITION BY gene, donor_id)) AS value FROM b""")
+def _(v):
+    dense = X.densify(v.bulk, v.bobs, v.bulk.select("gene").distinct())
+    return rr(J.anchor_shift(dense, v.bobs, "donor_id", 1.2), "value")
+
+
+@query("j6_anchor_stability")
+def _(v):
+    net = strong(v)
+    both = net.select(F.lit("net").alias("net"), "source", "target").unionByName(Z.degree_null(net).select(F.lit("null").alias("net"), "source", "target"))
+    return J.stability(cut(both, "nets"), J.moments(v.bulk, v.bobs.select("obs_id", F.col("donor_id").alias("fold"))))
+
+
+@query("j7_residual_corr")
+def _(v):
+    m = J.moments(v.bulk, v.bobs.select("obs_id", F.col("cell_type").alias("fold")))
+    return J.residual_corr(strong(v).select(F.lit("net").alias("net"), "source", "target"), m)
+
+
+@query("j8_boosted_importance")
+def _(v):
+    return J.boosted_importance(v.bulk, v.bobs, v.gtfs, rounds=20)
+
+
+@query("j9_prior_ridge")
+def _(v):
+    m = J.moments(v.bulk, v.bobs.select("obs_id", F.col("cell_type").alias("fold")))
+    return J.prior_ridge(strong(v), m)
+
+
+@query("j10_shock_estimate")
+def _(v):
+    delta, _ = X.perturbation_delta(v.bulk, v.bobs.withColumn("row_no", F.xxhash64("obs_id")), ["donor_id", "cell_type"], ["donor_id"])
+    w = strong(v).withColumn("weight", F.col("weight") * 0.05)
+    return J.shock_estimate(cut(delta, "delta"), w, w.select(F.col("source").alias("gene")).distinct())

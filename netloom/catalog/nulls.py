@@ -1 +1,127 @@
-""""""
+"""I: splits, sampling, null models."""
+
+from pyspark.sql import functions as F
+
+from netloom.catalog import query
+from netloom.catalog.aggregates import rr
+from netloom.operators import nulls as Z
+from netloom.plans import metrics as M
+
+POBS = "po AS (SELECT obs_id, row_no, concat(donor_id, '_', cell_type) AS perturbation, donor_id = 'D0' AS is_control, donor_id, cell_type, plate FROM v_obs)"
+PTF = "ptf AS (SELECT DISTINCT concat(donor_id, '_', cell_type) AS tf FROM v_obs WHERE cell_type IN ('BUILDING', 'MACHINERY'))"
+
+
+def pobs(v):
+    return v.obs.withColumn("perturbation", F.concat_ws("_", "donor_id", "cell_type")).withColumn("is_control", F.col("donor_id") == "D0")
+
+
+SPLIT = """SELECT split, perturbation FROM (SELECT perturbation, CASE WHEN row_number() OVER (PARTITION BY is_tf ORDER BY $HASH(perturbation, '32'), perturbation) <= floor(count(*) OVER (PARTITION BY is_tf) * 0.5) THEN 'train' ELSE 'test' END AS split
+FROM (SELECT DISTINCT perturbation, {tf} AS is_tf FROM po WHERE NOT is_control) x) y
+UNION ALL SELECT unnest(['train', 'test']), perturbation FROM (SELECT DISTINCT perturbation FROM po WHERE is_control) z"""
+
+
+@query("i1_split_stratified", f"WITH {POBS}, {PTF} " + SPLIT.format(tf="perturbation IN (SELECT tf FROM ptf)"))
+def _(v):
+    tfs = pobs(v).where("cell_type in ('BUILDING', 'MACHINERY')").select(F.col("perturbation").alias("tf")).distinct()
+    return Z.split_perturbations(pobs(v), 0.5, tfs)
+
+
+@query("i2_split_plain", f"WITH {POBS} " + SPLIT.format(tf="false"))
+def _(v):
+    return Z.split_perturbations(pobs(v), 0.5)
+
+
+@query("i3_rule_split", "SELECT obs_id, CASE WHEN (donor_id, plate) IN (SELECT DISTINCT donor_id, plate FROM v_obs WHERE (donor_id = 'D1' AND plate = '1995') OR donor_id = 'D4') THEN 'train' ELSE 'test' END AS split FROM v_obs")
+def _(v):
+    rules = v.obs.where("(donor_id = 'D1' and plate = '1995') or donor_id = 'D4'").select("donor_id", "plate")
+    return Z.rule_split(v.obs, rules, ["donor_id", "plate"]).select("obs_id", "split")
+
+
+@query("i4_group_shuffle", f"""WITH {POBS}, g AS (SELECT perturbation, row_number() OVER (ORDER BY $HASH(perturbation, '42'), perturbation) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT perturbation FROM po) x)
+SELECT obs_id, i >= ceil(n * 0.5) AS is_train FROM po JOIN g USING (perturbation)""")
+def _(v):
+    return Z.group_shuffle(pobs(v), "perturbation").select("obs_id", "is_train")
+
+
+@query("i5_group_kfold")
+def _(v):
+    return Z.group_kfold(pobs(v), "perturbation")
+
+
+@query("i6_folds", """SELECT 'random' AS kind, obs_id, CAST(CAST(concat('0x', substr($HASH(obs_id, '51966'), 1, 8)) AS BIGINT) % 5 AS VARCHAR) AS fold FROM v_obs
+UNION ALL SELECT 'group', obs_id, donor_id FROM v_obs WHERE donor_id IN (SELECT donor_id FROM v_obs GROUP BY 1 HAVING count(*) >= 600)""")
+def _(v):
+    a = Z.folds(v.obs).withColumn("kind", F.lit("random"))
+    return a.unionByName(Z.folds(v.obs, "donor_id", min_rows=600).withColumn("kind", F.lit("group")))
+
+
+@query("i7_negative_control", """WITH u AS (SELECT t.tf AS source, g.target, $U(t.tf, g.target, '0') AS u FROM (SELECT tf FROM v_tfs ORDER BY tf LIMIT 500) t CROSS JOIN (SELECT DISTINCT target FROM v_edges) g)
+SELECT source, target, CASE WHEN u < 0.01 THEN -1.0 ELSE 1.0 END::DOUBLE AS weight FROM u WHERE u < 0.02""")
+def _(v):
+    return Z.negative_control(v.edges.select(F.col("target").alias("gene")).distinct(), v.tfs)
+
+
+@query("i8_positive_control", """WITH b AS (SELECT o.obs_id, g.gene, coalesce(n.value, 0) AS v FROM v_bobs o CROSS JOIN (SELECT DISTINCT gene FROM v_bulk) g LEFT JOIN v_bulk n ON n.obs_id = o.obs_id AND n.gene = g.gene)
+SELECT x.gene AS source, y.gene AS target, r(corr(x.v, y.v)) AS weight FROM b x JOIN b y ON x.obs_id = y.obs_id AND x.gene < y.gene WHERE x.gene IN (SELECT tf FROM v_gtfs) GROUP BY 1, 2""")
+def _(v):
+    return rr(M.correlation_network(v.bulk, v.bobs, v.gtfs), "weight")
+
+
+RND = """k AS (SELECT source, count(*) AS k FROM v_net WHERE model = 'R' GROUP BY 1), rk AS (SELECT source, weight, row_number() OVER (PARTITION BY source ORDER BY abs(weight) DESC, source, target) AS rn FROM v_net WHERE model = 'R'),
+dr AS (SELECT source, gene AS target, row_number() OVER (PARTITION BY source ORDER BY $HASH(source, gene, '42'), gene) AS rn FROM k CROSS JOIN (SELECT DISTINCT gene FROM v_counts) g WHERE source <> gene),
+nul AS (SELECT dr.source, dr.target, rk.weight FROM dr JOIN rk USING (source, rn))"""
+
+
+@query("i9_random_sets", f"WITH {RND} SELECT source, target, r(weight) AS weight FROM nul")
+def _(v):
+    return rr(Z.random_partners(v.net.where("model = 'R'"), v.counts.select("gene").distinct()), "weight")
+
+
+@query("i10_shuffled_regulators", f"WITH {RND} SELECT target AS source, source AS target, r(weight) AS weight FROM nul".replace("model = 'R'", "model = 'R'"))
+def _(v):
+    # the same draw with the roles of the ends exchanged
+    e = v.net.where("model = 'R'").select(F.col("source").alias("target"), F.col("target").alias("source"), "weight")
+    e = e.select("source", "target", "weight")
+    return rr(Z.random_partners(e, v.counts.select("gene").distinct(), by="target"), "weight")
+
+
+I11 = """WITH e AS (SELECT source, target, weight FROM v_net WHERE model = 'R' AND source <> target AND weight > 0.2),
+l AS (SELECT source, row_number() OVER (ORDER BY $HASH(source, target, '7a'), source, target) AS i FROM e), r AS (SELECT target, row_number() OVER (ORDER BY $HASH(source, target, '7b'), source, target) AS i FROM e),
+p AS (SELECT DISTINCT source, target FROM l JOIN r USING (i) WHERE source <> target), d AS (SELECT target, count(*) AS d, sum(abs(weight)) AS s FROM e GROUP BY 1),
+n AS (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY d DESC, round(s, 6) DESC, target) AS rn FROM p JOIN d USING (target)),
+o AS (SELECT source, weight, row_number() OVER (PARTITION BY source ORDER BY abs(weight) DESC, weight, target) AS rn FROM e)
+SELECT n.source, n.target, r(o.weight) AS weight FROM n JOIN o USING (source, rn)"""
+
+
+@query("i11_degree_null", I11)
+def _(v):
+    return rr(Z.degree_null(v.net.where("model = 'R' and weight > 0.2")), "weight")
+
+
+I12 = """WITH e AS (SELECT source, target, weight FROM v_net WHERE model = 'R'), n AS (SELECT count(*) AS n, stddev_samp(weight) AS sd FROM e),
+d AS (SELECT *, row_number() OVER (ORDER BY $HASH(source, target, '0direction'), source, target) - 1 AS i FROM e), s AS (SELECT *, row_number() OVER (ORDER BY $HASH(source, target, '0sign'), source, target) - 1 AS i FROM e),
+g AS (SELECT a.source, b.target, coalesce(e.weight, 0) AS weight FROM (SELECT DISTINCT source FROM e) a CROSS JOIN (SELECT DISTINCT target FROM e) b LEFT JOIN e ON e.source = a.source AND e.target = b.target),
+gi AS (SELECT *, row_number() OVER (ORDER BY $HASH(source, target, '0n'), source, target) - 1 AS i, floor(count(*) OVER () * 0.5) AS m FROM g),
+vi AS (SELECT weight, row_number() OVER (ORDER BY $HASH(source, target, '0v'), source, target) - 1 AS i FROM gi WHERE i < m),
+nn AS (SELECT gi.source, gi.target, vi.weight FROM gi JOIN vi USING (i) UNION ALL SELECT source, target, weight FROM gi WHERE i >= m)
+SELECT 'direction' AS noise, CASE WHEN i < floor(n * 0.5) THEN target ELSE source END AS source, CASE WHEN i < floor(n * 0.5) THEN source ELSE target END AS target, r(weight) AS weight FROM d, n
+UNION ALL SELECT 'sign', source, target, r(CASE WHEN i < floor(n * 0.5) THEN -weight ELSE weight END) FROM s, n
+UNION ALL SELECT 'weight', source, target, r(weight + sqrt(-2 * ln(greatest($U(source, target, '0wa'), 1e-12))) * cos(2 * pi() * $U(source, target, '0wb')) * 0.5 * sd) FROM e, n
+UNION ALL SELECT 'net', source, target, r(weight) FROM nn WHERE weight <> 0"""
+
+
+@query("i12_edge_noise", I12)
+def _(v):
+    return rr(Z.noise_sweep(v.net.where("model = 'R'"), [0.5]).drop("level"), "weight")
+
+
+@query("i13_noise_sweep")
+def _(v):
+    return M.robustness(v.net.where("model = 'R'"), v.bulk, v.bobs.withColumn("grp", F.col("cell_type")))
+
+
+@query("i14_shrink", """WITH o AS (SELECT obs_id FROM v_obs WHERE donor_id = 'D3' ORDER BY row_no LIMIT 300), e AS (SELECT c.* FROM v_counts c WHERE obs_id IN (SELECT obs_id FROM o) AND gene LIKE '%/PROMO')
+SELECT obs_id, gene, value FROM e WHERE gene IN (SELECT gene FROM e GROUP BY 1 ORDER BY round(sum(value), 6) DESC, gene LIMIT 15)""")
+def _(v):
+    loc = v.counts.select("gene").distinct().withColumn("chrom", F.when(F.col("gene").endswith("/PROMO"), "chr1").otherwise("chr2"))
+    return Z.shrink(v.counts, v.obs, loc, "D3", "chr1", 300, 15).select("obs_id", "gene", "value")

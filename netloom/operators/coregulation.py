@@ -6,10 +6,14 @@ from netloom.operators.edges import tf_centrality, top_k_per
 from netloom.session import cut
 
 
-def corr_spread(c, signed=False):
+def corr_spread(c, signed=False, n_groups=None):
     """Consistency of a pair over groups: 1 - 2 (max - min). ``c`` is (grp, a, b, r). The signed
     form returns the positive and negative spreads, to be weighed by the sign of the edge."""
-    g = c.groupBy("a", "b").agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
+    g = c.groupBy("a", "b").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count("*").alias("_k"))
+    if n_groups is not None:  # a gene without variance in some group correlates 0 there
+        gap = F.col("_k") < n_groups
+        g = g.withColumn("lo", F.when(gap, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")))
+        g = g.withColumn("hi", F.when(gap, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi")))
     clip = lambda x, lo, hi: F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), F.col(x)))
     if not signed:
         return g.select("a", "b", "lo", "hi", (1 - 2 * (F.col("hi") - F.col("lo"))).alias("consistency"))

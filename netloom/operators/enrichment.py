@@ -18,16 +18,22 @@ def overlap(edges, sets, keys=()):
             .groupBy(*keys, "source", "library", "set_name").agg(F.count("*").alias("overlap")))
 
 
-def enrich(edges, sets, universe_size, keys=(), full_sets=None):
+def enrich(edges, sets, universe_size, keys=(), genes=None):
     """One-sided Fisher test of every overlapping (source, set). ``universe_size`` is a column
-    expression; set sizes count all members, as given."""
+    expression. With ``genes``, set members outside the universe still count as missed members,
+    but not in the remainder of the table."""
     keys = list(keys)
     n_t = edges.groupBy(*keys, "source").agg(F.count_distinct("target").alias("n_targets"))
-    n_s = (full_sets or sets).groupBy("library", "set_name").agg(F.count_distinct("gene").alias("set_size"))
+    n_s = sets.groupBy("library", "set_name").agg(F.count_distinct("gene").alias("set_size"))
+    if genes is not None:
+        inside = sets.join(genes.select("gene"), "gene", "left_semi").groupBy("library", "set_name").agg(F.count_distinct("gene").alias("set_in"))
+        n_s = n_s.join(inside, ["library", "set_name"], "left").fillna(0, ["set_in"])
+    else:
+        n_s = n_s.withColumn("set_in", F.col("set_size"))
     o = overlap(edges, sets, keys).join(n_t, [*keys, "source"]).join(n_s, ["library", "set_name"]).withColumn("n", universe_size)
     a = F.col("overlap")
-    b, c = F.col("n_targets") - a, F.col("set_size") - a
-    return o.withColumn("p", fisher_greater(a, b, c, F.col("n") - a - b - c))
+    rest = F.col("n") - F.col("n_targets") - F.col("set_in") + a
+    return o.withColumn("p", fisher_greater(a, F.col("n_targets") - a, F.col("set_size") - a, rest))
 
 
 def tf_pathway_score(edges, sets, universe_size, min_targets=10, max_targets=100, alpha=0.05):

@@ -139,11 +139,11 @@ def add_noise(edges, noise, degree, seed=0):
 
 
 def noise_sweep(edges, degrees=(0.0, 0.2, 0.5, 1.0), kinds=NOISE):
-    """All noise kinds at all degrees as one table (noise, degree, edges)."""
+    """All noise kinds at all degrees as one table (noise, level, edges)."""
     out = None
     for k in kinds:
         for d in degrees:
-            part = add_noise(edges, k, d).select(F.lit(k).alias("noise"), F.lit(float(d)).alias("degree"), "source", "target", "weight")
+            part = add_noise(edges, k, d).select(F.lit(k).alias("noise"), F.lit(float(d)).alias("level"), "source", "target", "weight")
             out = part if out is None else out.unionByName(part)
     return out
 
