@@ -13,12 +13,12 @@ from netloom.plans import leaderboard as L, metrics as M, pipelines as P, regist
 from netloom.session import cut
 
 
-@query("k1_clean_edges", """WITH e AS (SELECT model, source, target, round(avg(try_cast(w AS DOUBLE)), 9) AS weight FROM (SELECT model, source, CASE WHEN target LIKE 'P1%' THEN source ELSE target END AS target,
-CASE WHEN target LIKE '%77' THEN 'bad' ELSE CAST(weight AS VARCHAR) END AS w FROM v_edges) x WHERE source <> target GROUP BY ALL)
+@query("k1_clean_edges", """WITH e AS (SELECT model, source, target, avg(try_cast(w AS DOUBLE)) AS weight FROM (SELECT model, source, CASE WHEN target LIKE 'P1%' THEN source ELSE target END AS target,
+CASE WHEN target LIKE '%77' THEN 'bad' ELSE CAST(CAST(round(weight * 100) AS BIGINT) AS VARCHAR) END AS w FROM v_edges) x WHERE source <> target GROUP BY ALL)
 SELECT model, source, target, r(weight) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY abs(weight) DESC NULLS LAST, source, target) AS rn FROM e) y WHERE rn <= 6000 AND source IN (SELECT tf FROM v_tfs)""")
 def _(v):
     raw = v.edges.select("model", "source", F.when(F.col("target").startswith("P1"), F.col("source")).otherwise(F.col("target")).alias("target"),
-                         F.when(F.col("target").endswith("77"), "bad").otherwise(F.col("weight").cast("string")).alias("weight"))
+                         F.when(F.col("target").endswith("77"), "bad").otherwise(F.round(F.col("weight") * 100).cast("bigint").cast("string")).alias("weight"))
     return rr(E.clean_edges(raw, 6000, v.tfs, "model"), "weight")
 
 
