@@ -197,10 +197,10 @@ def _(v):
     return rr(X.parse_regulons(t), "weight")
 
 
-@query("a21_add_gene_id", "SELECT gene, max(p_partkey) AS gene_id FROM (SELECT p_name AS gene, p_partkey FROM part) x GROUP BY gene HAVING count(*) = 1")
+@query("a21_add_gene_id", "SELECT gene, max(p_partkey) AS gene_id FROM (SELECT concat(p_name, ' ', CAST(p_size AS VARCHAR)) AS gene, p_partkey FROM part) x GROUP BY gene HAVING count(*) = 1")
 def _(v):
-    p = v.table("part")
-    return T.add_gene_id(p.select(F.col("p_name").alias("gene")).distinct(), p.select(F.col("p_name").alias("gene_name"), F.col("p_partkey").alias("gene_id")))
+    p = v.table("part").select(F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("gene"), "p_partkey")
+    return T.add_gene_id(p.select("gene").distinct(), p.select(F.col("gene").alias("gene_name"), F.col("p_partkey").alias("gene_id")))
 
 
 @query("a22_groups", f"WITH {POBS} " + SPLIT.format(tf="false"))

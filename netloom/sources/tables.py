@@ -58,7 +58,8 @@ def collect_scores(spark, path, datasets: DataFrame) -> DataFrame:
     file path, and only known data sets count."""
     raw = spark.read.schema(schemas.SCORE_FILE).json(path).withColumn("_f", F.col("_metadata.file_path"))
     name = r"([^/=]+?)__([^/]+)_score"
-    raw = raw.withColumn("_f", F.url_decode("_f"))
+    # a path component written by a partitioned sink is escaped once more than a plain file name
+    raw = raw.withColumn("_f", F.when(F.col("_f").contains("="), F.url_decode(F.url_decode("_f"))).otherwise(F.url_decode("_f")))
     raw = raw.withColumn("dataset_id", F.regexp_extract("_f", name, 1)).withColumn("method_id", F.regexp_extract("_f", name, 2))
     return explode_scores(raw).join(datasets.select("dataset"), "dataset", "left_semi")
 

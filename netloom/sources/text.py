@@ -104,7 +104,7 @@ def read_ground_truth(spark, paths) -> DataFrame:
 def read_trace(spark, path) -> DataFrame:
     """Task traces with a header per file; short lines are dropped. The run date comes from
     ``trace_YYYY-MM-DD.txt`` in the path, else from the file time."""
-    t = spark.read.csv(path, sep="\t", header=True, mode="DROPMALFORMED", columnPruning=False)
+    t = spark.read.option("columnPruning", "false").csv(path, sep="\t", header=True, mode="DROPMALFORMED")
     f = F.url_decode(F.col("_metadata.file_path"))
     day = F.regexp_extract(f, r"trace_(\d{4}-\d{2}-\d{2})\.txt", 1)
     date = F.coalesce(day.try_cast("date"), F.to_date(F.col("_metadata.file_modification_time")))
