@@ -101,14 +101,14 @@ _SAVED = {}
 _USE = re.compile(r"\bv_\w+\b")
 
 
-def _needed(sql):
+def _needed(sql, stop=()):
     order, seen = [], set()
 
     def visit(name):
         if name in seen or name not in VIEWS:
             return
         seen.add(name)
-        for m in _USE.findall(VIEWS[name]):
+        for m in _USE.findall(VIEWS[name]) if name not in stop else ():
             visit(m)
         order.append(name)
 
@@ -117,9 +117,11 @@ def _needed(sql):
     return order
 
 
-def _inline(sql):
-    names = _needed(sql)
-    ctes = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)
+def _inline(sql, stored=None):
+    """Prepend the needed views; ``stored`` maps a view to the text that reads its stored copy."""
+    stored = stored or {}
+    names = _needed(sql, stored)
+    ctes = ", ".join(f"{n} AS ({stored.get(n, VIEWS[n])})" for n in names)
     sql = sql.strip()
     if not ctes:
         return sql
@@ -165,8 +167,18 @@ class Views:
     def table(self, name):
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def stored(self, name):
+        """Path of the stored copy of a view, written on first use."""
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _SAVED:
+            path = scratch(self.spark, f"view-{name}")
+            self.sql(VIEWS[f"v_{name}"]).write.parquet(path)
+            _SAVED[key] = path
+        return _SAVED[key]
+
     def sql(self, sql):
-        sql = _inline(sql)
+        near = {n for n in _needed(sql, {f"v_{s}" for s in STORED}) if n[2:] in STORED}
+        sql = _inline(sql, {n: f"SELECT * FROM parquet.`{self.stored(n[2:])}`" for n in near})
         sql = re.sub(r"\$EPOCH\((\w+)\)", r"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', \1)", sql)
         for t in TABLES:
             sql = sql.replace("{" + t + "}", f"parquet.`{self.dir}/{t}.parquet`")
@@ -176,13 +188,6 @@ class Views:
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in self._made:
-            df = self.sql(f"SELECT * FROM v_{name}")
-            if name in STORED:
-                key = (self.spark.sparkContext.applicationId, self.dir, name)
-                if key not in _SAVED:
-                    path = scratch(self.spark, f"view-{name}")
-                    df.write.parquet(path)
-                    _SAVED[key] = path
-                df = self.spark.read.parquet(_SAVED[key])
+            df = self.spark.read.parquet(self.stored(name)) if name in STORED else self.sql(f"SELECT * FROM v_{name}")
             self._made[name] = df
         return self._made[name]

@@ -211,7 +211,7 @@ def stability(edges_by_net: DataFrame, m: DataFrame, gammas=(1.0, 1.2), l2=1e-6,
     matrices follow from them: the shift adds (gamma - 1) times the between-group part. All
     coefficients of one target against all other genes are a column of the inverse covariance,
     so one bounded matrix (``max_genes`` squared) serves every target.
-    ``edges_by_net`` is (net, source, target).
+    ``edges_by_net`` is (net, source, target); every gene of ``m`` is a candidate.
     """
     def coef(pdf):
         names = sorted((set(pdf["a"]) | set(pdf["b"])) - {ONE})
@@ -244,12 +244,9 @@ def stability(edges_by_net: DataFrame, m: DataFrame, gammas=(1.0, 1.2), l2=1e-6,
         nm = np.array(names)
         return pd.DataFrame({"source": nm[i], "target": nm[j], "w": prod[i, j]})
 
-    genes = edges_by_net.select(F.col("source").alias("g")).union(edges_by_net.select(F.col("target").alias("g"))).union(
-        m.where(F.col("a") == ONE).select(F.col("a").alias("g"))).distinct()
-    sub = m.join(genes.withColumnRenamed("g", "a"), "a", "left_semi").join(genes.withColumnRenamed("g", "b"), "b", "left_semi")
     # only the sums are needed per group; the products are added over groups first
-    sub = sub.where(F.col("a") == ONE).select("fold", "a", "b", "s").unionByName(
-        sub.where(F.col("a") != ONE).groupBy("a", "b").agg(F.sum("s").alias("s")).withColumn("fold", F.lit("")))
+    sub = m.where(F.col("a") == ONE).select("fold", "a", "b", "s").unionByName(
+        m.where(F.col("a") != ONE).groupBy("a", "b").agg(F.sum("s").alias("s")).withColumn("fold", F.lit("")))
     pairs = cut(sub.groupBy(F.substring("a", 0, 0).alias("_all")).applyInPandas(coef, "source string, target string, w double"), "coef")
     sel = edges_by_net.select("net", "source", "target").distinct()
     tot = pairs.groupBy("target").agg(F.sum("w").alias("st"), F.count("*").alias("kt"))
