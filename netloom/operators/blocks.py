@@ -29,7 +29,7 @@ def _pack(df, dim, item, value, keys, n_chunks, n_blocks, tag):
     packed = (df.select(*keys, F.pmod(F.xxhash64(dim), F.lit(n_chunks)).alias("_c"),
                         F.pmod(F.xxhash64(item), F.lit(n_blocks)).alias("_b"), cell.alias("_e"))
               .groupBy(*keys, "_c", "_b").agg(F.collect_list("_e").alias("_e")))
-    return packed.select(*keys, "_c", *[F.col(f"_e.{f}").alias(f"{f}{tag}") for f in "div"])
+    return packed.select(*keys, "_c", F.col("_b").alias(f"b{tag}"), *[F.col(f"_e.{f}").alias(f"{f}{tag}") for f in "div"])
 
 
 def _dense(d, i, v, dims):
@@ -44,14 +44,18 @@ def pair_sums(left: DataFrame, right: DataFrame, dim, item, value, kernel="dot",
     """(keys, a, b, s) with s = sum over ``dim`` of l*r (``dot``), or of |l-r|-|l|-|r| (``l1``).
 
     Both terms vanish where either side is zero, so only stored values travel. ``left`` and
-    ``right`` hold (keys, dim, item, value); ``upper`` keeps a <= b. Keys are strings.
+    ``right`` hold (keys, dim, item, value); ``upper`` pairs a table with itself and returns each
+    unordered pair once, a <= b. Keys are strings.
     """
     keys = list(keys)
     n_dim, n_item = right.agg(F.approx_count_distinct(dim), F.approx_count_distinct(item)).first()
     n_chunks, n_blocks = max(1, -(-n_dim // chunk)), max(1, -(-n_item // block))
     lp = _pack(left, dim, item, value, keys, n_chunks, n_blocks, "")
     rp = _pack(right, dim, item, value, keys, n_chunks, n_blocks, "2")
-    joined = lp.join(rp, [*keys, "_c"]).drop("_c")
+    joined = lp.join(rp, [*keys, "_c"])
+    if upper:
+        joined = joined.where("b <= b2")
+    joined = joined.drop("_c")
     schema = ", ".join([*(f"{k} string" for k in keys), "a string", "b string", "s double"])
 
     def work(batches):
@@ -64,9 +68,12 @@ def pair_sums(left: DataFrame, right: DataFrame, dim, item, value, kernel="dot",
                     s = a.T @ b
                 else:
                     s = np.stack([(np.abs(a[:, [k]] - b) - np.abs(a[:, [k]]) - np.abs(b)).sum(0) for k in range(a.shape[1])])
-                keep = (s != 0) & (ai[:, None] <= bi[None, :]) if upper else s != 0
-                p, q = np.nonzero(keep)
-                yield pd.DataFrame({**{k: r[k] for k in keys}, "a": ai[p], "b": bi[q], "s": s[p, q]})
+                same = upper and r["b"] == r["b2"]
+                p, q = np.nonzero((s != 0) & (ai[:, None] <= bi[None, :]) if same else s != 0)
+                left_name, right_name, val = ai[p], bi[q], s[p, q]
+                if upper:
+                    left_name, right_name = np.where(left_name <= right_name, left_name, right_name), np.where(left_name <= right_name, right_name, left_name)
+                yield pd.DataFrame({**{k: r[k] for k in keys}, "a": left_name, "b": right_name, "s": val})
 
     return joined.mapInPandas(work, schema).groupBy(*keys, "a", "b").agg(F.sum("s").alias("s"))
 

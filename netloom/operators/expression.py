@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from netloom.functions import det
 from netloom.functions.stats import (bh, rank_table, scan, t_p_greater, t_p_two, top_k, weighted_percentile,
                                      welch_t)
+from netloom.functions.skew import spread_join
 from netloom.operators.blocks import attach_all, pair_sums
 from netloom.session import cut
 
@@ -139,7 +140,7 @@ def rank_sum(expr, obs, group="perturbation", control="control", max_controls=10
     test defines it.
     """
     if max_controls:
-        keep = (obs.where("is_control").orderBy(det.hash_key("obs_id", seed=seed), "obs_id").limit(max_controls))
+        keep = top_k(obs.where("is_control"), [], [det.hash_key("obs_id", seed=seed), F.col("obs_id")], max_controls, ["obs_id"], salts=64)
         obs = obs.where("not is_control").unionByName(keep)
         expr = expr.join(obs.select("obs_id"), "obs_id", "left_semi")
     hist, sizes, axis = _contrast(expr, obs, group, control)
@@ -179,8 +180,8 @@ def wasserstein(expr, obs, group="perturbation", control="control"):
     hist, sizes, axis = _contrast(expr, obs, group, control)
     n0 = sizes.where(F.col(group) == control).select(F.sum("size")).scalar()
     ax = scan(axis.withColumn("cv", F.col("c") * F.col("value")), ["gene"], "value", ["c", "cv"], ["run_n", "run_s"])
-    ax = ax.select("gene", "value", "c", (F.col("run_n") / n0).alias("f"), ((F.col("run_n") - F.col("c")) / n0).alias("f_before"),
-                   ((F.col("value") * F.col("run_n") - F.col("run_s")) / n0).alias("g"))
+    ax = cut(ax.select("gene", "value", "c", (F.col("run_n") / n0).alias("f"), ((F.col("run_n") - F.col("c")) / n0).alias("f_before"),
+                   ((F.col("value") * F.col("run_n") - F.col("run_s")) / n0).alias("g")), "axis")
     ends = ax.groupBy("gene").agg(F.max_by(F.struct("value", "g"), "value").alias("end"))
     w = W.partitionBy("gene", group).orderBy("value")
     n1 = F.sum("n").over(W.partitionBy("gene", group))
@@ -188,7 +189,7 @@ def wasserstein(expr, obs, group="perturbation", control="control"):
         "level", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)) / n1)
     at = steps.join(ax.drop("c"), ["gene", "value"])
     nxt = F.lead(F.struct("value", "f_before", "g")).over(w)
-    at = at.withColumn("nxt", nxt).withColumn("first", F.row_number().over(w) == 1)
+    at = cut(at.withColumn("nxt", nxt).withColumn("first", F.row_number().over(w) == 1), "steps")
     inside = at.where("nxt is not null")
     crossing = (F.col("f") < F.col("level")) & (F.col("nxt.f_before") > F.col("level"))
     asked = inside.where(crossing)
@@ -200,13 +201,13 @@ def wasserstein(expr, obs, group="perturbation", control="control"):
     dg = F.col("nxt.g") - F.col("g")
     plain = inside.where(~crossing).select("gene", group, F.abs(dg - F.col("level") * dx).alias("part"))
     lvl = F.col("level")
-    cut = asked.join(marks, ["gene", "level"]).select(
+    crossed = asked.join(marks, ["gene", "level"]).select(
         "gene", group, (lvl * (F.col("x.value") - F.col("value")) - (F.col("x.g") - F.col("g"))
                         + (F.col("nxt.g") - F.col("x.g")) - lvl * (F.col("nxt.value") - F.col("x.value"))).alias("part"))
     tails = at.join(ends, "gene").select("gene", group, (
         F.when(F.col("first"), F.col("g")).otherwise(0.0)
         + F.when(F.col("nxt").isNull(), (F.col("end.value") - F.col("value")) - (F.col("end.g") - F.col("g"))).otherwise(0.0)).alias("part"))
-    return (plain.unionByName(cut).unionByName(tails).groupBy(F.col(group).alias("source"), F.col("gene").alias("target"))
+    return (plain.unionByName(crossed).unionByName(tails).groupBy(F.col(group).alias("source"), F.col("gene").alias("target"))
             .agg(F.sum("part").alias("ws_distance")))
 
 
@@ -330,7 +331,7 @@ def ulm(expr, edges, tmin=5, obs=None, keys=()):
     smp = expr.groupBy("obs_id").agg(F.sum("value").alias("sy"), F.sum(F.col("value") * F.col("value")).alias("qy"))
     if obs is not None:
         smp = obs.select("obs_id").join(smp, "obs_id", "left").fillna(0.0)
-    cross = (expr.select("obs_id", "gene", "value").join(net, "gene").groupBy("obs_id", *keys, "source")
+    cross = (spread_join(expr.select("obs_id", "gene", "value"), net, ["gene"], ["obs_id"]).groupBy("obs_id", *keys, "source")
              .agg(F.sum(F.col("value") * F.col("weight")).alias("swy")))
     full = attach_all(smp, src).join(cross, ["obs_id", *keys, "source"], "left").withColumn("m", m)
     return full.select("obs_id", *keys, "source", ulm_t("m", "sw", "qw", "sy", "qy", F.coalesce("swy", F.lit(0.0))).alias("activity"))
@@ -357,7 +358,7 @@ def dispersion(act, groups, keys=()):
     """Mean absolute deviation from the group median, averaged over groups of two or more, and
     consistency 1 - clip(mad / p95, 0, 1)."""
     keys = list(keys)
-    a = act.join(groups.select("obs_id", "grp"), "obs_id")
+    a = cut(act.join(groups.select("obs_id", "grp"), "obs_id"), "activity")
     med = (a.groupBy(*keys, "source", "grp").agg(F.median("activity").alias("med"), F.count("*").alias("n")).where("n >= 2"))
     mad = (a.join(med, [*keys, "source", "grp"]).groupBy(*keys, "source", "grp")
            .agg(F.avg(F.abs(F.col("activity") - F.col("med"))).alias("mad"))
@@ -444,7 +445,8 @@ def perturbation_delta(expr, obs, strict, loose):
     first = ctrl.agg(F.min_by("obs_id", "row_no")).scalar()
     m = obs.join(s, strict, "left").join(l, loose, "left").select("obs_id", F.coalesce("_c1", "_c2", first).alias("control_id"))
     own = expr.join(m.select("obs_id"), "obs_id", "left_semi").select("obs_id", "gene", "value")
-    ref = (m.join(expr.select(F.col("obs_id").alias("control_id"), "gene", "value"), "control_id")
+    profile = expr.select(F.col("obs_id").alias("control_id"), "gene", "value")
+    ref = (spread_join(m, profile, ["control_id"], ["obs_id"], per=2_000)
            .select("obs_id", "gene", (-F.col("value")).alias("value")))
     # a union and one sum: same result as a full join, with map-side combine
     return own.unionByName(ref).groupBy("obs_id", "gene").agg(F.sum("value").alias("value")), m

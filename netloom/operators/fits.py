@@ -11,17 +11,28 @@ from pyspark.sql import DataFrame, functions as F
 
 from netloom.functions.stats import t_tail, top_k
 from netloom.functions import det
+from netloom.functions.skew import spread_join
 from netloom.operators.blocks import attach_all, pair_sums
 from netloom.session import cut
 
 ONE = ""  # the constant regressor
 
 
-def moments(expr: DataFrame, samples: DataFrame, key="fold") -> DataFrame:
+def moments(expr: DataFrame, samples: DataFrame, key="fold", left=None) -> DataFrame:
     """Moment table (key, a, b, s) with a <= b. The constant is a gene named '', so sums and
-    counts are rows of the same table. ``samples`` is (obs_id, key)."""
+    counts are rows of the same table. ``samples`` is (obs_id, key). With ``left`` (gene) only
+    pairs with one of these genes are formed, and the squares of all genes."""
     e = cut(expr.where("value != 0").select("obs_id", "gene", "value").join(samples.select("obs_id", key), "obs_id"), "samples")
-    prod = pair_sums(e, e, "obs_id", "gene", "value", "dot", [key], upper=True)
+    if left is None:
+        prod = pair_sums(e, e, "obs_id", "gene", "value", "dot", [key], upper=True)
+    else:
+        one = left.select("gene").distinct()
+        p = pair_sums(e.join(one, "gene", "left_semi"), e, "obs_id", "gene", "value", "dot", [key])
+        p = p.join(one.select(F.col("gene").alias("b"), F.lit(True).alias("_both")), "b", "left")
+        p = p.where((F.col("a") != F.col("b")) & (F.col("_both").isNull() | (F.col("a") < F.col("b"))))
+        squares = e.groupBy(key, "gene").agg(F.sum(F.col("value") * F.col("value")).alias("s"))
+        prod = p.select(key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s").unionByName(
+            squares.select(key, F.col("gene").alias("a"), F.col("gene").alias("b"), "s"))
     sums = e.groupBy(key, F.col("gene").alias("b")).agg(F.sum("value").alias("s")).select(key, F.lit(ONE).alias("a"), "b", "s")
     n = samples.groupBy(key).agg(F.count("*").cast("double").alias("s")).select(key, F.lit(ONE).alias("a"), F.lit(ONE).alias("b"), "s")
     return cut(prod.unionByName(sums).unionByName(n), "moments")
@@ -42,9 +53,9 @@ def design(regs: DataFrame, m: DataFrame, key="fold") -> DataFrame:
     mem = regs.select("target", F.col("source").alias("g")).unionByName(
         regs.select("target", F.col("target").alias("g"))).unionByName(
         regs.select("target", F.lit(ONE).alias("g"))).distinct()
-    a = mem.select("target", F.col("g").alias("a"))
-    b = mem.select("target", F.col("g").alias("b"))
-    return m.join(a, "a").join(b, ["target", "b"], "left_semi").select("target", key, "a", "b", "s")
+    # one normal matrix per target: list its cells, then look them up
+    pairs = mem.withColumnRenamed("g", "a").join(mem.withColumnRenamed("g", "b"), "target").where("a <= b")
+    return pairs.join(m, ["a", "b"]).select("target", key, "a", "b", "s")
 
 
 def _matrices(pdf, key):
@@ -160,7 +171,7 @@ def propagate(shocks: DataFrame, edges: DataFrame, steps=2) -> DataFrame:
     """Shocks pushed through the network: shock + shock A + shock A A (obs_id, gene, value)."""
     term, total = shocks.select("obs_id", "gene", "value"), shocks.select("obs_id", "gene", "value")
     for _ in range(steps):
-        term = (term.withColumnRenamed("gene", "source").join(edges.select("source", "target", "weight"), "source")
+        term = (spread_join(term.withColumnRenamed("gene", "source"), edges.select("source", "target", "weight"), ["source"], ["obs_id"])
                 .groupBy("obs_id", F.col("target").alias("gene")).agg(F.sum(F.col("value") * F.col("weight")).alias("value")))
         total = total.unionByName(term)
     return total.groupBy("obs_id", "gene").agg(F.sum("value").alias("value"))
@@ -268,8 +279,8 @@ def residual_corr(edges_by_net: DataFrame, m: DataFrame, alpha=10.0) -> DataFram
     e = edges_by_net.where("source != target").select(F.concat_ws("|", "net", "target").alias("nt"), "net", "source", "target").distinct()
     mem = e.select("nt", F.col("source").alias("g"), "target").unionByName(
         e.select("nt", F.col("target").alias("g"), "target")).unionByName(e.select("nt", F.lit(ONE).alias("g"), "target")).distinct()
-    d = (m.join(mem.select("nt", "target", F.col("g").alias("a")), "a")
-         .join(mem.select("nt", F.col("g").alias("b")), ["nt", "b"], "left_semi"))
+    pairs = mem.withColumnRenamed("g", "a").join(mem.select("nt", F.col("g").alias("b")), "nt").where("a <= b")
+    d = pairs.join(m, ["a", "b"])
 
     def fit(pdf):
         nt = pdf["nt"].iloc[0]
@@ -353,7 +364,7 @@ def partial_corr(corr: DataFrame, m: DataFrame, k=10, l2=1e-6) -> DataFrame:
     return design(regs, m).groupBy("target").applyInPandas(fit, "source string, target string, weight double")
 
 
-def boosted_importance(expr: DataFrame, obs: DataFrame, tfs: DataFrame, rounds=50, rate=0.1, chunk=4096, block=64, bins=16, seed=0) -> DataFrame:
+def boosted_importance(expr: DataFrame, obs: DataFrame, tfs: DataFrame, rounds=50, rate=0.1, chunk=2048, block=1024, bins=8) -> DataFrame:
     """Importance of every factor for every gene by boosted stumps.
 
     An ensemble over disjoint sample chunks: each (chunk, gene block) task boosts on its own
@@ -386,23 +397,21 @@ def boosted_importance(expr: DataFrame, obs: DataFrame, tfs: DataFrame, rounds=5
         left = xm[:, feat] < thr[None, :]
         nl = left.sum(0).astype(float)
         ok = (nl > 0) & (nl < n_all)
-        left, feat, nl = left[:, ok], feat[ok], nl[ok]
+        left, feat, nl = left[:, ok].T.astype(np.float32), feat[ok], nl[ok]
         out = []
         for j, name in enumerate(gn):
             r = ym[:, j] - ym[:, j].mean()
-            use = tf[feat] != name
-            if not use.any():
+            own = tf[feat] == name
+            if own.all():
                 continue
-            lf, ft, ln = left[:, use], feat[use], nl[use]
-            lt = lf.T.astype(float)
             gain = np.zeros(len(tf))
             for _ in range(rounds):
-                sl = lt @ r
-                score = sl ** 2 / ln + (r.sum() - sl) ** 2 / (n_all - ln)
+                sl = (left @ r.astype(np.float32)).astype(float)
+                score = np.where(own, -1.0, sl ** 2 / nl + (r.sum() - sl) ** 2 / (n_all - nl))
                 b0 = int(np.argmax(score))
-                ml, mr = sl[b0] / ln[b0], (r.sum() - sl[b0]) / (n_all - ln[b0])
-                gain[ft[b0]] += score[b0]
-                r = r - rate * np.where(lf[:, b0], ml, mr)
+                ml, mr = sl[b0] / nl[b0], (r.sum() - sl[b0]) / (n_all - nl[b0])
+                gain[feat[b0]] += score[b0]
+                r = r - rate * np.where(left[b0] > 0, ml, mr)
             nz = np.nonzero(gain)[0]
             out.append(pd.DataFrame({"source": tf[nz], "target": name, "gain": gain[nz]}))
         return pd.concat(out) if out else empty

@@ -128,24 +128,19 @@ def gene_activity(access, tss, reach=100_000, scale=5000.0, decay=1.0, gap=500):
 
 def consensus_peaks(peaks, half=250):
     """Fixed-width peaks around summits; overlapping ones form an island that keeps its best
-    scored peak."""
+    scored peak.
+
+    All peaks are equally wide, so two peaks that start in the same bin of that width overlap and
+    an island is a run of bins. Bins are summed up first; only they are put in order.
+    """
+    width = 2 * half
     mid = F.floor((F.col("start") + F.col("stop")) / 2)
     p = peaks.select("chrom", (mid - half).alias("start"), (mid + half).alias("stop"), "score", "event_id")
-    # a bin boundary that no peak crosses cuts the contig, so the ordered scan runs per segment
-    seg = _segments(p, 4 * half)
-    w = W.partitionBy("chrom", "seg").orderBy("start", "stop", "event_id")
-    prev = F.max("stop").over(w.rowsBetween(W.unboundedPreceding, -1))
-    isl = seg.withColumn("new", F.when(prev.isNull() | (F.col("start") > prev), 1).otherwise(0))
-    isl = isl.withColumn("island", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     best = F.max_by(F.struct("start", "stop", "score", "event_id"), F.struct("score", -F.col("event_id")))
-    return isl.groupBy("chrom", "seg", "island").agg(best.alias("b"), F.count("*").alias("n")).select("chrom", "b.*", "n")
-
-
-def _segments(p, width):
-    """Number the runs of occupied bins per contig: bins are few next to peaks, and two peaks in
-    different runs cannot overlap."""
-    bins = _binned(p, "start", "stop", width).select("chrom", "_bin").distinct()
+    bins = p.groupBy("chrom", F.floor(F.col("start") / width).alias("_bin")).agg(
+        F.min("start").alias("lo"), F.max("start").alias("hi"), best.alias("b"), F.count("*").alias("n"))
     w = W.partitionBy("chrom").orderBy("_bin")
-    runs = bins.withColumn("_new", F.when(F.lag("_bin").over(w) == F.col("_bin") - 1, 0).otherwise(1))
-    runs = runs.withColumn("seg", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
-    return p.withColumn("_bin", F.floor(F.col("start") / width)).join(runs, ["chrom", "_bin"]).drop("_bin")
+    new = F.when(F.col("lo") - F.lag("hi").over(w) <= width, 0).otherwise(1)
+    isl = bins.withColumn("new", new).withColumn("island", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    top = F.max_by("b", F.struct("b.score", -F.col("b.event_id")))
+    return isl.groupBy("chrom", "island").agg(top.alias("b"), F.sum("n").alias("n")).select("chrom", "b.*", "n")

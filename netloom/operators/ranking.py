@@ -60,7 +60,7 @@ def sample_per_group(obs, by, n, seed=0, ident="obs_id"):
 
 def cap(obs, n, seed=0, ident="obs_id"):
     """At most ``n`` rows in all, by hash order."""
-    keep = obs.select(ident).orderBy(det.hash_key(ident, seed=seed), ident).limit(n)
+    keep = top_k(obs.select(ident), [], [det.hash_key(ident, seed=seed), F.col(ident)], n, [ident], salts=64)
     return obs.join(keep, ident, "left_semi")
 
 

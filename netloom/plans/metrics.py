@@ -40,9 +40,9 @@ def regression(edges, expr, obs, tfs, consensus, cv_column=None, alpha=1.0):
     0.25 / 0.75; r2_raw: with all regulators of the network."""
     genes = consensus.select("gene").distinct()
     e = X.robust_scale(expr.join(genes, "gene", "left_semi"), obs)
-    m = J.moments(e, Z.folds(obs, cv_column))
     net = E.edges_in(edges, genes)
     factors = tfs.join(genes.withColumnRenamed("gene", "tf"), "tf", "left_semi")
+    m = J.moments(e, Z.folds(obs, cv_column), left=factors.withColumnRenamed("tf", "gene"))
     out = None
     for theta, name in ((0.25, "r_precision"), (0.75, "r_recall")):
         regs = J.select_regulators(net, factors, consensus.where(F.abs(F.col("theta") - theta) < 1e-9))
@@ -200,7 +200,8 @@ def _sem_half(edges, genes, expr, obs, strict, loose, cv, early, penalise):
     sd = X.fit_scaler(e, ctrl)
     scaled = cut(e.join(sd, "gene").select("obs_id", "gene", (F.col("value") / F.col("sd")).alias("value")), "scaled")
     # centring: the mean of the controls is taken out inside the moments by the constant regressor
-    m = J.moments(scaled.join(ctrl.select("obs_id"), "obs_id", "left_semi"), ctrl.select("obs_id", F.lit("control").alias("fold")))
+    m = J.moments(scaled.join(ctrl.select("obs_id"), "obs_id", "left_semi"), ctrl.select("obs_id", F.lit("control").alias("fold")),
+                  left=net.select(F.col("source").alias("gene")))
     mu = m.where((F.col("a") == J.ONE) & (F.col("b") != J.ONE)).select("b", F.col("s").alias("mb"))
     n = m.where((F.col("a") == J.ONE) & (F.col("b") == J.ONE)).select(F.max("s")).scalar()
     c = m.where(F.col("a") != J.ONE).join(mu.withColumnsRenamed({"b": "a", "mb": "ma"}), "a").join(mu, "b").withColumn("_n", n)
