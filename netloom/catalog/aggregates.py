@@ -301,6 +301,11 @@ def _(v):
     return rr(X.hvg(v.norm, v.obs, 60).select("gene", "mean", "disp", "z"), "mean", "disp", "z")
 
 
+@query("d32_hvg_counts")
+def _(v):
+    return X.hvg_counts(v.counts, v.obs, 60)
+
+
 PAIRS = "pr AS (SELECT r.source, r.target, r.weight AS a, n.weight AS b FROM v_net r JOIN v_net n ON r.source = n.source AND r.target = n.target AND r.model = 'R' AND n.model = 'N')"
 
 

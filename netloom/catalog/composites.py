@@ -8,8 +8,8 @@ from netloom.catalog.fits import consensus, net_r, strong
 from netloom.catalog.joins import P2G, P2T, WINDOW
 from netloom.catalog.nulls import POBS, SPLIT, pobs
 from netloom.catalog.ranking import LATEST, MM
-from netloom.operators import edges as E, intervals as I
-from netloom.plans import leaderboard as L, metrics as M, pipelines as P, registry as U
+from netloom.operators import edges as E, intervals as I, ranking as R
+from netloom.plans import leaderboard as L, metrics as M, preparation as P, registry as U
 from netloom.session import cut
 
 
@@ -46,6 +46,22 @@ def _(v):
     return rr(M.ws_distance(e.where("model <> 'A'"), bg, cut(cons, "consensus"), keys=("model",)), "value")
 
 
+@query("c12_background_fill", f"WITH {WSN} SELECT model, theta, source, count(*) AS n, count(*) FILTER (f) AS n_filled, r(avg(pct)) AS mean FROM (SELECT *, false AS f FROM ht UNION ALL SELECT *, true FROM fl) u GROUP BY ALL")
+def _(v):
+    e = v.net.where("weight > 0.2")
+    bg = v.net.where("model = 'A'").select("source", "target", F.abs("weight").alias("ws_distance"))
+    bg = R.null_percentile(bg, bg.select("source", "ws_distance"), ["source"], "ws_distance")
+    d = M.predicted_distances(e.where("model <> 'A'"), cut(bg, "background"), cut(E.consensus_edges(e, v.gtfs), "consensus"), keys=("model",))
+    g = d.groupBy("model", "theta", "source").agg(F.count("*").alias("n"), F.count_if("filled").alias("n_filled"), F.avg("percentile").alias("mean"))
+    return rr(g, "mean")
+
+
+@query("c17_consensus_lookup", """SELECT g.gene, CAST(round_even(quantile_cont(coalesce(d, 0), 0.75), 0) AS BIGINT) AS n FROM (SELECT DISTINCT gene FROM v_bulk) g CROSS JOIN (SELECT DISTINCT model FROM v_net) m
+LEFT JOIN (SELECT target, model, count(*) AS d FROM v_net WHERE weight > 0.25 GROUP BY ALL) x ON x.target = g.gene AND x.model = m.model GROUP BY g.gene""")
+def _(v):
+    return M.consensus_lookup(v.bulk, consensus(v), 0.75)
+
+
 K4 = f"""WITH de AS (SELECT source AS pert, target AS gene, weight * 10 AS score FROM v_net WHERE model = 'A'), g AS (SELECT DISTINCT gene FROM de), m AS (SELECT count(*)::DOUBLE AS m FROM g),
 n0 AS (SELECT source, target, weight FROM v_net WHERE model = 'R' AND weight > 0.25 AND source <> target AND source IN (SELECT tf FROM v_gtfs)), net AS (SELECT * FROM n0 WHERE source IN (SELECT source FROM n0 GROUP BY 1 HAVING count(*) >= 5)),
 y AS (SELECT pert AS source, sum(score) AS sy, sum(score * score) AS qy FROM de GROUP BY 1),
@@ -89,6 +105,12 @@ def truths(v):
     return v.net.where("model = 'A' and weight > 0.2").select(F.when(F.col("weight") > 0.4, "high").otherwise("mid").alias("gt"), "source", "target")
 
 
+@query("c11_target_overlap", K5[:K5.index("d AS (SELECT m.model")].rstrip().rstrip(",") + " SELECT m.model, k.gt, k.source, k.k, tp, got FROM k CROSS JOIN (SELECT DISTINCT model FROM p) m LEFT JOIN h ON h.model = m.model AND h.gt = k.gt AND h.source = k.source")
+def _(v):
+    genes = v.counts.select("gene").distinct()
+    return M.target_overlap(v.net.where("model <> 'A' and weight > 0.1"), truths(v), genes, v.gtfs, ("model",)).drop("n_targets")
+
+
 @query("k5_tf_binding", K5)
 def _(v):
     genes = v.counts.select("gene").distinct()

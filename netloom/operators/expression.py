@@ -1,6 +1,7 @@
 """Aggregations over expression tables. Absent rows are zeros: counts of samples come from the
 metadata table, and histograms get a zero bin of ``n - nnz``."""
 
+import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from netloom.functions import det
@@ -317,6 +318,26 @@ def hvg(expr, obs, n_top=None, n_bins=20, logged=True):
     return out if n_top is None else out.orderBy(F.col("z").desc_nulls_last(), "gene").limit(n_top)
 
 
+def hvg_counts(expr, obs, n_top=None):
+    """Highly variable genes of raw counts: variance of values standardised by the variance that
+    the mean predicts, large values clipped at sqrt(n). The mean-variance trend is a quadratic in
+    log space, fitted from sums (a global fit in place of a local one)."""
+    n = obs.select(F.count("*")).scalar()
+    g = expr.groupBy("gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")).withColumn("n", n)
+    g = g.select("gene", "n", (F.col("s") / F.col("n")).alias("m"), ((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)).alias("var"))
+    g = cut(g.where("var > 0").withColumns({"x": F.log10("m"), "y": F.log10("var")}), "moments")
+    row = g.agg(*[F.sum(F.pow("x", i)).alias(f"x{i}") for i in range(5)], *[F.sum(F.pow("x", i) * F.col("y")).alias(f"y{i}") for i in range(3)]).first()
+    a = np.array([[row[f"x{i + j}"] for j in range(3)] for i in range(3)])
+    c = np.linalg.lstsq(a, np.array([row[f"y{i}"] for i in range(3)]), rcond=None)[0]
+    fit = F.lit(float(c[0])) + F.col("x") * float(c[1]) + F.col("x") * F.col("x") * float(c[2])
+    g = g.withColumn("sd", F.sqrt(F.pow(F.lit(10.0), fit))).withColumn("top", F.col("sd") * F.sqrt("n") + F.col("m"))
+    v = F.least("value", "top")
+    d = (expr.join(g.select("gene", "top"), "gene").groupBy("gene").agg(F.sum(v).alias("cs"), F.sum(v * v).alias("cq")).join(g, "gene"))
+    norm = (F.col("n") * F.col("m") * F.col("m") + F.col("cq") - 2 * F.col("cs") * F.col("m")) / ((F.col("n") - 1) * F.col("sd") * F.col("sd"))
+    out = d.select("gene", F.col("m").alias("mean"), "var", norm.alias("norm_var"))
+    return out if n_top is None else out.orderBy(F.col("norm_var").desc(), "gene").limit(n_top)
+
+
 def ulm(expr, edges, tmin=5, obs=None, keys=()):
     """Univariate linear model: slope t-value of expression on the weights of each source, genes
     outside the network having weight 0. ``keys`` are extra columns of the edges (selection,

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from netloom.functions.stats import norm_p_greater, norm_p_two, top_k
 from netloom.functions import det
 from netloom.operators import coregulation as G, edges as E, enrichment as N, expression as X, filters as O, fits as J, nulls as Z
+from netloom.operators.blocks import attach_all
 from netloom.operators.ranking import null_percentile
 from netloom.session import cut
 
@@ -35,6 +36,12 @@ def positive_control(train, test, obs, tfs, n=50_000):
 
 # --- regression (top regulators predict their targets) ---------------------------------------
 
+def consensus_lookup(genes, consensus, theta):
+    """Number of regulators each measured gene is given at one theta; unknown genes fall out."""
+    at = consensus.where(F.abs(F.col("theta") - theta) < 1e-9).select("gene", "n")
+    return genes.select("gene").distinct().join(at, "gene")
+
+
 def regression(edges, expr, obs, tfs, consensus, cv_column=None, alpha=1.0):
     """r_precision / r_recall: mean fold R2 with the consensus number of regulators at theta
     0.25 / 0.75; r2_raw: with all regulators of the network."""
@@ -45,7 +52,7 @@ def regression(edges, expr, obs, tfs, consensus, cv_column=None, alpha=1.0):
     m = J.moments(e, Z.folds(obs, cv_column), left=factors.withColumnRenamed("tf", "gene"))
     out = None
     for theta, name in ((0.25, "r_precision"), (0.75, "r_recall")):
-        regs = J.select_regulators(net, factors, consensus.where(F.abs(F.col("theta") - theta) < 1e-9))
+        regs = J.select_regulators(net, factors, consensus_lookup(genes, consensus, theta))
         part = J.ridge_cv(cut(regs, "regs"), m, alpha).agg(F.avg("r2").alias("value"))
         out = one(part, name) if out is None else out.unionByName(one(part, name))
     raw = J.ridge_cv(cut(J.raw_regulators(net, factors), "regs"), m, alpha).agg(F.avg("r2").alias("value"))
@@ -54,28 +61,34 @@ def regression(edges, expr, obs, tfs, consensus, cv_column=None, alpha=1.0):
 
 # --- distance to the perturbed distribution --------------------------------------------------
 
-def ws_distance(edges, background, consensus, by="signed", seed=42, keys=()):
-    """Mean percentile of the Wasserstein distance of predicted edges within the background of
-    their factor, for the consensus edge counts; missing edges are filled from the background in
-    hash order. ``ws_raw`` is the plain mean distance of predicted edges."""
+def predicted_distances(edges, background, consensus, by="signed", seed=42, keys=()):
+    """Background distances of the consensus number of edges per factor: predicted edges that the
+    background knows, filled up from the background in hash order.
+    (keys, theta, source, percentile, filled); ``background`` carries its percentile."""
     keys = list(keys)
-    pct = cut(null_percentile(background, background.select("source", F.col("ws_distance")), ["source"], "ws_distance"), "background")
-    raw = edges.select(*keys, "source", "target").distinct().join(background, ["source", "target"])
-    raw = raw.groupBy(*keys).agg(F.avg("ws_distance").alias("value")).select(*keys, F.lit("ws_raw").alias("metric"), "value")
     need = consensus.join(background.select("source").distinct(), "source", "left_semi").select("source", "theta", F.col("value").alias("k"))
     if keys:
-        models = edges.select(*keys).distinct()
-        from netloom.operators.blocks import attach_all
-        need = attach_all(need, models)
+        need = attach_all(need, edges.select(*keys).distinct())
     e = edges.join(need, [*keys, "source"])
     pick = top_k(e, [*keys, "theta", "source"], E.by_weight(by), F.col("k"), ["target"]).select(*keys, "theta", "source", "target")
-    hit = pick.join(pct, ["source", "target"]).select(*keys, "theta", "source", "percentile")
+    hit = pick.join(background, ["source", "target"]).select(*keys, "theta", "source", "percentile")
     have = hit.groupBy(*keys, "theta", "source").agg(F.count("*").alias("h"))
     miss = need.join(have, [*keys, "theta", "source"], "left").withColumn("m", F.col("k") - F.coalesce("h", F.lit(0))).where("m > 0")
     order = W.partitionBy("source").orderBy(det.hash_key("source", "target", seed=seed), "target")
-    pool = pct.withColumn("_i", F.row_number().over(order)).select("source", "_i", "percentile")
+    pool = background.withColumn("_i", F.row_number().over(order)).select("source", "_i", "percentile")
     fill = miss.join(pool, "source").where("_i <= m").select(*keys, "theta", "source", "percentile")
-    mean = hit.unionByName(fill).groupBy(*keys, "theta").agg(F.avg("percentile").alias("value"))
+    return hit.withColumn("filled", F.lit(False)).unionByName(fill.withColumn("filled", F.lit(True)))
+
+
+def ws_distance(edges, background, consensus, by="signed", seed=42, keys=()):
+    """Mean percentile of the Wasserstein distance of predicted edges within the background of
+    their factor, for the consensus edge counts. ``ws_raw`` is the plain mean distance of
+    predicted edges."""
+    keys = list(keys)
+    pct = cut(null_percentile(background, background.select("source", F.col("ws_distance")), ["source"], "ws_distance"), "background")
+    raw = edges.select(*keys, "source", "target").distinct().join(background, ["source", "target"])
+    raw = raw.groupBy(*keys).agg(F.avg("ws_distance").alias("value")).select(*keys, F.lit("ws_raw").alias("metric"), "value")
+    mean = predicted_distances(edges, pct, consensus, by, seed, keys).groupBy(*keys, "theta").agg(F.avg("percentile").alias("value"))
     name = F.when(F.abs(F.col("theta") - 0.25) < 1e-9, "ws_precision").when(F.abs(F.col("theta") - 0.75) < 1e-9, "ws_recall").otherwise(F.col("theta").cast("string"))
     return mean.select(*keys, name.alias("metric"), "value").unionByName(raw)
 
@@ -114,21 +127,18 @@ def tf_recovery(edges, de, min_targets=5, seed=42):
 
 # --- binding evidence ------------------------------------------------------------------------
 
-def tf_binding(edges, truths, genes, tfs, keys=()):
-    """Precision at k against ground truths (gt, source, target), k being the number of true
-    targets, normalised for chance; F1 of predicted factors against all factors, weighted over
-    the ground truths by their number of factors. Returns (keys, gt, ..., f1) with gt 'all'."""
+def target_overlap(edges, truths, genes, tfs, keys=()):
+    """Top-k predicted targets of each factor against its k true targets:
+    (keys, gt, source, n_targets, k, tp, got), the last two null for a factor not predicted."""
     keys = list(keys)
     gt = truths.join(tfs.select(F.col("tf").alias("source")), "source", "left_semi").select("gt", "source", "target").distinct()
-    n_tfs = gt.groupBy("gt").agg(F.count_distinct("source").alias("n_tfs"))
     is_tf = tfs.select(F.col("tf").alias("target")).distinct()
     n_all = genes.select(F.count("*")).scalar()
     n_fac = genes.join(is_tf.withColumnRenamed("target", "gene"), "gene", "left_semi").select(F.count("*")).scalar()
-    # does every predicted target count as a factor? per network
+    # when every predicted target is a factor, truths and background shrink to factors too
     flag = (edges.select(*keys, "target").distinct().join(is_tf.withColumn("_f", F.lit(1)), "target", "left")
             .groupBy(*keys).agg((F.count("*") == F.count("_f")).alias("only_tfs")).withColumn("n_all", n_all).withColumn("n_fac", n_fac)
             .withColumn("n_targets", F.when(F.col("only_tfs"), F.col("n_fac")).otherwise(F.col("n_all"))))
-    from netloom.operators.blocks import attach_all
     true = gt.join(genes.select(F.col("gene").alias("target")), "target", "left_semi").join(is_tf.withColumn("_f", F.lit(1)), "target", "left")
     true = attach_all(true, flag.select(*keys, "only_tfs", "n_targets")).where(~F.col("only_tfs") | (F.col("_f") == 1))
     k = true.groupBy(*keys, "gt", "source", "n_targets").agg(F.count("*").alias("k"))
@@ -136,7 +146,17 @@ def tf_binding(edges, truths, genes, tfs, keys=()):
     top = top_k(pred, [*keys, "gt", "source"], E.by_weight(), F.col("k"), ["target"])
     hits = (top.join(true.select(*keys, "gt", "source", "target", F.lit(1).alias("_h")), [*keys, "gt", "source", "target"], "left")
             .groupBy(*keys, "gt", "source").agg(F.count("_h").alias("tp"), F.count("*").alias("got")))
-    d = k.join(hits, [*keys, "gt", "source"], "left")
+    return k.join(hits, [*keys, "gt", "source"], "left")
+
+
+def tf_binding(edges, truths, genes, tfs, keys=()):
+    """Precision at k against ground truths (gt, source, target), k being the number of true
+    targets, normalised for chance; F1 of predicted factors against all factors, weighted over
+    the ground truths by their number of factors. Returns (keys, gt, ..., f1) with gt 'all'."""
+    keys = list(keys)
+    n_tfs = (truths.join(tfs.select(F.col("tf").alias("source")), "source", "left_semi")
+             .groupBy("gt").agg(F.count_distinct("source").alias("n_tfs")))
+    d = target_overlap(edges, truths, genes, tfs, keys)
     chance = F.col("k") / F.col("n_targets")
     d = d.withColumn("norm", F.when(F.col("got").isNull(), 0.0).otherwise(F.try_divide(F.col("tp") / F.col("got") - chance, 1 - chance)))
     g = d.groupBy(*keys, "gt").agg(F.coalesce(F.avg(F.when(F.col("got").isNotNull(), F.col("norm"))), F.lit(0.0)).alias("precision"),
@@ -254,7 +274,6 @@ def _vc_half(edges, genes, expr, obs, strict, loose, cv):
     size = f.where("not is_control").groupBy("fold").agg(F.count("*").alias("n"))
     tot, n_all = per.groupBy("gene").agg(F.sum("s").alias("ts")), size.select(F.sum("n")).scalar()
     folds = size.withColumn("rest", n_all - F.col("n"))
-    from netloom.operators.blocks import attach_all
     mean = (attach_all(tot, folds.select("fold", "rest")).join(per, ["gene", "fold"], "left")
             .select("gene", "fold", ((F.col("ts") - F.coalesce("s", F.lit(0.0))) / F.col("rest")).alias("mean")))
     heads = net.select(F.col("target").alias("gene")).distinct().withColumn("_h", F.lit(1))

@@ -183,3 +183,24 @@ def test_universe_and_basic_qc(table):
     assert rows(O.universe(e, tfs, genes), "gene") == [("a",), ("b",)]
     e = table([("a", "c", 1.0)], "source string, target string, weight double")
     assert rows(O.universe(e, tfs, genes), "gene") == [("a",), ("b",), ("c",)]
+
+
+def test_variable_genes_of_counts(table):
+    rng = np.random.default_rng(6)
+    x = rng.negative_binomial(2, 1 / (1 + np.linspace(.2, 6, 12)), (80, 12)).astype(float)
+    e = table(sparse(x), "obs_id string, gene string, value double")
+    got = {r.gene: r.norm_var for r in X.hvg_counts(e, cells(table, "c" * 80)).collect()}
+    m, v = x.mean(0), x.var(0, ddof=1)
+    sd = np.sqrt(10 ** np.polyval(np.polyfit(np.log10(m), np.log10(v), 2), np.log10(m)))
+    z = np.minimum(x, m + sd * np.sqrt(80))
+    want = (80 * m ** 2 + (z ** 2).sum(0) - 2 * z.sum(0) * m) / (79 * sd ** 2)
+    for j in range(12):
+        assert got[f"g{j}"] == pytest.approx(want[j], rel=1e-6)
+
+
+def test_spread_join_with_a_hot_key(table):
+    from netloom.functions.skew import spread_join
+    big = table([("hot" if i % 3 else f"k{i}", i) for i in range(900)], "k string, i int")
+    small = table([("hot", j) for j in range(5)] + [("k0", 9), ("k3", 8)], "k string, j int")
+    want = rows(big.join(small, "k"), "k", "i", "j")
+    assert rows(spread_join(big, small, ["k"], ["i"], per=50), "k", "i", "j") == want
