@@ -27,6 +27,12 @@ def _(v):
     return rr(M.regression(net_r(v), v.bulk, v.bobs, v.gtfs, consensus(v)), "value")
 
 
+@query("k2_regression_by_group")
+def _(v):
+    two = v.bobs.withColumn("half", F.when(F.col("cell_type") < "F", "a").otherwise("b"))
+    return rr(M.regression(net_r(v), v.bulk, two, v.gtfs, consensus(v), group="half"), "value")
+
+
 WSN = """p AS (SELECT model, source, target, weight FROM v_net WHERE model <> 'A' AND weight > 0.2), bg AS (SELECT source, target, abs(weight) AS d FROM v_net WHERE model = 'A'),
 cq AS (SELECT source, quantile_cont(n, [0.25, 0.75]) AS q FROM (SELECT source, model, count(*) AS n FROM v_net WHERE weight > 0.2 GROUP BY ALL) x WHERE source IN (SELECT tf FROM v_gtfs) GROUP BY 1),
 cs AS (SELECT source, unnest([0.25::DOUBLE, 0.75]) AS theta, CAST(unnest(list_transform(q, lambda x: floor(x))) AS BIGINT) AS k FROM cq),

@@ -218,7 +218,7 @@ def _(v):
 (SELECT p_partkey, upper(translate(concat(p_brand, '/', p_type), '/-. _#', '')) AS k FROM part) x""")
 def _(v):
     p = v.table("part").select("p_partkey", F.replace(F.concat_ws("/", "p_brand", "p_type"), F.lit("#"), F.lit("")).alias("label"))
-    alias = p.where("label = 'Brand1/ECONOMY'").select(F.lit("BRAND1ECONOMY").alias("key"), F.lit("B1").alias("val")).distinct()
+    alias = p.where("label = 'Brand1/ECONOMY'").select(O.canonical("label").alias("key"), F.concat(F.substring("label", 1, 1), F.substring("label", 6, 1)).alias("val")).distinct()
     return O.canonical_label(p, "label", alias)
 
 

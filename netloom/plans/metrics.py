@@ -42,21 +42,36 @@ def consensus_lookup(genes, consensus, theta):
     return genes.select("gene").distinct().join(at, "gene")
 
 
-def regression(edges, expr, obs, tfs, consensus, cv_column=None, alpha=1.0):
-    """r_precision / r_recall: mean fold R2 with the consensus number of regulators at theta
-    0.25 / 0.75; r2_raw: with all regulators of the network."""
+def regression_detail(edges, expr, samples, tfs, consensus, alpha=1.0):
+    """(metric, target, n_regulators, r2) of every evaluated gene. ``samples`` is (obs_id, fold)."""
     genes = consensus.select("gene").distinct()
-    e = X.robust_scale(expr.join(genes, "gene", "left_semi"), obs)
     net = E.edges_in(edges, genes)
     factors = tfs.join(genes.withColumnRenamed("gene", "tf"), "tf", "left_semi")
-    m = J.moments(e, Z.folds(obs, cv_column), left=factors.withColumnRenamed("tf", "gene"))
-    out = None
+    m = J.moments(expr, samples, left=factors.withColumnRenamed("tf", "gene"))
+    out = J.ridge_cv(cut(J.raw_regulators(net, factors), "regs"), m, alpha).withColumn("metric", F.lit("r2_raw"))
     for theta, name in ((0.25, "r_precision"), (0.75, "r_recall")):
         regs = J.select_regulators(net, factors, consensus_lookup(genes, consensus, theta))
-        part = J.ridge_cv(cut(regs, "regs"), m, alpha).agg(F.avg("r2").alias("value"))
-        out = one(part, name) if out is None else out.unionByName(one(part, name))
-    raw = J.ridge_cv(cut(J.raw_regulators(net, factors), "regs"), m, alpha).agg(F.avg("r2").alias("value"))
-    return out.unionByName(one(raw, "r2_raw"))
+        out = out.unionByName(J.ridge_cv(cut(regs, "regs"), m, alpha).withColumn("metric", F.lit(name)))
+    return out
+
+
+def regression(edges, expr, obs, tfs, consensus, cv_column=None, alpha=1.0, group=None):
+    """r_precision / r_recall: mean fold R2 with the consensus number of regulators at theta
+    0.25 / 0.75; r2_raw: with all regulators of the network. Scaling and folds come from all
+    samples. With ``group`` (a metadata column, e.g. cell type) every group of samples is scored
+    on its own, against its own edges where the network carries that column."""
+    genes = consensus.select("gene").distinct()
+    e = X.robust_scale(expr.join(genes, "gene", "left_semi"), obs)
+    samples = Z.folds(obs, cv_column)
+    if group is None:
+        detail = regression_detail(edges, e, samples, tfs, consensus, alpha)
+    else:
+        e, samples, detail = cut(e, "scaled"), samples.join(obs.select("obs_id", group), "obs_id"), None
+        for (g,) in obs.select(group).distinct().orderBy(group).collect():  # a handful of groups
+            net = edges.where(F.col(group) == g).select("source", "target", "weight") if group in edges.columns else edges
+            part = regression_detail(net, e, samples.where(F.col(group) == g).select("obs_id", "fold"), tfs, consensus, alpha)
+            detail = part if detail is None else detail.unionByName(part)
+    return detail.groupBy("metric").agg(F.avg("r2").alias("value"))
 
 
 # --- distance to the perturbed distribution --------------------------------------------------
