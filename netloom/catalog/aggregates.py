@@ -6,7 +6,7 @@ from netloom.catalog import query
 from netloom.catalog.filters import r6
 from netloom.catalog.joins import P2G
 from netloom.operators import (blocks, chromatin as H, coregulation as G, edges as E, enrichment as N, expression as X,
-                               intervals as I)
+                               intervals as I, ranking as R)
 from netloom.plans import leaderboard as L
 
 
@@ -259,6 +259,25 @@ def _(v):
     return rr(d.select("perturbation", F.col("rank").cast("bigint").alias("rank"), "pds"), "pds")
 
 
+D27C = """WITH g AS (SELECT DISTINCT gene FROM v_bulk), o AS (SELECT obs_id, donor_id AS perturbation FROM v_bobs),
+s AS (SELECT obs_id, perturbation FROM (SELECT *, row_number() OVER (PARTITION BY perturbation ORDER BY $HASH(obs_id, '0'), obs_id) AS rn FROM o) x WHERE rn <= 10),
+d AS (SELECT o.perturbation, o.obs_id, g.gene, coalesce(b.value, 0) AS v FROM o CROSS JOIN g LEFT JOIN v_bulk b ON b.obs_id = o.obs_id AND b.gene = g.gene),
+t AS (SELECT perturbation, gene, avg(v) AS v FROM d GROUP BY ALL), p AS (SELECT d.* FROM d JOIN s USING (obs_id)),
+x AS (SELECT p.perturbation, p.obs_id AS item, t.perturbation AS other, round(sum(abs(p.v - t.v)), 9) AS dist FROM p JOIN t ON p.gene = t.gene WHERE p.gene <> concat('Brand#', substr(p.perturbation, 2), '/ECONOMY') GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY dist, other) - 1 AS rank FROM x)
+SELECT perturbation, item, rank, r(1 - rank / 24.0) AS pds FROM k WHERE perturbation = other"""
+
+
+@query("d27_pds_cells", D27C)
+def _(v):
+    o = v.bobs.withColumn("perturbation", F.col("donor_id"))
+    some = R.sample_per_group(o, "perturbation", 10)
+    pred = v.bulk.join(some.select("obs_id", "perturbation"), "obs_id").select("perturbation", F.col("obs_id").alias("item"), "gene", "value")
+    target = o.select("perturbation").distinct().withColumn("gene", F.concat(F.lit("Brand#"), F.substring("perturbation", 2, 9), F.lit("/ECONOMY")))
+    d = X.pds(pred, X.profiles(v.bulk, o), target)
+    return rr(d.select("perturbation", "item", F.col("rank").cast("bigint").alias("rank"), "pds"), "pds")
+
+
 PRED = "pred AS (SELECT obs_id, gene, value AS y, avg(value) OVER (PARTITION BY gene, cell_type) * 0.9 + 0.1 * avg(value) OVER (PARTITION BY gene, perturbation) AS y_hat, plate AS fold FROM v_norm JOIN v_obs USING (obs_id))"
 
 

@@ -107,6 +107,12 @@ def _(v):
     return I.peak_gene_corr(v.access, v.gexp, v.aobs, links).select("peak", "gene", r6("r").alias("r"))
 
 
+@query("c15_peak_gene_fdr")
+def _(v):
+    links = I.peak2gene(v.tss, v.access)
+    return I.peak_gene_fdr(I.peak_gene_corr(v.access, v.gexp, v.aobs, links, "spearman"))
+
+
 C16 = """SELECT obs_id, neighbor, r(dist) AS dist, rn FROM (SELECT a.obs_id, b.obs_id AS neighbor, list_distance(CAST(a.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[])) AS dist,
 row_number() OVER (PARTITION BY a.obs_id ORDER BY list_distance(CAST(a.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[])), b.obs_id) AS rn
 FROM v_emb a JOIN v_emb b ON a.obs_id <> b.obs_id) x WHERE rn <= 10"""

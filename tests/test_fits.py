@@ -123,3 +123,19 @@ def test_boosting_finds_the_drivers(data, table):
     tfs = table([(f"g{j}",) for j in range(4)], "tf string")
     w = {r.source: r.weight for r in J.boosted_importance(e, o, tfs).where(F.col("target") == "g5").collect()}
     assert sorted(w, key=w.get)[-2:] in (["g0", "g1"], ["g1", "g0"])
+
+
+def test_true_regulators_beat_unrelated_ones(data, table):
+    _, _, m, *_ = data
+    true = table([("g5", "g0"), ("g5", "g1")], "target string, source string")
+    other = table([("g5", "g2"), ("g5", "g3")], "target string, source string")
+    assert J.ridge_cv(true, m).first().r2 > .9 > J.ridge_cv(other, m).first().r2
+
+
+def test_moments_limited_to_regulators_agree(data, table):
+    *_, m, e, o = data
+    part = J.moments(e, o, left=table([("g1",), ("g3",)], "gene string"))
+    want = {(r.fold, r.a, r.b): r.s for r in m.collect()}
+    got = {(r.fold, r.a, r.b): r.s for r in part.collect()}
+    assert set(got) <= set(want) and all(got[k] == pytest.approx(want[k]) for k in got)
+    assert {k for k in want if "g1" in k[1:] or "g3" in k[1:] or k[1] == k[2] or k[1] == ""} == set(got)
