@@ -1,8 +1,9 @@
 """Registered queries of the operators, each over its whole table, with SQL where SQL can express it."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from netloom.llm import quality_classifier, quality_rules
+from netloom.llm import bpe, packing, quality_classifier, quality_rules, secret_scans, url_filters
 from netloom.llm.common import crc_mod, table
 
 
@@ -18,5 +19,42 @@ def op4_quality_rules(spark, sf_dir):
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "level", "cut"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op4_quality_rules)}
-ORACLES: dict = {}
+def op3_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op5_bpe(spark, sf_dir):
+    return bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
+
+
+def op7_secret_scans(spark, sf_dir):
+    s = secret_scans
+    return (s.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+            .select("doc_id", *[s.counted("base", k).alias(f"n_{k}") for k in s.BASE],
+                    F.sha2(s.written("base"), 256).alias("base_sha256"), s.written("found").alias("spans")))
+
+
+#: fixed values: the query's rules, and the host labels its list blocks where no rule fits
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+LABELS = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+
+
+def op9_url_filters(spark, sf_dir):
+    return url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url"), url_filters.build(RULES, labels=LABELS))
+
+
+def _url_sql():
+    fits = {r: (f"(host = '{r.split('/')[0]}' or ends_with(host, '.{r.split('/')[0]}')) and starts_with(path, '{r[r.index('/'):]}')") for _, r in RULES}
+    longest = sorted(RULES, key=lambda x: -len(x[1]))
+    label = " or ".join(f"list_contains(string_split(host, '.'), '{x}')" for x in LABELS)
+    return f"""
+    with a as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+    b as (select page_id, regexp_extract(rest, '^[^/?#]*') as raw, rest from a),
+    c as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+          regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from b)
+    select page_id, host, path, case {' '.join(f"when {fits[r]} then '{r}'" for _, r in longest)} end as rule,
+           case {' '.join(f"when {fits[r]} then '{v}'" for v, r in longest)} when {label} then 'block' else 'allow' end as verdict from c"""
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_packing, op4_quality_rules, op5_bpe, op7_secret_scans, op9_url_filters)}
+ORACLES = {"op9_url_filters": _url_sql()}
