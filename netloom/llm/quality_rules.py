@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from netloom.llm.common import raw
+from netloom.session import cut
 
 LEVELS, RISK, DELTA, MAX_BROADCAST = 24, 0.01, 0.05, 100_000
 #: rule -> (cutoff at level 0, cutoff at the last level); a document whose value exceeds it is rejected
@@ -77,10 +78,10 @@ def measure(text: bytes) -> tuple:
     return n, chars - (len(text) - in_words), symbols, dup, rep, level
 
 
-def measured(docs: DataFrame, text_col="text") -> DataFrame:
-    """``docs`` without its text, with the metrics of each whole text. One narrow pass."""
+def measured(docs: DataFrame, text_col="text", keep_text=False) -> DataFrame:
+    """``docs``, with or without its text, and the metrics of each whole text. One narrow pass."""
     names = [m.split()[0] for m in METRICS.split(", ")]
-    keep = [c for c in docs.columns if c not in names and c != text_col]
+    keep = [c for c in docs.columns if c not in names and (keep_text or c != text_col)]
 
     def work(batches):
         for b in batches:
@@ -89,7 +90,7 @@ def measured(docs: DataFrame, text_col="text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols[:5], cols[5].cast(pa.int32())], [*keep, *names])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep]
-    return docs.select(*keep, text_col).mapInArrow(work, ", ".join([*fields, METRICS]))
+    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(work, ", ".join([*fields, METRICS]))
 
 
 def binomial_tail(lost: int, n: int, risk: float) -> float:
@@ -130,19 +131,22 @@ def thresholds(values: DataFrame, labels: DataFrame, strata="lang", risk=RISK, d
     return hist.groupBy("stratum").applyInPandas(fit, "stratum string, n_good long, cut int")
 
 
-def judge(docs: DataFrame, labels: DataFrame, strata="lang", text_col="text", id_col="doc_id", risk=RISK, delta=DELTA) -> DataFrame:
-    """``docs`` without its text, with metrics, ``base_failed``, ``cut`` and ``kept``.
+def judge(docs: DataFrame, labels: DataFrame, strata="lang", text_col="text", id_col="doc_id", risk=RISK, delta=DELTA, keep_text=False) -> DataFrame:
+    """``docs`` with metrics, ``base_failed``, ``cut`` and ``kept``; its text only with ``keep_text``.
 
-    Calibration reads only labelled documents; the cutoff table has a row per stratum and is
-    broadcast only if its counted size is at most ``MAX_BROADCAST`` rows, else joined by key.
+    The metrics are written once, without texts; calibration joins them with the labels, so no text
+    is shuffled. With ``keep_text`` a second narrow pass measures again instead of joining texts.
+    The cutoff table has a row per stratum and is broadcast only if its counted size is at most
+    ``MAX_BROADCAST`` rows, else joined by key.
     """
-    good = labels.where(F.col("quality") == 1).select(id_col).distinct()
-    cuts = thresholds(measured(docs.select(id_col, strata, text_col).join(good, id_col, "left_semi"), text_col), labels, strata, risk, delta, id_col)
+    values = cut(measured(docs.select(*dict.fromkeys([id_col, strata, text_col])) if keep_text else docs, text_col), "metrics")
+    cuts = thresholds(values, labels, strata, risk, delta, id_col)
     rows = cuts.limit(MAX_BROADCAST + 1).collect()  # strata, not documents: bounded before use
     small = len(rows) <= MAX_BROADCAST
     cuts = docs.sparkSession.createDataFrame(rows, "stratum string, n_good long, cut int") if small else cuts
     cuts = cuts.select(F.col("stratum").alias("_stratum"), F.col("cut").alias("_cut"))
-    v = measured(docs, text_col).withColumn("_stratum", F.coalesce(F.col(strata).cast("string"), F.lit("\0")))
+    v = measured(docs, text_col, True) if keep_text else values
+    v = v.withColumn("_stratum", F.coalesce(F.col(strata).cast("string"), F.lit("\0")))
     v = v.join(F.broadcast(cuts) if small else cuts, "_stratum", "left").drop("_stratum")
     return (v.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
             .withColumn("cut", F.coalesce("_cut", F.lit(-1)))
