@@ -3,10 +3,14 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from netloom.llm import bpe, packing, quality_classifier, quality_rules, secret_scans, url_filters
+from netloom.llm import bpe, packing, quality_classifier, quality_rules, secret_scans, spot_signatures, url_filters, warc
 from netloom.llm.common import crc_mod, table
 
 
+def op1_spot_signatures(spark, sf_dir):
+    return spot_signatures.edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_quality_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", crc_mod("doc_id", 4) == 2)
     weights = quality_classifier.train(docs.where("not held_out"), table(spark, sf_dir, "labels"))
@@ -27,6 +31,18 @@ def op5_bpe(spark, sf_dir):
     return bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
+def op6_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+#: equal payloads are grouped by digest and length; page ids are unique
+WARC_SQL = """
+    with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as d from pages),
+    q as (select *, max(page_id) over (partition by d, n) as top from p)
+    select page_id, n as payload_bytes, d as payload_digest, case when n >= 1000 and page_id < top then 'revisit' else 'response' end as record_type,
+           case when n >= 1000 and page_id < top then top end as refers_to from q"""
+
+
 def op7_secret_scans(spark, sf_dir):
     s = secret_scans
     return (s.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -56,5 +72,6 @@ def _url_sql():
            case {' '.join(f"when {fits[r]} then '{v}'" for v, r in longest)} when {label} then 'block' else 'allow' end as verdict from c"""
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_packing, op4_quality_rules, op5_bpe, op7_secret_scans, op9_url_filters)}
-ORACLES = {"op9_url_filters": _url_sql()}
+QUERIES = {f.__name__: f for f in (op1_spot_signatures, op2_quality_classifier, op3_packing, op4_quality_rules, op5_bpe, op6_warc, op7_secret_scans,
+                                   op9_url_filters)}
+ORACLES = {"op6_warc": WARC_SQL, "op9_url_filters": _url_sql()}
