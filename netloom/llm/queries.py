@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from netloom.llm import bpe, packing, quality_classifier, quality_rules, secret_scans, spot_signatures, url_filters, warc
+from netloom.llm import bpe, ngram_join, packing, quality_classifier, quality_rules, secret_scans, spot_signatures, url_filters, warc
 from netloom.llm.common import crc_mod, table
 
 
@@ -50,6 +50,10 @@ def op7_secret_scans(spark, sf_dir):
                     F.sha2(s.written("base"), 256).alias("base_sha256"), s.written("found").alias("spans")))
 
 
+def op8_ngram_join(spark, sf_dir):
+    return ngram_join.joined(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: fixed values: the query's rules, and the host labels its list blocks where no rule fits
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 LABELS = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
@@ -72,6 +76,6 @@ def _url_sql():
            case {' '.join(f"when {fits[r]} then '{v}'" for v, r in longest)} when {label} then 'block' else 'allow' end as verdict from c"""
 
 
-QUERIES = {f.__name__: f for f in (op1_spot_signatures, op2_quality_classifier, op3_packing, op4_quality_rules, op5_bpe, op6_warc, op7_secret_scans,
+QUERIES = {f.__name__: f for f in (op1_spot_signatures, op2_quality_classifier, op3_packing, op4_quality_rules, op5_bpe, op6_warc, op7_secret_scans, op8_ngram_join,
                                    op9_url_filters)}
 ORACLES = {"op6_warc": WARC_SQL, "op9_url_filters": _url_sql()}
