@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from netloom.llm import bpe, ngram_join, packing, quality_classifier, quality_rules, secret_scans, spot_signatures, url_filters, warc
+from netloom.llm import bpe, katz_lm, ngram_join, packing, quality_classifier, quality_rules, secret_scans, spot_signatures, url_filters, warc
 from netloom.llm.common import crc_mod, table
 
 
@@ -76,6 +76,10 @@ def _url_sql():
            case {' '.join(f"when {fits[r]} then '{v}'" for v, r in longest)} when {label} then 'block' else 'allow' end as verdict from c"""
 
 
+def op10_katz_lm(spark, sf_dir):
+    return katz_lm.scores(table(spark, sf_dir, "documents").select("doc_id", "text"), crc_mod("doc_id", 7) == 2)
+
+
 QUERIES = {f.__name__: f for f in (op1_spot_signatures, op2_quality_classifier, op3_packing, op4_quality_rules, op5_bpe, op6_warc, op7_secret_scans, op8_ngram_join,
-                                   op9_url_filters)}
+                                   op9_url_filters, op10_katz_lm)}
 ORACLES = {"op6_warc": WARC_SQL, "op9_url_filters": _url_sql()}
