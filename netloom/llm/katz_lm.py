@@ -94,7 +94,7 @@ def _unzip(b, dtype):
 
 def _planes(x: np.ndarray, width: int) -> np.ndarray:
     """The ``width`` low bytes of each number, byte by byte: like bytes lie together."""
-    return x.view(np.uint8).reshape(len(x), -1)[:, :width].T
+    return x.view(np.uint8).reshape(len(x), x.dtype.itemsize)[:, :width].T
 
 
 def _unplanes(b: bytes, width: int) -> np.ndarray:
