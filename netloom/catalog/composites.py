@@ -40,7 +40,9 @@ need AS (SELECT m.model, cs.* FROM cs CROSS JOIN (SELECT DISTINCT model FROM p)
 pc AS (SELECT source, target, d, (rank() OVER (PARTITION BY source ORDER BY d) - 1) / count(*) OVER (PARTITION BY source)::DOUBLE AS pct, row_number() OVER (PARTITION BY source ORDER BY $HASH(source, target, '42'), target) AS i FROM bg),
 tp AS (SELECT * FROM (SELECT p.*, theta, k, row_number() OVER (PARTITION BY p.model, theta, p.source ORDER BY weight DESC, target) AS rn FROM p JOIN need USING (model, source)) x WHERE rn <= k),
 ht AS (SELECT model, theta, source, pct FROM tp JOIN pc USING (source, target)), hv AS (SELECT model, theta, source, count(*) AS h FROM ht GROUP BY ALL),
-fl AS (SELECT n.model, n.theta, n.source, pc.pct FROM need n LEFT JOIN hv USING (model, theta, source) JOIN pc ON pc.source = n.source AND pc.i <= n.k - coalesce(h, 0))"""
+ms AS (SELECT n.model, n.theta, n.source, unnest(range(1, n.k - coalesce(h, 0) + 1)) AS j FROM need n LEFT JOIN hv USING (model, theta, source)),
+fl AS (SELECT ms.model, ms.theta, ms.source, pc.pct FROM ms JOIN (SELECT source, count(*) AS c FROM pc GROUP BY 1) z USING (source)
+JOIN pc ON pc.source = ms.source AND pc.i = 1 + CAST(floor($U(ms.source, ms.theta, ms.j, '42') * z.c) AS BIGINT))"""
 
 
 @query("k3_ws_metric", f"""WITH {WSN} SELECT model, CASE theta WHEN 0.25 THEN 'ws_precision' ELSE 'ws_recall' END AS metric, r(avg(pct)) AS value FROM (SELECT * FROM ht UNION ALL SELECT * FROM fl) u GROUP BY model, theta
@@ -75,7 +77,7 @@ w1 AS (SELECT source, count(*) AS k, sum(weight) AS sw, sum(weight * weight) AS
 x1 AS (SELECT net.source, sum(weight * score) AS xy FROM net JOIN de ON pert = net.source AND gene = target GROUP BY 1),
 r1 AS (SELECT source, (m * coalesce(xy, 0) - sw * sy) / sqrt((m * qw - sw * sw) * (m * qy - sy * sy)) AS r, m, k FROM w1 JOIN y USING (source) LEFT JOIN x1 USING (source) CROSS JOIN m),
 a1 AS (SELECT source, k, r * sqrt((m - 2) / ((1 - r) * (1 + r))) AS act FROM r1),
-dr AS (SELECT source, gene AS target FROM (SELECT a1.source, k, gene, row_number() OVER (PARTITION BY a1.source ORDER BY $HASH(a1.source, gene, '42'), gene) AS rn FROM a1 CROSS JOIN g WHERE a1.source <> gene) z WHERE rn <= k),
+dr AS (SELECT source, gene AS target FROM (SELECT a1.source, k, gene, row_number() OVER (PARTITION BY a1.source ORDER BY $HASH(a1.source, gene, '42'), gene) AS rn FROM a1 CROSS JOIN g) z WHERE rn <= k),
 x2 AS (SELECT dr.source, sum(coalesce(score, 0)) AS xy, count(*)::DOUBLE AS k FROM dr LEFT JOIN de ON pert = dr.source AND gene = target GROUP BY 1),
 r2 AS (SELECT source, (m * xy - k * sy) / sqrt((m * k - k * k) * (m * qy - sy * sy)) AS r, m FROM x2 JOIN y USING (source) CROSS JOIN m),
 pr AS (SELECT a1.source, abs(act) - abs(r2.r * sqrt((m - 2) / ((1 - r2.r) * (1 + r2.r)))) AS d FROM a1 JOIN r2 USING (source)),

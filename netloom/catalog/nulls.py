@@ -55,7 +55,7 @@ def _(v):
     return a.unionByName(Z.folds(v.obs, "donor_id", min_rows=600).withColumn("kind", F.lit("group")))
 
 
-@query("i7_negative_control", """WITH u AS (SELECT t.tf AS source, g.target, $U(t.tf, g.target, '0') AS u FROM (SELECT tf FROM v_tfs ORDER BY tf LIMIT 500) t CROSS JOIN (SELECT DISTINCT target FROM v_edges) g)
+@query("i7_negative_control", """WITH u AS (SELECT t.tf AS source, g.target, $U(t.tf, g.target, '0') AS u FROM v_tfs t CROSS JOIN (SELECT DISTINCT target FROM v_edges) g)
 SELECT source, target, CASE WHEN u < 0.01 THEN -1.0 ELSE 1.0 END::DOUBLE AS weight FROM u WHERE u < 0.02""")
 def _(v):
     return Z.negative_control(v.edges.select(F.col("target").alias("gene")).distinct(), v.tfs)

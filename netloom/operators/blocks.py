@@ -1,8 +1,8 @@
 """Blocked pairwise kernels: sums over a shared dimension for pairs of items.
 
 Items (genes, profiles, cells) are hashed into blocks and the summed dimension into chunks. A
-(chunk, block) cell holds a bounded piece of the matrix; cells of one chunk meet by an equi-join
-on the chunk, numpy multiplies the two pieces inside the task, and Spark adds the partial sums.
+(chunk, block) cell holds a bounded piece of the matrix; cells meet by an equi-join on (chunk,
+block, block), numpy multiplies the two pieces inside the task, and Spark adds the partial sums.
 No task sees a whole row, column or group.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from netloom.functions.stats import top_k
 
-CHUNK, BLOCK = 4096, 256
+CHUNK, BLOCK = 1024, 256
 
 
 def attach_all(df: DataFrame, small: DataFrame, limit=200_000) -> DataFrame:
@@ -24,19 +24,28 @@ def attach_all(df: DataFrame, small: DataFrame, limit=200_000) -> DataFrame:
     return df.withColumn("_x", F.explode(boxed)).select(*df.columns, *[F.col(f"_x.{c}").alias(c) for c in small.columns])
 
 
-def _pack(df, dim, item, value, keys, n_chunks, n_blocks, tag):
-    cell = F.struct(F.col(dim).cast("string").alias("d"), F.col(item).alias("i"), F.col(value).cast("double").alias("v"))
-    packed = (df.select(*keys, F.pmod(F.xxhash64(dim), F.lit(n_chunks)).alias("_c"),
-                        F.pmod(F.xxhash64(item), F.lit(n_blocks)).alias("_b"), cell.alias("_e"))
-              .groupBy(*keys, "_c", "_b").agg(F.collect_list("_e").alias("_e")))
-    return packed.select(*keys, "_c", F.col("_b").alias(f"b{tag}"), *[F.col(f"_e.{f}").alias(f"{f}{tag}") for f in "div"])
+def _pack(df, dim, item, value, keys, n_chunks, n_blocks, partners, tag, side):
+    """Pieces of at most ``CHUNK`` dims x ``BLOCK`` items, one copy per partner block.
+
+    Dims are 64-bit hashes and an item's name stands once, so a full piece holds
+    CHUNK * BLOCK * 16 bytes (4 MB).
+    """
+    keyed = df.select(*keys, F.pmod(F.xxhash64(dim, F.lit(1)), F.lit(n_chunks)).cast("int").alias("_c"),
+                      F.pmod(F.xxhash64(item), F.lit(n_blocks)).cast("int").alias("_b"),
+                      F.col(item).cast("string").alias("_i"), F.xxhash64(dim).alias("_d"), F.col(value).cast("double").alias("_v"))
+    rows = keyed.repartition(*keys, "_c", "_b").groupBy(*keys, "_c", "_b", "_i").agg(F.collect_list("_d").alias("d"), F.collect_list("_v").alias("v"))
+    packed = rows.groupBy(*keys, "_c", "_b").agg(F.collect_list(F.struct("_i", "d", "v")).alias("_e"))
+    copy = F.sequence(*[F.lit(x) if isinstance(x, int) else x for x in partners(F.col("_b"))])
+    own, other = ("_l", "_r") if side == "left" else ("_r", "_l")
+    return packed.select(*keys, "_c", F.col("_b").alias(own), F.explode(copy).alias(other),
+                         *[F.col(f"_e.{f}").alias(f"{n}{tag}") for f, n in (("_i", "i"), ("d", "d"), ("v", "v"))])
 
 
-def _dense(d, i, v, dims):
-    items, idx = np.unique(np.asarray(i, dtype=object).astype(str), return_inverse=True)
-    m = np.zeros((len(dims), len(items)))
-    np.add.at(m, (dims.get_indexer(d), idx), v)
-    return items, m
+def _dense(items, dims, values, axis):
+    m = np.zeros((len(axis), len(items)))
+    for k, (d, v) in enumerate(zip(dims, values)):
+        np.add.at(m, (np.searchsorted(axis, d), k), v)
+    return np.asarray(items, dtype=object).astype(str), m
 
 
 def pair_sums(left: DataFrame, right: DataFrame, dim, item, value, kernel="dot", keys=(), upper=False,
@@ -45,30 +54,25 @@ def pair_sums(left: DataFrame, right: DataFrame, dim, item, value, kernel="dot",
 
     Both terms vanish where either side is zero, so only stored values travel. ``left`` and
     ``right`` hold (keys, dim, item, value); ``upper`` pairs a table with itself and returns each
-    unordered pair once, a <= b. Keys are strings.
+    unordered pair once, a <= b. Keys are strings. Both sides are sized, and a piece is copied to
+    each partner block, so the pieces meet by an equi-join on (keys, chunk, block, block) that
+    spreads over as many tasks as there are block pairs.
     """
+    joined = paired(left, right, dim, item, value, keys, upper, block, chunk)
     keys = list(keys)
-    n_dim, n_item = right.agg(F.approx_count_distinct(dim), F.approx_count_distinct(item)).first()
-    n_chunks, n_blocks = max(1, -(-n_dim // chunk)), max(1, -(-n_item // block))
-    lp = _pack(left, dim, item, value, keys, n_chunks, n_blocks, "")
-    rp = _pack(right, dim, item, value, keys, n_chunks, n_blocks, "2")
-    joined = lp.join(rp, [*keys, "_c"])
-    if upper:
-        joined = joined.where("b <= b2")
-    joined = joined.drop("_c")
     schema = ", ".join([*(f"{k} string" for k in keys), "a string", "b string", "s double"])
 
     def work(batches):
         for pdf in batches:
             for r in pdf.to_dict("records"):
-                dims = pd.Index(pd.unique(np.concatenate([r["d"], r["d2"]])))
-                ai, a = _dense(r["d"], r["i"], r["v"], dims)
-                bi, b = _dense(r["d2"], r["i2"], r["v2"], dims)
+                axis = np.unique(np.concatenate([*r["d"], *r["d2"]]))
+                ai, a = _dense(r["i"], r["d"], r["v"], axis)
+                bi, b = _dense(r["i2"], r["d2"], r["v2"], axis)
                 if kernel == "dot":
                     s = a.T @ b
                 else:
                     s = np.stack([(np.abs(a[:, [k]] - b) - np.abs(a[:, [k]]) - np.abs(b)).sum(0) for k in range(a.shape[1])])
-                same = upper and r["b"] == r["b2"]
+                same = upper and r["_l"] == r["_r"]
                 p, q = np.nonzero((s != 0) & (ai[:, None] <= bi[None, :]) if same else s != 0)
                 left_name, right_name, val = ai[p], bi[q], s[p, q]
                 if upper:
@@ -78,6 +82,20 @@ def pair_sums(left: DataFrame, right: DataFrame, dim, item, value, kernel="dot",
     return joined.mapInPandas(work, schema).groupBy(*keys, "a", "b").agg(F.sum("s").alias("s"))
 
 
+def paired(left, right, dim, item, value, keys=(), upper=False, block=BLOCK, chunk=CHUNK) -> DataFrame:
+    """The pieces of both sides that belong together, one row per (keys, chunk, block pair)."""
+    keys = list(keys)
+    sizes = [d.agg(F.approx_count_distinct(dim), F.approx_count_distinct(item)).first() for d in ((left,) if upper else (left, right))]
+    n_chunks = max(1, -(-max(s[0] for s in sizes) // chunk))
+    lb, rb = (max(1, -(-s[1] // block)) for s in (sizes[0], sizes[-1]))
+    lp = _pack(left, dim, item, value, keys, n_chunks, lb, lambda b: (b if upper else 0, rb - 1), "", "left")
+    rp = _pack(right, dim, item, value, keys, n_chunks, rb, lambda b: (0, b if upper else lb - 1), "2", "right")
+    # a product costs far more than its bytes tell, so the partitions follow the number of block pairs
+    pairs, on = n_chunks * lb * rb, [*keys, "_c", "_l", "_r"]
+    n = min(pairs, max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs // 8))
+    return lp.repartition(n, *on).join(rp.repartition(n, *on), on).drop("_c")
+
+
 def knn(emb: DataFrame, k: int, ident="obs_id", vec="vec", block=1024) -> DataFrame:
     """Exact k nearest neighbours by Euclidean distance: (obs_id, neighbor, dist, rn).
 

@@ -111,10 +111,10 @@ def qc_effect(expr, obs, pert_gene, kind="knockout", max_lfc=-0.54, alpha=0.05):
     return obs.where("is_control").unionByName(obs.where("not is_control").join(good, "perturbation", "left_semi"))
 
 
-def group_hist(expr, obs, group):
+def group_hist(expr, obs, group, genes=None):
     """Histogram (gene, group, value, n) with the zero bin of every (gene, group)."""
     sizes = obs.groupBy(group).agg(F.count("*").alias("size"))
-    genes = expr.select("gene").distinct()
+    genes = expr.select("gene").distinct() if genes is None else genes
     stored = (expr.where("value != 0").join(obs.select("obs_id", group), "obs_id")
               .groupBy("gene", group, "value").agg(F.count("*").alias("n")))
     nnz = stored.groupBy("gene", group).agg(F.sum("n").alias("nnz"))
@@ -123,28 +123,29 @@ def group_hist(expr, obs, group):
     return stored.unionByName(zero.where("n > 0")), sizes
 
 
-def _contrast(expr, obs, group, control):
+def _contrast(expr, obs, group, control, genes=None):
     """Group histogram next to the running control counts on the same value axis."""
     o = obs.select("obs_id", F.when(F.col("is_control"), F.lit(control)).otherwise(F.col(group)).alias(group)) \
         if control is not None else obs.select("obs_id", group)
-    hist, sizes = group_hist(expr, o, group)
+    hist, sizes = group_hist(expr, o, group, genes)
     hist = cut(hist, "hist")
     axis = hist.groupBy("gene", "value").agg(F.sum(F.when(F.col(group) == control, F.col("n")).otherwise(0)).alias("c"))
     return hist, sizes, axis
 
 
-def rank_sum(expr, obs, group="perturbation", control="control", max_controls=10_000, seed=0):
+def rank_sum(expr, obs, group="perturbation", control="control", max_controls=None, seed=0):
     """Wilcoxon rank-sum z (no tie correction) of every group against the controls per gene.
 
     One histogram per (gene, group); the controls enter through their running counts, so they
-    are never joined to each group. Controls beyond ``max_controls`` are sampled by hash, as the
-    test defines it.
+    are never joined to each group. With ``max_controls`` the test takes that many of the controls,
+    in hash order; genes are those of the whole table either way.
     """
+    genes = expr.select("gene").distinct() if max_controls else None
     if max_controls:
         keep = top_k(obs.where("is_control"), [], [det.hash_key("obs_id", seed=seed), F.col("obs_id")], max_controls, ["obs_id"], salts=64)
         obs = obs.where("not is_control").unionByName(keep)
         expr = expr.join(obs.select("obs_id"), "obs_id", "left_semi")
-    hist, sizes, axis = _contrast(expr, obs, group, control)
+    hist, sizes, axis = _contrast(expr, obs, group, control, genes)
     below = scan(axis, ["gene"], "value", "c", "less", inclusive=False)
     n0 = sizes.where(F.col(group) == control).select(F.sum("size")).scalar()
     u = (hist.where(F.col(group) != control).join(below, ["gene", "value"])
@@ -258,8 +259,10 @@ def correlation(expr, obs, method="pearson", keys=(), left=None):
     if left is not None:
         ma = ma.join(left.select(F.col("gene").alias("a")), "a", "left_semi")
     if keys:
-        side = mb.groupBy(*keys).agg(F.collect_list(F.struct("b", "sb", "vb")).alias("_g"))
-        grid = ma.join(side, keys).withColumn("_g", F.explode("_g")).select(*ma.columns, "_g.*")
+        # every pair of a key is a result; slices of the right side keep a key's pairs in many tasks
+        slices = 16
+        grid = (ma.withColumn("_z", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+                .join(mb.withColumn("_z", F.pmod(F.xxhash64("b"), F.lit(slices)).cast("int")), [*keys, "_z"]).drop("_z"))
     else:
         grid = attach_all(ma, mb)
     grid = grid.where(F.col("a") < F.col("b") if left is None else F.col("a") != F.col("b"))

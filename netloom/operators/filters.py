@@ -14,13 +14,13 @@ NORM_ONLY = ("adamson", "norman", "nakatake")  # fixed values: datasets that shi
 
 def pick_layer(expr: DataFrame, layer=None, dataset=None) -> DataFrame:
     """Keep one layer: the wanted one, else the first default present."""
-    have = {r[0] for r in expr.select("layer").distinct().limit(100).collect()}
-    want = layer or next((x for x in DEFAULT_LAYERS if x in have), None)
-    if want not in have:
-        if want and "X_norm" in have and dataset in NORM_ONLY:
-            want = "X_norm"
-        else:
-            raise ValueError(f"layer {want} not found; available: {sorted(have)}")
+    asked = [layer] if layer else list(DEFAULT_LAYERS)
+    flags = expr.agg(*[F.bool_or(F.col("layer") == x) for x in [*asked, "X_norm"]]).first()  # one row, however many layers
+    want = next((x for x, here in zip(asked, flags) if here), None)
+    if want is None and layer and flags[-1] and dataset in NORM_ONLY:
+        want = "X_norm"
+    if want is None:
+        raise ValueError(f"layer {layer or ' or '.join(DEFAULT_LAYERS)} not found")
     return expr.where(F.col("layer") == want)
 
 

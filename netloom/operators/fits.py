@@ -50,7 +50,7 @@ def scale_moments(m: DataFrame, scale: DataFrame) -> DataFrame:
 def design(regs: DataFrame, m: DataFrame, key="fold") -> DataFrame:
     """Moments each target needs: all pairs among its regulators, itself and the constant.
     ``regs`` is (target, source[, model columns])."""
-    mem = regs.select("target", F.col("source").alias("g")).unionByName(
+    mem = regs.where("source is not null").select("target", F.col("source").alias("g")).unionByName(
         regs.select("target", F.col("target").alias("g"))).unionByName(
         regs.select("target", F.lit(ONE).alias("g"))).distinct()
     # one normal matrix per target: list its cells, then look them up
@@ -109,22 +109,24 @@ def fold_r2(mats, alpha=1.0):
 
 
 def ridge_cv(regs: DataFrame, m: DataFrame, alpha=1.0) -> DataFrame:
-    """(target, n_regulators, r2) by leave-one-fold-out ridge on the given regulators."""
+    """(target, n_regulators, r2) by leave-one-fold-out ridge on the given regulators; 0 without any."""
     def fit(pdf):
         target, names, mats = _matrices(pdf, "fold")
-        return pd.DataFrame({"target": [target], "n_regulators": [len(names)], "r2": [fold_r2(mats, alpha)]})
+        return pd.DataFrame({"target": [target], "n_regulators": [len(names)], "r2": [fold_r2(mats, alpha) if names else 0.0]})
 
     return design(regs, m).groupBy("target").applyInPandas(fit, "target string, n_regulators int, r2 double")
 
 
 def select_regulators(edges: DataFrame, tfs: DataFrame, consensus: DataFrame, seed=0xCAFE) -> DataFrame:
     """Top-n regulators of each target, n from the consensus table (gene, n). Where the network
-    names fewer, random factors fill up, in hash order. Returns (target, source, rn)."""
+    names fewer, random factors fill up, in hash order. Returns (target, source, rn); a target
+    without any possible regulator is one row with null source, which the fit scores 0."""
     need = consensus.where("n > 0").select(F.col("gene").alias("target"), "n")
     pool = attach_all(need, tfs.select(F.col("tf").alias("source")).distinct()).where("source != target")
     w = pool.join(edges.select("source", "target", "weight"), ["source", "target"], "left").fillna(0.0, ["weight"])
     order = [F.abs("weight").desc(), det.hash_key("source", "target", seed=seed), F.col("source")]
-    return top_k(w, ["target"], order, F.col("n"), ["source"], out="rn").select("target", "source", "rn")
+    chosen = top_k(w, ["target"], order, F.col("n"), ["source"], out="rn").select("target", "source", "rn")
+    return need.select("target").join(chosen, "target", "left")
 
 
 def raw_regulators(edges: DataFrame, tfs: DataFrame, more_than=2) -> DataFrame:

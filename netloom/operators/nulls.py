@@ -66,22 +66,26 @@ def folds(obs, column=None, k=5, seed=0xCAFE, min_rows=200, ident="obs_id"):
     return obs.join(keep, column, "left_semi").select(ident, F.col(column).cast("string").alias("fold"))
 
 
-def negative_control(genes, tfs, share=0.01, n_tfs=500, seed=0):
-    """Random signed network of the first factors by name: each sign with probability ``share``."""
-    t = tfs.select(F.col("tf").alias("source")).distinct().orderBy("source").limit(n_tfs)
+def negative_control(genes, tfs, share=0.01, n_tfs=None, seed=0):
+    """Random signed network of all factors, or the first ``n_tfs`` by name: each sign with probability ``share``."""
+    t = tfs.select(F.col("tf").alias("source")).distinct()
+    t = t if n_tfs is None else t.orderBy("source").limit(n_tfs)
     u = det.uniform("source", "target", seed=seed)
     e = attach_all(genes.select(F.col("gene").alias("target")), t).withColumn("_u", u).where(F.col("_u") < 2 * share)
     return e.select("source", "target", F.when(F.col("_u") < share, -1.0).otherwise(1.0).alias("weight"))
 
 
-def random_partners(edges, genes, by="source", seed=42, extra=()):
+def random_partners(edges, genes, by="source", seed=42, extra=(), allow_self=False):
     """Null network: every source (or target) keeps its number of edges and its weights, its
-    partners become random genes. Weights go from strongest to the first drawn partner on."""
+    partners become random genes, its own gene only with ``allow_self``. Weights go from strongest
+    to the first drawn partner on."""
     other, extra = ("target" if by == "source" else "source"), list(extra)
     k = edges.groupBy(*extra, by).agg(F.count("*").alias("k"))
     w = W.partitionBy(*extra, by).orderBy(*by_weight())
     ranked = edges.select(*extra, by, "weight", F.row_number().over(w).alias("rn"))
-    pool = attach_all(k, genes.select(F.col("gene").alias(other))).where(F.col(by) != F.col(other))
+    pool = attach_all(k, genes.select(F.col("gene").alias(other)))
+    if not allow_self:
+        pool = pool.where(F.col(by) != F.col(other))
     drawn = top_k(pool, [*extra, by], [det.hash_key(by, other, seed=seed), F.col(other)], F.col("k"), [other], out="rn")
     return drawn.select(*extra, by, other, "rn").join(ranked, [*extra, by, "rn"]).select(*extra, "source", "target", "weight")
 

@@ -57,12 +57,13 @@ def regression_detail(edges, expr, samples, tfs, consensus, alpha=1.0):
 
 def regression(edges, expr, obs, tfs, consensus, cv_column=None, alpha=1.0, group=None):
     """r_precision / r_recall: mean fold R2 with the consensus number of regulators at theta
-    0.25 / 0.75; r2_raw: with all regulators of the network. Scaling and folds come from all
-    samples. With ``group`` (a metadata column, e.g. cell type) every group of samples is scored
+    0.25 / 0.75; r2_raw: with all regulators of the network. Samples without a fold (small groups of
+    ``cv_column``) are left out before anything is scaled. With ``group`` (a metadata column, e.g. cell type) every group of samples is scored
     on its own, against its own edges where the network carries that column."""
     genes = consensus.select("gene").distinct()
-    e = X.robust_scale(expr.join(genes, "gene", "left_semi"), obs)
     samples = Z.folds(obs, cv_column)
+    kept = obs.join(samples.select("obs_id"), "obs_id", "left_semi")
+    e = X.robust_scale(expr.join(genes, "gene", "left_semi").join(kept.select("obs_id"), "obs_id", "left_semi"), kept)
     if group is None:
         detail = regression_detail(edges, e, samples, tfs, consensus, alpha)
     else:
@@ -78,7 +79,7 @@ def regression(edges, expr, obs, tfs, consensus, cv_column=None, alpha=1.0, grou
 
 def predicted_distances(edges, background, consensus, by="signed", seed=42, keys=()):
     """Background distances of the consensus number of edges per factor: predicted edges that the
-    background knows, filled up from the background in hash order.
+    background knows, filled up by draws with replacement from the background (by hash).
     (keys, theta, source, percentile, filled); ``background`` carries its percentile."""
     keys = list(keys)
     need = consensus.join(background.select("source").distinct(), "source", "left_semi").select("source", "theta", F.col("value").alias("k"))
@@ -90,8 +91,11 @@ def predicted_distances(edges, background, consensus, by="signed", seed=42, keys
     have = hit.groupBy(*keys, "theta", "source").agg(F.count("*").alias("h"))
     miss = need.join(have, [*keys, "theta", "source"], "left").withColumn("m", F.col("k") - F.coalesce("h", F.lit(0))).where("m > 0")
     order = W.partitionBy("source").orderBy(det.hash_key("source", "target", seed=seed), "target")
-    pool = background.withColumn("_i", F.row_number().over(order)).select("source", "_i", "percentile")
-    fill = miss.join(pool, "source").where("_i <= m").select(*keys, "theta", "source", "percentile")
+    pool = background.withColumn("_i", F.row_number().over(order)).withColumn("_n", F.count("*").over(W.partitionBy("source")))
+    size = pool.groupBy("source").agg(F.max("_n").alias("_n"))
+    draws = miss.join(size, "source").withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
+    draws = draws.withColumn("_i", 1 + F.floor(det.uniform("source", "theta", "_j", seed=seed) * F.col("_n")))
+    fill = draws.drop("_n").join(pool.select("source", "_i", "percentile"), ["source", "_i"]).select(*keys, "theta", "source", "percentile")
     return hit.withColumn("filled", F.lit(False)).unionByName(fill.withColumn("filled", F.lit(True)))
 
 
@@ -130,7 +134,7 @@ def tf_recovery(edges, de, min_targets=5, seed=42):
     genes = de.select("gene").distinct()
     act = own_activity(de, net)
     shared = net.join(genes.withColumnRenamed("gene", "target"), "target", "left_semi").join(act.select("source"), "source", "left_semi")
-    rnd = Z.random_partners(shared.withColumn("weight", F.lit(1.0)), genes, seed=seed)
+    rnd = Z.random_partners(shared.withColumn("weight", F.lit(1.0)), genes, seed=seed, allow_self=True)
     pair = cut(act.select("source", F.col("activity").alias("act")).join(
         own_activity(de, rnd).select("source", F.col("activity").alias("rnd")), "source"), "activity")
     med = pair.select(F.coalesce(F.median("rnd"), F.lit(0.0))).scalar()

@@ -66,8 +66,8 @@ def collect_scores(spark, path, datasets: DataFrame) -> DataFrame:
 
 def combine_results(spark, paths, metadata=None):
     """Scores of several folders in one table, missing entries dropped, with the data-set
-    metadata joined when given."""
-    out = read_scores(spark, list(paths)).dropDuplicates(["dataset", "model", "metric"])
+    metadata joined when given. Where folders disagree the value is their mean."""
+    out = read_scores(spark, list(paths)).groupBy("dataset", "model", "metric").agg(F.avg("value").alias("value"))
     return out if metadata is None else out.join(metadata, "dataset", "left")
 
 

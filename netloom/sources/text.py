@@ -11,7 +11,7 @@ def read_gmt(spark, path, library=None) -> DataFrame:
     p = F.split(F.rtrim("value"), "\t")
     lib = F.lit(library) if library else F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)\.gmt", 1)
     return spark.read.text(path).select(lib.alias("library"), F.get(p, 0).alias("set_name"), F.get(p, 1).alias("description"),
-                                        F.slice(p, 3, 1_000_000).alias("genes")).where("set_name != ''")
+                                        F.slice(p, F.lit(3), F.size(p)).alias("genes")).where("set_name != ''")
 
 
 def write_gmt(sets, path):
