@@ -23,7 +23,7 @@ def feed(v, copies):
 @query("s1_score_ingest", "SELECT dataset, model, metric, r(value) AS value FROM v_scores WHERE value IS NOT NULL")
 def _(v):
     s = live.ingest(live.score_stream(v.spark, feed(v, 3))).select("dataset", "model", "metric", "value")
-    p = live.run_available(s, scratch(v.spark, "ingest"), "ingest")
+    p = live.run_available(s, scratch(v.spark, "ingest"))
     return rr(v.spark.read.parquet(p), "value")
 
 
@@ -38,16 +38,19 @@ def events(v):
     return v.table("events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
 
 
-@query("s3_trace_windows", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n_tasks, count(*) FILTER (event_type = 'error') AS n_failed, r(avg(value)) AS mean_value FROM events GROUP BY ALL")
+WINDOWS = "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n_tasks, count(*) FILTER (event_type = 'error') AS n_failed, r(avg(value)) AS mean_value FROM events GROUP BY ALL"
+
+
+@query("s3_trace_windows", WINDOWS)
 def _(v):
     d = live.trace_windows(events(v))
     return rr(d.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), "mean_value")
 
 
-@query("s3_trace_stream")
+@query("s3_trace_stream", WINDOWS)
 def _(v):
     p = scratch(v.spark, "events")
     events(v).write.parquet(p)
     s = v.spark.readStream.schema("ts timestamp, event_type string, value double").parquet(p)
-    out = live.run_available(live.trace_windows(s), scratch(v.spark, "windows"), "windows")
-    return v.spark.read.parquet(out)
+    d = live.run_updates(live.trace_windows(s), scratch(v.spark, "windows"), ["window_start", "event_type"])
+    return rr(d.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), "mean_value")
