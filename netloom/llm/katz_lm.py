@@ -41,7 +41,7 @@ from netloom.llm.common import LOWER, Cache, raw
 from netloom.session import cut, scratch
 
 END, START = np.uint64(1 << 16), 0  # the end token's hash; the start history's code
-K, BLOCK_TOKENS, BLOCK_DOCS, PART_TOKENS = 5, 2_000_000, 60_000, 3_000_000
+K, BLOCK_TOKENS, BLOCK_DOCS, PART_TOKENS = 5, 1_000_000, 60_000, 2_500_000
 SAMPLE, CODES = 4_000, 60_000
 BLOBS = ("w", "wn", "hc", "hx", "pn", "d", "train", "ids")
 TABLE = "part int, block long, docs int, " + ", ".join(f"{c} binary" for c in BLOBS)
@@ -53,7 +53,7 @@ def _word(w: bytes) -> int:
 
 
 def _codes():
-    return Cache(_word)
+    return Cache(_word, 200_000)
 
 
 def tokens(text: bytes, codes: Cache) -> np.ndarray:
@@ -172,32 +172,34 @@ class Part:
 
     def __init__(self, t: pa.Table, short: np.ndarray):
         w, h, self.rows, seen = [], [], [], []
-        at = 0
-        for r in t.to_pylist():
+        at, keep = 0, ("block", "docs", "train", "ids", "nulls")
+        for i in range(t.num_rows):  # one block's columns at a time
+            r = t.slice(i, 1).to_pylist()[0]
             W, wn, pn = _unzip(r["w"], np.uint64), _unzip(r["wn"], np.uint32), _unzip(r["pn"], np.uint32)
             code, rest = _unplanes(r["hc"], 2).astype(np.int64), _unplanes(r["hx"], 6)
             hp = np.empty(len(code), np.uint64)
             known = code != 65535
             hp[known], hp[~known] = short[code[known]], rest
-            d = _unplanes(r["d"], 2).astype(np.int64)
+            d = _unplanes(r["d"], 2).astype(np.uint16)
             train = np.unpackbits(np.frombuffer(r["train"], np.uint8), count=r["docs"])
-            pair = np.repeat(np.arange(len(pn)), pn)
-            seen.append(np.bincount(pair, train[d], len(pn)).astype(np.int64))
+            pair = np.repeat(np.arange(len(pn), dtype=np.int32), pn)
+            seen.append(np.bincount(pair, train[d], len(pn)).astype(np.int32))
             w.append(np.repeat(W, wn)), h.append(hp)
-            self.rows.append((r, pair + at, d))
+            self.rows.append(({k: r[k] for k in keep if k in r}, pair + np.int32(at), d))
             at += len(pn)
         w, h, seen = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (w, h, seen))
-        o = np.lexsort((h, w))
+        o = np.lexsort((h, w)).astype(np.int32)
         ws, hs = w[o], h[o]
+        del w, h
         new_w = np.r_[True, ws[1:] != ws[:-1]] if len(ws) else np.empty(0, bool)
         new = new_w | np.r_[True, hs[1:] != hs[:-1]] if len(ws) else new_w
-        group = np.cumsum(new) - 1
-        self.of = np.empty(len(o), np.int64)  # listed pair -> distinct pair
+        group = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        self.of = np.empty(len(o), np.int32)  # listed pair -> distinct pair
         self.of[o] = group
         self.h, self.w = hs[new], ws[new]
         self.c = np.bincount(group, seen[o], len(self.h)).astype(np.int64) if len(o) else np.empty(0, np.int64)
         first = np.flatnonzero(new_w[new]) if len(ws) else np.empty(0, np.int64)
-        self.word_of = np.cumsum(new_w[new]) - 1 if len(ws) else np.empty(0, np.int64)
+        self.word_of = np.cumsum(new_w[new], dtype=np.int32) - np.int32(1) if len(ws) else np.empty(0, np.int32)
         self.words = self.w[first]
         self.word_c = np.add.reduceat(self.c, first) if len(first) else np.empty(0, np.int64)
 
