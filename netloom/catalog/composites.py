@@ -77,7 +77,11 @@ w1 AS (SELECT source, count(*) AS k, sum(weight) AS sw, sum(weight * weight) AS
 x1 AS (SELECT net.source, sum(weight * score) AS xy FROM net JOIN de ON pert = net.source AND gene = target GROUP BY 1),
 r1 AS (SELECT source, (m * coalesce(xy, 0) - sw * sy) / sqrt((m * qw - sw * sw) * (m * qy - sy * sy)) AS r, m, k FROM w1 JOIN y USING (source) LEFT JOIN x1 USING (source) CROSS JOIN m),
 a1 AS (SELECT source, k, r * sqrt((m - 2) / ((1 - r) * (1 + r))) AS act FROM r1),
-dr AS (SELECT source, gene AS target FROM (SELECT a1.source, k, gene, row_number() OVER (PARTITION BY a1.source ORDER BY $HASH(a1.source, gene, '42'), gene) AS rn FROM a1 CROSS JOIN g) z WHERE rn <= k),
+gi AS (SELECT gene, row_number() OVER (ORDER BY $HASH(gene, '42g'), gene) - 1 AS i FROM g),
+pm AS (SELECT m AS n, x AS p FROM m, range(2, 20000) t(x) WHERE x >= m AND NOT EXISTS (SELECT 1 FROM range(2, 200) d(y) WHERE y * y <= x AND x % y = 0) ORDER BY x LIMIT 1),
+dj AS (SELECT source, k, j, CAST(floor($U(source, '42a') * p) + j * (1 + floor($U(source, '42s') * (p - 1))) AS BIGINT) % p AS i
+FROM (SELECT source, k, unnest(range(0, CAST(least(k + p - n, p) AS BIGINT))) AS j, p FROM a1, pm) x),
+dr AS (SELECT source, gene AS target FROM (SELECT source, k, gene, row_number() OVER (PARTITION BY source ORDER BY j) AS rn FROM dj JOIN gi USING (i)) z WHERE rn <= k),
 x2 AS (SELECT dr.source, sum(coalesce(score, 0)) AS xy, count(*)::DOUBLE AS k FROM dr LEFT JOIN de ON pert = dr.source AND gene = target GROUP BY 1),
 r2 AS (SELECT source, (m * xy - k * sy) / sqrt((m * k - k * k) * (m * qy - sy * sy)) AS r, m FROM x2 JOIN y USING (source) CROSS JOIN m),
 pr AS (SELECT a1.source, abs(act) - abs(r2.r * sqrt((m - 2) / ((1 - r2.r) * (1 + r2.r)))) AS d FROM a1 JOIN r2 USING (source)),

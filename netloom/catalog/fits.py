@@ -28,8 +28,16 @@ def strong(v):
 
 E4 = """WITH need AS (SELECT target, quantile_cont(coalesce(d, 0), 0.25) AS q FROM (SELECT DISTINCT gene AS target FROM v_counts) g CROSS JOIN (SELECT DISTINCT model FROM v_net) m
 LEFT JOIN (SELECT target, model, count(*) AS d FROM v_net WHERE weight > 0.25 GROUP BY ALL) x USING (target, model) GROUP BY target),
-pool AS (SELECT n.target, t.tf AS source, CAST(round_even(n.q, 0) AS BIGINT) AS n, coalesce(e.weight, 0) AS w FROM need n CROSS JOIN v_gtfs t LEFT JOIN v_net e ON e.model = 'R' AND e.source = t.tf AND e.target = n.target WHERE t.tf <> n.target)
-SELECT target, source, rn FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY abs(w) DESC, $HASH(source, target, '51966'), source) AS rn FROM pool) z WHERE rn <= n"""
+nd AS (SELECT target, CAST(round_even(q, 0) AS BIGINT) AS n FROM need WHERE CAST(round_even(q, 0) AS BIGINT) > 0),
+nm AS (SELECT * FROM (SELECT e.target, e.source, n, row_number() OVER (PARTITION BY e.target ORDER BY abs(weight) DESC, $HASH(e.source, e.target, '51966'), e.source) AS rn
+FROM v_net e JOIN nd USING (target) WHERE model = 'R' AND weight <> 0 AND e.source <> e.target AND e.source IN (SELECT tf FROM v_gtfs)) z WHERE rn <= n),
+sh AS (SELECT nd.target, nd.n, coalesce(h, 0) AS have FROM nd LEFT JOIN (SELECT target, count(*) AS h FROM nm GROUP BY 1) c USING (target) WHERE coalesce(h, 0) < nd.n),
+g AS (SELECT tf, row_number() OVER (ORDER BY $HASH(tf, '51966g'), tf) - 1 AS i FROM (SELECT DISTINCT tf FROM v_gtfs) x), gn AS (SELECT count(*) AS c FROM g),
+pr AS (SELECT c, x AS p FROM gn, range(2, 20000) t(x) WHERE x >= c AND NOT EXISTS (SELECT 1 FROM range(2, 200) d(y) WHERE y * y <= x AND x % y = 0) ORDER BY x LIMIT 1),
+dj AS (SELECT target, n, have, j, CAST(floor($U(target, '51966a') * p) + j * (1 + floor($U(target, '51966s') * (p - 1))) AS BIGINT) % p AS i
+FROM (SELECT target, n, have, unnest(range(0, least(n + 1 + p - c, p))) AS j, p FROM sh, pr) x),
+fl AS (SELECT target, tf AS source, n, have + row_number() OVER (PARTITION BY target ORDER BY j) AS rn FROM dj JOIN g USING (i) WHERE tf <> target AND NOT EXISTS (SELECT 1 FROM nm WHERE nm.target = dj.target AND nm.source = g.tf))
+SELECT target, source, rn FROM nm UNION ALL SELECT target, source, rn FROM fl WHERE rn <= n"""
 
 
 @query("e4_regulators", E4)

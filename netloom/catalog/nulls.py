@@ -68,7 +68,10 @@ def _(v):
 
 
 RND = """k AS (SELECT source, count(*) AS k FROM v_net WHERE model = 'R' GROUP BY 1), rk AS (SELECT source, weight, row_number() OVER (PARTITION BY source ORDER BY abs(weight) DESC, source, target) AS rn FROM v_net WHERE model = 'R'),
-dr AS (SELECT source, gene AS target, row_number() OVER (PARTITION BY source ORDER BY $HASH(source, gene, '42'), gene) AS rn FROM k CROSS JOIN (SELECT DISTINCT gene FROM v_counts) g WHERE source <> gene),
+g AS (SELECT gene, row_number() OVER (ORDER BY $HASH(gene, '42g'), gene) - 1 AS i FROM (SELECT DISTINCT gene FROM v_counts) x), gn AS (SELECT count(*) AS n FROM g),
+pr AS (SELECT n, x AS p FROM gn, range(2, 20000) t(x) WHERE x >= n AND NOT EXISTS (SELECT 1 FROM range(2, 200) d(y) WHERE y * y <= x AND x % y = 0) ORDER BY x LIMIT 1),
+dj AS (SELECT source, j, CAST(floor($U(source, '42a') * p) + j * (1 + floor($U(source, '42s') * (p - 1))) AS BIGINT) % p AS i FROM (SELECT source, k, unnest(range(0, least(k + 1 + p - n, p))) AS j, p FROM k, pr) x),
+dr AS (SELECT source, gene AS target, row_number() OVER (PARTITION BY source ORDER BY j) AS rn FROM dj JOIN g USING (i) WHERE source <> gene),
 nul AS (SELECT dr.source, dr.target, rk.weight FROM dr JOIN rk USING (source, rn))"""
 
 

@@ -7,12 +7,13 @@ per target, whose size follows the number of regulators and never the number of
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from netloom.functions.stats import t_tail, top_k
 from netloom.functions import det
 from netloom.functions.skew import spread_join
-from netloom.operators.blocks import attach_all, pair_sums
+from netloom.operators.blocks import pair_sums
+from netloom.operators.nulls import draw
 from netloom.session import cut
 
 ONE = ""  # the constant regressor
@@ -122,10 +123,16 @@ def select_regulators(edges: DataFrame, tfs: DataFrame, consensus: DataFrame, se
     names fewer, random factors fill up, in hash order. Returns (target, source, rn); a target
     without any possible regulator is one row with null source, which the fit scores 0."""
     need = consensus.where("n > 0").select(F.col("gene").alias("target"), "n")
-    pool = attach_all(need, tfs.select(F.col("tf").alias("source")).distinct()).where("source != target")
-    w = pool.join(edges.select("source", "target", "weight"), ["source", "target"], "left").fillna(0.0, ["weight"])
+    factors = tfs.select(F.col("tf").alias("source")).distinct()
+    named = (edges.where("source != target and weight != 0").select("source", "target", "weight").join(factors, "source", "left_semi").join(need, "target"))
     order = [F.abs("weight").desc(), det.hash_key("source", "target", seed=seed), F.col("source")]
-    chosen = top_k(w, ["target"], order, F.col("n"), ["source"], out="rn").select("target", "source", "rn")
+    chosen = cut(top_k(named, ["target"], order, F.col("n"), ["source"], out="rn").select("target", "source", "rn"), "named")
+    have = chosen.groupBy("target").agg(F.count("*").alias("have"))
+    short = need.join(have, "target", "left").fillna(0, ["have"]).where("have < n")
+    # as many draws as places, own gene and named factors: what is left after these is enough
+    fill = draw(short, factors, "target", "source", F.col("n") + 1, seed).where("source != target").join(chosen, ["target", "source"], "left_anti")
+    fill = fill.withColumn("rn", F.col("have") + F.row_number().over(W.partitionBy("target").orderBy("_j"))).where("rn <= n")
+    chosen = chosen.unionByName(fill.select("target", "source", F.col("rn").cast("int").alias("rn")))
     return need.select("target").join(chosen, "target", "left")
 
 

@@ -75,6 +75,31 @@ def negative_control(genes, tfs, share=0.01, n_tfs=None, seed=0):
     return e.select("source", "target", F.when(F.col("_u") < share, -1.0).otherwise(1.0).alias("weight"))
 
 
+def next_prime(n):
+    """Least prime of at least ``n``."""
+    p = max(n, 2)
+    while any(p % d == 0 for d in range(2, int(p ** 0.5) + 1)):
+        p += 1
+    return p
+
+
+def draw(groups, items, by, item, wanted, seed):
+    """At least ``wanted`` different items for each row of ``groups`` (all, if there are no more), in order ``_j``.
+
+    Items are numbered in hash order; a row walks their numbers modulo a prime with a start and a
+    stride of its own, so draws never repeat and nothing but the draws is formed.
+    """
+    items = items.distinct()
+    n = items.count()
+    p = next_prime(n)
+    numbered = number_rows(items, det.hash_key(item, seed=f"{seed}g"), "_i", tie=[item])
+    start = F.floor(det.uniform(by, seed=f"{seed}a") * p)
+    stride = 1 + F.floor(det.uniform(by, seed=f"{seed}s") * (p - 1))
+    steps = F.sequence(F.lit(0).cast("bigint"), F.least(wanted.cast("bigint") + (p - n), F.lit(p).cast("bigint")) - 1)
+    at = groups.where(wanted > 0).withColumn("_j", F.explode(steps)).withColumn("_i", (start + F.col("_j") * stride) % p)
+    return at.join(numbered, "_i").drop("_i")
+
+
 def random_partners(edges, genes, by="source", seed=42, extra=(), allow_self=False):
     """Null network: every source (or target) keeps its number of edges and its weights, its
     partners become random genes, its own gene only with ``allow_self``. Weights go from strongest
@@ -83,10 +108,11 @@ def random_partners(edges, genes, by="source", seed=42, extra=(), allow_self=Fal
     k = edges.groupBy(*extra, by).agg(F.count("*").alias("k"))
     w = W.partitionBy(*extra, by).orderBy(*by_weight())
     ranked = edges.select(*extra, by, "weight", F.row_number().over(w).alias("rn"))
-    pool = attach_all(k, genes.select(F.col("gene").alias(other)))
+    spare = F.lit(0 if allow_self else 1)
+    pool = draw(k, genes.select(F.col("gene").alias(other)), by, other, F.col("k") + spare, seed)
     if not allow_self:
         pool = pool.where(F.col(by) != F.col(other))
-    drawn = top_k(pool, [*extra, by], [det.hash_key(by, other, seed=seed), F.col(other)], F.col("k"), [other], out="rn")
+    drawn = pool.withColumn("rn", F.row_number().over(W.partitionBy(*extra, by).orderBy("_j"))).where("rn <= k")
     return drawn.select(*extra, by, other, "rn").join(ranked, [*extra, by, "rn"]).select(*extra, "source", "target", "weight")
 
 

@@ -77,3 +77,18 @@ def test_target_without_a_possible_regulator_scores_zero(table):
                                table([("t", 1), ("u", 1)], "gene string, n long"))
     got = {r.target: (r.n_regulators, r.r2) for r in J.ridge_cv(regs, J.moments(e, folds)).collect()}
     assert got["t"] == (0, 0.0) and got["u"][0] == 1
+
+
+@pytest.mark.parametrize("n,k", [(1, 1), (2, 2), (10, 10), (97, 30), (100, 99)])
+def test_draws_never_repeat_and_suffice(table, n, k):
+    items = table([(f"i{j}",) for j in range(n)], "gene string")
+    got = Z.draw(table([(f"s{j}", k) for j in range(20)], "source string, k int"), items, "source", "gene", F.col("k"), 3)
+    per = got.groupBy("source").agg(F.count("*").alias("c"), F.count_distinct("gene").alias("d")).collect()
+    assert len(per) == 20 and all(r.c == r.d >= min(k, n) for r in per)
+
+
+def test_draws_are_spread_evenly(table):
+    items = table([(f"i{j}",) for j in range(50)], "gene string")
+    got = Z.draw(table([(f"s{j}", 10) for j in range(2000)], "source string, k int"), items, "source", "gene", F.col("k"), 1).where("_j < 10")
+    c = [r["count"] for r in got.groupBy("gene").count().collect()]
+    assert len(c) == 50 and min(c) > 300 and max(c) < 500  # 53 steps, 377 expected
