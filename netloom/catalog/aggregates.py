@@ -15,7 +15,15 @@ def rr(df, *cols):
     return df.select(*[r6(c).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-NET_R = "net AS (SELECT source, target, weight FROM v_net WHERE model = 'R')"
+#: all networks at once: a source carries its network's name
+NET_ALL = "net AS (SELECT concat(model, '|', source) AS source, target, weight FROM v_net)"
+
+
+def net_all(v):
+    return v.net.select(F.concat_ws("|", "model", "source").alias("source"), "target", "weight")
+
+
+
 
 
 @query("d1_dedup_edges", """SELECT 'avg' AS how, model, source, target, r(avg(weight)) AS weight FROM v_edges GROUP BY ALL
@@ -166,9 +174,9 @@ rr AS (SELECT sy.obs_id, sw.source, m, (m * coalesce(xy, 0) - sw * sy) / nullif(
 ulm AS (SELECT obs_id, source, r * sqrt((m - 2) / ((1 - r) * (1 + r))) AS activity FROM rr)"""
 
 
-@query("d19_ulm", f"WITH {NET_R}, {ULM} SELECT obs_id, source, r(activity) AS activity FROM ulm")
+@query("d19_ulm", f"WITH {NET_ALL}, {ULM} SELECT obs_id, source, r(activity) AS activity FROM ulm")
 def _(v):
-    return rr(X.ulm(v.bulk, v.net.where("model = 'R'")), "activity")
+    return rr(X.ulm(v.bulk, net_all(v)), "activity")
 
 
 SETNET = "net AS (SELECT set_name AS source, gene AS target, 1.0::DOUBLE AS weight FROM v_genesets)"
@@ -224,15 +232,15 @@ md AS (SELECT source, avg(mad) AS mad FROM (SELECT source, grp, avg(abs(activity
 dp AS (SELECT source AS tf, mad, 1 - greatest(0, least(1, mad / (SELECT quantile_cont(mad, 0.95) FROM md))) AS consistency FROM md)"""
 
 
-@query("d24_dispersion", f"WITH {NET_R}, {ULM}, {DISP} SELECT tf, r(mad) AS mad, r(consistency) AS consistency FROM dp")
+@query("d24_dispersion", f"WITH {NET_ALL}, {ULM}, {DISP} SELECT tf, r(mad) AS mad, r(consistency) AS consistency FROM dp")
 def _(v):
-    act = X.ulm(v.bulk, v.net.where("model = 'R'"))
+    act = X.ulm(v.bulk, net_all(v))
     return rr(X.dispersion(act, v.bobs.select("obs_id", F.col("cell_type").alias("grp"))), "mad", "consistency")
 
 
-@query("d25_padded_mean", f"WITH {NET_R}, {ULM}, {DISP} SELECT r(sum(consistency) / 100) AS score FROM (SELECT consistency FROM dp ORDER BY consistency DESC, tf LIMIT 100) x")
+@query("d25_padded_mean", f"WITH {NET_ALL}, {ULM}, {DISP} SELECT r(sum(consistency) / 100) AS score FROM (SELECT consistency FROM dp ORDER BY consistency DESC, tf LIMIT 100) x")
 def _(v):
-    act = X.ulm(v.bulk, v.net.where("model = 'R'"))
+    act = X.ulm(v.bulk, net_all(v))
     return rr(X.padded_mean(X.dispersion(act, v.bobs.select("obs_id", F.col("cell_type").alias("grp"))), 100), "score")
 
 
@@ -344,10 +352,10 @@ def _(v):
     return rr(N.signed_rank(pairs(v), "a", "b", ["source"]).select("source", "n", "w_plus", "w_minus"), "w_plus", "w_minus")
 
 
-@query("d35_recovered", f"""WITH {NET_R}, {ULM} SELECT source, count(*) FILTER (activity < -2) AS tp, r(count(*) FILTER (activity < -2) / count(*)) AS precision,
+@query("d35_recovered", f"""WITH {NET_ALL}, {ULM} SELECT source, count(*) FILTER (activity < -2) AS tp, r(count(*) FILTER (activity < -2) / count(*)) AS precision,
 r(count(*) FILTER (activity < -2) / (SELECT count(*) FROM v_bobs)) AS recall FROM ulm GROUP BY source""")
 def _(v):
-    act = X.ulm(v.bulk, v.net.where("model = 'R'"))
+    act = X.ulm(v.bulk, net_all(v))
     total = v.bobs.select(F.count("*")).scalar()
     g = act.groupBy("source").agg(F.count_if(F.col("activity") < -2).alias("tp"), F.count("*").alias("n")).withColumn("total", total)
     return rr(g.select("source", "tp", (F.col("tp") / F.col("n")).alias("precision"), (F.col("tp") / F.col("total")).alias("recall")), "precision", "recall")

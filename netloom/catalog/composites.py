@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from netloom.catalog import query
-from netloom.catalog.aggregates import FISHER, NET_R, ULM, rr
+from netloom.catalog.aggregates import FISHER, NET_ALL, ULM, rr
 from netloom.catalog.fits import consensus, net_r, strong
 from netloom.catalog.joins import P2G, P2T, WINDOW
 from netloom.catalog.nulls import POBS, SPLIT, pobs
@@ -148,11 +148,11 @@ def _(v):
     return rr(M.gs_recovery(strong(v), v.genesets, v.bulk, v.bobs, v.gtfs), "precision", "recall", "f1")
 
 
-K7 = f"""WITH {NET_R}, {ULM}, am AS (SELECT u.source, o.cell_type AS grp, u.activity, median(u.activity) OVER (PARTITION BY u.source, o.cell_type) AS med FROM ulm u JOIN v_bobs o USING (obs_id)),
+K7 = f"""WITH {NET_ALL}, {ULM}, am AS (SELECT u.source, o.cell_type AS grp, u.activity, median(u.activity) OVER (PARTITION BY u.source, o.cell_type) AS med FROM ulm u JOIN v_bobs o USING (obs_id)),
 md AS (SELECT source, avg(mad) AS mad FROM (SELECT source, grp, avg(abs(activity - med)) AS mad FROM am GROUP BY ALL HAVING count(*) >= 2) x GROUP BY 1),
-c AS (SELECT source, row_number() OVER (ORDER BY count(*) DESC, source) AS rank FROM net GROUP BY source), sz AS (SELECT unnest([10, 42, 74, 106, 138, 171, 203, 235, 267, 300]) AS n),
-d AS (SELECT n, mad FROM md JOIN c USING (source) JOIN sz ON n >= rank), q AS (SELECT n, quantile_cont(mad, 0.95) AS p95 FROM d GROUP BY 1)
-SELECT 'replicate_consistency' AS metric, r(sum(s) / 10) AS value FROM (SELECT n, sum(1 - greatest(0, least(1, mad / p95))) / n AS s FROM d JOIN q USING (n) GROUP BY n) y"""
+c AS (SELECT source, split_part(source, '|', 1) AS model, row_number() OVER (PARTITION BY split_part(source, '|', 1) ORDER BY count(*) DESC, source) AS rank FROM net GROUP BY source), sz AS (SELECT unnest([10, 42, 74, 106, 138, 171, 203, 235, 267, 300]) AS n),
+d AS (SELECT model, n, mad FROM md JOIN c USING (source) JOIN sz ON n >= rank), q AS (SELECT model, n, quantile_cont(mad, 0.95) AS p95 FROM d GROUP BY 1, 2)
+SELECT model, 'replicate_consistency' AS metric, r(sum(s) / 10) AS value FROM (SELECT model, n, sum(1 - greatest(0, least(1, mad / p95))) / n AS s FROM d JOIN q USING (model, n) GROUP BY model, n) y GROUP BY model"""
 
 
 def groups(v):
@@ -161,7 +161,7 @@ def groups(v):
 
 @query("k7_replicate_consistency", K7)
 def _(v):
-    return rr(M.replicate_consistency(net_r(v), v.bulk, groups(v)), "value")
+    return rr(M.replicate_consistency(v.net, v.bulk, groups(v), keys=("model",)), "value")
 
 
 def bulk_obs(v):

@@ -164,10 +164,10 @@ def _(v):
     return O.nonzero_std(v.counts, v.obs)
 
 
-@query("b24_min_targets", """WITH e AS (SELECT DISTINCT source, target FROM v_edges WHERE weight > 0.9)
+@query("b24_min_targets", """WITH e AS (SELECT DISTINCT source, target FROM v_edges)
 SELECT source, target FROM e WHERE source IN (SELECT source FROM e GROUP BY 1 HAVING count(*) >= 50)""")
 def _(v):
-    return O.min_targets(v.edges.where("weight > 0.9").select("source", "target").distinct(), 50)
+    return O.min_targets(v.edges.select("source", "target").distinct(), 50)
 
 
 SETS = "SELECT library, set_name, collect_list(gene) AS genes FROM v_genesets GROUP BY library, set_name"

@@ -67,38 +67,37 @@ def _(v):
     return rr(M.correlation_network(v.bulk, v.bobs, v.gtfs), "weight")
 
 
-RND = """k AS (SELECT source, count(*) AS k FROM v_net WHERE model = 'R' GROUP BY 1), rk AS (SELECT source, weight, row_number() OVER (PARTITION BY source ORDER BY abs(weight) DESC, source, target) AS rn FROM v_net WHERE model = 'R'),
+RND = """k AS (SELECT model, source, count(*) AS k FROM v_net GROUP BY 1, 2), rk AS (SELECT model, source, weight, row_number() OVER (PARTITION BY model, source ORDER BY abs(weight) DESC, source, target) AS rn FROM v_net),
 g AS (SELECT gene, row_number() OVER (ORDER BY $HASH(gene, '42g'), gene) - 1 AS i FROM (SELECT DISTINCT gene FROM v_counts) x), gn AS (SELECT count(*) AS n FROM g),
 pr AS (SELECT n, x AS p FROM gn, range(2, 20000) t(x) WHERE x >= n AND NOT EXISTS (SELECT 1 FROM range(2, 200) d(y) WHERE y * y <= x AND x % y = 0) ORDER BY x LIMIT 1),
-dj AS (SELECT source, j, CAST(floor($U(source, '42a') * p) + j * (1 + floor($U(source, '42s') * (p - 1))) AS BIGINT) % p AS i FROM (SELECT source, k, unnest(range(0, least(k + 1 + p - n, p))) AS j, p FROM k, pr) x),
-dr AS (SELECT source, gene AS target, row_number() OVER (PARTITION BY source ORDER BY j) AS rn FROM dj JOIN g USING (i) WHERE source <> gene),
-nul AS (SELECT dr.source, dr.target, rk.weight FROM dr JOIN rk USING (source, rn))"""
+dj AS (SELECT model, source, j, CAST(floor($U(source, '42a') * p) + j * (1 + floor($U(source, '42s') * (p - 1))) AS BIGINT) % p AS i FROM (SELECT model, source, k, unnest(range(0, least(k + 1 + p - n, p))) AS j, p FROM k, pr) x),
+dr AS (SELECT model, source, gene AS target, row_number() OVER (PARTITION BY model, source ORDER BY j) AS rn FROM dj JOIN g USING (i) WHERE source <> gene),
+nul AS (SELECT model, dr.source, dr.target, rk.weight FROM dr JOIN rk USING (model, source, rn))"""
 
 
-@query("i9_random_sets", f"WITH {RND} SELECT source, target, r(weight) AS weight FROM nul")
+@query("i9_random_sets", f"WITH {RND} SELECT model, source, target, r(weight) AS weight FROM nul")
 def _(v):
-    return rr(Z.random_partners(v.net.where("model = 'R'"), v.counts.select("gene").distinct()), "weight")
+    return rr(Z.random_partners(v.net, v.counts.select("gene").distinct(), extra=["model"]), "weight")
 
 
-@query("i10_shuffled_regulators", f"WITH {RND} SELECT target AS source, source AS target, r(weight) AS weight FROM nul".replace("model = 'R'", "model = 'R'"))
+@query("i10_shuffled_regulators", f"WITH {RND} SELECT model, target AS source, source AS target, r(weight) AS weight FROM nul")
 def _(v):
     # the same draw with the roles of the ends exchanged
-    e = v.net.where("model = 'R'").select(F.col("source").alias("target"), F.col("target").alias("source"), "weight")
-    e = e.select("source", "target", "weight")
-    return rr(Z.random_partners(e, v.counts.select("gene").distinct(), by="target"), "weight")
+    e = v.net.select("model", F.col("target").alias("source"), F.col("source").alias("target"), "weight")
+    return rr(Z.random_partners(e, v.counts.select("gene").distinct(), by="target", extra=["model"]), "weight")
 
 
-I11 = """WITH e AS (SELECT source, target, weight FROM v_net WHERE model = 'R' AND source <> target AND weight > 0.2),
-l AS (SELECT source, row_number() OVER (ORDER BY $HASH(source, target, '7a'), source, target) AS i FROM e), r AS (SELECT target, row_number() OVER (ORDER BY $HASH(source, target, '7b'), source, target) AS i FROM e),
-p AS (SELECT DISTINCT source, target FROM l JOIN r USING (i) WHERE source <> target), d AS (SELECT target, count(*) AS d, sum(abs(weight)) AS s FROM e GROUP BY 1),
-n AS (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY d DESC, round(s, 6) DESC, target) AS rn FROM p JOIN d USING (target)),
-o AS (SELECT source, weight, row_number() OVER (PARTITION BY source ORDER BY abs(weight) DESC, weight, target) AS rn FROM e)
-SELECT n.source, n.target, r(o.weight) AS weight FROM n JOIN o USING (source, rn)"""
+I11 = """WITH e AS (SELECT model, source, target, weight FROM v_net WHERE source <> target AND weight <> 0),
+l AS (SELECT model, source, row_number() OVER (PARTITION BY model ORDER BY $HASH(source, target, '7a'), source, target) AS i FROM e), r AS (SELECT model, target, row_number() OVER (PARTITION BY model ORDER BY $HASH(source, target, '7b'), source, target) AS i FROM e),
+p AS (SELECT DISTINCT model, source, target FROM l JOIN r USING (model, i) WHERE source <> target), d AS (SELECT model, target, count(*) AS d, sum(abs(weight)) AS s FROM e GROUP BY 1, 2),
+n AS (SELECT model, source, target, row_number() OVER (PARTITION BY model, source ORDER BY d DESC, round(s, 6) DESC, target) AS rn FROM p JOIN d USING (model, target)),
+o AS (SELECT model, source, weight, row_number() OVER (PARTITION BY model, source ORDER BY abs(weight) DESC, weight, target) AS rn FROM e)
+SELECT model, n.source, n.target, r(o.weight) AS weight FROM n JOIN o USING (model, source, rn)"""
 
 
 @query("i11_degree_null", I11)
 def _(v):
-    return rr(Z.degree_null(v.net.where("model = 'R' and weight > 0.2")), "weight")
+    return rr(Z.degree_null(v.net, extra=["model"]), "weight")
 
 
 I12 = """WITH e AS (SELECT source, target, weight FROM v_net WHERE model = 'R'), n AS (SELECT count(*) AS n, stddev_samp(weight) AS sd FROM e),

@@ -15,11 +15,11 @@ def dedup(v):
     return E.dedup_edges(v.edges, "avg", ["model"]).withColumn("weight", F.round("weight", 9))
 
 
-@query("e1_top_edges", f"""WITH {DD} SELECT 'all' AS scope, source, target, r(weight) AS weight FROM (SELECT * FROM dd WHERE model = 'R' ORDER BY abs(weight) DESC, source, target LIMIT 5000) x
+@query("e1_top_edges", f"""WITH {DD} SELECT 'all' AS scope, source, target, r(weight) AS weight FROM (SELECT * FROM dd ORDER BY abs(weight) DESC, source, target LIMIT 5000) x
 UNION ALL SELECT model, source, target, r(weight) FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY abs(weight) DESC, source, target) AS rn FROM dd) y WHERE rn <= 3000""")
 def _(v):
     d = dedup(v)
-    a = E.top_edges(d.where("model = 'R'"), 5000).select(F.lit("all").alias("scope"), "source", "target", "weight")
+    a = E.top_edges(d, 5000).select(F.lit("all").alias("scope"), "source", "target", "weight")
     b = E.top_edges(d, 3000, ["model"]).select(F.col("model").alias("scope"), "source", "target", "weight")
     return rr(a.unionByName(b), "weight")
 
@@ -30,26 +30,26 @@ def _(v):
 
 
 @query("e3_top_k_var", f"""WITH {DD}, k AS (SELECT concat('S', CAST(s_suppkey AS VARCHAR)) AS source, s_nationkey + 1 AS k FROM supplier)
-SELECT source, target, rn FROM (SELECT dd.source, target, k, row_number() OVER (PARTITION BY dd.source ORDER BY abs(weight) DESC, target) AS rn FROM dd JOIN k USING (source) WHERE model = 'R') x WHERE rn <= k""")
+SELECT model, source, target, rn FROM (SELECT model, dd.source, target, k, row_number() OVER (PARTITION BY model, dd.source ORDER BY abs(weight) DESC, target) AS rn FROM dd JOIN k USING (source)) x WHERE rn <= k""")
 def _(v):
     k = v.table("supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("source"), (F.col("s_nationkey") + 1).alias("k"))
-    return E.top_k_var(dedup(v).where("model = 'R'"), k).select("source", "target", "rn")
+    return E.top_k_var(dedup(v), k, extra=["model"]).select("model", "source", "target", "rn")
 
 
-@query("e5_top_connected", """WITH e AS (SELECT * FROM v_net WHERE model = 'R' AND weight > 0.1), o AS (SELECT source AS gene, count(*) AS d FROM e GROUP BY 1), i AS (SELECT target AS gene, count(*) AS d FROM e GROUP BY 1),
+@query("e5_top_connected", """WITH e AS (SELECT * FROM v_net WHERE weight <> 0), o AS (SELECT source AS gene, count(*) AS d FROM e GROUP BY 1), i AS (SELECT target AS gene, count(*) AS d FROM e GROUP BY 1),
 j AS (SELECT gene, coalesce(o.d, 0) AS od, coalesce(i.d, 0) AS id FROM o FULL JOIN i USING (gene))
 SELECT 'max' AS how, gene, connectivity FROM (SELECT gene, greatest(od, id) AS connectivity FROM j ORDER BY 2 DESC, 1 LIMIT 40) a UNION ALL SELECT 'sum', gene, c FROM (SELECT gene, od + id AS c FROM j ORDER BY 2 DESC, 1 LIMIT 40) b""")
 def _(v):
-    e = v.net.where("model = 'R' and weight > 0.1")
+    e = v.net
     a = E.top_connected(e, 40, "max").withColumn("how", F.lit("max"))
     return a.unionByName(E.top_connected(e, 40, "sum").withColumn("how", F.lit("sum")))
 
 
-@query("e6_nested_selections", """WITH c AS (SELECT source, row_number() OVER (ORDER BY count(*) DESC, source) AS rank FROM v_net WHERE model = 'R' GROUP BY source), s AS (SELECT unnest([10, 42, 74, 106, 138, 171, 203, 235, 267, 300]) AS n_tfs)
-SELECT n_tfs, e.source, count(*) AS n FROM v_net e JOIN c USING (source) JOIN s ON s.n_tfs >= c.rank WHERE model = 'R' GROUP BY ALL""")
+@query("e6_nested_selections", """WITH c AS (SELECT model, source, row_number() OVER (PARTITION BY model ORDER BY count(*) DESC, source) AS rank FROM v_net GROUP BY model, source), s AS (SELECT unnest([10, 42, 74, 106, 138, 171, 203, 235, 267, 300]) AS n_tfs)
+SELECT model, n_tfs, source, count(*) AS n FROM v_net e JOIN c USING (model, source) JOIN s ON s.n_tfs >= c.rank GROUP BY ALL""")
 def _(v):
-    d = E.nested_selections(v.net.where("model = 'R'"))
-    return d.groupBy("n_tfs", "source").agg(F.count("*").alias("n"))
+    d = E.nested_selections(v.net, extra=["model"])
+    return d.groupBy("model", "n_tfs", "source").agg(F.count("*").alias("n"))
 
 
 @query("e7_avg_rank", """SELECT row_id, r(rk) AS rank, r(rk / n) AS pct FROM (SELECT row_id, rank() OVER (PARTITION BY model ORDER BY weight) + (count(*) OVER (PARTITION BY model, weight) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY model) AS n FROM
@@ -136,14 +136,14 @@ def _(v):
     return rr(L.minmax(v.scores, "value", ["dataset", "metric"]), "value")
 
 
-@query("e19_recovery_auc", """WITH k AS (SELECT source AS motif, target AS gene, row_number() OVER (PARTITION BY source ORDER BY weight DESC, target) - 1 AS rank FROM v_net WHERE model = 'R'),
+@query("e19_recovery_auc", """WITH k AS (SELECT concat(model, '|', source) AS motif, target AS gene, row_number() OVER (PARTITION BY model, source ORDER BY weight DESC, target) - 1 AS rank FROM v_net),
 c AS (SELECT round(count(DISTINCT gene) * 0.2) - 1 AS cut FROM k), z AS (SELECT set_name, count(*) AS n FROM v_genesets GROUP BY 1),
 a AS (SELECT g.set_name, motif, sum(greatest(0, cut - rank)) / max((cut + 1) * n) AS auc FROM k JOIN v_genesets g USING (gene) JOIN z ON z.set_name = g.set_name CROSS JOIN c GROUP BY ALL)
 SELECT set_name, motif, r(auc) AS auc, r((auc - avg(auc) OVER (PARTITION BY set_name)) / stddev_pop(auc) OVER (PARTITION BY set_name)) AS nes FROM a""")
 def _(v):
     from pyspark.sql import Window as W
     w = W.partitionBy("source").orderBy(F.col("weight").desc(), "target")
-    k = v.net.where("model = 'R'").select(F.col("source").alias("motif"), F.col("target").alias("gene"), (F.row_number().over(w) - 1).alias("rank"))
+    k = v.net.withColumn("source", F.concat_ws("|", "model", "source")).select(F.col("source").alias("motif"), F.col("target").alias("gene"), (F.row_number().over(w) - 1).alias("rank"))
     return rr(R.recovery_auc(k, v.genesets, 0.2), "auc", "nes")
 
 

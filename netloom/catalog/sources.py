@@ -190,10 +190,10 @@ def _(v):
     return X.to_fragments(v.access, v.aobs.withColumnRenamed("cell_type", "donor_id"))
 
 
-@query("a20_parse_regulons", "SELECT source, target, r(weight) AS weight FROM v_net WHERE model = 'R'")
+@query("a20_parse_regulons", "SELECT concat(model, '|', source) AS source, target, r(weight) AS weight FROM v_net")
 def _(v):
     pair = F.concat(F.lit("('"), "target", F.lit("', "), F.col("weight").cast("string"), F.lit(")"))
-    t = v.net.where("model = 'R'").groupBy("source").agg(F.concat(F.lit("["), F.array_join(F.collect_list(pair), ", "), F.lit("]")).alias("targets"))
+    t = v.net.withColumn("source", F.concat_ws("|", "model", "source")).groupBy("source").agg(F.concat(F.lit("["), F.array_join(F.collect_list(pair), ", "), F.lit("]")).alias("targets"))
     return rr(X.parse_regulons(t), "weight")
 
 
