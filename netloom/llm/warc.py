@@ -7,10 +7,11 @@ records revisit which: of equal payloads (digest and length) of at least ``LEAST
 with the largest page id is the response.
 
 An archive record is a chunk: the first is ``response`` (or ``revisit``, without payload), the others
-are ``continuation`` segments. Spark's text writer stores them as gzip files in the shared folder;
+are ``continuation`` segments; each states the digest and length of the payload up to its own end. Spark's text writer stores them as gzip files in the shared folder;
 records are told apart by a line with the archive's own random name, which no payload can hold by
 accident. Reading back splits at that line, checks lengths, and feeds the segments of a record, in
-order, to one running digest, which must end in the one the archive states.
+order, to one running digest, which must be the stated one after every segment. Payloads are
+shuffled only if there are more than ``MAX_BROADCAST`` revisits, or to put segments in order.
 
 Edge cases: null html is empty (a response of 0 bytes); null page ids and urls stay null; repeated
 pages are records of their own, and of equal page ids the last record answers; an empty table makes
@@ -28,7 +29,7 @@ from netloom.functions.skew import spread_join
 from netloom.llm.common import raw
 from netloom.session import cut, scratch
 
-CHUNK, LEAST, BATCH = 1 << 20, 1000, 8 << 20
+CHUNK, LEAST, BATCH, MAX_BROADCAST = 1 << 20, 1000, 8 << 20, 1_000_000
 TABLE = "rid string, page_id long, url string, chunk int, chunks int, data binary, digest string, bytes long"
 DATE = "2000-01-01T00:00:00Z"  # pages carry no time of their own
 
@@ -76,17 +77,16 @@ def write(pages: DataFrame, path: str, chunk=CHUNK, least=LEAST) -> str:
     """Writes the archive to ``path``; returns the name that separates its records."""
     records = chunked(pages, chunk)
     name = uuid.uuid4().hex
-    r = records.join(revisits(records, least), "rid", "left").where("refers is null or chunk = 0")
-    # the whole payload's digest stands in the last chunk's row; a first row needs it only if it is the last, or for a revisit
-    last = records.where("chunks > 1 and chunk = chunks - 1").select("rid", F.col("digest").alias("_d"), F.col("bytes").alias("_n"))
-    r = r.join(last, "rid", "left").withColumn("_d", F.coalesce("_d", "digest")).withColumn("_n", F.coalesce("_n", "bytes"))
+    again = cut(revisits(records, least), "revisits")
+    # a revisit is written where its last chunk is, which knows the whole payload's digest
+    r = records.join(F.broadcast(again) if again.count() <= MAX_BROADCAST else again, "rid", "left").where("refers is null or chunk = chunks - 1")
     line = lambda k, v: F.when(v.isNotNull(), F.concat(F.lit(f"{k}: "), v.cast("string"), F.lit("\r\n"))).otherwise("")
     again = F.col("refers").isNotNull()
     block = F.when(again, F.lit("").cast("binary")).otherwise(F.col("data"))
     head = F.concat(
         F.lit(f"WARC/1.0\r\nWARC-Archive: {name}\r\nWARC-Type: "), F.when(again, "revisit").when(F.col("chunk") > 0, "continuation").otherwise("response"),
         F.lit(f"\r\nWARC-Date: {DATE}\r\n"), line("WARC-Record-ID", F.concat(F.lit("<urn:record:"), "rid", F.lit(">"))), line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "")),
-        line("WARC-Page-ID", F.col("page_id")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "_d")), line("WARC-Payload-Length", F.col("_n")),
+        line("WARC-Page-ID", F.col("page_id")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")), line("WARC-Payload-Length", F.col("bytes")),
         line("WARC-Segment-Number", F.when(~again & (F.col("chunks") > 1), F.col("chunk") + 1)), line("WARC-Segments", F.when(again, 1).otherwise(F.col("chunks"))),
         line("WARC-Refers-To", F.when(again, F.concat(F.lit("<urn:record:"), "refers", F.lit(">")))), line("WARC-Refers-To-Page", F.col("refers_to")),
         line("Content-Length", F.length(block)), F.lit("\r\n"))
@@ -118,13 +118,7 @@ def _parse(batches):
 
 def _checked(batches):
     """Segments in order -> one row per record; the running digest outlives batches."""
-    h = state = None
-    done = 0
-
-    def end():
-        if h.hexdigest() != state["payload_digest"] or done != state["payload_bytes"]:
-            raise ValueError(f"record {state['rid']}: digest or length differs")
-        return state
+    h, open_rid, done = None, None, 0
 
     def out(rows):
         keep = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("kind", pa.string()), ("refers_to", pa.int64())]
@@ -138,18 +132,21 @@ def _checked(batches):
             if r["kind"] == "revisit":
                 rows.append(r)
                 continue
-            if r["segment"] == 1:
-                if state:
-                    rows.append(end())
-                h, state, done = hashlib.sha1(), {**r, "data": None}, 0
-            elif not state or state["rid"] != r["rid"]:
-                raise ValueError(f"record {r['rid']}: first segment is missing")
+            if r["segment"] == 1 and open_rid is None:
+                h, open_rid, done, follows = hashlib.sha1(), r["rid"], 0, 1
+            if open_rid != r["rid"] or r["segment"] != follows:
+                raise ValueError(f"record {r['rid']}: a segment is missing")
             h.update(r["data"])
-            done += len(r["data"])
+            done, follows = done + len(r["data"]), follows + 1
+            if h.hexdigest() != r["payload_digest"] or done != r["payload_bytes"]:
+                raise ValueError(f"record {r['rid']}: digest or length differs")
+            if r["segment"] == r["segments"]:
+                rows.append({**r, "kind": "response"})
+                open_rid = None
         if rows:
             yield out(rows)
-    if state:
-        yield out([end()])
+    if open_rid is not None:
+        raise ValueError(f"record {open_rid}: a segment is missing")
 
 
 def read(spark: SparkSession, path: str, name: str) -> DataFrame:
