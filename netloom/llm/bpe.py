@@ -11,6 +11,9 @@ file. Texts with code points that this Python's tables do not know are split by
 normaliser, as its tables may be newer. Decoding joins the tokens' texts by a space, as a tokenizer
 without decoder does.
 
+No word crosses white space, so a text is looked up by its pieces between white space; a piece that
+is new is split into words, and the words that are new go through the index together.
+
 Edge cases: null or empty text has no ids and decodes to the empty text; special tokens in a text
 are single ids; words of any length are one array slice; repeated rows give repeated results.
 Memory: one Arrow batch, its distinct words, and a word cache of fixed size.
@@ -29,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-CACHE_CHARS = 30_000_000
+PIECES = 600_000  # pieces and words kept between the batches of a task
 
 
 def byte_chars() -> list:
@@ -137,7 +140,7 @@ def encode_words(words: list, v: Vocabulary) -> list:
 
 
 class Splitter:
-    """Text to a list of words (bytes) and special ids (int)."""
+    """Text to a list of pieces (normalised, str), words of texts that need the library (bytes) and special ids (int)."""
 
     def __init__(self, path: str, v: Vocabulary):
         self.path, self.v, self.library = path, v, None
@@ -151,20 +154,26 @@ class Splitter:
                 unknown.append(f"\\U{start:08x}-\\U{c - 1:08x}")
                 start = None
         self.unknown = re.compile("[" + "".join(unknown) + "]")
+        self.spaces = re.compile("[\x1c-\x1f]")  # white space to this Python alone
 
     def words(self, text: str) -> list:
+        if self.spaces.search(text):
+            return [w.encode() for w in WORD.findall(self.lower(text))] if not self.unknown.search(text) else self.by_library(text)
         if text.isascii():
-            return [w.encode() for w in WORD.findall(text.lower())]
-        if self.unknown.search(text):
-            if self.library is None:
-                from tokenizers import Tokenizer
-                self.library = Tokenizer.from_file(self.path)
-            t = self.library.normalizer.normalize_str(text)
-            back = self.v.to_byte
-            return [bytes(back[c] for c in w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(t)]
+            return text.lower().split()
+        return self.by_library(text) if self.unknown.search(text) else self.lower(text).split()
+
+    def lower(self, text: str) -> str:
         t = unicodedata.normalize("NFC", text)
-        t = "".join(c.lower() for c in t) if "Σ" in t else t.lower()  # no final sigma in a lower case by character
-        return [w.encode() for w in WORD.findall(t)]
+        return "".join(c.lower() for c in t) if "Σ" in t else t.lower()  # no final sigma in a lower case by character
+
+    def by_library(self, text: str) -> list:
+        if self.library is None:
+            from tokenizers import Tokenizer
+            self.library = Tokenizer.from_file(self.path)
+        t = self.library.normalizer.normalize_str(text)
+        back = self.v.to_byte
+        return [bytes(back[c] for c in w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(t)]
 
     def __call__(self, text: str) -> list:
         if not text:
@@ -177,6 +186,18 @@ class Splitter:
         return out
 
 
+def fill(cache: dict, pieces, v: Vocabulary):
+    """Adds (ids, decoded text) of the pieces that ``cache`` lacks, and of their words."""
+    new = [p for p in pieces if p not in cache]
+    parts = {p: [w.encode() for w in WORD.findall(p)] if isinstance(p, str) else [p] for p in new}
+    words = list({w for ws in parts.values() for w in ws if w not in cache})
+    if words:
+        for w, ids in zip(words, encode_words(words, v)):
+            cache[w] = (ids.tobytes(), " ".join(map(v.text.__getitem__, ids.tolist())))
+    for p, ws in parts.items():
+        cache[p] = cache[ws[0]] if len(ws) == 1 else (b"".join([cache[w][0] for w in ws]), " ".join([cache[w][1] for w in ws]))
+
+
 def encoded(docs: DataFrame, tokenizer: str, text_col="text", keep=("doc_id",), digests=False) -> DataFrame:
     """``keep`` columns, n_tokens, and ids with the decoded text, or their SHA-256 digests."""
     keep = list(keep)
@@ -184,21 +205,13 @@ def encoded(docs: DataFrame, tokenizer: str, text_col="text", keep=("doc_id",),
     def work(batches):
         v = Vocabulary(tokenizer)
         split = Splitter(tokenizer, v)
-        cache: dict = {}
-        held = 0
-        for i, t in v.text.items():
-            if t in v.special:
-                cache[i] = (np.array([i], "<u4").tobytes(), t)
-        special = dict(cache)
+        special = {i: (np.array([i], "<u4").tobytes(), t) for t, i in v.special.items()}
+        cache = dict(special)
         for b in batches:
             texts = [split(t or "") for t in b.column(text_col).to_pylist()]
-            if held > CACHE_CHARS:
-                cache, held = dict(special), 0
-            new = list({w for t in texts for w in t if w not in cache})
-            if new:
-                for w, ids in zip(new, encode_words(new, v)):
-                    cache[w] = (ids.tobytes(), " ".join(map(v.text.__getitem__, ids.tolist())))
-                    held += len(w)
+            if len(cache) > PIECES:
+                cache = dict(special)
+            fill(cache, {w for t in texts for w in t}, v)
             ids, text = [], []
             for t in texts:
                 got = [cache[w] for w in t]
@@ -213,4 +226,4 @@ def encoded(docs: DataFrame, tokenizer: str, text_col="text", keep=("doc_id",),
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["n_tokens long"]
     fields += ["ids_sha256 string", "decoded_sha256 string"] if digests else ["ids array<int>", "decoded string"]
-    return docs.select(*keep, text_col).mapInArrow(work, ", ".join(fields))
+    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(work, ", ".join(fields))
