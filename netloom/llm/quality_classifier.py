@@ -88,7 +88,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows=MAX_ROWS, shards=SHARDS,
     total = y.count()
     if total > max_rows:
         y = y.where(F.col("_u") < 1.3 * max_rows / total).orderBy("_u", "_id").limit(max_rows)
-    rows = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(y, "_id")
+    # at most ``max_rows`` labels: sent to the documents, so that only labelled texts are shuffled
+    rows = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(y), "_id")
             .select("_t", "_y", "_u", F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(shards)).alias("_s")))
 
     def fit(pdf):
