@@ -310,8 +310,10 @@ def _(v):
     return rr(X.robust_scale(v.bulk, v.bobs).select("obs_id", "gene", "value"), "value")
 
 
-@query("d31_standardize", f"""WITH {BG}, s AS (SELECT gene, avg(v) AS mu, stddev_pop(v) AS sd FROM b JOIN v_bobs o USING (obs_id) WHERE o.is_control GROUP BY 1)
-SELECT obs_id, gene, r((v - mu) / CASE WHEN sd < 1e-9 THEN 1 ELSE sd END) AS value FROM b JOIN s USING (gene)""")
+@query("d31_standardize", f"""WITH bk AS MATERIALIZED (SELECT obs_id, gene, value FROM v_bulk), ob AS MATERIALIZED (SELECT obs_id, is_control FROM v_bobs), n AS (SELECT count(*) AS n FROM ob WHERE is_control),
+t AS (SELECT gene, coalesce(sum(value) FILTER (is_control), 0) AS s, coalesce(sum(value * value) FILTER (is_control), 0) AS q FROM bk JOIN ob USING (obs_id) GROUP BY 1),
+m AS (SELECT gene, s / n AS mu, sqrt(greatest(0, q / n - (s / n) * (s / n))) AS sd FROM t, n)
+SELECT ob.obs_id, m.gene, r((coalesce(value, 0) - mu) / CASE WHEN sd < 1e-9 THEN 1 ELSE sd END) AS value FROM ob CROSS JOIN m LEFT JOIN bk ON bk.obs_id = ob.obs_id AND bk.gene = m.gene""")
 def _(v):
     return rr(X.standardize(v.bulk, v.bobs, v.bobs.where("is_control")), "value")
 
@@ -431,10 +433,15 @@ def _(v):
 @query("d45_diff_access", """WITH d AS (SELECT p.peak, o.obs_id, o.cell_type, coalesce(a.value, 0) AS v FROM (SELECT DISTINCT peak FROM v_access) p CROSS JOIN v_aobs o LEFT JOIN v_access a ON a.peak = p.peak AND a.obs_id = o.obs_id),
 k AS (SELECT peak, cell_type, v, rank() OVER (PARTITION BY peak ORDER BY v) + (count(*) OVER (PARTITION BY peak, v) - 1) / 2.0 AS rk FROM d),
 s AS (SELECT peak, cell_type, sum(rk) AS r1, count(*) AS n1, sum(v) AS s1 FROM k GROUP BY ALL), z AS (SELECT *, (SELECT count(*) FROM v_aobs) AS n, sum(s1) OVER (PARTITION BY peak) AS st FROM s)
-SELECT cell_type, peak AS gene, r((r1 - n1 * (n + 1) / 2.0) / sqrt(n1 * (n - n1) * (n + 1) / 12.0)) AS score, r(log2((s1 / n1 + 1e-9) / ((st - s1) / (n - n1) + 1e-9))) AS lfc FROM z WHERE abs(st - s1) > 1e-6 AND s1 > 0""")
+SELECT cell_type, peak AS gene, r((r1 - n1 * (n + 1) / 2.0) / sqrt(n1 * (n - n1) * (n + 1) / 12.0)) AS score, r(log2((round(s1, 9) / n1 + 1e-9) / (greatest(0, round(st - s1, 9)) / (n - n1) + 1e-9))) AS lfc FROM z""")
 def _(v):
     d = X.rank_sum_rest(v.access.withColumnRenamed("peak", "gene"), v.aobs, "cell_type")
-    return rr(d.where("lfc between -25 and 25"), "score", "lfc")
+    return rr(d, "score", "lfc")
+
+
+@query("d45_markers")
+def _(v):
+    return rr(X.differential(v.access.withColumnRenamed("peak", "gene"), v.aobs, "cell_type"), "score", "lfc", "p", "padj")
 
 
 D46 = """SELECT metric, count(*) AS n_datasets, r(min(mx)) AS max_lo, r(max(mx)) AS max_hi, r(min(rom)) AS spread_lo, r(max(rom)) AS spread_hi FROM

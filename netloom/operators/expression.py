@@ -1,11 +1,13 @@
 """Aggregations over expression tables. Absent rows are zeros: counts of samples come from the
 metadata table, and histograms get a zero bin of ``n - nnz``."""
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from netloom.functions import det
-from netloom.functions.stats import (bh, rank_table, scan, t_p_greater, t_p_two, top_k, weighted_percentile,
+from netloom.functions.stats import (bh, norm_p_two, rank_table, scan, t_p_greater, t_p_two, top_k, weighted_percentile,
                                      welch_t)
 from netloom.functions.skew import spread_join
 from netloom.operators.blocks import attach_all, pair_sums
@@ -167,10 +169,20 @@ def rank_sum_rest(expr, obs, group):
     r = r.join(tot, "gene").withColumn("n", total)
     n1, n2 = F.col("n1"), F.col("n") - F.col("n1")
     z = (F.col("r1") - n1 * (F.col("n") + 1) / 2.0) / F.sqrt(n1 * n2 * (F.col("n") + 1) / 12.0)
-    lfc = F.log2((F.col("s1") / n1 + 1e-9) / ((F.col("s") - F.col("s1")) / n2 + 1e-9))
+    rest = F.greatest(F.lit(0.0), F.round(F.col("s") - F.col("s1"), 9))  # a difference of sums: no noise below 1e-9
+    lfc = F.log2((F.round("s1", 9) / n1 + 1e-9) / (rest / n2 + 1e-9))
     return r.select(group, "gene", z.alias("score"), lfc.alias("lfc"))
 
 
+def differential(expr, obs, group, min_fold=1.5, alpha=0.05):
+    """Genes (or regions) that mark a group: rank-sum against all other samples, two-sided p of
+    its z, Benjamini-Hochberg within the group, fold change of at least ``min_fold``.
+    (group, gene, score, lfc, p, padj, is_marker)"""
+    d = rank_sum_rest(expr, obs, group).withColumn("p", F.coalesce(norm_p_two("score"), F.lit(1.0)))
+    d = bh(d, [group], "p")
+    return d.withColumn("is_marker", (F.col("lfc") >= math.log2(min_fold)) & (F.col("padj") <= alpha))
+
+
 def wasserstein(expr, obs, group="perturbation", control="control"):
     """1-D Wasserstein distance between each group and the controls, per gene.
 

@@ -92,3 +92,31 @@ def test_draws_are_spread_evenly(table):
     got = Z.draw(table([(f"s{j}", 10) for j in range(2000)], "source string, k int"), items, "source", "gene", F.col("k"), 1).where("_j < 10")
     c = [r["count"] for r in got.groupBy("gene").count().collect()]
     assert len(c) == 50 and min(c) > 300 and max(c) < 500  # 53 steps, 377 expected
+
+
+def test_markers_against_numpy(table):
+    import math
+    rng = np.random.default_rng(2)
+    x = rng.poisson(1.0, (40, 12)).astype(float)
+    x[:20, 0] += 6
+    x[20:, 1] = 0
+    e = table([(f"o{i}", f"g{j}", float(x[i, j])) for i, j in zip(*np.nonzero(x))], "obs_id string, gene string, value double")
+    o = table([(f"o{i}", "a" if i < 20 else "b") for i in range(40)], "obs_id string, grp string")
+    got = {(r.grp, r.gene): r for r in X.differential(e, o, "grp").collect()}
+    for g, side in (("a", slice(0, 20)), ("b", slice(20, 40))):
+        p = []
+        for j in range(12):
+            v = np.sort(x[:, j])
+            rank = {u: (np.searchsorted(v, u) + np.searchsorted(v, u, "right") + 1) / 2 for u in v}
+            z = (sum(rank[u] for u in x[side, j]) - 20 * 41 / 2) / math.sqrt(20 * 20 * 41 / 12)
+            p.append(math.erfc(abs(z) / math.sqrt(2)))
+        order = np.argsort(p)
+        adj, low = [0.0] * 12, 1.0
+        for k in range(11, -1, -1):
+            low = min(low, p[order[k]] * 12 / (k + 1))
+            adj[order[k]] = low
+        for j in range(12):
+            r = got[g, f"g{j}"]
+            assert r.p == pytest.approx(p[j]) and r.padj == pytest.approx(adj[j])
+            assert r.is_marker == (r.lfc >= math.log2(1.5) and adj[j] <= 0.05)
+    assert got["a", "g0"].is_marker and got["a", "g1"].is_marker and not got["b", "g1"].is_marker
