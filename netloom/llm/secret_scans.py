@@ -31,7 +31,7 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
 ALLOW = r"(?i)example|sample|dummy|placeholder|x{6}|0{8}|12345678|abcdefgh|^[0-9/_=+-]+$|^[A-Za-z]+([-_/=+][A-Za-z]+)*[-_/=+]?[0-9]{1,6}$"
 WINDOW, HEX_BITS, MIXED_BITS = 20, 3.0, 3.6
 KINDS = [*BASE, "entropy"]
-SPAN = "array<struct<s:bigint,k:int,e:bigint>>"
+MATCHES = "array<struct<s:bigint,e:bigint,t:string>>"
 
 
 def _xlogx(n: Column) -> Column:
@@ -57,24 +57,34 @@ def entropy_peak(text: Column, window=WINDOW) -> Column:
     return F.when(F.length(text) >= window, F.aggregate(F.sequence(F.lit(1), F.length(text)), start, step, lambda a: a["best"])).otherwise(F.lit(0.0))
 
 
-def _located(pieces: Column, found: Column) -> Column:
-    """array<struct<s,e,t>> of the matches, from the pieces between them."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<s:bigint,e:bigint,t:string>>").alias("out"))
+def _located(pieces: Column, found: Column, run=128) -> Column:
+    """array<struct<s,e,t>> of the matches, from the pieces between them.
 
-    def step(acc, x):
+    Places are added up in runs of ``run`` matches, so that appending to an array never copies
+    more than a run, however many matches a text has.
+    """
+    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, f: F.struct(p.alias("p"), f.alias("f")))
+
+    def one(acc, x):
         s = acc["at"] + F.length(x["p"])
         e = s + F.length(x["f"])
         return F.struct(e.cast("bigint").alias("at"), F.concat(acc["out"], F.array(F.struct(s.cast("bigint").alias("s"), e.cast("bigint").alias("e"), x["f"].alias("t")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, f: F.struct(p.alias("p"), f.alias("f")))
-    return F.aggregate(pairs, start, step, lambda a: a["out"])
+    def many(acc, k):
+        inner = F.aggregate(F.slice(acc["pairs"], k * run + 1, run), F.struct(acc["at"].alias("at"), F.array().cast(MATCHES).alias("out")), one)
+        bound = F.transform(F.array(inner), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out"), acc["pairs"].alias("pairs")))
+        return F.element_at(bound, 1)
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{MATCHES}>").alias("out"), pairs.alias("pairs"))
+    runs = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / run).cast("int"))
+    return F.when(F.size(found) > 0, F.aggregate(runs, start, many, lambda a: F.flatten(a["out"])))
 
 
 def _matches(df: DataFrame, name: str, text: str, pattern: str, guard: Column) -> DataFrame:
     """Adds ``name``: the located matches of ``pattern``, where ``guard`` holds."""
     t, p = F.when(guard, F.col(text)), F.lit(pattern)
     df = df.withColumn(f"{name}_p", F.split(t, pattern, -1)).withColumn(f"{name}_f", F.regexp_extract_all(t, p, 0))
-    return df.withColumn(name, F.coalesce(_located(F.col(f"{name}_p"), F.col(f"{name}_f")), F.array().cast("array<struct<s:bigint,e:bigint,t:string>>"))).drop(f"{name}_p", f"{name}_f")
+    return df.withColumn(name, F.coalesce(_located(F.col(f"{name}_p"), F.col(f"{name}_f")), F.array().cast(MATCHES))).drop(f"{name}_p", f"{name}_f")
 
 
 def _at_least(pattern: str, group: int, least: int):

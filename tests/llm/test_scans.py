@@ -40,6 +40,12 @@ def test_spans_equal_brute_force(spark):
     assert "entropy" in got[6][1] and "entropy" not in got[7][1] + got[8][1] + got[11][1] and "entropy" in got[9][1]
 
 
+def test_texts_with_very_many_spans(spark):
+    text = " ".join(f"{k:016x} w" for k in range(20_000)) + " é token: abcdefghijklmnop"
+    got = S.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(S.written("found")).first()[0]
+    assert got == brute(text)[1] and got.count("hex") == 20_000
+
+
 def test_scan_runs_no_python_and_no_shuffle(spark):
     plan = queries.op7_secret_scans(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
