@@ -203,7 +203,7 @@ def _(v):
     bg = v.net.where("model = 'A'").select("source", "target", F.abs("weight").alias("ws_distance"))
     ctx = {"expr": v.bulk, "obs": v.bobs, "groups": groups(v), "tfs": v.gtfs, "genes": v.counts.select("gene").distinct(), "truths": truths(v), "de": de_table(v),
            "sets": v.genesets, "background": bg, "edge_counts": cut(E.consensus_edges(v.net.where("weight > 0.2"), v.gtfs), "consensus")}
-    return rr(U.evaluate(e, ctx, ["ws_distance", "tf_recovery", "tf_binding", "gs_recovery", "replicate_consistency"]), "value")
+    return rr(U.evaluate(e, ctx, ["ws_distance", "tf_recovery", "tf_binding", "gs_recovery", "replicate_consistency"]).select("metric", "value"), "value")
 
 
 APP = """g AS (SELECT dataset, metric, count(value) AS n, avg(value) AS mean, min(value) AS mn, max(value) AS mx, max(value) FILTER (model = 'negative_control') AS nc, max(value) FILTER (model = 'positive_control') AS pc,

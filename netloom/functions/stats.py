@@ -132,7 +132,12 @@ def _betacf(a, b, x):
     return h
 
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+def _lgamma(x):
+    """log Gamma once per distinct argument: degrees of freedom repeat over many rows."""
+    u, inv = np.unique(x, return_inverse=True)
+    return np.array([math.lgamma(v) for v in u])[inv].reshape(np.shape(x))
+
+
 _erfc = np.vectorize(math.erfc, otypes=[float])
 
 

@@ -305,6 +305,20 @@ def fit_scaler(expr, obs_fit):
     return m.select("gene", (F.col("s") / F.col("n")).alias("mu"), F.when(sd < 1e-9, 1.0).otherwise(sd).alias("sd"))
 
 
+def fold_scaler(expr, folds):
+    """Population deviation of every gene over the samples outside each fold; zero counts as 1.
+    Sums of all folds less the own one. ``folds`` is (obs_id, fold); (gene, fold, sd)."""
+    v = F.col("value")
+    own = expr.join(folds.select("obs_id", "fold"), "obs_id").groupBy("gene", "fold").agg(F.sum(v).alias("s"), F.sum(v * v).alias("q"))
+    total = own.groupBy("gene").agg(F.sum("s").alias("ts"), F.sum("q").alias("tq"))
+    size = folds.groupBy("fold").agg(F.count("*").alias("n"))
+    size = size.withColumn("rest", size.select(F.sum("n")).scalar() - F.col("n")).select("fold", "rest")
+    d = attach_all(total, size).join(own, ["gene", "fold"], "left").fillna(0.0, ["s", "q"])
+    s, q = F.col("ts") - F.col("s"), F.col("tq") - F.col("q")
+    sd = F.sqrt(F.greatest(F.lit(0.0), q / F.col("rest") - F.pow(s / F.col("rest"), 2)))
+    return d.select("gene", "fold", F.when(F.coalesce(sd, F.lit(0.0)) < 1e-9, 1.0).otherwise(sd).alias("sd"))
+
+
 def standardize(expr, obs, obs_fit):
     """Centre and scale with the statistics of a subset. The result is dense: a zero becomes
     -mean/deviation."""

@@ -281,12 +281,11 @@ def sem(edges, expr, obs, strict, loose, cv, early, n_top=3000):
 
 def _vc_half(edges, genes, expr, obs, strict, loose, cv):
     net = E.edges_in(edges, genes).where("source != target and weight != 0")
-    e = expr.join(genes.select("gene"), "gene", "left_semi")
-    sd = X.fit_scaler(e, obs)
-    scaled = cut(e.join(sd, "gene").select("obs_id", "gene", (F.col("value") / F.col("sd")).alias("value")), "scaled")
+    e = cut(expr.join(genes.select("gene"), "gene", "left_semi").select("obs_id", "gene", "value"), "expr")
     o = obs.withColumn("_g", F.concat_ws("_", *cv))
     f = cut(o.join(Z.group_kfold(o, "_g"), "_g").select("obs_id", "perturbation", "is_control", "fold"), "folds")
-    delta, match = X.perturbation_delta(scaled, obs, strict, loose)
+    sd = cut(X.fold_scaler(e, f), "scale")  # each fold by its training samples alone
+    delta, match = X.perturbation_delta(e, obs, strict, loose)
     delta = cut(delta.join(f.where("not is_control").select("obs_id", "fold"), "obs_id"), "delta")
     # mean response of the training folds: all folds minus the own one
     per = delta.groupBy("gene", "fold").agg(F.sum("value").alias("s"))
@@ -298,14 +297,16 @@ def _vc_half(edges, genes, expr, obs, strict, loose, cv):
     heads = net.select(F.col("target").alias("gene")).distinct().withColumn("_h", F.lit(1))
     mean = mean.join(heads, "gene", "left").select("gene", "fold", F.when(F.col("_h") == 1, F.col("mean")).otherwise(0.0).alias("mean"))
     test = f.where("not is_control")
-    y = X.densify(scaled, test, genes).withColumnRenamed("value", "y").join(test.select("obs_id", "fold"), "obs_id")
-    ctrl = match.join(scaled.select(F.col("obs_id").alias("control_id"), "gene", F.col("value").alias("c")), "control_id").select("obs_id", "gene", "c")
+    y = X.densify(e, test, genes).withColumnRenamed("value", "y").join(test.select("obs_id", "fold"), "obs_id")
+    ctrl = match.join(e.select(F.col("obs_id").alias("control_id"), "gene", F.col("value").alias("c")), "control_id").select("obs_id", "gene", "c")
     pred = cut(y.join(ctrl, ["obs_id", "gene"], "left").join(mean, ["gene", "fold"], "left")
-               .select("obs_id", "gene", "fold", "y", (F.coalesce("c", F.lit(0.0)) + F.coalesce("mean", F.lit(0.0))).alias("y_hat")), "pred")
+               .join(sd, ["gene", "fold"], "left").withColumn("sd", F.coalesce("sd", F.lit(1.0)))
+               .select("obs_id", "gene", "fold", (F.col("y") / F.col("sd")).alias("y"), ((F.coalesce("c", F.lit(0.0)) + F.coalesce("mean", F.lit(0.0))) / F.col("sd")).alias("y_hat")), "pred")
     r2 = X.pooled_r2(pred).agg(F.avg("r2").alias("value"))
     hat = pred.select("obs_id", "gene", F.col("y_hat").alias("value")).where("value != 0")
     item = X.profiles(hat, test).withColumn("item", F.lit("mean"))
-    p = X.pds(cut(item, "item"), cut(X.profiles(scaled, test), "true")).agg(F.avg("pds").alias("pds"))
+    true = pred.select("obs_id", "gene", F.col("y").alias("value")).where("value != 0")
+    p = X.pds(cut(item, "item"), cut(X.profiles(true, test), "true")).agg(F.avg("pds").alias("pds"))
     return r2, p
 
 

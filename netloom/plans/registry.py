@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, functions as F
 
 from netloom.plans import metrics as M
-from netloom.plans.config import DATASET_FAMILIES
+from netloom.operators import nulls
+from netloom.plans.config import CV_COLUMN, DATASET_FAMILIES, DATASET_GROUPS, FAMILY_METRICS, modality
 
 METHODS, METRICS, SPLITS = {}, {}, {}
 
@@ -32,20 +33,52 @@ def infer(name, expr, obs, tfs, dataset=None, **params) -> DataFrame:
     return e.select(F.lit(dataset).alias("dataset_id"), F.lit(name).alias("method_id"), "source", "target", "weight")
 
 
+def settings(dataset):
+    """The dataset's metadata columns under the names that metrics ask for."""
+    g = DATASET_GROUPS.get(dataset, {})
+    named = {"strict": g.get("match"), "loose": g.get("loose_match"), "cv": g.get("cv"), "cv_column": CV_COLUMN.get(dataset)}
+    return {k: v for k, v in named.items() if v}
+
+
 def evaluate(edges, context, families=None, dataset=None) -> DataFrame:
-    """All metrics that apply to a data set, as one long table (metric, value). Metrics whose
-    input tables are missing from the context are skipped."""
+    """All metrics that apply to a data set, as one long table (metric, value, reason).
+
+    ``context`` overrides what the configuration says about the data set. A metric whose input
+    tables are missing has a row without value and the reason.
+    """
+    context = {**settings(dataset), **context}
     names = families or DATASET_FAMILIES.get(dataset, list(METRICS))
-    out = None
+    out, lacking = None, []
     for n in names:
-        if n in METRICS and all(k in context for k in NEEDS.get(n, ())):
-            part = METRICS[n](edges, context).select("metric", F.col("value").cast("double").alias("value"))
-            out = part if out is None else out.unionByName(part)
+        missing = [k for k in NEEDS.get(n, ()) if k not in context] if n in METRICS else ["a registered metric"]
+        if missing:
+            lacking += [(m, None, f"missing: {', '.join(missing)}") for m in FAMILY_METRICS.get(n, [n])]
+            continue
+        part = METRICS[n](edges, context).select("metric", F.col("value").cast("double").alias("value"), F.lit(None).cast("string").alias("reason"))
+        out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError(f"no metric of {names} has its inputs; context holds {sorted(context)}")
+    return out.unionByName(edges.sparkSession.createDataFrame(lacking, "metric string, value double, reason string")) if lacking else out
+
+
+def evaluate_all(predictions, contexts, families=None) -> DataFrame:
+    """Scores of every (dataset, method) of a prediction table (dataset_id, method_id, source, target, weight):
+    (dataset, modality, model, metric, value, reason). ``contexts`` maps data sets to their tables; the
+    pairs, a handful, are listed once and their plans are united."""
+    out = None
+    for r in predictions.select("dataset_id", "method_id").distinct().orderBy("dataset_id", "method_id").collect():
+        d, m = r.dataset_id, r.method_id
+        e = predictions.where((F.col("dataset_id") == d) & (F.col("method_id") == m)).select("source", "target", "weight")
+        part = evaluate(e, contexts[d], families, d).select(F.lit(d).alias("dataset"), F.lit(modality(d)).alias("modality"), F.lit(m).alias("model"), "metric", "value", "reason")
+        out = part if out is None else out.unionByName(part)
     return out
 
 
+def split(name, obs) -> DataFrame:
+    """(split, perturbation) by a registered rule."""
+    return SPLITS[name](obs)
+
+
 NEEDS = {
     "regression": ("expr", "obs", "tfs", "regulators"), "ws_distance": ("background", "edge_counts"), "tf_recovery": ("de",),
     "tf_binding": ("truths", "genes", "tfs"), "gs_recovery": ("sets", "expr", "obs", "tfs"), "replicate_consistency": ("expr", "groups"),
@@ -91,3 +124,4 @@ def _partial(expr, obs, tfs, n=50_000, k=10):
 register_method("negative_control", _negative)
 register_method("grnboost", _boosted)
 register_method("ppcor", _partial)
+register_split("perturbations", nulls.split_perturbations)

@@ -120,3 +120,17 @@ def test_markers_against_numpy(table):
             assert r.p == pytest.approx(p[j]) and r.padj == pytest.approx(adj[j])
             assert r.is_marker == (r.lfc >= math.log2(1.5) and adj[j] <= 0.05)
     assert got["a", "g0"].is_marker and got["a", "g1"].is_marker and not got["b", "g1"].is_marker
+
+
+def test_each_fold_is_scaled_by_the_other_folds(table):
+    rng = np.random.default_rng(6)
+    x = rng.poisson(2.0, (15, 4)).astype(float)
+    x[:, 3] = 0
+    x[:5, 3] = 4.0  # varies in fold 0 against the rest, flat outside it
+    e = table([(f"o{i}", f"g{j}", float(x[i, j])) for i, j in zip(*np.nonzero(x))], "obs_id string, gene string, value double")
+    f = table([(f"o{i}", i // 5) for i in range(15)], "obs_id string, fold int")
+    got = {(r.gene, r.fold): r.sd for r in X.fold_scaler(e, f).collect()}
+    for j in range(4):
+        for k in range(3):
+            sd = np.delete(x[:, j], slice(5 * k, 5 * k + 5)).std()
+            assert got[f"g{j}", k] == pytest.approx(sd if sd > 1e-9 else 1.0)
