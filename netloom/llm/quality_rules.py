@@ -120,7 +120,7 @@ def thresholds(values: DataFrame, labels: DataFrame, strata="lang", risk=RISK, d
             .where("_q = 1").select(id_col))
     hist = (values.where("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words").join(good, id_col)
             .groupBy(F.coalesce(F.col(strata).cast("string"), F.lit("\0")).alias("stratum"), "level").agg(F.count("*").alias("n")))
-    hist = hist.crossJoin(hist.agg(F.countDistinct("stratum").alias("strata")))  # one row: the Bonferroni divisor
+    hist = hist.withColumn("strata", hist.select(F.count_distinct("stratum")).scalar())  # the Bonferroni divisor
 
     def fit(pdf):
         counts = dict(zip(pdf["level"].astype(int), pdf["n"].astype(int)))
