@@ -41,7 +41,7 @@ from netloom.llm.common import LOWER, Cache, raw
 from netloom.session import cut, scratch
 
 END, START = np.uint64(1 << 16), 0  # the end token's hash; the start history's code
-K, BLOCK_TOKENS, BLOCK_DOCS, PART_TOKENS = 5, 1_000_000, 60_000, 2_500_000
+K, BLOCK_TOKENS, BLOCK_DOCS, PART_TOKENS = 5, 700_000, 60_000, 1_800_000
 SAMPLE, CODES = 4_000, 60_000
 BLOBS = ("w", "wn", "hc", "hx", "pn", "d", "train", "ids")
 TABLE = "part int, block long, docs int, " + ", ".join(f"{c} binary" for c in BLOBS)
