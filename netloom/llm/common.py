@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-CACHE = 400_000  # entries a per-task word cache may hold before it starts again
+CACHE = 200_000  # entries a per-task word cache may hold before it starts again
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
