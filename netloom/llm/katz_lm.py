@@ -227,8 +227,9 @@ def _stats(part_table: pa.Table, short, hot) -> pa.Table:
         add = lambda x: np.add.reduceat(x.astype(np.int64), first)
         b = np.where(j < 0, p.word_c[p.word_of[kept]] + 1, 1)
         put(len(first), h=h[first], j=j[first], b=add(b), **{f"n{r}": add(c == r) for r in range(2, K + 1)}, **{f"n{K + 1}": add(np.where(c > K, c, 0))})
-    # the words' own counts, as histories; the end token's count is also the start history's
-    own = np.flatnonzero((p.word_c >= 2) & (p.words != END) | is_hot & (p.word_c > 0) & (p.words != END))
+    # the words' own counts, as histories; the end token's count is also the start history's. A hot word
+    # is asked for wherever it occurs: its training tokens may all be in other parts
+    own = np.flatnonzero(((p.word_c >= 2) | is_hot) & (p.words != END))
     put(len(own), h=p.words[own] >> np.uint64(16), j=np.full(len(own), -1), c=p.word_c[own])
     ends = int(p.word_c[p.words == END].sum())
     if ends:

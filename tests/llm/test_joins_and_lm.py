@@ -206,6 +206,17 @@ def test_model_edge_cases(spark):
     assert all(r[3] == r[4] == 0 and r[5] == r[6] == 0.0 for r in none)
 
 
+def test_hot_words_after_unseen_histories(spark):
+    passage = [f"p{k}" for k in range(20)]
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2]
+    # held-out texts deal each hot word to parts that have no training token of it
+    data = [(i, " ".join(f"q{i} p{k} p{(k + i) % 20}" for k in range(20)) if i in held else " ".join(passage)) for i in range(400)]
+    x = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted(rows(L.scores(x, crc_mod("doc_id", 7) == 2)))
+    for g, w in zip(got, sorted(katz(data)), strict=True):
+        assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-9)
+
+
 def test_pipeline_stages(spark, tmp_path):
     names, x = [], table(spark, SF, "documents")
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
