@@ -2,7 +2,7 @@
 
 Order 2 over an open vocabulary. The lowest order is the add-one distribution over the training
 tokens and one unknown token, P1(w) = (c(w) + 1) / (N + V + 1), which sums to one. Bigrams seen at
-least twice are kept with Good-Turing discounts d(c) for counts up to ``K``, so
+least ``least`` times (1: all of them) are kept with Good-Turing discounts d(c) for counts up to ``K``, so
 
     P(w | h) = s(h) d(c) c(h, w) / c(h)   if (h, w) is kept
              = alpha(h) P1(w)             else, evaluated recursively
@@ -204,7 +204,7 @@ class Part:
         self.word_c = np.add.reduceat(self.c, first) if len(first) else np.empty(0, np.int64)
 
 
-def _stats(part_table: pa.Table, short, hot) -> pa.Table:
+def _stats(part_table: pa.Table, short, hot, least: int) -> pa.Table:
     """``STATS`` rows of one part."""
     p = Part(part_table, short)
     part = part_table.column("part")[0].as_py()
@@ -216,8 +216,8 @@ def _stats(part_table: pa.Table, short, hot) -> pa.Table:
         for k, v in cols.items():
             v.append(np.asarray(got.get(k, np.zeros(n)), np.int64) if np.ndim(got.get(k, np.zeros(n))) else np.full(n, got[k], np.int64))
 
-    # pairs that are kept, per history and hot word: counts of counts 2..K, the sum of larger counts, and of c(w) + 1
-    kept = np.flatnonzero(p.c >= 2)
+    # pairs that are kept, per history and hot word: counts of counts up to K, the sum of larger counts, and of c(w) + 1
+    kept = np.flatnonzero(p.c >= least)
     j = np.where(is_hot[p.word_of[kept]], hot_of[p.word_of[kept]], -1)
     o = np.lexsort((j, p.h[kept]))
     kept, j = kept[o], j[o]
@@ -226,10 +226,10 @@ def _stats(part_table: pa.Table, short, hot) -> pa.Table:
         first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (j[1:] != j[:-1])])
         add = lambda x: np.add.reduceat(x.astype(np.int64), first)
         b = np.where(j < 0, p.word_c[p.word_of[kept]] + 1, 1)
-        put(len(first), h=h[first], j=j[first], b=add(b), **{f"n{r}": add(c == r) for r in range(2, K + 1)}, **{f"n{K + 1}": add(np.where(c > K, c, 0))})
+        put(len(first), h=h[first], j=j[first], b=add(b), **{f"n{r}": add(c == r) for r in range(least, K + 1)}, **{f"n{K + 1}": add(np.where(c > K, c, 0))})
     # the words' own counts, as histories; the end token's count is also the start history's. A hot word
     # is asked for wherever it occurs: its training tokens may all be in other parts
-    own = np.flatnonzero(((p.word_c >= 2) | is_hot) & (p.words != END))
+    own = np.flatnonzero(((p.word_c >= least) | is_hot) & (p.words != END))
     put(len(own), h=p.words[own] >> np.uint64(16), j=np.full(len(own), -1), c=p.word_c[own])
     ends = int(p.word_c[p.words == END].sum())
     if ends:
@@ -245,16 +245,16 @@ def _stats(part_table: pa.Table, short, hot) -> pa.Table:
 
 
 def discounts(n: dict) -> list:
-    """Good-Turing discount of counts 0..K (0 and 1 unused), by Katz's formula; absolute where counts of counts are too few for it."""
-    out = [1.0, 1.0]
+    """Good-Turing discount of counts 0..K (0 unused), by Katz's formula; absolute where counts of counts are too few for it."""
+    out = [1.0]
     cut_off = (K + 1) * n.get(K + 1, 0) / n[1] if n.get(1) else 1.0
-    for r in range(2, K + 1):
+    for r in range(1, K + 1):
         d = ((r + 1) * n.get(r + 1, 0) / (r * n[r]) - cut_off) / (1 - cut_off) if n.get(r) and cut_off < 1 else 0.0
         out.append(d if 0 < d < 1 else (r - 0.5) / r)
     return out
 
 
-def _sums(p: Part, hist: pa.Table, hot, hot_c, d, log_d: float):
+def _sums(p: Part, hist: pa.Table, hot, hot_c, d, log_d: float, least: int):
     """Partial sums of each block's documents in one part: (block, docs seen, n, known, base, more, ids, nulls)."""
     word_c = p.word_c
     if len(hot):
@@ -274,7 +274,7 @@ def _sums(p: Part, hist: pa.Table, hot, hot_c, d, log_d: float):
 
     own = np.where(p.words == END, 0.0, look(p.words >> np.uint64(16), alpha))
     disc = np.where(p.c <= K, np.asarray(d)[np.clip(p.c, 0, K)], 1.0)
-    kept = np.where(p.c >= 2, np.log10(np.maximum(p.c, 1) * disc) + look(p.h, weight) - (log_c[p.word_of] - log_d), 0.0)
+    kept = np.where(p.c >= least, np.log10(np.maximum(p.c, 1) * disc) + look(p.h, weight) - (log_c[p.word_of] - log_d), 0.0)
     per_pair = kept + own[p.word_of]
     base_pair, known_pair = log_c[p.word_of], (word_c > 0)[p.word_of]
     out = []
@@ -291,8 +291,11 @@ def _sums(p: Part, hist: pa.Table, hot, hot_c, d, log_d: float):
 PARTIAL = "block long, docs int, at binary, n binary, known binary, base binary, more binary, train binary, ids binary, nulls binary"
 
 
-def scores(docs: DataFrame, held_out, id_col="doc_id", text_col="text", part_tokens=PART_TOKENS, sample=SAMPLE, min_parts=8) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score); trained on rows where the column ``held_out`` is false."""
+def scores(docs: DataFrame, held_out, id_col="doc_id", text_col="text", part_tokens=PART_TOKENS, sample=SAMPLE, min_parts=8, least=2) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score); trained on rows where the column ``held_out`` is false.
+
+    Bigrams of fewer than ``least`` training occurrences count as unseen; 1 is Katz's whole model.
+    """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), (~F.coalesce(held_out, F.lit(False))).alias("train"))
     n, per_doc, words, share = sampled(src, sample)
@@ -312,7 +315,7 @@ def scores(docs: DataFrame, held_out, id_col="doc_id", text_col="text", part_tok
     shared = spark.sparkContext.broadcast((short, hot))
 
     def count(t: pa.Table) -> pa.Table:
-        return _stats(t, *shared.value)
+        return _stats(t, *shared.value, least)
 
     stats = cut(tok.drop("ids", "nulls").groupBy("part").applyInArrow(count, STATS), "stats")
     t = stats.where("h = -1").agg(F.sum("total").alias("n"), F.sum("types").alias("v"), *[F.sum(f"n{r}").alias(f"n{r}") for r in range(1, K + 2)]).first()
@@ -327,8 +330,8 @@ def scores(docs: DataFrame, held_out, id_col="doc_id", text_col="text", part_tok
     # b of a hot successor counts pairs: times its count + 1
     one = F.when(F.col("j") < 0, F.col("b")).otherwise(F.col("b") * F.element_at(F.array(*[F.lit(int(x) + 1) for x in hot_c] or [F.lit(1)]), F.greatest(F.col("j") + 1, F.lit(1))))
     h = (stats.where("h >= 0").withColumn("b", one).groupBy("h")
-         .agg(F.sum("c").alias("c"), F.sum("b").alias("b"), *[F.sum(f"n{r}").alias(f"n{r}") for r in range(2, K + 2)]))
-    mass = sum((F.col(f"n{r}") * (r * d[r]) for r in range(2, K + 1)), F.col(f"n{K + 1}").cast("double"))
+         .agg(F.sum("c").alias("c"), F.sum("b").alias("b"), *[F.sum(f"n{r}").alias(f"n{r}") for r in range(least, K + 2)]))
+    mass = sum((F.col(f"n{r}") * (r * d[r]) for r in range(least, K + 1)), F.col(f"n{K + 1}").cast("double"))
     h = h.where("b > 0").withColumn("a", mass).withColumn("left", F.greatest(1 - F.col("a") / F.col("c"), 0.5 / (F.col("c") + 1)))
     h = h.select("h", F.log10(F.col("left") / F.greatest(1 - F.col("b") / size, F.lit(1e-12))).alias("la"), F.log10((1 - F.col("left")) / F.col("a")).alias("s"))
     h = cut(h.select("h", "la", (F.col("s") - F.col("la")).alias("g")), "histories")
@@ -339,7 +342,7 @@ def scores(docs: DataFrame, held_out, id_col="doc_id", text_col="text", part_tok
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         s, hot_ = shared.value
-        rows = _sums(Part(left, s), right, hot_, hot_c, d, log_d) if left.num_rows else []
+        rows = _sums(Part(left, s), right, hot_, hot_c, d, log_d, least) if left.num_rows else []
         types_ = [pa.int64(), pa.int32(), *[pa.binary()] * 8]
         names = [x.split()[0] for x in PARTIAL.split(", ")]
         cols = zip(*rows) if rows else [[]] * len(names)

@@ -77,7 +77,7 @@ def _url_sql():
 
 
 def op10_katz_lm(spark, sf_dir):
-    return katz_lm.scores(table(spark, sf_dir, "documents").select("doc_id", "text"), crc_mod("doc_id", 7) == 2)
+    return katz_lm.scores(table(spark, sf_dir, "documents").select("doc_id", "text"), crc_mod("doc_id", 7) == 2, least=1)
 
 
 QUERIES = {f.__name__: f for f in (op1_spot_signatures, op2_quality_classifier, op3_packing, op4_quality_rules, op5_bpe, op6_warc, op7_secret_scans, op8_ngram_join,

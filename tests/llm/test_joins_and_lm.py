@@ -217,6 +217,43 @@ def test_hot_words_after_unseen_histories(spark):
         assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-9)
 
 
+def katz_whole(data):
+    """(id, text) rows -> score by Katz's formulas with every seen bigram kept."""
+    tok = [[*words(t), None] for _, t in data]
+    c, pair = Counter(), Counter()
+    for (i, _), t in zip(data, tok):
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2:
+            c.update(t), pair.update(zip(["<s>", *t[:-1]], t))
+    size, n = sum(c.values()) + len(c) + 1, Counter(pair.values())
+    cut_off = (L.K + 1) * n[L.K + 1] / n[1]
+    d = {r: ((r + 1) * n[r + 1] / (r * n[r]) - cut_off) / (1 - cut_off) for r in range(1, L.K + 1)}
+    d = {r: x if 0 < x < 1 else (r - 0.5) / r for r, x in d.items()}
+    hist, mass, lower = Counter(), Counter(), Counter()
+    for (h, w), k in pair.items():
+        hist[h] += k
+        mass[h] += k * d.get(k, 1)
+        lower[h] += (c[w] + 1) / size
+    left = {h: max(1 - mass[h] / hist[h], 0.5 / (hist[h] + 1)) for h in mass}
+
+    def p(h, w):
+        if (h, w) in pair:
+            return (1 - left[h]) / mass[h] * pair[h, w] * d.get(pair[h, w], 1)
+        return (left[h] / (1 - lower[h]) if h in left else 1) * (c[w] + 1) / size
+
+    return d, [(i, sum(math.log10(p(h, w)) for h, w in zip(["<s>", *t[:-1]], t))) for (i, _), t in zip(data, tok)]
+
+
+@pytest.mark.parametrize("part_tokens", [3_000_000, 2_000])
+def test_query_keeps_bigrams_seen_once(spark, part_tokens):
+    x = table(spark, SF, "documents").select("doc_id", "text")
+    d, want = katz_whole([tuple(r) for r in x.collect()])
+    df = queries.op10_katz_lm(spark, SF) if part_tokens > 2_000 else L.scores(x, crc_mod("doc_id", 7) == 2, part_tokens=part_tokens, least=1)
+    got = sorted((r.doc_id, r.score) for r in df.collect())
+    assert 0 < d[1] < 1
+    for g, w in zip(got, sorted(want), strict=True):
+        assert g[0] == w[0] and g[1] == pytest.approx(w[1], rel=1e-9)
+
+
 def test_pipeline_stages(spark, tmp_path):
     names, x = [], table(spark, SF, "documents")
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
