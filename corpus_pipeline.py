@@ -28,11 +28,22 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies: five-word n-grams, similarity 0.8. Repeats of an id go by the same rule."""
-    groups = cut(ngram_join.joined(docs.select("doc_id", "text"), n=5, percent=80).select("doc_id", "component_id"), "groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id")
+    """One row of each group of near copies: five-word n-grams, similarity 0.8.
+
+    Rows are told apart by a key of their own, so repeated rows, several texts under one id and null
+    ids are judged row by row. The row that stays is the least by id (nulls last), text hash and row
+    key. Texts without words have no copies; of such rows with the same id and text one stays.
+    """
+    docs = cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "rows")
+    groups = ngram_join.joined(docs.select("_row", "text"), n=5, percent=80, id_col="_row")
+    alike = F.when((F.col("n_shingles") == 0) & F.col("doc_id").isNotNull(), F.struct("doc_id", F.col("_hash").alias("h")))
+    groups = cut(groups.join(docs.select("_row", "doc_id", F.xxhash64("text").alias("_hash")), "_row")
+                 .select("_row", "doc_id", "_hash", alike.alias("_same"), F.when(alike.isNull(), F.col("component_id")).alias("_group")), "groups")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_hash", "_row"))
+    kept = groups.groupBy("_same", "_group").agg(least.alias("_least")).select("_least._row")
+    gone = cut(groups.select("_row").join(kept, "_row", "left_anti"), "gone")
     small = gone.count() <= MAX_BROADCAST
-    return docs.select(*COLUMNS).join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(F.broadcast(gone) if small else gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

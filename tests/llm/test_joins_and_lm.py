@@ -280,3 +280,11 @@ def test_pipeline_stages_take_awkward_rows(spark):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs(spark, "score", "extra"), SF).count() >= 0, name
         assert stage(spark, docs(spark, rows=[]), SF).count() == 0, name
+
+
+def test_drop_copies_judges_rows(spark):
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcde")
+    data = [(1, a), (1, a), (2, b), (5, b), (5, c), (None, d), (None, d), (7, e), (None, e), (9, ""), (9, ""), (None, ""), (None, None), (6, c + " end")]
+    x = docs(spark, rows=[(i, t, "en", "src", 1, "clash", 0.5) for i, t in data])
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_copies(spark, x, SF).collect()), key=repr)
+    assert got == sorted([(1, a), (2, b), (5, c), (None, d), (7, e), (9, ""), (None, ""), (None, None)], key=repr)
