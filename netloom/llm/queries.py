@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from netloom.llm import bpe, katz_lm, ngram_join, packing, quality_classifier, quality_rules, secret_scans, spot_signatures, url_filters, warc
+from netloom.llm import bpe, filter_audit, katz_lm, merkle, ngram_join, packing, quality_classifier, quality_rules, secret_scans, spot_signatures, url_filters, warc
 from netloom.llm.common import crc_mod, table
 
 
@@ -80,6 +80,71 @@ def op10_katz_lm(spark, sf_dir):
     return katz_lm.scores(table(spark, sf_dir, "documents").select("doc_id", "text"), crc_mod("doc_id", 7) == 2, least=1)
 
 
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+AUDIT_SQL = r"""
+    with t as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+    w as (select *, regexp_replace(t, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as trimmed from t),
+    d as (select *, case when trimmed = '' then [] else string_split_regex(trimmed, '[\x20\x09-\x0D]+') end as words from w),
+    f as (select doc_id, part, (len(words) < 100)::int + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::int
+          + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::int + 8 * regexp_matches(t, '[#$%&*|]')::int
+          + 16 * (doc_id > min(doc_id) over (partition by t))::int as mask from d),
+    lab as (select doc_id, max(quality) = 1 as good, max(toxic) = 1 as toxic from labels group by 1),
+    c as (select part, mask, coalesce(good, false) as good, coalesce(toxic, false) as toxic, count(*) as n from f left join lab using (doc_id) group by all),
+    l as (select unnest(['A', 'B', 'C', 'D', 'E']) as f, unnest([1, 2, 4, 8, 16]) as b),
+    o as (select v.f || w.f || x.f || y.f || z.f as filter_order, [v.b, w.b, x.b, y.b, z.b] as bits from l v, l w, l x, l y, l z
+          where len(list_distinct([v.f, w.f, x.f, y.f, z.f])) = 5),
+    s as (select filter_order, step, bits[step] as bit, coalesce(list_sum(bits[1:step - 1]), 0)::bigint as before from o, unnest([1, 2, 3, 4, 5]) as u(step)),
+    r as (select part, filter_order, step, bit, sum(case when mask & (before | bit) = 0 then n else 0 end)::bigint as kept,
+          sum(case when mask & bit > 0 and mask & before = 0 then n else 0 end)::bigint as removed,
+          sum(case when mask & bit > 0 and mask & before > 0 then n else 0 end)::bigint as redundant,
+          sum(case when mask = bit then n else 0 end)::bigint as unique_fails,
+          sum(case when mask & bit > 0 and mask & before = 0 and good then n else 0 end)::bigint as good_lost,
+          sum(case when mask & bit > 0 and mask & before = 0 and toxic then n else 0 end)::bigint as toxic_lost
+          from c, s group by all)
+    select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           (sum(removed) over (partition by part, bit))::bigint as shapley from r"""
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    odd = F.col("doc_id").isNotNull() & (crc_mod("doc_id", 2) == 0)
+    return merkle.verified(merkle.manifest(table(spark, sf_dir, "documents"), odd))
+
+
+def _merkle_sql(levels=13):
+    """Levels are unrolled, enough for 3 ** 13 rows; a group of one node keeps it as it is."""
+    crc = """list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
+             lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, i: xor(x >> 1, 3988292384::bigint * (x & 1))))"""
+    field = lambda c: f"coalesce(octet_length(encode({c}::varchar)) || ':' || {c}::varchar, '-')"
+    leaf = lambda text: "sha256(" + " || ".join([*map(field, ("doc_id", "source", "lang", "n_chars")), field(text)]) + ")"
+    sql = [f"""a as (select doc_id, source, {leaf("text")} as leaf, case when xor({crc}, 4294967295) % 2 = 0
+                          then {leaf("replace(text, chr(10), '')")} else {leaf("text")} end as h from documents)""",
+           "l as materialized (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i from a)",
+           "n0 as materialized (select source as of, i, leaf as d from l)"]
+    last = "l"
+    for side, depth in (("n", levels), ("m", 6)):
+        if side == "m":
+            sql.append(f"m0s as (select of as source, d, row_number() over (order by of nulls first) - 1 as i from n{levels})")
+            sql.append("m0 as materialized (select 0 as of, i, d, source from m0s)")
+            sql.append(f"top as (select {last}.* exclude (i), m0.i, m0.d as subroot from {last} join m0 on m0.source is not distinct from {last}.source)")
+            last = "top"
+        for k in range(depth):
+            near = "coalesce(string_agg(d, '') over (partition by of, i // 3 order by i rows between {}), '')"
+            same = f"q.of is not distinct from {last}.source and " if side == "n" else ""
+            sib = f"{last}.sib" if last != "l" else "''"
+            old = f"{last}.* exclude (i, h{', sib' if last != 'l' else ''})"
+            sql += [f"{side}{k}x as materialized (select of, i, d, count(*) over (partition by of) as c, {near.format('unbounded preceding and 1 preceding')} as bf, "
+                    f"{near.format('1 following and unbounded following')} as af from {side}{k})",
+                    f"{side}{k + 1} as materialized (select of, i // 3 as i, case when max(c) = 1 then max(d) else sha256(string_agg(d, '' order by i)) end as d "
+                    f"from {side}{k}x group by of, i // 3)",
+                    f"{side}p{k} as materialized (select {old}, {last}.i // 3 as i, {sib} || q.bf || q.af as sib, "
+                    f"case when q.c > 1 then sha256(q.bf || {last}.h || q.af) else {last}.h end as h from {last} join {side}{k}x q on {same}q.i = {last}.i)"]
+            last = f"{side}p{k}"
+    return "with " + ", ".join(sql) + f""" select doc_id, leaf, subroot, m6.d as root, sha256(sib) as proof_sha256, h as folded_root, h = m6.d as verified from {last}, m6"""
+
+
 QUERIES = {f.__name__: f for f in (op1_spot_signatures, op2_quality_classifier, op3_packing, op4_quality_rules, op5_bpe, op6_warc, op7_secret_scans, op8_ngram_join,
-                                   op9_url_filters, op10_katz_lm)}
-ORACLES = {"op6_warc": WARC_SQL, "op9_url_filters": _url_sql()}
+                                   op9_url_filters, op10_katz_lm, op11_filter_audit, op12_merkle_manifest)}
+ORACLES = {"op6_warc": WARC_SQL, "op9_url_filters": _url_sql(), "op11_filter_audit": AUDIT_SQL, "op12_merkle_manifest": _merkle_sql()}
