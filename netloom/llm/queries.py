@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from netloom.llm import bpe, filter_audit, katz_lm, merkle, ngram_join, packing, quality_classifier, quality_rules, secret_scans, spot_signatures, url_filters, warc
+from netloom.llm import bpe, filter_audit, katz_lm, merkle, ngram_join, packing, quality_classifier, quality_rules, secret_scans, spot_signatures, topk_search, url_filters, warc
 from netloom.llm.common import crc_mod, table
 
 
@@ -145,6 +145,18 @@ def _merkle_sql(levels=13):
     return "with " + ", ".join(sql) + f""" select doc_id, leaf, subroot, m6.d as root, sha256(sib) as proof_sha256, h as folded_root, h = m6.d as verified from {last}, m6"""
 
 
+def op13_topk_search(spark, sf_dir):
+    return topk_search.top(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+TOPK_SQL = """
+    with e as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+               where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score from e q join e c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+    r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+    select query_id, rank::int as rank, vec_id, score from r where rank <= 5"""
+
+
 QUERIES = {f.__name__: f for f in (op1_spot_signatures, op2_quality_classifier, op3_packing, op4_quality_rules, op5_bpe, op6_warc, op7_secret_scans, op8_ngram_join,
-                                   op9_url_filters, op10_katz_lm, op11_filter_audit, op12_merkle_manifest)}
-ORACLES = {"op6_warc": WARC_SQL, "op9_url_filters": _url_sql(), "op11_filter_audit": AUDIT_SQL, "op12_merkle_manifest": _merkle_sql()}
+                                   op9_url_filters, op10_katz_lm, op11_filter_audit, op12_merkle_manifest, op13_topk_search)}
+ORACLES = {"op6_warc": WARC_SQL, "op9_url_filters": _url_sql(), "op11_filter_audit": AUDIT_SQL, "op12_merkle_manifest": _merkle_sql(), "op13_topk_search": TOPK_SQL}
