@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from netloom.catalog import query
 from netloom.catalog.aggregates import rr
+from netloom.operators.boosting import boosted_importance
 from netloom.operators import edges as E, expression as X, fits as J, nulls as Z
 from netloom.session import cut
 
@@ -102,7 +103,23 @@ def _(v):
 
 @query("j8_boosted_importance")
 def _(v):
-    return J.boosted_importance(v.bulk, v.bobs, v.gtfs, rounds=20)
+    return boosted_importance(v.bulk, v.bobs, v.gtfs)
+
+
+J8 = """WITH x AS (SELECT obs_id, gene, value FROM v_bulk WHERE value <> 0 AND gene IN (SELECT tf FROM v_gtfs)), nn AS (SELECT count(*) AS n FROM v_bobs),
+cu AS (SELECT gene, value, n, sum(n) OVER (PARTITION BY gene ORDER BY value) AS upto, sum(n) OVER (PARTITION BY gene) AS total FROM (SELECT gene, value, count(*) AS n FROM x GROUP BY ALL) h),
+ct AS (SELECT gene, value AS c FROM cu WHERE (upto * 7) // total > CASE WHEN upto = n THEN -1 ELSE ((upto - n) * 7) // total END),
+ln AS (SELECT ct.gene, c, count(*) FILTER (WHERE x.value < c) + CASE WHEN c > 0 THEN max(nn.n) - count(*) ELSE 0 END AS nl FROM ct JOIN x USING (gene) CROSS JOIN nn GROUP BY ct.gene, c),
+ty AS (SELECT gene AS target, sum(value) AS total FROM v_bulk GROUP BY gene),
+sb AS (SELECT x.gene, c, y.gene AS target, sum(CASE WHEN x.value < c THEN y.value ELSE 0 END) AS below, sum(y.value) AS stored FROM ct JOIN x USING (gene) JOIN v_bulk y USING (obs_id) GROUP BY ALL),
+s AS (SELECT ln.gene, ln.c, ty.target, nl, n, coalesce(below, 0) + CASE WHEN ln.c > 0 THEN total - coalesce(stored, 0) ELSE 0 END - total / n * nl AS l
+FROM ln CROSS JOIN ty CROSS JOIN nn LEFT JOIN sb ON sb.gene = ln.gene AND sb.c = ln.c AND sb.target = ty.target WHERE nl > 0 AND nl < n AND ln.gene <> ty.target)
+SELECT gene AS source, target, r(l * l / nl + l * l / (n - nl)) AS weight FROM s QUALIFY row_number() OVER (PARTITION BY target ORDER BY l * l / nl + l * l / (n - nl) DESC, gene, c) = 1"""
+
+
+@query("j8_first_split", J8)
+def _(v):
+    return rr(boosted_importance(v.bulk, v.bobs, v.gtfs, rounds=1), "weight")
 
 
 @query("j9_prior_ridge")

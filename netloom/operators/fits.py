@@ -13,10 +13,12 @@ from netloom.functions.stats import t_tail, top_k
 from netloom.functions import det
 from netloom.functions.skew import spread_join
 from netloom.operators.blocks import pair_sums
+from netloom.operators.dense import deal, inverse, square
 from netloom.operators.nulls import draw
 from netloom.session import cut
 
 ONE = ""  # the constant regressor
+WIDTH = 512  # genes of a matrix block
 
 
 def moments(expr: DataFrame, samples: DataFrame, key="fold", left=None) -> DataFrame:
@@ -224,58 +226,107 @@ def anchor_shift(expr: DataFrame, obs: DataFrame, anchor: str, gamma: float) ->
         "obs_id", "gene", (F.col("value") + (float(gamma) ** 0.5 - 1) * F.col("_m")).alias("value"))
 
 
-def stability(edges_by_net: DataFrame, m: DataFrame, gammas=(1.0, 1.2), l2=1e-6, max_genes=1000) -> DataFrame:
+def stability(edges_by_net: DataFrame, m: DataFrame, gammas=(1.0, 1.2), l2=1e-6, width=WIDTH) -> DataFrame:
     """Per target: do selected regulators keep large coefficients under both anchor strengths?
 
     ``m`` are moments per anchor group. Standardising, the anchor shift and both covariance
     matrices follow from them: the shift adds (gamma - 1) times the between-group part. All
-    coefficients of one target against all other genes are a column of the inverse covariance,
-    so one bounded matrix (``max_genes`` squared) serves every target.
+    coefficients of one target against all other genes are a column of the inverse covariance, which
+    is found in blocks of ``width`` genes (operators.dense), so no task holds the whole matrix.
     ``edges_by_net`` is (net, source, target); every gene of ``m`` is a candidate.
     """
-    def coef(pdf):
-        names = sorted((set(pdf["a"]) | set(pdf["b"])) - {ONE})
-        if len(names) > max_genes:
-            raise ValueError(f"{len(names)} candidate genes, at most {max_genes}")
-        idx = {g: i + 1 for i, g in enumerate(names)}
-        idx[ONE] = 0
-        p = len(names) + 1
-        total, between = np.zeros((p, p)), np.zeros((p, p))
-        i, j = pdf["a"].map(idx).to_numpy(), pdf["b"].map(idx).to_numpy()
-        np.add.at(total, (i, j), pdf["s"].to_numpy())
-        total = np.triu(total) + np.triu(total, 1).T
-        for _, g in pdf[pdf["a"] == ONE].groupby("fold"):
-            v = np.zeros(p)
-            v[g["b"].map(idx).to_numpy()] = g["s"].to_numpy()
-            between += np.outer(v, v) / v[0]
-        n, mu, c = _centered(total)
-        sd = np.sqrt(np.maximum(np.diag(c) / n, 0))
-        sd[sd < 1e-12] = 1.0
-        b = between[1:, 1:] - n * np.outer(mu, mu)
-        out = {}
-        for gma in gammas:
-            cov = (c + (gma - 1) * b) / np.outer(sd, sd) / n
-            inv = np.linalg.inv(cov + l2 * np.eye(len(cov)))
-            th = np.abs(-inv / np.diag(inv)[None, :])
-            np.fill_diagonal(th, 0)
-            out[gma] = th / (th.sum(0, keepdims=True) + 1e-50)
-        prod = out[gammas[0]] * out[gammas[1]]
-        i, j = np.nonzero(~np.eye(len(names), dtype=bool))
-        nm = np.array(names)
-        return pd.DataFrame({"source": nm[i], "target": nm[j], "w": prod[i, j]})
-
-    # only the sums are needed per group; the products are added over groups first
-    sub = m.where(F.col("a") == ONE).select("fold", "a", "b", "s").unionByName(
-        m.where(F.col("a") != ONE).groupBy("a", "b").agg(F.sum("s").alias("s")).withColumn("fold", F.lit("")))
-    pairs = cut(sub.groupBy(F.substring("a", 0, 0).alias("_all")).applyInPandas(coef, "source string, target string, w double"), "coef")
-    sel = edges_by_net.select("net", "source", "target").distinct()
-    tot = pairs.groupBy("target").agg(F.sum("w").alias("st"), F.count("*").alias("kt"))
-    hit = sel.join(pairs, ["source", "target"]).groupBy("net", "target").agg(F.sum("w").alias("s1"), F.count("*").alias("k1"))
-    d = hit.join(tot, "target").where("k1 < kt")
-    s1, s2 = F.col("s1") / F.col("k1"), (F.col("st") - F.col("s1")) / (F.col("kt") - F.col("k1"))
+    cells, place = anchored_covariance(m, gammas, l2, width)
+    inv = inverse(cells, ["gamma"])
+    both = cut(inv.where(F.col("gamma") == 0).select("i", "j", F.col("data").alias("x")).join(
+        inv.where(F.col("gamma") == 1).select("i", "j", F.col("data").alias("y")), ["i", "j"]), "inverse")
+    places = [place.select(F.col("gene").alias(g), F.col("block").alias(b), F.col("pos").alias(p)) for g, b, p in (("source", "i", "r"), ("target", "j", "c"))]
+    sel = edges_by_net.where("source != target").select("net", "source", "target").distinct().join(places[0], "source").join(places[1], "target")
+
+    def columns(batches):
+        """Per block and column: sums of |x|, |y| and |xy| off the diagonal, and the diagonal."""
+        for pdf in batches:
+            for i, j, x, y in zip(pdf["i"], pdf["j"], pdf["x"], pdf["y"]):
+                x, y = (square(v, width) for v in (x, y))
+                dx, dy = (np.diag(v).copy() if i == j else np.zeros(width) for v in (x, y))
+                x, y = np.abs(x), np.abs(y)
+                if i == j:
+                    np.fill_diagonal(x, 0), np.fill_diagonal(y, 0)
+                yield pd.DataFrame({"j": j, "c": np.arange(width), "sx": x.sum(0), "sy": y.sum(0), "sxy": (x * y).sum(0), "dx": dx, "dy": dy})
+
+    def pick(edges, cells_):
+        if edges.empty or cells_.empty:
+            return pd.DataFrame(columns=["net", "target", "j", "c", "xy"])
+        x, y = (square(cells_[k].iloc[0], width) for k in ("x", "y"))
+        r, c = edges["r"].to_numpy(), edges["c"].to_numpy()
+        return pd.DataFrame({"net": edges["net"], "target": edges["target"], "j": edges["j"], "c": c, "xy": np.abs(x[r, c] * y[r, c])})
+
+    total = both.mapInPandas(columns, "j int, c int, sx double, sy double, sxy double, dx double, dy double").groupBy("j", "c").agg(
+        *[F.sum(k).alias(k) for k in ("sx", "sy", "sxy", "dx", "dy")])
+    hit = sel.groupBy("i", "j").cogroup(both.groupBy("i", "j")).applyInPandas(pick, "net string, target string, j int, c int, xy double")
+    hit = hit.groupBy("net", "target", "j", "c").agg(F.sum("xy").alias("s1"), F.count("*").alias("k1"))
+    # coefficients are entries over the diagonal, normalised by the column's sum of them
+    dx, dy = F.abs("dx"), F.abs("dy")
+    unit = dx * dy * (F.col("sx") / dx + 1e-50) * (F.col("sy") / dy + 1e-50)
+    kt = place.count() - 1
+    d = hit.join(total, ["j", "c"]).where(F.col("k1") < kt)
+    s1, s2 = F.col("s1") / unit / F.col("k1"), (F.col("sxy") - F.col("s1")) / unit / (F.lit(kt) - F.col("k1"))
     return d.select("net", "target", ((s1 - s2) / (s1 + s2 + 1e-50)).alias("stability"))
 
 
+def anchored_covariance(m: DataFrame, gammas, l2, width) -> tuple[DataFrame, DataFrame]:
+    """Blocks (gamma, i, j, data) of the standardised covariance under each anchor strength, plus
+    ``l2`` on the diagonal, and the genes' places (gene, block, pos). Unused places are identity rows."""
+    sums = m.where((F.col("a") == ONE) & (F.col("b") != ONE)).select("fold", F.col("b").alias("gene"), "s")
+    n = m.where((F.col("a") == ONE) & (F.col("b") == ONE)).select("fold", F.col("s").alias("n"))
+    square_ = m.where((F.col("a") == F.col("b")) & (F.col("a") != ONE)).groupBy(F.col("a").alias("gene")).agg(F.sum("s").alias("q"))
+    pairs = m.where(F.col("a") != ONE)
+    genes = cut(sums.select("gene").union(pairs.select("a")).union(pairs.select("b")).distinct(), "genes")
+    blocks = -(-genes.count() // width) or 1
+    # places are dealt in blocks of hash order, so no window sees all genes; a block that got too many passes them on
+    place = deal(genes, blocks, width)
+    folds = {r.fold: r.n for r in n.collect()}  # one number per anchor group
+    order, size = sorted(folds), float(sum(folds.values()))
+    stats = (place.join(square_, "gene", "left").join(sums.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("fold", "s"))).alias("v")), "gene", "left")
+             .groupBy("block").agg(F.collect_list(F.struct("pos", "q", "v")).alias("st")))
+    at = [place.select(F.col("gene").alias(g), F.col("block").alias(b), F.col("pos").alias(p)) for g, b, p in (("a", "i", "r"), ("b", "j", "c"))]
+    full = pairs.groupBy("a", "b").agg(F.sum("s").alias("s"))
+    full = full.unionByName(full.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
+    entries = full.join(at[0], "a").join(at[1], "b").select("i", "j", "r", "c", "s")
+    left = stats.select(F.col("block").alias("i"), F.col("st").alias("st_i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"))
+    frames = left.join(stats.select(F.col("block").alias("j"), F.col("st").alias("st_j")), "j")
+
+    def vectors(st):
+        q, v, used = np.zeros(width), np.zeros((width, len(order))), np.zeros(width, bool)
+        for x in st:
+            used[x["pos"]], q[x["pos"]] = True, x["q"] or 0.0
+            of = dict(x["v"] or ())
+            v[x["pos"]] = [of.get(f, 0.0) for f in order]
+        mu = v.sum(1) / size
+        sd = np.sqrt(np.maximum(q / size - mu ** 2, 0))
+        sd[sd < 1e-12] = 1.0
+        return mu, sd, v, used
+
+    def build(e, f):
+        if f.empty:
+            return pd.DataFrame(columns=["gamma", "i", "j", "data"])
+        i, j = int(f["i"].iloc[0]), int(f["j"].iloc[0])
+        (mi, si, vi, ui), (mj, sj, vj, uj) = vectors(f["st_i"].iloc[0]), vectors(f["st_j"].iloc[0])
+        s = np.zeros((width, width))
+        s[e["r"].astype(int), e["c"].astype(int)] = e["s"]
+        outer = size * np.outer(mi, mj)
+        between = (vi / np.array([folds[k] for k in order])) @ vj.T - outer
+        out = []
+        for g, gamma in enumerate(gammas):
+            cov = (s - outer + (gamma - 1) * between) / np.outer(si, sj) / size
+            if i == j:
+                cov += np.diag(np.where(ui, l2, 1.0))
+            out.append((g, i, j, cov.tobytes()))
+        return pd.DataFrame(out, columns=["gamma", "i", "j", "data"])
+
+    cells = entries.groupBy("i", "j").cogroup(frames.groupBy("i", "j")).applyInPandas(build, "gamma int, i int, j int, data binary")
+    return cells, place
+
+
 def residual_corr(edges_by_net: DataFrame, m: DataFrame, alpha=10.0) -> DataFrame:
     """Left-out groups: residual of each target given its regulators, against every gene that is
     not a regulator; mean absolute correlation. (net, fold, target, score)
@@ -371,60 +422,3 @@ def partial_corr(corr: DataFrame, m: DataFrame, k=10, l2=1e-6) -> DataFrame:
         return pd.DataFrame({"source": names, "target": target, "weight": t / np.sqrt(t * t + dof)})
 
     return design(regs, m).groupBy("target").applyInPandas(fit, "source string, target string, weight double")
-
-
-def boosted_importance(expr: DataFrame, obs: DataFrame, tfs: DataFrame, rounds=50, rate=0.1, chunk=2048, block=1024, bins=8) -> DataFrame:
-    """Importance of every factor for every gene by boosted stumps.
-
-    An ensemble over disjoint sample chunks: each (chunk, gene block) task boosts on its own
-    bounded matrix and Spark adds the gains, so every sample is used and no task grows with the
-    data. Returns (source, target, weight).
-    """
-    n, g = obs.count(), expr.agg(F.approx_count_distinct("gene")).first()[0]
-    chunks, blocks = max(1, -(-n // chunk)), max(1, -(-g // block))
-    size = obs.groupBy(F.pmod(F.xxhash64("obs_id"), F.lit(chunks)).alias("_c")).agg(F.count("*").alias("n"))
-    e = expr.select("obs_id", "gene", "value", F.pmod(F.xxhash64("obs_id"), F.lit(chunks)).alias("_c"))
-    x = e.join(tfs.select(F.col("tf").alias("gene")), "gene", "left_semi").join(size, "_c")
-    x = x.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    x = x.select(F.col("_c").alias("_xc"), F.col("_b").alias("_xb"), F.col("obs_id").alias("x_obs"), F.col("gene").alias("x_gene"), F.col("value").alias("x_value"), F.col("n").alias("x_n"))
-    y = e.withColumn("_b", F.pmod(F.xxhash64("gene"), F.lit(blocks)))
-
-    def boost(a, b):
-        empty = pd.DataFrame({"source": [], "target": [], "gain": []}).astype({"gain": float})
-        if a.empty or b.empty:
-            return empty
-        cells = pd.Index(np.unique(np.concatenate([a["x_obs"], b["obs_id"]])))
-        n_all = max(int(a["x_n"].iloc[0]), len(cells))
-        tf, ti = np.unique(a["x_gene"], return_inverse=True)
-        gn, gi = np.unique(b["gene"], return_inverse=True)
-        xm, ym = np.zeros((n_all, len(tf))), np.zeros((n_all, len(gn)))
-        xm[cells.get_indexer(a["x_obs"]), ti] = a["x_value"]
-        ym[cells.get_indexer(b["obs_id"]), gi] = b["value"]
-        cuts = [np.unique(np.quantile(c[c != 0], np.linspace(0, 1, bins))) if (c != 0).any() else np.zeros(0) for c in xm.T]
-        feat = np.concatenate([np.full(len(c), i) for i, c in enumerate(cuts)]).astype(int)
-        thr = np.concatenate(cuts)
-        left = xm[:, feat] < thr[None, :]
-        nl = left.sum(0).astype(float)
-        ok = (nl > 0) & (nl < n_all)
-        left, feat, nl = left[:, ok].T.astype(np.float32), feat[ok], nl[ok]
-        out = []
-        for j, name in enumerate(gn):
-            r = ym[:, j] - ym[:, j].mean()
-            own = tf[feat] == name
-            if own.all():
-                continue
-            gain = np.zeros(len(tf))
-            for _ in range(rounds):
-                sl = (left @ r.astype(np.float32)).astype(float)
-                score = np.where(own, -1.0, sl ** 2 / nl + (r.sum() - sl) ** 2 / (n_all - nl))
-                b0 = int(np.argmax(score))
-                ml, mr = sl[b0] / nl[b0], (r.sum() - sl[b0]) / (n_all - nl[b0])
-                gain[feat[b0]] += score[b0]
-                r = r - rate * np.where(left[b0] > 0, ml, mr)
-            nz = np.nonzero(gain)[0]
-            out.append(pd.DataFrame({"source": tf[nz], "target": name, "gain": gain[nz]}))
-        return pd.concat(out) if out else empty
-
-    parts = y.groupBy("_c", "_b").cogroup(x.groupBy("_xc", "_xb")).applyInPandas(
-        lambda b, a: boost(a, b), "source string, target string, gain double")
-    return parts.groupBy("source", "target").agg(F.sum("gain").alias("weight"))

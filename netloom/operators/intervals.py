@@ -1,29 +1,57 @@
-"""Genomic interval joins. An inequality join would compare every row with every row; here both
-sides are cut into fixed bins, meet by an equi-join on (contig, bin), and a pair is kept only in
-the bin where the overlap begins, so it appears once."""
+"""Genomic interval joins. An inequality join would compare every row with every row; here an interval
+lies in at most two or three bins of a width that suits its own length, bins are nested, and the
+shorter interval of a pair is looked up in the bins of the longer one's level. A pair is kept in the
+bin where its overlap begins, so it appears once. Two intervals that share such a bin lie within one
+bin's width of each other, so the candidates follow the result and no bin is much fuller than its
+overlaps make it; what is still hot is spread over a grid of slices."""
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from netloom.functions.skew import grid_join, spread_join
 from netloom.functions.stats import bh, t_p_two
 from netloom.operators.filters import parse_peak
 
-BIN = 20_000
+LEAST_LEVEL = 3  # bins of level k are 4**k wide
 
 
-def _binned(df, start, end, width):
-    return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
+def _level(start, end) -> Column:
+    return F.greatest(F.lit(LEAST_LEVEL), F.ceil(F.log2(F.col(end) - F.col(start) + 1) / 2)).cast("int")
 
 
-def overlap_join(a: DataFrame, b: DataFrame, closed=True, width=BIN) -> DataFrame:
+def _levels(df, start, end) -> list:
+    """Levels that occur: at most 64 numbers."""
+    return sorted(df.where(F.col(end) >= F.col(start)).agg(F.collect_set(_level(start, end))).first()[0])
+
+
+def _binned(df, start, end, others, own_side):
+    """Rows with (_level, _side, _bin): the bins of the own level, and those of the longer levels of the other side."""
+    level, other_side = _level(start, end), "b" if own_side == "a" else "a"
+    longer = F.filter(F.array(*[F.lit(x) for x in others]), (lambda x: x > level) if own_side == "a" else (lambda x: x >= level))
+
+    def bins(lv, side):
+        width = F.pow(F.lit(4.0), lv)
+        run = F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))
+        return F.transform(run, lambda k: F.struct(lv.cast("int").alias("_level"), F.lit(side).alias("_side"), k.alias("_bin")))
+
+    places = F.concat(bins(level, own_side), F.flatten(F.transform(longer, lambda x: bins(x, other_side))))
+    return df.where(F.col(end) >= F.col(start)).withColumn("_at", F.explode(places)).select(*df.columns, "_at._level", "_at._side", "_at._bin")
+
+
+def overlap_join(a: DataFrame, b: DataFrame, closed=True, side=None) -> DataFrame:
     """Pairs of overlapping intervals. ``a`` has (chrom, a_start, a_end, ...), ``b`` has
-    (chrom, b_start, b_end, ...). ``closed`` counts touching ends as overlap."""
-    x, y = _binned(a, "a_start", "a_end", width), _binned(b, "b_start", "b_end", width)
+    (chrom, b_start, b_end, ...). ``closed`` counts touching ends as overlap.
+
+    Of a pair the longer level decides: ``a``'s if equal. Rows that end before they start meet nothing.
+    """
+    x = _binned(a, "a_start", "a_end", _levels(b, "b_start", "b_end"), "a")
+    y = _binned(b, "b_start", "b_end", _levels(a, "a_start", "a_end"), "b")
     if closed:
         hit = (F.col("b_end") >= F.col("a_start")) & (F.col("b_start") <= F.col("a_end"))
     else:
         hit = (F.col("b_end") > F.col("a_start")) & (F.col("b_start") < F.col("a_end"))
-    home = F.col("_bin") == F.floor(F.greatest("a_start", "b_start") / width)
-    return x.join(y, ["chrom", "_bin"]).where(hit & home).drop("_bin")
+    home = F.col("_bin") == F.floor(F.greatest("a_start", "b_start") / F.pow(F.lit(4.0), F.col("_level")))
+    met = grid_join(x, y, ["chrom", "_level", "_side", "_bin"], a.columns, b.columns, side)
+    return met.where(hit & home).drop("_level", "_side", "_bin")
 
 
 def tss_window(tss, up=1000, down=100):
@@ -56,7 +84,7 @@ def peak2gene(tss, peaks, reach=150_000):
     g = tss.select("chrom", F.greatest(F.lit(0), F.col("tss") - reach).alias("a_start"), (F.col("tss") + reach).alias("a_end"), "gene", "tss").distinct()
     p = parse_peak(peaks.select("peak").distinct()).select("chrom", F.col("start").alias("b_start"), F.col("end").alias("b_end"), "peak")
     mid = F.greatest(F.lit(0), F.col("b_start") - F.col("tss"), F.col("tss") - F.col("b_end"))
-    return (overlap_join(g, p, width=max(BIN, reach)).groupBy("gene", "peak").agg(F.min(mid).alias("dist")))
+    return (overlap_join(g, p).groupBy("gene", "peak").agg(F.min(mid).alias("dist")))
 
 
 def peak2tf(peaks, motifs):
@@ -100,7 +128,8 @@ def peak_gene_corr(access, expr, obs, links, method="pearson"):
         a, expr = rank_transform(a, obs), rank_transform(expr, obs)
     ma = gene_moments(a, obs).select(F.col("gene").alias("peak"), F.col("s").alias("sa"), F.col("q").alias("qa"))
     mb = gene_moments(expr, obs).select("gene", F.col("s").alias("sb"), F.col("q").alias("qb"), "n")
-    cross = (a.select("obs_id", F.col("gene").alias("peak"), F.col("value").alias("x")).join(links.select("peak", "gene"), "peak")
+    # a region open in most cells and near many genes is cut in slices; a (sample, gene) has one value
+    cross = (spread_join(a.select("obs_id", F.col("gene").alias("peak"), F.col("value").alias("x")), links.select("peak", "gene"), ["peak"], ["obs_id"])
              .join(expr.select("obs_id", "gene", F.col("value").alias("y")), ["obs_id", "gene"])
              .groupBy("peak", "gene").agg(F.sum(F.col("x") * F.col("y")).alias("sxy")))
     d = links.select("peak", "gene").join(ma, "peak").join(mb, "gene").join(cross, ["peak", "gene"], "left")
@@ -122,7 +151,7 @@ def gene_activity(access, tss, reach=100_000, scale=5000.0, decay=1.0, gap=500):
     link = peak2gene(tss, access, reach)
     w = F.exp(-F.greatest(F.lit(0), F.col("dist") - gap) / scale * decay)
     n = link.groupBy("gene").agg(F.count("*").alias("n_peaks"))
-    return (access.join(link, "peak").groupBy("obs_id", "gene").agg(F.sum(F.col("value") * w).alias("s"))
+    return (spread_join(access, link, ["peak"], ["obs_id"]).groupBy("obs_id", "gene").agg(F.sum(F.col("value") * w).alias("s"))
             .join(n, "gene").select("obs_id", "gene", (F.col("s") / F.col("n_peaks")).alias("value")))
 
 

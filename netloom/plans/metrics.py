@@ -331,7 +331,7 @@ def anchor_regression(edges, expr, obs, anchor, n_top=1000):
     net = E.edges_in(edges, genes).where("source != target and weight != 0")
     both = net.select(F.lit("net").alias("net"), "source", "target").unionByName(Z.degree_null(net).select(F.lit("null").alias("net"), "source", "target"))
     m = J.moments(expr.join(genes, "gene", "left_semi"), obs.select("obs_id", F.col(anchor).alias("fold")))
-    s = J.stability(cut(both, "nets"), m, max_genes=n_top)
+    s = J.stability(cut(both, "nets"), m)
     p = s.groupBy("target").agg(F.max(F.when(F.col("net") == "net", F.col("stability"))).alias("a"), F.max(F.when(F.col("net") == "null", F.col("stability"))).alias("b"))
     p = cut(p.where("a is not null and b is not null").withColumn("k", F.substring("target", 0, 0)), "pairs")
     z = N.signed_rank(p, "a", "b", ["k"]).withColumn("p", F.greatest(norm_p_two("z"), F.lit(1e-300)))

@@ -109,7 +109,7 @@ def _negative(expr, obs, tfs, n=50_000, seed=0):
 
 def _boosted(expr, obs, tfs, n=50_000, **kw):
     from netloom.operators.edges import clean_edges
-    from netloom.operators.fits import boosted_importance
+    from netloom.operators.boosting import boosted_importance
     return clean_edges(boosted_importance(expr, obs, tfs, **kw), n, tfs)
 
 

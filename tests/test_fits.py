@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.operators import fits as J
+from netloom.operators import boosting, fits as J
+from netloom.operators.boosting import boosted_importance
 
 N, P = 60, 6
 
@@ -93,6 +94,47 @@ def test_stability(data, table):
         assert got[f"g{t}"] == pytest.approx((s1 - s2) / (s1 + s2), abs=1e-7)
 
 
+def direct_stability(x, fold, sel, gammas=(1.0, 1.2), l2=1e-6):
+    """(s1 - s2) / (s1 + s2) per target by one inverse of the whole matrix."""
+    n, p = x.shape
+    sd = x.std(0)
+    z = (x - x.mean(0)) / np.where(sd < 1e-12, 1, sd)
+    mean = np.zeros_like(z)
+    for k in set(fold):
+        mean[fold == k] = z[fold == k].mean(0)
+    w = 1.0
+    for g in gammas:
+        y = z + (np.sqrt(g) - 1) * mean
+        inv = np.linalg.inv(y.T @ y / n + l2 * np.eye(p))
+        th = np.abs(inv / np.diag(inv)[None, :])
+        np.fill_diagonal(th, 0)
+        w = w * th / th.sum(0, keepdims=True)
+    out = {}
+    for t in {b for _, b in sel}:
+        own = sorted({a for a, b in sel if b == t})
+        rest = [j for j in range(p) if j not in own and j != t]
+        s1, s2 = w[own, t].mean(), w[rest, t].mean()
+        out[f"g{t}"] = (s1 - s2) / (s1 + s2)
+    return out
+
+
+@pytest.mark.parametrize("genes,width", [(7, 2), (300, 128)])
+def test_stability_by_blocks_equals_one_inverse(table, genes, width):
+    rng = np.random.default_rng(genes)
+    n = 40 * 12
+    fold = np.arange(n) % 5
+    x = np.round(rng.normal(1, 1, (n, genes)) * (rng.random((n, genes)) < .5) + .3 * fold[:, None] * rng.random(genes), 3)
+    x[:, 3] = 0
+    x[0, 3] = 1.0
+    sel = [(int(a), int(b)) for a, b in rng.integers(0, genes, (3 * genes, 2)) if a != b]
+    e = table([(f"o{i}", f"g{j}", float(x[i, j])) for i, j in zip(*np.nonzero(x))], "obs_id string, gene string, value double")
+    o = table([(f"o{i}", str(k)) for i, k in enumerate(fold)], "obs_id string, fold string")
+    nets = table([("net", f"g{a}", f"g{b}") for a, b in sel] + [("net", "unknown", "g0")], "net string, source string, target string")
+    got = {r.target: r.stability for r in J.stability(nets, J.moments(e, o), width=width).collect()}
+    want = direct_stability(x, fold, sel)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
 def test_residual_correlation(data, table):
     x, fold, m, *_ = data
     nets = table([("net", "g0", "g5"), ("net", "g1", "g5")], "net string, source string, target string")
@@ -121,10 +163,65 @@ def test_partial_correlation(data, table):
 def test_boosting_finds_the_drivers(data, table):
     *_, e, o = data
     tfs = table([(f"g{j}",) for j in range(4)], "tf string")
-    w = {r.source: r.weight for r in J.boosted_importance(e, o, tfs).where(F.col("target") == "g5").collect()}
+    w = {r.source: r.weight for r in boosted_importance(e, o, tfs).where(F.col("target") == "g5").collect()}
     assert sorted(w, key=w.get)[-2:] in (["g0", "g1"], ["g1", "g0"])
 
 
+def boost_by_hand(x, factors, rounds=50, rate=.1, bins=8):
+    """Boosted stumps on the samples themselves: gains per (factor, target)."""
+    n, out = len(x), {}
+    cuts = {}
+    for f in factors:
+        v = np.sort(x[x[:, f] != 0, f])
+        cuts[f] = np.unique([v[max(-(-k * len(v) // (bins - 1)), 1) - 1] for k in range(bins)]) if len(v) else []
+    splits = [(f, x[:, f] < c) for f in factors for c in cuts[f] if 0 < (x[:, f] < c).sum() < n]
+    for t in range(x.shape[1]):
+        r = x[:, t] - x[:, t].mean()
+        for _ in range(rounds):
+            score = [(r[z].sum() ** 2 / z.sum() + r[~z].sum() ** 2 / (~z).sum()) if f != t else -1 for f, z in splits]
+            k = int(np.argmax(np.round(score, 9)))
+            f, z = splits[k]
+            out[f, t] = out.get((f, t), 0) + score[k]
+            r = r - rate * np.where(z, r[z].mean(), r[~z].mean())
+    return out
+
+
+def long(table, x):
+    e = table([(f"o{i}", f"g{j}", float(x[i, j])) for i, j in zip(*np.nonzero(x))], "obs_id string, gene string, value double")
+    return e, table([(f"o{i}",) for i in range(len(x))], "obs_id string")
+
+
+@pytest.mark.parametrize("ahead", [4, 1])
+def test_boosting_equals_boosting_on_the_samples(table, monkeypatch, ahead):
+    monkeypatch.setattr(boosting, "AHEAD", ahead)
+    monkeypatch.setattr(boosting, "TARGETS", 3)
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(.4, 1, (300, 7)), 3) * (rng.random((300, 7)) < .6)
+    x[:, 6] = 0
+    x[3, 6] = 2.0
+    x[:, 5] = np.round(2 * (x[:, 0] > .5) - x[:, 1] + rng.normal(0, .1, 300), 3)
+    e, o = long(table, x)
+    tfs = table([(f"g{j}",) for j in (0, 1, 2, 6)] + [("absent",)], "tf string")
+    want = boost_by_hand(x, (0, 1, 2, 6))
+    got = {(int(r.source[1:]), int(r.target[1:])): r.weight for r in boosted_importance(e, o, tfs).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_boosting_is_one_model_at_every_size(table):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(0, 1, (2000, 4)), 2)
+    x[:, 3] = np.round(x[:, 0] * x[:, 1] + x[:, 2], 2)
+    tfs = table([("g0",), ("g1",), ("g2",)], "tf string")
+    one, ten = ({(r.source, r.target): r.weight for r in boosted_importance(*long(table, y), tfs).collect()} for y in (x, np.tile(x, (10, 1))))
+    assert {k: 10 * v for k, v in one.items()} == pytest.approx(ten, rel=1e-9)
+
+
+def test_boosting_without_factors_or_samples(table):
+    e, o = long(table, np.eye(3))
+    assert boosted_importance(e, o, table([("none",)], "tf string")).count() == 0
+    assert boosted_importance(e.where("false"), o.where("false"), table([("g0",)], "tf string")).count() == 0
+
+
 def test_true_regulators_beat_unrelated_ones(data, table):
     _, _, m, *_ = data
     true = table([("g5", "g0"), ("g5", "g1")], "target string, source string")
