@@ -19,7 +19,6 @@ Memory: one Arrow batch, its distinct words, and a word cache of fixed size.
 import heapq
 import json
 import re
-import sys
 import unicodedata
 from hashlib import sha256
 
@@ -142,20 +141,25 @@ class Splitter:
     def __init__(self, path: str, v: Vocabulary):
         self.path, self.v, self.library = path, v, None
         self.special = re.compile("(" + "|".join(map(re.escape, v.special)) + ")") if v.special else None
-        unknown, start = [], None
-        for c in range(sys.maxunicode + 2):
-            cn = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
-            if cn and start is None:
+        runs, start = [], None
+        for c in range(0x10001):
+            known = c <= 0xFFFF and unicodedata.category(chr(c)) != "Cn"
+            if known and start is None:
                 start = c
-            elif not cn and start is not None:
-                unknown.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            elif not known and start is not None:
+                runs.append(f"\\u{start:04x}-\\u{c - 1:04x}")
                 start = None
-        self.unknown = re.compile("[" + "".join(unknown) + "]")
+        # characters worth a closer look: unassigned, or beyond the 16-bit plane, whose ranges would make the test slow
+        self.odd = re.compile("[^" + "".join(runs) + "]")
+
+    def unknown(self, text: str) -> bool:
+        """Whether the text holds a code point that this Python's tables do not know."""
+        return self.odd.search(text) is not None and any(unicodedata.category(c) == "Cn" for c in set(self.odd.findall(text)))
 
     def words(self, text: str) -> list:
         if text.isascii():
             return [w.encode() for w in WORD.findall(text.lower())]
-        if self.unknown.search(text):
+        if self.unknown(text):
             if self.library is None:
                 from tokenizers import Tokenizer
                 self.library = Tokenizer.from_file(self.path)
