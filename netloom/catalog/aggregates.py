@@ -193,7 +193,7 @@ ENR = f"""o AS (SELECT source, library, set_name, count(*) AS ov FROM e JOIN v_g
 t AS (SELECT source, count(*) AS nt FROM e GROUP BY 1), z AS (SELECT library, set_name, count(*) AS ns FROM v_genesets GROUP BY ALL),
 f AS (SELECT source, library, set_name, ov, nt, ns, nn, CASE WHEN ov <= greatest(0, nt + ns - nn) THEN 1.0 ELSE least(1.0, {FISHER}) END AS p
 FROM o JOIN t USING (source) JOIN z USING (library, set_name) CROSS JOIN (SELECT count(DISTINCT gene) AS nn FROM v_counts) u)"""
-EPOS = "e AS (SELECT DISTINCT source, target FROM v_net WHERE weight > 0.2)"
+EPOS = "e AS (SELECT DISTINCT source, target FROM v_net)"
 
 
 def n_genes(v):
@@ -202,20 +202,23 @@ def n_genes(v):
 
 @query("d21_fisher", f"WITH {EPOS}, {ENR} SELECT source, library, set_name, ov AS overlap, r(p) AS p FROM f")
 def _(v):
-    e = v.net.where("weight > 0.2").select("source", "target").distinct()
+    e = v.net.select("source", "target").distinct()
     return rr(N.enrich(e, v.genesets, n_genes(v)).select("source", "library", "set_name", "overlap", "p"), "p")
 
 
-D22 = f"""WITH e AS (SELECT source, target FROM (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY abs(weight) DESC, target) AS rn FROM v_net WHERE model = 'R') x WHERE rn <= 40),
-{ENR}, q AS (SELECT *, min(p * c / rk) OVER (PARTITION BY source ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS fdr0 FROM (SELECT *, count(*) OVER (PARTITION BY source) AS c, row_number() OVER (PARTITION BY source ORDER BY p) AS rk FROM f) y),
-fdr AS (SELECT source, set_name, p, least(1.0, min(fdr0) OVER (PARTITION BY source, p)) AS fdr, c FROM q)
-SELECT source, max(nt) AS n_targets, r(min(p)) AS best_p, count(*) FILTER (fdr < 0.99) AS n_enriched FROM fdr JOIN t USING (source) GROUP BY source"""
+KENR = ENR.replace("SELECT source,", "SELECT model, source,").replace("GROUP BY 1)", "GROUP BY 1, 2)").replace("USING (source)", "USING (model, source)")
+D22 = f"""WITH e AS (SELECT model, source, target FROM (SELECT model, source, target, row_number() OVER (PARTITION BY model, source ORDER BY abs(weight) DESC, target) AS rn FROM v_net) x WHERE rn <= 100),
+{KENR}, q AS (SELECT *, min(p * c / rk) OVER (PARTITION BY model, source ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS fdr0 FROM (SELECT *, count(*) OVER (PARTITION BY model, source) AS c, row_number() OVER (PARTITION BY model, source ORDER BY p) AS rk FROM f WHERE nt >= 10) y),
+fdr AS (SELECT model, source, set_name, p, least(1.0, min(fdr0) OVER (PARTITION BY model, source, p)) AS fdr, c FROM q),
+s AS (SELECT model, source, count(*) AS tested, count(*) FILTER (fdr < 0.05) AS n_enriched, min(p) AS min_p, min(p) FILTER (fdr < 0.05) AS sig_p, arg_min(set_name, (p, set_name)) FILTER (fdr < 0.05) AS best_set FROM fdr GROUP BY ALL),
+w AS (SELECT t.model, t.source, t.nt, coalesce(n_enriched, 0) AS n_enriched, tested, min_p, sig_p, best_set, CASE WHEN n_enriched > 0 THEN CASE WHEN sig_p > 0 THEN -log10(sig_p) ELSE 50.0 END ELSE 0.0 END AS raw FROM t LEFT JOIN s USING (model, source))
+SELECT model, source, nt AS n_targets, n_enriched, r(raw) AS score_raw, r(CASE WHEN raw > 0 THEN greatest(0.0, (raw + log10(least(1.0, tested * 0.05))) / raw) ELSE 0.0 END) AS score_norm,
+r(CASE WHEN n_enriched > 0 THEN 1 / (1 + ln(1 + n_enriched)) ELSE 0.0 END) AS specificity, best_set, r(coalesce(sig_p, min_p, 1.0)) AS best_p FROM w"""
 
 
 @query("d22_tf_pathway_score", D22)
 def _(v):
-    d = N.tf_pathway_score(v.net.where("model = 'R'").select("source", "target", "weight"), v.genesets, n_genes(v), 10, 40, 0.99)
-    return rr(d.select("source", "n_targets", "best_p", "n_enriched"), "best_p")
+    return rr(N.tf_pathway_score(v.net, v.genesets, n_genes(v), keys=["model"]), "score_raw", "score_norm", "specificity", "best_p")
 
 
 @query("d23_prf", """SELECT *, r(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END) AS f1 FROM
@@ -251,20 +254,21 @@ def _(v):
 
 D27 = """WITH g AS (SELECT DISTINCT gene FROM v_bulk), o AS (SELECT obs_id, donor_id AS perturbation, cell_type FROM v_bobs),
 d AS (SELECT o.perturbation, o.cell_type, g.gene, coalesce(b.value, 0) AS v FROM o CROSS JOIN g LEFT JOIN v_bulk b ON b.obs_id = o.obs_id AND b.gene = g.gene),
-t AS (SELECT perturbation, gene, avg(v) AS v FROM d GROUP BY ALL), p AS (SELECT perturbation, gene, avg(v) AS v FROM d WHERE cell_type IN ('BUILDING', 'MACHINERY') GROUP BY ALL),
-x AS (SELECT p.perturbation, t.perturbation AS other, round(sum(abs(p.v - t.v)), 9) AS dist FROM p JOIN t ON p.gene = t.gene WHERE p.gene <> concat('Brand#', substr(p.perturbation, 2), '/ECONOMY') GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY perturbation ORDER BY dist, other) - 1 AS rank FROM x)
-SELECT perturbation, rank, r(1 - rank / 24.0) AS pds FROM k WHERE perturbation = other"""
+t AS (SELECT perturbation, gene, avg(v) AS v FROM d GROUP BY ALL), p AS (SELECT perturbation, cell_type AS item, gene, avg(v) AS v FROM d GROUP BY ALL),
+x AS (SELECT p.perturbation, item, t.perturbation AS other, round(sum(abs(p.v - t.v)), 9) AS dist FROM p JOIN t ON p.gene = t.gene WHERE p.gene <> concat('Brand#', substr(p.perturbation, 2), '/ECONOMY') GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY perturbation, item ORDER BY dist, other) - 1 AS rank FROM x)
+SELECT perturbation, item, rank, r(1 - rank / 24.0) AS pds FROM k WHERE perturbation = other"""
 
 
 @query("d27_pds", D27)
 def _(v):
     o = v.bobs.withColumn("perturbation", F.col("donor_id"))
-    part = o.where("cell_type in ('BUILDING', 'MACHINERY')")
-    pred = X.profiles(v.bulk, part).withColumn("item", F.lit("mean"))
+    # one predicted profile per cell type
+    each = o.withColumn("pair", F.concat_ws("|", "perturbation", "cell_type"))
+    pred = X.profiles(v.bulk, each, "pair").select(F.substring_index("pair", "|", 1).alias("perturbation"), F.substring_index("pair", "|", -1).alias("item"), "gene", "value")
     target = o.select("perturbation").distinct().withColumn("gene", F.concat(F.lit("Brand#"), F.substring("perturbation", 2, 9), F.lit("/ECONOMY")))
     d = X.pds(pred, X.profiles(v.bulk, o), target)
-    return rr(d.select("perturbation", F.col("rank").cast("bigint").alias("rank"), "pds"), "pds")
+    return rr(d.select("perturbation", "item", F.col("rank").cast("bigint").alias("rank"), "pds"), "pds")
 
 
 D27C = """WITH g AS (SELECT DISTINCT gene FROM v_bulk), o AS (SELECT obs_id, donor_id AS perturbation FROM v_bobs),
@@ -376,16 +380,16 @@ def _(v):
 
 
 COREG = f"""{CG}, sp AS (SELECT a, b, 1 - 2 * (max(r) - min(r)) AS k FROM c WHERE NOT isnan(r) GROUP BY a, b), s2 AS (SELECT a, b, k FROM sp UNION ALL SELECT b, a, k FROM sp),
-e AS (SELECT source, target, abs(weight) / sum(abs(weight)) OVER (PARTITION BY source) AS w, count(*) OVER (PARTITION BY source) AS n FROM
-(SELECT source, target, weight, row_number() OVER (PARTITION BY source ORDER BY abs(weight) DESC, target) AS rn FROM v_net WHERE model = 'R') x WHERE rn <= 20),
-t1 AS (SELECT source, sum(w * k) AS tf_tg FROM e JOIN s2 ON source = a AND target = b GROUP BY 1),
-t2 AS (SELECT e.source, sum(e.w * k / (e.n - 1)) AS tg_tg FROM e JOIN s2 ON e.target = a JOIN e f ON f.source = e.source AND f.target = s2.b GROUP BY 1)"""
+e AS (SELECT model, source, target, abs(weight) / sum(abs(weight)) OVER (PARTITION BY model, source) AS w, count(*) OVER (PARTITION BY model, source) AS n FROM
+(SELECT model, source, target, weight, row_number() OVER (PARTITION BY model, source ORDER BY abs(weight) DESC, target) AS rn FROM v_net) x WHERE rn <= 100),
+t1 AS (SELECT model, source, sum(w * k) AS tf_tg FROM e JOIN s2 ON source = a AND target = b GROUP BY 1, 2),
+t2 AS (SELECT e.model, e.source, sum(e.w * k / nullif(e.n - 1, 0)) AS tg_tg FROM e JOIN s2 ON e.target = a JOIN e f ON f.model = e.model AND f.source = e.source AND f.target = s2.b GROUP BY 1, 2)"""
 
 
-@query("d38_coregulation", f"WITH {COREG} SELECT source, r(tf_tg) AS tf_tg, r(tg_tg) AS tg_tg FROM (SELECT DISTINCT source FROM e) s LEFT JOIN t1 USING (source) LEFT JOIN t2 USING (source)")
+@query("d38_coregulation", f"WITH {COREG} SELECT model, source, r(tf_tg) AS tf_tg, r(tg_tg) AS tg_tg FROM (SELECT DISTINCT model, source FROM e) s LEFT JOIN t1 USING (model, source) LEFT JOIN t2 USING (model, source)")
 def _(v):
-    e = E.top_k_per(v.net.where("model = 'R'").select("source", "target", "weight"), "source", 20)
-    return rr(G.coregulation(e, G.corr_spread(grouped_corr(v))), "tf_tg", "tg_tg")
+    e = E.top_k_per(v.net.select("model", "source", "target", "weight"), "source", 100, ["model"])
+    return rr(G.coregulation(e, G.corr_spread(grouped_corr(v)), ["model"]), "tf_tg", "tg_tg")
 
 
 @query("d39_dataset_stats", """SELECT cell_type, count(DISTINCT o.obs_id) AS n_samples, count(DISTINCT perturbation) AS n_perturbations,

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from netloom.catalog import query
 from netloom.catalog.aggregates import FISHER, NET_ALL, ULM, rr
-from netloom.catalog.fits import consensus, net_r, strong
+from netloom.catalog.fits import KEYS, consensus, net_all, tf_net
 from netloom.catalog.joins import P2G, P2T, WINDOW
 from netloom.catalog.nulls import POBS, SPLIT, pobs
 from netloom.catalog.ranking import LATEST, MM
@@ -24,17 +24,17 @@ def _(v):
 
 @query("k2_regression_metric")
 def _(v):
-    return rr(M.regression(net_r(v), v.bulk, v.bobs, v.gtfs, consensus(v)), "value")
+    return rr(M.regression(net_all(v), v.bulk, v.bobs, v.gtfs, consensus(v), keys=KEYS), "value")
 
 
 @query("k2_regression_by_group")
 def _(v):
     two = v.bobs.withColumn("half", F.when(F.col("cell_type") < "F", "a").otherwise("b"))
-    return rr(M.regression(net_r(v), v.bulk, two, v.gtfs, consensus(v), group="half"), "value")
+    return rr(M.regression(net_all(v), v.bulk, two, v.gtfs, consensus(v), group="half", keys=KEYS), "value")
 
 
-WSN = """p AS (SELECT model, source, target, weight FROM v_net WHERE model <> 'A' AND weight > 0.2), bg AS (SELECT source, target, abs(weight) AS d FROM v_net WHERE model = 'A'),
-cq AS (SELECT source, quantile_cont(n, [0.25, 0.75]) AS q FROM (SELECT source, model, count(*) AS n FROM v_net WHERE weight > 0.2 GROUP BY ALL) x WHERE source IN (SELECT tf FROM v_gtfs) GROUP BY 1),
+WSN = """p AS (SELECT model, source, target, weight FROM v_net WHERE model <> 'A'), bg AS (SELECT source, target, abs(weight) AS d FROM v_net WHERE model = 'A'),
+cq AS (SELECT source, quantile_cont(n, [0.25, 0.75]) AS q FROM (SELECT source, model, count(*) AS n FROM v_net GROUP BY ALL) x WHERE source IN (SELECT tf FROM v_gtfs) GROUP BY 1),
 cs AS (SELECT source, unnest([0.25::DOUBLE, 0.75]) AS theta, CAST(unnest(list_transform(q, lambda x: floor(x))) AS BIGINT) AS k FROM cq),
 need AS (SELECT m.model, cs.* FROM cs CROSS JOIN (SELECT DISTINCT model FROM p) m WHERE source IN (SELECT source FROM bg)),
 pc AS (SELECT source, target, d, (rank() OVER (PARTITION BY source ORDER BY d) - 1) / count(*) OVER (PARTITION BY source)::DOUBLE AS pct, row_number() OVER (PARTITION BY source ORDER BY $HASH(source, target, '42'), target) AS i FROM bg),
@@ -48,7 +48,7 @@ JOIN pc ON pc.source = ms.source AND pc.i = 1 + CAST(floor($U(ms.source, ms.thet
 @query("k3_ws_metric", f"""WITH {WSN} SELECT model, CASE theta WHEN 0.25 THEN 'ws_precision' ELSE 'ws_recall' END AS metric, r(avg(pct)) AS value FROM (SELECT * FROM ht UNION ALL SELECT * FROM fl) u GROUP BY model, theta
 UNION ALL SELECT model, 'ws_raw', r(avg(d)) FROM p JOIN bg USING (source, target) GROUP BY model""")
 def _(v):
-    e = v.net.where("weight > 0.2")
+    e = v.net
     bg = v.net.where("model = 'A'").select("source", "target", F.abs("weight").alias("ws_distance"))
     cons = E.consensus_edges(e, v.gtfs)
     return rr(M.ws_distance(e.where("model <> 'A'"), bg, cut(cons, "consensus"), keys=("model",)), "value")
@@ -56,7 +56,7 @@ def _(v):
 
 @query("c12_background_fill", f"WITH {WSN} SELECT model, theta, source, count(*) AS n, count(*) FILTER (f) AS n_filled, r(avg(pct)) AS mean FROM (SELECT *, false AS f FROM ht UNION ALL SELECT *, true FROM fl) u GROUP BY ALL")
 def _(v):
-    e = v.net.where("weight > 0.2")
+    e = v.net
     bg = v.net.where("model = 'A'").select("source", "target", F.abs("weight").alias("ws_distance"))
     bg = R.null_percentile(bg, bg.select("source", "ws_distance"), ["source"], "ws_distance")
     d = M.predicted_distances(e.where("model <> 'A'"), cut(bg, "background"), cut(E.consensus_edges(e, v.gtfs), "consensus"), keys=("model",))
@@ -65,44 +65,40 @@ def _(v):
 
 
 @query("c17_consensus_lookup", """SELECT g.gene, CAST(round_even(quantile_cont(coalesce(d, 0), 0.75), 0) AS BIGINT) AS n FROM (SELECT DISTINCT gene FROM v_bulk) g CROSS JOIN (SELECT DISTINCT model FROM v_net) m
-LEFT JOIN (SELECT target, model, count(*) AS d FROM v_net WHERE weight > 0.25 GROUP BY ALL) x ON x.target = g.gene AND x.model = m.model GROUP BY g.gene""")
+LEFT JOIN (SELECT target, model, count(*) AS d FROM v_net WHERE weight <> 0 GROUP BY ALL) x ON x.target = g.gene AND x.model = m.model GROUP BY g.gene""")
 def _(v):
     return M.consensus_lookup(v.bulk, consensus(v), 0.75)
 
 
 K4 = f"""WITH de AS (SELECT source AS pert, target AS gene, weight * 10 AS score FROM v_net WHERE model = 'A'), g AS (SELECT DISTINCT gene FROM de), m AS (SELECT count(*)::DOUBLE AS m FROM g),
-n0 AS (SELECT source, target, weight FROM v_net WHERE model = 'R' AND weight > 0.25 AND source <> target AND source IN (SELECT tf FROM v_gtfs)), net AS (SELECT * FROM n0 WHERE source IN (SELECT source FROM n0 GROUP BY 1 HAVING count(*) >= 5)),
+n0 AS (SELECT model, source, target, weight FROM v_net WHERE source <> target AND source IN (SELECT tf FROM v_gtfs)), net AS (SELECT * FROM n0 WHERE (model, source) IN (SELECT model, source FROM n0 GROUP BY 1, 2 HAVING count(*) >= 5)),
 y AS (SELECT pert AS source, sum(score) AS sy, sum(score * score) AS qy FROM de GROUP BY 1),
-w1 AS (SELECT source, count(*) AS k, sum(weight) AS sw, sum(weight * weight) AS qw FROM net JOIN g ON target = gene GROUP BY 1 HAVING count(*) >= 3),
-x1 AS (SELECT net.source, sum(weight * score) AS xy FROM net JOIN de ON pert = net.source AND gene = target GROUP BY 1),
-r1 AS (SELECT source, (m * coalesce(xy, 0) - sw * sy) / sqrt((m * qw - sw * sw) * (m * qy - sy * sy)) AS r, m, k FROM w1 JOIN y USING (source) LEFT JOIN x1 USING (source) CROSS JOIN m),
-a1 AS (SELECT source, k, r * sqrt((m - 2) / ((1 - r) * (1 + r))) AS act FROM r1),
+w1 AS (SELECT model, source, count(*) AS k, sum(weight) AS sw, sum(weight * weight) AS qw FROM net JOIN g ON target = gene GROUP BY 1, 2 HAVING count(*) >= 3),
+x1 AS (SELECT model, net.source, sum(weight * score) AS xy FROM net JOIN de ON pert = net.source AND gene = target GROUP BY 1, 2),
+r1 AS (SELECT model, source, (m * coalesce(xy, 0) - sw * sy) / sqrt((m * qw - sw * sw) * (m * qy - sy * sy)) AS r, m, k FROM w1 JOIN y USING (source) LEFT JOIN x1 USING (model, source) CROSS JOIN m),
+a1 AS (SELECT model, source, k, r * sqrt((m - 2) / ((1 - r) * (1 + r))) AS act FROM r1),
 gi AS (SELECT gene, row_number() OVER (ORDER BY $HASH(gene, '42g'), gene) - 1 AS i FROM g),
 pm AS (SELECT m AS n, x AS p FROM m, range(2, 20000) t(x) WHERE x >= m AND NOT EXISTS (SELECT 1 FROM range(2, 200) d(y) WHERE y * y <= x AND x % y = 0) ORDER BY x LIMIT 1),
-dj AS (SELECT source, k, j, CAST(floor($U(source, '42a') * p) + j * (1 + floor($U(source, '42s') * (p - 1))) AS BIGINT) % p AS i
-FROM (SELECT source, k, unnest(range(0, CAST(least(k + p - n, p) AS BIGINT))) AS j, p FROM a1, pm) x),
-dr AS (SELECT source, gene AS target FROM (SELECT source, k, gene, row_number() OVER (PARTITION BY source ORDER BY j) AS rn FROM dj JOIN gi USING (i)) z WHERE rn <= k),
-x2 AS (SELECT dr.source, sum(coalesce(score, 0)) AS xy, count(*)::DOUBLE AS k FROM dr LEFT JOIN de ON pert = dr.source AND gene = target GROUP BY 1),
-r2 AS (SELECT source, (m * xy - k * sy) / sqrt((m * k - k * k) * (m * qy - sy * sy)) AS r, m FROM x2 JOIN y USING (source) CROSS JOIN m),
-pr AS (SELECT a1.source, abs(act) - abs(r2.r * sqrt((m - 2) / ((1 - r2.r) * (1 + r2.r)))) AS d FROM a1 JOIN r2 USING (source)),
-al AS (SELECT d FROM pr UNION ALL SELECT 0 FROM (SELECT DISTINCT pert FROM de WHERE pert NOT IN (SELECT source FROM net)) q)
-SELECT 't_rec_precision' AS metric, r(avg(d) / (stddev_samp(d) / sqrt(count(*)))) AS value FROM pr UNION ALL SELECT 't_rec_recall', r(avg(d) / (stddev_samp(d) / sqrt(count(*)))) FROM al"""
+dj AS (SELECT model, source, k, j, CAST(floor($U(source, '42a') * p) + j * (1 + floor($U(source, '42s') * (p - 1))) AS BIGINT) % p AS i
+FROM (SELECT model, source, k, unnest(range(0, CAST(least(k + p - n, p) AS BIGINT))) AS j, p FROM a1, pm) x),
+dr AS (SELECT model, source, gene AS target FROM (SELECT model, source, k, gene, row_number() OVER (PARTITION BY model, source ORDER BY j) AS rn FROM dj JOIN gi USING (i)) z WHERE rn <= k),
+x2 AS (SELECT model, dr.source, sum(coalesce(score, 0)) AS xy, count(*)::DOUBLE AS k FROM dr LEFT JOIN de ON pert = dr.source AND gene = target GROUP BY 1, 2),
+r2 AS (SELECT model, source, (m * xy - k * sy) / sqrt((m * k - k * k) * (m * qy - sy * sy)) AS r, m FROM x2 JOIN y USING (source) CROSS JOIN m WHERE k >= 3),
+t2 AS (SELECT model, source, r * sqrt((m - 2) / ((1 - r) * (1 + r))) AS rnd FROM r2), pr AS (SELECT model, source, abs(act) - abs(rnd) AS d, rnd FROM a1 JOIN t2 USING (model, source)),
+al AS (SELECT model, d FROM pr UNION ALL SELECT q.model, 0 FROM (SELECT DISTINCT n0.model, pert FROM de CROSS JOIN (SELECT DISTINCT model FROM n0) n0) q WHERE (q.model, pert) NOT IN (SELECT model, source FROM net))
+SELECT model, 't_rec_precision' AS metric, r(avg(d) / (stddev_samp(d) / sqrt(count(*)))) AS value FROM pr GROUP BY model UNION ALL SELECT model, 't_rec_recall', r(avg(d) / (stddev_samp(d) / sqrt(count(*)))) FROM al GROUP BY model"""
 
 
 def de_table(v):
     return v.net.where("model = 'A'").select(F.col("source").alias("perturbation"), F.col("target").alias("gene"), (F.col("weight") * 10).alias("score"))
 
 
-def tf_net(v):
-    return strong(v).join(v.gtfs.withColumnRenamed("tf", "source"), "source", "left_semi").select("source", "target", "weight")
-
-
 @query("k4_tf_recovery", K4)
 def _(v):
-    return rr(M.tf_recovery(tf_net(v), de_table(v)), "value")
+    return rr(M.tf_recovery(tf_net(v), de_table(v), keys=KEYS), "value")
 
 
-K5 = """WITH p AS (SELECT model, source, target, weight FROM v_net WHERE model <> 'A' AND weight > 0.1), g AS (SELECT DISTINCT gene FROM v_counts),
+K5 = """WITH p AS (SELECT model, source, target, weight FROM v_net WHERE model <> 'A'), g AS (SELECT DISTINCT gene FROM v_counts),
 gt AS (SELECT DISTINCT CASE WHEN weight > 0.4 THEN 'high' ELSE 'mid' END AS gt, source, target FROM v_net WHERE model = 'A' AND weight > 0.2 AND source IN (SELECT tf FROM v_gtfs)),
 nt AS (SELECT gt, count(DISTINCT source) AS n_tfs FROM gt GROUP BY 1), k AS (SELECT gt, source, count(*) AS k FROM gt WHERE target IN (SELECT gene FROM g) GROUP BY ALL),
 t AS (SELECT * FROM (SELECT p.model, k.gt, p.source, p.target, k.k, row_number() OVER (PARTITION BY p.model, k.gt, p.source ORDER BY abs(weight) DESC, p.target) AS rn FROM p JOIN k USING (source)) x WHERE rn <= k),
@@ -120,32 +116,32 @@ def truths(v):
 @query("c11_target_overlap", K5[:K5.index("d AS (SELECT m.model")].rstrip().rstrip(",") + " SELECT m.model, k.gt, k.source, k.k, tp, got FROM k CROSS JOIN (SELECT DISTINCT model FROM p) m LEFT JOIN h ON h.model = m.model AND h.gt = k.gt AND h.source = k.source")
 def _(v):
     genes = v.counts.select("gene").distinct()
-    return M.target_overlap(v.net.where("model <> 'A' and weight > 0.1"), truths(v), genes, v.gtfs, ("model",)).drop("n_targets")
+    return M.target_overlap(v.net.where("model <> 'A'"), truths(v), genes, v.gtfs, ("model",)).drop("n_targets")
 
 
 @query("k5_tf_binding", K5)
 def _(v):
     genes = v.counts.select("gene").distinct()
-    return rr(M.tf_binding(v.net.where("model <> 'A' and weight > 0.1"), truths(v), genes, v.gtfs, ("model",)), "precision", "recall", "f1")
+    return rr(M.tf_binding(v.net.where("model <> 'A'"), truths(v), genes, v.gtfs, ("model",)), "precision", "recall", "f1")
 
 
 TCRIT = "(2.3263478740408408 + (2.3263478740408408 ^ 3 + 2.3263478740408408) / (4 * (n - 1)) + (5 * 2.3263478740408408 ^ 5 + 16 * 2.3263478740408408 ^ 3 + 3 * 2.3263478740408408) / (96 * (n - 1) ^ 2))"
 K6 = f"""WITH net AS (SELECT concat(library, '|', set_name) AS source, gene AS target, 1.0::DOUBLE AS weight FROM v_genesets), {ULM.replace('>= 5', '>= 10')},
 ac AS (SELECT source, count(*) AS n, avg(activity) AS mean, avg(activity) / (stddev_samp(activity) / sqrt(count(*))) AS t FROM ulm GROUP BY source),
-e0 AS (SELECT DISTINCT source, target FROM v_net WHERE model = 'R' AND weight > 0.25 AND source <> target), e AS (SELECT * FROM e0 WHERE source IN (SELECT source FROM e0 GROUP BY 1 HAVING count(*) >= 10)),
-o AS (SELECT source, library, set_name, count(*) AS ov FROM e JOIN v_genesets g ON e.target = g.gene GROUP BY ALL), t AS (SELECT source, count(*) AS nt FROM e GROUP BY 1), z AS (SELECT library, set_name, count(*) AS ns FROM v_genesets GROUP BY ALL),
+md AS (SELECT DISTINCT model FROM v_net), e0 AS (SELECT DISTINCT model, source, target FROM v_net WHERE source <> target), e AS (SELECT * FROM e0 WHERE (model, source) IN (SELECT model, source FROM e0 GROUP BY 1, 2 HAVING count(*) >= 10)),
+o AS (SELECT model, source, library, set_name, count(*) AS ov FROM e JOIN v_genesets g ON e.target = g.gene GROUP BY ALL), t AS (SELECT model, source, count(*) AS nt FROM e GROUP BY 1, 2), z AS (SELECT library, set_name, count(*) AS ns FROM v_genesets GROUP BY ALL),
 ln AS (SELECT library, count(DISTINCT set_name) AS sets FROM v_genesets GROUP BY 1),
-f AS (SELECT library, set_name, sets, CASE WHEN ov <= greatest(0, nt + ns - nn) THEN 1.0 ELSE {FISHER} END AS p FROM o JOIN t USING (source) JOIN z USING (library, set_name) JOIN ln USING (library) CROSS JOIN (SELECT count(DISTINCT gene) AS nn FROM v_counts) u),
-en AS (SELECT DISTINCT concat(library, '|', set_name) AS source FROM f WHERE p < 0.05 / sets),
-x AS (SELECT split_part(ac.source, '|', 1) AS library, t > {TCRIT} AND mean > 0 AS act, en.source IS NOT NULL AS enr FROM ac LEFT JOIN en USING (source))
-SELECT library, count(*) FILTER (act AND enr) AS tp, count(*) FILTER (NOT act AND enr) AS fp, count(*) FILTER (act AND NOT enr) AS fn, count(*) FILTER (NOT act AND NOT enr) AS tn,
+f AS (SELECT model, library, set_name, sets, CASE WHEN ov <= greatest(0, nt + ns - nn) THEN 1.0 ELSE {FISHER} END AS p FROM o JOIN t USING (model, source) JOIN z USING (library, set_name) JOIN ln USING (library) CROSS JOIN (SELECT count(DISTINCT gene) AS nn FROM v_counts) u),
+en AS (SELECT DISTINCT model, concat(library, '|', set_name) AS source FROM f WHERE p < 0.05 / sets),
+x AS (SELECT md.model, split_part(ac.source, '|', 1) AS library, t > {TCRIT} AND mean > 0 AS act, en.source IS NOT NULL AS enr FROM ac CROSS JOIN md LEFT JOIN en ON en.model = md.model AND en.source = ac.source)
+SELECT model, library, count(*) FILTER (act AND enr) AS tp, count(*) FILTER (NOT act AND enr) AS fp, count(*) FILTER (act AND NOT enr) AS fn, count(*) FILTER (NOT act AND NOT enr) AS tn,
 r(coalesce(count(*) FILTER (act AND enr) / nullif(count(*) FILTER (enr), 0), 0)) AS precision, r(coalesce(count(*) FILTER (act AND enr) / nullif(count(*) FILTER (act), 0), 0)) AS recall,
-r(coalesce(2 * count(*) FILTER (act AND enr) / nullif(count(*) FILTER (enr) + count(*) FILTER (act), 0), 0)) AS f1 FROM x GROUP BY library"""
+r(coalesce(2 * count(*) FILTER (act AND enr) / nullif(count(*) FILTER (enr) + count(*) FILTER (act), 0), 0)) AS f1 FROM x GROUP BY model, library"""
 
 
 @query("k6_gs_recovery", K6)
 def _(v):
-    return rr(M.gs_recovery(strong(v), v.genesets, v.bulk, v.bobs, v.gtfs), "precision", "recall", "f1")
+    return rr(M.gs_recovery(net_all(v).where("source != target"), v.genesets, v.bulk, v.bobs, v.gtfs, keys=KEYS, genes=v.counts.select("gene")), "precision", "recall", "f1")
 
 
 K7 = f"""WITH {NET_ALL}, {ULM}, am AS (SELECT u.source, o.cell_type AS grp, u.activity, median(u.activity) OVER (PARTITION BY u.source, o.cell_type) AS med FROM ulm u JOIN v_bobs o USING (obs_id)),
@@ -174,36 +170,42 @@ def early(v):
 
 @query("k8_sem_metric")
 def _(v):
-    return rr(M.sem(strong(v), v.bulk, bulk_obs(v), ["donor_id", "cell_type"], ["donor_id"], ["perturbation", "cell_type"], early(v), 100), "value")
+    return rr(M.sem(net_all(v), v.bulk, bulk_obs(v), ["donor_id", "cell_type"], ["donor_id"], ["perturbation", "cell_type"], early(v), keys=KEYS), "value")
 
 
 @query("k9_vc_metric")
 def _(v):
-    return rr(M.vc(strong(v), v.bulk, bulk_obs(v), ["donor_id", "cell_type"], ["donor_id"], ["perturbation", "cell_type"], 100, 100), "value")
+    return rr(M.vc(net_all(v), v.bulk, bulk_obs(v), ["donor_id", "cell_type"], ["donor_id"], ["perturbation", "cell_type"], keys=KEYS), "value")
+
+
+@query("k9_vc_cells")
+def _(v):
+    return rr(M.vc(net_all(v), v.bulk, bulk_obs(v), ["donor_id", "cell_type"], ["donor_id"], ["perturbation", "cell_type"], keys=KEYS, cells=True), "value")
 
 
 @query("k10_anchor_metric")
 def _(v):
-    return rr(M.anchor_regression(strong(v), v.bulk, v.bobs, "donor_id"), "value")
+    return rr(M.anchor_regression(net_all(v), v.bulk, v.bobs, "donor_id", keys=KEYS), "value")
 
 
 @query("k11_rc_metric")
 def _(v):
-    return rr(M.correlation_consistency(net_r(v), v.bulk, v.bobs, "cell_type"), "value")
+    return rr(M.correlation_consistency(net_all(v), v.bulk, v.bobs, "cell_type", keys=KEYS, genes=v.counts.select("gene")), "value")
 
 
 @query("k12_residual_metric")
 def _(v):
-    return rr(M.residual_metric(strong(v), v.bulk, v.bobs, "cell_type"), "value")
+    return rr(M.residual_metric(net_all(v), v.bulk, v.bobs, "cell_type", keys=KEYS), "value")
 
 
 @query("k13_evaluate_all")
 def _(v):
-    e = cut(tf_net(v), "edges")
     bg = v.net.where("model = 'A'").select("source", "target", F.abs("weight").alias("ws_distance"))
-    ctx = {"expr": v.bulk, "obs": v.bobs, "groups": groups(v), "tfs": v.gtfs, "genes": v.counts.select("gene").distinct(), "truths": truths(v), "de": de_table(v),
-           "sets": v.genesets, "background": bg, "edge_counts": cut(E.consensus_edges(v.net.where("weight > 0.2"), v.gtfs), "consensus")}
-    return rr(U.evaluate(e, ctx, ["ws_distance", "tf_recovery", "tf_binding", "gs_recovery", "replicate_consistency"]).select("metric", "value"), "value")
+    ctx = {"expr": v.bulk, "obs": bulk_obs(v), "groups": groups(v), "tfs": v.gtfs, "genes": v.counts.select("gene").distinct(), "truths": truths(v), "de": de_table(v),
+           "sets": v.genesets, "background": bg, "edge_counts": cut(E.consensus_edges(v.net, v.gtfs), "consensus"), "regulators": consensus(v),
+           "strict": ["donor_id", "cell_type"], "loose": ["donor_id"], "cv": ["perturbation", "cell_type"], "early": early(v)}
+    p = tf_net(v).select(F.lit("op").alias("dataset_id"), F.col("model").alias("method_id"), "source", "target", "weight")
+    return rr(U.evaluate_all(cut(p, "predictions"), {"op": ctx}, list(U.NEEDS)).select("dataset", "modality", "model", "metric", "value"), "value")
 
 
 APP = """g AS (SELECT dataset, metric, count(value) AS n, avg(value) AS mean, min(value) AS mn, max(value) AS mx, max(value) FILTER (model = 'negative_control') AS nc, max(value) FILTER (model = 'positive_control') AS pc,
@@ -315,8 +317,10 @@ def _(v):
 
 @query("k24_applicability_matrix", f"""WITH {APP}, d AS (SELECT DISTINCT metric, dataset FROM v_scores WHERE metric <> 'sem' OR dataset <> 'ASIA'), k AS (SELECT metric, dataset FROM app WHERE keep),
 c AS (SELECT metric, dataset, CASE WHEN k.metric IS NOT NULL THEN 2 ELSE 1 END AS s FROM d FULL JOIN k USING (metric, dataset))
-SELECT metric, coalesce(max(s) FILTER (dataset = 'AFRICA'), 0)::INT AS africa, coalesce(max(s) FILTER (dataset = 'ASIA'), 0)::INT AS asia, coalesce(max(s) FILTER (dataset = 'EUROPE'), 0)::INT AS europe FROM c GROUP BY metric""".replace("CASE WHEN k.metric IS NOT NULL THEN 2 ELSE 1 END AS s FROM d FULL JOIN k USING (metric, dataset)", "max(s) AS s FROM (SELECT metric, dataset, 1 AS s FROM d UNION ALL SELECT metric, dataset, 2 FROM k) z GROUP BY ALL"))
+SELECT metric, coalesce(max(s) FILTER (dataset = 'AFRICA'), 0)::INT AS africa, coalesce(max(s) FILTER (dataset = 'AMERICA'), 0)::INT AS america, coalesce(max(s) FILTER (dataset = 'ASIA'), 0)::INT AS asia,
+coalesce(max(s) FILTER (dataset = 'EUROPE'), 0)::INT AS europe, coalesce(max(s) FILTER (dataset = 'MIDDLE EAST'), 0)::INT AS middle_east FROM c GROUP BY metric""".replace("CASE WHEN k.metric IS NOT NULL THEN 2 ELSE 1 END AS s FROM d FULL JOIN k USING (metric, dataset)", "max(s) AS s FROM (SELECT metric, dataset, 1 AS s FROM d UNION ALL SELECT metric, dataset, 2 FROM k) z GROUP BY ALL"))
 def _(v):
     declared = v.scores.where("metric <> 'sem' or dataset <> 'ASIA'")
-    m = L.applicability_matrix(declared, L.applicability(v.scores), ["AFRICA", "ASIA", "EUROPE"])
-    return m.select("metric", F.col("AFRICA").alias("africa"), F.col("ASIA").alias("asia"), F.col("EUROPE").alias("europe"))
+    names = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+    m = L.applicability_matrix(declared, L.applicability(v.scores), names)
+    return m.select("metric", *[F.col(n).alias(n.lower().replace(" ", "_")) for n in names])

@@ -81,10 +81,10 @@ def _(v):
     return I.annotate(v.gexp.select("gene").distinct(), loc).select("gene", "chrom", "lo")
 
 
-@query("c13_overlap", """SELECT source, library, set_name, count(*) AS overlap FROM (SELECT DISTINCT source, target FROM v_net WHERE weight > 0.2) e
+@query("c13_overlap", """SELECT source, library, set_name, count(*) AS overlap FROM (SELECT DISTINCT source, target FROM v_net) e
 JOIN v_genesets g ON e.target = g.gene GROUP BY ALL""")
 def _(v):
-    return N.overlap(v.net.where("weight > 0.2").select("source", "target").distinct(), v.genesets)
+    return N.overlap(v.net.select("source", "target").distinct(), v.genesets)
 
 
 @query("c14_shared_donors", """SELECT donor_id FROM (SELECT DISTINCT donor_id FROM v_obs WHERE plate = '1995' INTERSECT SELECT DISTINCT donor_id FROM v_obs WHERE plate = '1997') x

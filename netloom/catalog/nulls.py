@@ -1,6 +1,6 @@
 """I: splits, sampling, null models."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from netloom.catalog import query
 from netloom.catalog.aggregates import rr
@@ -43,9 +43,26 @@ def _(v):
     return Z.group_shuffle(pobs(v), "perturbation").select("obs_id", "is_train")
 
 
-@query("i5_group_kfold")
+@query("i5_group_kfold", f"""WITH {POBS}, g AS (SELECT perturbation, count(*) AS n FROM po GROUP BY 1), d AS (SELECT *, row_number() OVER (ORDER BY n DESC, perturbation) - 1 AS i FROM g),
+f AS (SELECT CASE WHEN (i // 5) % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END AS fold, n FROM d)
+SELECT count(*) AS n_groups, count(DISTINCT perturbation) AS n_names, (SELECT max(n) FROM g) >= (SELECT max(s) - min(s) FROM (SELECT sum(n) AS s FROM f GROUP BY fold) x) AS balanced FROM g""")
 def _(v):
-    return Z.group_kfold(pobs(v), "perturbation")
+    o = pobs(v)
+    at = Z.group_kfold(o, "perturbation")
+    load = o.join(at, "perturbation").groupBy("fold").agg(F.count("*").alias("n")).agg((F.max("n") - F.min("n")).alias("spread"))
+    most = o.groupBy("perturbation").agg(F.count("*").alias("n")).agg(F.max("n")).scalar()
+    return at.agg(F.count("*").alias("n_groups"), F.count_distinct("perturbation").alias("n_names")).withColumn("balanced", load.select("spread").scalar() <= most)
+
+
+@query("i5_fold_table", f"""WITH {POBS}, g AS (SELECT perturbation, count(*) AS n FROM po GROUP BY 1), d AS (SELECT *, row_number() OVER (ORDER BY n DESC, perturbation) - 1 AS i FROM g)
+SELECT n, count(*) AS n_groups, min((i // 5)) AS first_round, max(i // 5) AS last_round FROM d GROUP BY n""")
+def _(v):
+    o = pobs(v)
+    size = o.groupBy("perturbation").agg(F.count("*").alias("n"))
+    at = Z.group_kfold(o, "perturbation").join(size, "perturbation")
+    first = F.coalesce(F.sum("n_groups").over(W.orderBy(F.col("n").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    per = at.groupBy("n").agg(F.count("*").alias("n_groups")).withColumn("_b", first)
+    return per.select("n", "n_groups", F.floor(F.col("_b") / 5).alias("first_round"), F.floor((F.col("_b") + F.col("n_groups") - 1) / 5).alias("last_round"))
 
 
 @query("i6_folds", """SELECT 'random' AS kind, obs_id, CAST(CAST(concat('0x', substr($HASH(obs_id, '51966'), 1, 8)) AS BIGINT) % 5 AS VARCHAR) AS fold FROM v_obs
@@ -55,8 +72,13 @@ def _(v):
     return a.unionByName(Z.folds(v.obs, "donor_id", min_rows=600).withColumn("kind", F.lit("group")))
 
 
-@query("i7_negative_control", """WITH u AS (SELECT t.tf AS source, g.target, $U(t.tf, g.target, '0') AS u FROM v_tfs t CROSS JOIN (SELECT DISTINCT target FROM v_edges) g)
-SELECT source, target, CASE WHEN u < 0.01 THEN -1.0 ELSE 1.0 END::DOUBLE AS weight FROM u WHERE u < 0.02""")
+I7 = """WITH g AS (SELECT target, row_number() OVER (ORDER BY $HASH(target, '0g'), target) - 1 AS i FROM (SELECT DISTINCT target FROM v_edges) x), n AS (SELECT count(*) AS n FROM g),
+d AS (SELECT source, unnest(range(1, CAST(ceil(n * 0.02 + 12 * sqrt(n * 0.02) + 12) AS BIGINT) + 1)) AS j FROM (SELECT DISTINCT tf AS source FROM v_tfs) t, n),
+w AS (SELECT source, j, sum(1 + CAST(floor(ln(greatest($U(source, j, '0a'), 1e-12)) / ln(0.98)) AS BIGINT)) OVER (PARTITION BY source ORDER BY j) - 1 AS i FROM d)
+SELECT source, target, CASE WHEN $U(source, j, '0b') < 0.5 THEN -1.0 ELSE 1.0 END::DOUBLE AS weight FROM w JOIN g USING (i)"""
+
+
+@query("i7_negative_control", I7)
 def _(v):
     return Z.negative_control(v.edges.select(F.col("target").alias("gene")).distinct(), v.tfs)
 
@@ -100,26 +122,43 @@ def _(v):
     return rr(Z.degree_null(v.net, extra=["model"]), "weight")
 
 
-I12 = """WITH e AS (SELECT source, target, weight FROM v_net WHERE model = 'R'), n AS (SELECT count(*) AS n, stddev_samp(weight) AS sd FROM e),
-d AS (SELECT *, row_number() OVER (ORDER BY $HASH(source, target, '0direction'), source, target) - 1 AS i FROM e), s AS (SELECT *, row_number() OVER (ORDER BY $HASH(source, target, '0sign'), source, target) - 1 AS i FROM e),
-g AS (SELECT a.source, b.target, coalesce(e.weight, 0) AS weight FROM (SELECT DISTINCT source FROM e) a CROSS JOIN (SELECT DISTINCT target FROM e) b LEFT JOIN e ON e.source = a.source AND e.target = b.target),
-gi AS (SELECT *, row_number() OVER (ORDER BY $HASH(source, target, '0n'), source, target) - 1 AS i, floor(count(*) OVER () * 0.5) AS m FROM g),
-vi AS (SELECT weight, row_number() OVER (ORDER BY $HASH(source, target, '0v'), source, target) - 1 AS i FROM gi WHERE i < m),
-nn AS (SELECT gi.source, gi.target, vi.weight FROM gi JOIN vi USING (i) UNION ALL SELECT source, target, weight FROM gi WHERE i >= m)
-SELECT 'direction' AS noise, CASE WHEN i < floor(n * 0.5) THEN target ELSE source END AS source, CASE WHEN i < floor(n * 0.5) THEN source ELSE target END AS target, r(weight) AS weight FROM d, n
-UNION ALL SELECT 'sign', source, target, r(CASE WHEN i < floor(n * 0.5) THEN -weight ELSE weight END) FROM s, n
-UNION ALL SELECT 'weight', source, target, r(weight + sqrt(-2 * ln(greatest($U(source, target, '0wa'), 1e-12))) * cos(2 * pi() * $U(source, target, '0wb')) * 0.5 * sd) FROM e, n
-UNION ALL SELECT 'net', source, target, r(weight) FROM nn WHERE weight <> 0"""
-
-
-@query("i12_edge_noise", I12)
+def noise_sql(degree):
+    """The four kinds at one degree as a union of (noise, model, source, target, weight); common tables first."""
+    ctes = f"""e AS (SELECT model, source, target, weight FROM v_net), n AS (SELECT model, count(*) AS n, stddev_samp(weight) AS sd, count(DISTINCT source) AS rs, count(DISTINCT target) AS cs FROM e GROUP BY 1),
+d AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY $HASH(source, target, '0direction'), source, target) - 1 AS i FROM e), f AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY $HASH(source, target, '0sign'), source, target) - 1 AS i FROM e),
+si AS (SELECT model, source, row_number() OVER (PARTITION BY model ORDER BY $HASH(source, '0source'), source) - 1 AS s FROM (SELECT DISTINCT model, source FROM e) x),
+ti AS (SELECT model, target, row_number() OVER (PARTITION BY model ORDER BY $HASH(target, '0target'), target) - 1 AS t FROM (SELECT DISTINCT model, target FROM e) x),
+p AS (SELECT model, source, target, weight, s, t, rs, cs FROM e JOIN n USING (model) JOIN si USING (model, source) JOIN ti USING (model, target) WHERE weight <> 0),
+q AS (SELECT *, s * cs + t AS pos FROM MIXED),
+mv AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY $HASH(source, target, '0v'), source, target) - 1 AS i FROM q WHERE pos < floor(rs * cs * {degree})),
+bk AS (SELECT model, weight, s, t FROM BACK)"""
+    forward, back = "p", "(SELECT * REPLACE (i // cs AS s, i % cs AS t) FROM mv)"
+    for r in range(4):
+        col, by, m = ("t", "s", "cs") if r % 2 == 0 else ("s", "t", "rs")
+        forward = f"(SELECT * REPLACE (({col} + CAST(floor($U({by}, '0n{r}') * {m}) AS BIGINT)) % {m} AS {col}) FROM {forward} z{r})"
+    for r in reversed(range(4)):
+        col, by, m = ("t", "s", "cs") if r % 2 == 0 else ("s", "t", "rs")
+        back = f"(SELECT * REPLACE (({col} - CAST(floor($U({by}, '0n{r}') * {m}) AS BIGINT) + {m}) % {m} AS {col}) FROM {back} y{r})"
+    ctes = ctes.replace("MIXED", forward + " x").replace("BACK", back + " x")
+    net = "SELECT 'net' AS noise, model, source, target, weight FROM e" if not degree else """SELECT 'net' AS noise, model, source, target, weight FROM bk JOIN si USING (model, s) JOIN ti USING (model, t)
+UNION ALL SELECT 'net', model, source, target, weight FROM q WHERE pos >= floor(rs * cs * DEGREE)""".replace("DEGREE", str(degree))
+    return ctes, f"""SELECT 'direction' AS noise, model, CASE WHEN i < floor(n * {degree}) THEN target ELSE source END AS source, CASE WHEN i < floor(n * {degree}) THEN source ELSE target END AS target, weight FROM d JOIN n USING (model)
+UNION ALL SELECT 'sign', model, source, target, CASE WHEN i < floor(n * {degree}) THEN -weight ELSE weight END FROM f JOIN n USING (model)
+UNION ALL SELECT 'weight', model, source, target, weight + sqrt(-2 * ln(greatest($U(source, target, '0wa'), 1e-12))) * cos(2 * pi() * $U(source, target, '0wb')) * {degree} * sd FROM e JOIN n USING (model)
+UNION ALL {net}"""
+
+
+CTES, UNION = noise_sql(0.5)
+
+
+@query("i12_edge_noise", f"WITH {CTES} SELECT noise, model, source, target, r(weight) AS weight FROM ({UNION}) u")
 def _(v):
-    return rr(Z.noise_sweep(v.net.where("model = 'R'"), [0.5]).drop("level"), "weight")
+    return rr(Z.noise_sweep(v.net, [0.5], keys=["model"]).drop("level"), "weight")
 
 
 @query("i13_noise_sweep")
 def _(v):
-    return M.robustness(v.net.where("model = 'R'"), v.bulk, v.bobs.withColumn("grp", F.col("cell_type")))
+    return rr(M.robustness(v.net, v.bulk, v.bobs.withColumn("grp", F.col("cell_type")), keys=["model"]), "value", "drop")
 
 
 @query("i14_shrink", """WITH o AS (SELECT obs_id FROM v_obs WHERE donor_id = 'D3' ORDER BY row_no LIMIT 300), e AS (SELECT c.* FROM v_counts c WHERE obs_id IN (SELECT obs_id FROM o) AND gene LIKE '%/PROMO')

@@ -20,21 +20,19 @@ def _(v):
     return rr(S.tag_union(parts).groupBy("model").agg(F.count("*").alias("n"), F.sum("weight").alias("total")), "total")
 
 
-GT = "a AS (SELECT source, target FROM v_net WHERE model = 'R' AND weight > 0.2), b AS (SELECT source, target FROM v_net WHERE model = 'N' AND weight > 0.2)"
+GT = "a AS (SELECT source, target FROM v_net WHERE weight > 0), b AS (SELECT source, target FROM v_net WHERE weight <= 0)"
 
 
 @query("f3_gt_overlap", f"""WITH {GT} SELECT 'source' AS what, (SELECT count(*) FROM (SELECT source FROM a INTERSECT SELECT source FROM b)) AS shared, (SELECT count(*) FROM (SELECT source FROM a UNION SELECT source FROM b)) AS total
 UNION ALL SELECT 'target', (SELECT count(*) FROM (SELECT target FROM a INTERSECT SELECT target FROM b)), (SELECT count(*) FROM (SELECT target FROM a UNION SELECT target FROM b))
 UNION ALL SELECT 'pair', (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)), (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b))""")
 def _(v):
-    e = v.net.where("weight > 0.2")
-    return E.gt_overlap(e.where("model = 'R'"), e.where("model = 'N'"))[1]
+    return E.gt_overlap(v.net.where("weight > 0"), v.net.where("weight <= 0"))[1]
 
 
 @query("f3_gt_mutual", f"WITH {GT} SELECT * FROM a INTERSECT SELECT * FROM b")
 def _(v):
-    e = v.net.where("weight > 0.2")
-    return E.gt_overlap(e.where("model = 'R'"), e.where("model = 'N'"))[0]
+    return E.gt_overlap(v.net.where("weight > 0"), v.net.where("weight <= 0"))[0]
 
 
 @query("f4_set_difference", "SELECT DISTINCT donor_id FROM v_obs EXCEPT SELECT donor_id FROM v_obs WHERE plate = '1995' AND cell_type = 'BUILDING' AND is_control")
@@ -49,10 +47,10 @@ def _(v):
     return rr(a.unionByName(v.norm.join(o.where("not is_control"), "obs_id", "left_semi")).select("obs_id", "gene", "value"), "value")
 
 
-@query("f6_outer_genes", """SELECT gene, count(*) AS n FROM (SELECT obs_id, gene FROM v_counts WHERE gene LIKE '%/SMALL' OR gene LIKE '%/LARGE' UNION ALL SELECT obs_id, gene FROM v_counts WHERE gene LIKE '%/LARGE' OR gene LIKE '%/PROMO') x GROUP BY gene""")
+@query("f6_outer_genes", """SELECT gene, count(*) AS n FROM (SELECT obs_id, gene FROM v_counts WHERE gene NOT LIKE '%/SMALL' UNION ALL SELECT obs_id, gene FROM v_counts WHERE gene NOT LIKE '%/PROMO') x GROUP BY gene""")
 def _(v):
-    a = v.counts.where("gene like '%/SMALL' or gene like '%/LARGE'")
-    b = v.counts.where("gene like '%/LARGE' or gene like '%/PROMO'")
+    a = v.counts.where("gene not like '%/SMALL'")
+    b = v.counts.where("gene not like '%/PROMO'")
     return a.unionByName(b, allowMissingColumns=True).groupBy("gene").agg(F.count("*").alias("n"))
 
 
@@ -83,11 +81,14 @@ def _(v):
     return rr(L.wide(v.scores, ["dataset", "model"], "metric", "value", METRICS), *METRICS)
 
 
-@query("g4_de_wide", """SELECT gene, r(sum(value) FILTER (perturbation = '1-URGENT')) AS p1, r(sum(value) FILTER (perturbation = '2-HIGH')) AS p2 FROM v_norm JOIN v_obs USING (obs_id) GROUP BY gene""")
+PERTS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query("g4_de_wide", "SELECT gene, " + ", ".join(f"r(sum(value) FILTER (perturbation = '{p}')) AS p{p[0]}" for p in PERTS) + " FROM v_norm JOIN v_obs USING (obs_id) GROUP BY gene")
 def _(v):
     e = v.norm.join(v.obs.select("obs_id", "perturbation"), "obs_id")
-    w = e.groupBy("gene").pivot("perturbation", ["1-URGENT", "2-HIGH"]).agg(F.sum("value"))
-    return rr(w.select("gene", F.col("1-URGENT").alias("p1"), F.col("2-HIGH").alias("p2")), "p1", "p2")
+    w = e.groupBy("gene").pivot("perturbation", PERTS).agg(F.sum("value"))
+    return rr(w.select("gene", *[F.col(p).alias(f"p{p[0]}") for p in PERTS]), *[f"p{p[0]}" for p in PERTS])
 
 
 @query("g5_stacked_networks", "SELECT model AS cell_type, source, target, weight FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY abs(weight) DESC, source, target) AS rn FROM v_net) x WHERE rn <= 2000")

@@ -40,10 +40,10 @@ def _(v):
     return rr(T.read_prediction(v.spark, p, 5000, v.gtfs, "m1"), "weight")
 
 
-@query("a3_write_prediction", "SELECT 'd1' AS dataset_id, model AS method_id, source, target, r(weight) AS weight FROM v_net WHERE model IN ('R', 'N')")
+@query("a3_write_prediction", "SELECT 'd1' AS dataset_id, model AS method_id, source, target, r(weight) AS weight FROM v_net")
 def _(v):
     p = scratch(v.spark, "pred")
-    for m in "RN":
+    for m in "ANR":
         T.write_prediction(v.net.where(F.col("model") == m), p, m, "d1")
     return rr(v.spark.read.parquet(p).withColumn("weight", F.col("weight").cast("double")).select("dataset_id", "method_id", "source", "target", "weight"), "weight")
 
@@ -154,12 +154,11 @@ def _(v):
     return X.read_tf_list(v.spark, text(v.tfs.select(F.col("tf").alias("value")), scratch(v.spark, "tfs")))
 
 
-@query("a16_read_ground_truth", "SELECT CASE model WHEN 'R' THEN 'a' ELSE 'b' END AS gt, source, target FROM v_net WHERE model IN ('R', 'N') AND weight > 0.2")
+@query("a16_read_ground_truth", "SELECT lower(model) AS gt, source, target FROM v_net")
 def _(v):
-    e = v.net.where("weight > 0.2")
-    paths = {k: scratch(v.spark, "gt") for k in ("a", "b", "empty", "gone")}
-    for k, m in (("a", "R"), ("b", "N"), ("empty", "none")):
-        e.where(F.col("model") == m).select("source", "target").write.csv(paths[k], header=True)
+    paths = {k: scratch(v.spark, "gt") for k in ("a", "n", "r", "empty", "gone")}
+    for k, m in (("a", "A"), ("n", "N"), ("r", "R"), ("empty", "none")):
+        v.net.where(F.col("model") == m).select("source", "target").write.csv(paths[k], header=True)
     return X.read_ground_truth(v.spark, paths)
 
 

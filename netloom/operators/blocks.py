@@ -15,13 +15,27 @@ from netloom.functions.stats import top_k
 CHUNK, BLOCK = 1024, 256
 
 
-def attach_all(df: DataFrame, small: DataFrame, limit=200_000) -> DataFrame:
-    """Every row of ``df`` with every row of a lookup whose size is bounded (genes, models,
-    perturbations). The lookup travels as one array; past ``limit`` rows the query stops."""
-    arr = F.collect_list(F.struct(*small.columns))
-    boxed = small.agg(F.when(F.count("*") <= limit, arr).otherwise(
-        F.raise_error(F.lit(f"lookup exceeds {limit} rows")))).scalar()
-    return df.withColumn("_x", F.explode(boxed)).select(*df.columns, *[F.col(f"_x.{c}").alias(c) for c in small.columns])
+MOST = 50_000  # rows of a lookup that may travel as one array
+
+
+def attach_all(df: DataFrame, small: DataFrame, most=None) -> DataFrame:
+    """Every row of ``df`` with every row of ``small``, where each of these pairs is a result.
+
+    A counted lookup of at most ``most`` rows travels as one array. A longer one is cut in boxes of
+    that size; rows of ``df`` are dealt to slices, and a slice meets each box by an equi-join.
+    """
+    most = most or MOST
+    n = small.count()
+    entry = F.struct(*small.columns)
+    if n <= most:
+        out = df.withColumn("_x", F.explode(small.agg(F.collect_list(entry)).scalar()))
+    else:
+        boxes, slices = -(-n // most), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        box = F.pmod(F.xxhash64(*small.columns), F.lit(boxes)).cast("int").alias("_b")
+        packed = small.groupBy(box).agg(F.collect_list(entry).alias("_e")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        cut_ = df.withColumn("_s", F.pmod(F.xxhash64(*df.columns), F.lit(slices)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(boxes - 1))))
+        out = cut_.join(packed, ["_s", "_b"]).withColumn("_x", F.explode("_e"))
+    return out.select(*df.columns, *[F.col(f"_x.{c}").alias(c) for c in small.columns])
 
 
 def _pack(df, dim, item, value, keys, n_chunks, n_blocks, partners, tag, side):

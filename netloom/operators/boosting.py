@@ -16,6 +16,7 @@ from netloom.operators.blocks import pair_sums
 from netloom.session import cut
 
 TARGETS = 64  # targets a task boosts side by side
+TIE = 1e-9  # gains this close are equal: they differ by the order of sums only
 AHEAD = 4  # best factors a target asks for before a pass
 
 
@@ -126,7 +127,8 @@ def boosted_importance(expr: DataFrame, obs: DataFrame, tfs: DataFrame, rounds=5
     def state(block_no, name, h, gain, done):
         s, _ = lay.scores(h, lay.where.get(name))
         best = s.max(1)
-        want = [int(f) for f in np.argsort(-best, kind="stable")[:AHEAD] if best[f] > 0]
+        pick = int(np.argmax(best >= best.max() * (1 - TIE))) if len(best) else 0
+        want = [f for f in dict.fromkeys([pick, *np.argsort(-best, kind="stable").tolist()]) if len(best) and best[f] > 0][:AHEAD]
         return block_no, name, h.tobytes(), gain.tobytes(), done if want else rounds, want
 
     names = ["block", "target", "h", "gain", "done", "want"]
@@ -143,7 +145,7 @@ def boosted_importance(expr: DataFrame, obs: DataFrame, tfs: DataFrame, rounds=5
             h, gain, own = np.frombuffer(h).reshape(shape).copy(), np.frombuffer(gain).copy(), lay.where.get(name)
             while done < rounds:
                 s, left = lay.scores(h, own)
-                f, c = divmod(int(np.argmax(s)), lay.size)
+                f, c = divmod(int(np.argmax(s >= s.max() * (1 - TIE))), lay.size)
                 if s[f, c] <= 0:
                     done = rounds
                 elif f in have:

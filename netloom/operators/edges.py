@@ -71,12 +71,14 @@ def tf_centrality(edges, extra=()):
     return d.withColumn("rank", F.row_number().over(w))
 
 
-def top_connected(edges, n, how="max"):
+def top_connected(edges, n, how="max", extra=()):
     """Most connected genes by max(in, out) or in + out."""
-    d = degrees(edges)
+    extra = list(extra)
+    d = degrees(edges, extra)
     c = F.greatest("in_degree", "out_degree") if how == "max" else F.col("in_degree") + F.col("out_degree")
-    return d.select(F.col("node").alias("gene"), c.alias("connectivity")).orderBy(
-        F.col("connectivity").desc(), "gene").limit(n)
+    d = d.select(*extra, F.col("node").alias("gene"), c.alias("connectivity"))
+    order = [F.col("connectivity").desc(), F.col("gene")]
+    return top_k(d, extra, order, n, ["gene"]) if extra else d.orderBy(*order).limit(n)
 
 
 def linear_sizes(lo=10, hi=300, n=10):
@@ -120,10 +122,11 @@ def consensus_edges(edges, tfs=None, thetas=(0.25, 0.75)):
         "source", F.col("z.theta").alias("theta"), F.floor(F.col("z.v")).cast("bigint").alias("value"))
 
 
-def edges_in(edges, genes):
-    """Edges with both ends among the measured genes."""
-    return (edges.join(genes.select(F.col("gene").alias("source")), "source", "left_semi")
-            .join(genes.select(F.col("gene").alias("target")), "target", "left_semi"))
+def edges_in(edges, genes, extra=()):
+    """Edges with both ends among the measured genes; ``genes`` may have columns of ``extra``."""
+    on = [c for c in extra if c in genes.columns]
+    return (edges.join(genes.select(*on, F.col("gene").alias("source")), [*on, "source"], "left_semi")
+            .join(genes.select(*on, F.col("gene").alias("target")), [*on, "target"], "left_semi"))
 
 
 def gt_overlap(a, b):

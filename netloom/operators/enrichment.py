@@ -21,40 +21,43 @@ def overlap(edges, sets, keys=()):
 def enrich(edges, sets, universe_size, keys=(), genes=None):
     """One-sided Fisher test of every overlapping (source, set). ``universe_size`` is a column
     expression. With ``genes``, set members outside the universe still count as missed members,
-    but not in the remainder of the table."""
+    but not in the remainder of the table; a universe that carries key columns has its own size."""
     keys = list(keys)
     n_t = edges.groupBy(*keys, "source").agg(F.count_distinct("target").alias("n_targets"))
     n_s = sets.groupBy("library", "set_name").agg(F.count_distinct("gene").alias("set_size"))
-    if genes is not None:
-        inside = sets.join(genes.select("gene"), "gene", "left_semi").groupBy("library", "set_name").agg(F.count_distinct("gene").alias("set_in"))
-        n_s = n_s.join(inside, ["library", "set_name"], "left").fillna(0, ["set_in"])
-    else:
-        n_s = n_s.withColumn("set_in", F.col("set_size"))
-    o = overlap(edges, sets, keys).join(n_t, [*keys, "source"]).join(n_s, ["library", "set_name"]).withColumn("n", universe_size)
+    o = overlap(edges, sets, keys).join(n_t, [*keys, "source"]).join(n_s, ["library", "set_name"])
+    if genes is None:
+        o = o.withColumn("set_in", F.col("set_size")).withColumn("n", universe_size)
+    else:  # a universe of its own for every key that it carries
+        own = [k for k in keys if k in genes.columns]
+        inside = sets.join(genes.select(*own, "gene"), "gene").groupBy(*own, "library", "set_name").agg(F.count_distinct("gene").alias("set_in"))
+        o = o.join(inside, [*own, "library", "set_name"], "left").fillna(0, ["set_in"])
+        o = o.join(genes.groupBy(*own).agg(F.count("*").alias("n")), own) if own else o.withColumn("n", universe_size)
     a = F.col("overlap")
     rest = F.col("n") - F.col("n_targets") - F.col("set_in") + a
     return o.withColumn("p", fisher_greater(a, F.col("n_targets") - a, F.col("set_size") - a, rest))
 
 
-def tf_pathway_score(edges, sets, universe_size, min_targets=10, max_targets=100, alpha=0.05):
+def tf_pathway_score(edges, sets, universe_size, min_targets=10, max_targets=100, alpha=0.05, keys=()):
     """Pathway score of each source from its strongest targets: best p among significant sets,
     its score against chance, and a specificity penalty."""
-    e = top_k_per(edges, "source", max_targets)
-    n_t = e.groupBy("source").agg(F.count_distinct("target").alias("n_targets"))
+    by = [*keys, "source"]
+    e = top_k_per(edges, "source", max_targets, list(keys))
+    n_t = e.groupBy(*by).agg(F.count_distinct("target").alias("n_targets"))
     big = n_t.where(F.col("n_targets") >= min_targets)
-    r = enrich(e.join(big.select("source"), "source", "left_semi"), sets, universe_size)
-    r = bh(r, ["source"], "p", "fdr")
+    r = enrich(e.join(big.select(*by), by, "left_semi"), sets, universe_size, list(keys))
+    r = bh(r, by, "p", "fdr")
     sig = F.col("fdr") < alpha
-    s = r.groupBy("source").agg(
+    s = r.groupBy(*by).agg(
         F.count("*").alias("tested"), F.count_if(sig).alias("n_enriched"), F.min("p").alias("min_p"),
         F.min_by(F.when(sig, F.col("set_name")), F.when(sig, F.struct("p", "set_name"))).alias("best_set"),
         F.min(F.when(sig, F.col("p"))).alias("best_p"))
     raw = F.when(F.col("n_enriched") > 0, F.when(F.col("best_p") > 0, -F.log10("best_p")).otherwise(50.0)).otherwise(0.0)
     expected = -F.log10(F.least(F.lit(1.0), F.col("tested") * alpha))
-    out = n_t.join(s, "source", "left").fillna(0, ["n_enriched"]).withColumn("score_raw", F.coalesce(raw, F.lit(0.0)))
+    out = n_t.join(s, by, "left").fillna(0, ["n_enriched"]).withColumn("score_raw", F.coalesce(raw, F.lit(0.0)))
     norm = F.greatest(F.lit(0.0), F.try_divide(F.col("score_raw") - expected, F.col("score_raw")))
     return out.select(
-        "source", "n_targets", "n_enriched", "score_raw",
+        *by, "n_targets", "n_enriched", "score_raw",
         F.when(F.col("score_raw") > 0, norm).otherwise(0.0).alias("score_norm"),
         F.when(F.col("n_enriched") > 0, 1 / (1 + F.log1p("n_enriched"))).otherwise(0.0).alias("specificity"),
         "best_set", F.coalesce("best_p", "min_p", F.lit(1.0)).alias("best_p"))

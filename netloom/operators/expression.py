@@ -367,12 +367,13 @@ def hvg_counts(expr, obs, n_top=None):
     return out if n_top is None else out.orderBy(F.col("norm_var").desc(), "gene").limit(n_top)
 
 
-def ulm(expr, edges, tmin=5, obs=None, keys=()):
+def ulm(expr, edges, tmin=5, obs=None, keys=(), genes=None):
     """Univariate linear model: slope t-value of expression on the weights of each source, genes
     outside the network having weight 0. ``keys`` are extra columns of the edges (selection,
-    model). Closed form from sums, no regression is run."""
+    model). Closed form from sums, no regression is run. ``genes`` (gene) is the measured universe, by
+    default every gene with a stored value."""
     keys = list(keys)
-    genes = expr.select("gene").distinct()
+    genes = expr.select("gene").distinct() if genes is None else genes.select("gene").distinct()
     m = genes.select(F.count("*")).scalar()
     net = edges.select(*keys, "source", F.col("target").alias("gene"), "weight").join(genes, "gene", "left_semi")
     src = (net.groupBy(*keys, "source").agg(F.sum("weight").alias("sw"), F.sum(F.col("weight") * F.col("weight")).alias("qw"), F.count("*").alias("k"))
@@ -434,39 +435,43 @@ def padded_mean(scores, n, value="consistency", keys=()):
         *keys, (F.col("_s") / size).alias("score"))
 
 
-def profiles(expr, obs, group="perturbation"):
+def profiles(expr, obs, group="perturbation", keys=()):
     """Mean profile of each group, zeros included."""
     n = obs.groupBy(group).agg(F.count("*").alias("_n"))
-    return (expr.join(obs.select("obs_id", group), "obs_id").groupBy(group, "gene").agg(F.sum("value").alias("_s"))
-            .join(n, group).select(group, "gene", (F.col("_s") / F.col("_n")).alias("value")))
+    return (expr.join(obs.select("obs_id", group), "obs_id").groupBy(*keys, group, "gene").agg(F.sum("value").alias("_s"))
+            .join(n, group).select(*keys, group, "gene", (F.col("_s") / F.col("_n")).alias("value")))
 
 
-def pds(pred, true, target_gene=None):
+def pds(pred, true, target_gene=None, keys=()):
     """Perturbation discrimination: rank of the right true profile by L1 distance to each
     predicted profile, own target gene left out; 1 - rank/(n-1).
 
-    ``pred`` is (perturbation, item, gene, value), one item being a mean profile or a cell;
-    ``true`` is (perturbation, gene, value); ``target_gene`` maps perturbation to gene.
+    ``pred`` is (keys, perturbation, item, gene, value), one item being a mean profile or a cell;
+    ``true`` is (keys, perturbation, gene, value); ``target_gene`` maps perturbation to gene. Keys are strings.
     """
+    keys = list(keys)
     target_gene = target_gene if target_gene is not None else true.select("perturbation", F.col("perturbation").alias("gene")).distinct()
     tagged = pred.withColumn("item", F.to_json(F.struct("perturbation", "item")))
-    t = true.select("gene", F.col("perturbation").alias("item"), "value")
-    s = pair_sums(tagged.select("gene", "item", "value"), t, "gene", "item", "value", "l1")
-    ip = tagged.groupBy("item", "perturbation").agg(F.sum(F.abs("value")).alias("sp"))
-    tp = t.groupBy(F.col("item").alias("other")).agg(F.sum(F.abs("value")).alias("st"))
-    d = attach_all(ip, tp).join(s.select(F.col("a").alias("item"), F.col("b").alias("other"), "s"), ["item", "other"], "left")
+    t = true.select(*keys, "gene", F.col("perturbation").alias("item"), "value")
+    s = pair_sums(tagged.select(*keys, "gene", "item", "value"), t, "gene", "item", "value", "l1", keys)
+    ip = tagged.groupBy(*keys, "item", "perturbation").agg(F.sum(F.abs("value")).alias("sp"))
+    tp = t.groupBy(*keys, F.col("item").alias("other")).agg(F.sum(F.abs("value")).alias("st"))
+    # every item against every true profile of its key is a result
+    grid = attach_all(ip, tp) if not keys else spread_join(ip, tp, keys, ["item"], per=2_000)
+    d = grid.join(s.select(*keys, F.col("a").alias("item"), F.col("b").alias("other"), "s"), [*keys, "item", "other"], "left")
     d = d.withColumn("dist", F.col("sp") + F.col("st") + F.coalesce("s", F.lit(0.0)))
     # take the own target gene out of every distance
-    own = tagged.join(target_gene, ["perturbation", "gene"]).select("item", F.col("value").alias("x"))
+    own = tagged.join(target_gene, ["perturbation", "gene"]).select(*keys, "item", F.col("value").alias("x"))
     theirs = true.join(target_gene.select(F.col("gene"), F.col("perturbation").alias("p")), "gene").select(
-        F.col("perturbation").alias("other"), F.col("p").alias("perturbation"), F.col("value").alias("y"))
-    d = d.join(own, "item", "left").join(theirs, ["perturbation", "other"], "left")
+        *keys, F.col("perturbation").alias("other"), F.col("p").alias("perturbation"), F.col("value").alias("y"))
+    d = d.join(own, [*keys, "item"], "left").join(theirs, [*keys, "perturbation", "other"], "left")
     d = d.withColumn("dist", F.round(F.col("dist") - F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0))), 9))
-    w = W.partitionBy("item").orderBy("dist", "other")
-    n = tp.select(F.count("*")).scalar()
-    hit = d.withColumn("rank", F.row_number().over(w) - 1).where("perturbation = other")
-    return hit.select("perturbation", F.get_json_object("item", "$.item").alias("item"), "rank",
-                      (1 - F.col("rank") / F.nullif(n - 1, F.lit(0))).alias("pds"))
+    # the own profile's place is the number of profiles before it; nothing is put in order
+    right = d.where("perturbation = other").select(*keys, "item", "perturbation", F.struct("dist", "other").alias("_own"))
+    hit = (d.join(right.select(*keys, "item", "_own"), [*keys, "item"]).groupBy(*keys, "item", "perturbation")
+           .agg(F.count_if(F.struct("dist", "other") < F.col("_own")).alias("rank"), F.count("*").alias("_n")))
+    return hit.select(*keys, "perturbation", F.get_json_object("item", "$.item").alias("item"), "rank",
+                      (1 - F.col("rank") / F.nullif(F.col("_n") - 1, F.lit(0))).alias("pds"))
 
 
 def pooled_r2(pred, keys=()):

@@ -7,6 +7,7 @@ only when its measured size is under the session threshold, and shuffles it othe
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from netloom.functions.text import canonical, interval_parts
+from netloom.operators.blocks import attach_all
 
 DEFAULT_LAYERS = ("lognorm", "X_norm")
 NORM_ONLY = ("adamson", "norman", "nakatake")  # fixed values: datasets that ship X_norm only
@@ -195,10 +196,11 @@ def nonzero_std(expr, obs):
     return g.where(F.col("hi") > F.col("lo")).select("gene")
 
 
-def min_targets(edges, n):
+def min_targets(edges, n, extra=()):
     """Edges of sources with at least ``n`` edges."""
-    keep = edges.groupBy("source").agg(F.count("*").alias("_n")).where(F.col("_n") >= n).select("source")
-    return edges.join(keep, "source", "left_semi")
+    by = [*extra, "source"]
+    keep = edges.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= n).select(*by)
+    return edges.join(keep, by, "left_semi")
 
 
 def load_sets(sets, lo=5, hi=500, name="set_name"):
@@ -213,11 +215,16 @@ def sets_long(sets):
     return sets.select("library", "set_name", F.explode("genes").alias("gene"))
 
 
-def universe(edges, tfs, genes):
+def universe(edges, tfs, genes, extra=()):
     """Background genes: only factors when every target is one, else all genes."""
+    extra = list(extra)
+    flagged = genes.join(tfs.select(F.col("tf").alias("gene"), F.lit(True).alias("is_tf")).distinct(), "gene", "left")
+    if extra:
+        only = (edges.select(*extra, F.col("target").alias("tf")).distinct().join(tfs.select("tf", F.lit(1).alias("_f")).distinct(), "tf", "left")
+                .groupBy(*extra).agg((F.count("*") == F.count("_f")).alias("_only")))
+        return attach_all(flagged, only).where(~F.col("_only") | F.coalesce("is_tf", F.lit(False))).select(*extra, "gene")
     non_tf = (edges.select(F.col("target").alias("tf")).distinct().join(tfs, "tf", "left_anti"))
     only_tfs = non_tf.select(F.count("*") == 0).scalar()
-    flagged = genes.join(tfs.select(F.col("tf").alias("gene"), F.lit(True).alias("is_tf")), "gene", "left")
     return flagged.where(~only_tfs | F.coalesce("is_tf", F.lit(False))).select("gene")
 
 

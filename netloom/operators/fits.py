@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from netloom.functions.stats import t_tail, top_k
 from netloom.functions import det
 from netloom.functions.skew import spread_join
-from netloom.operators.blocks import pair_sums
+from netloom.operators.blocks import attach_all, pair_sums
 from netloom.operators.dense import deal, inverse, square
 from netloom.operators.nulls import draw
 from netloom.session import cut
@@ -50,15 +50,31 @@ def scale_moments(m: DataFrame, scale: DataFrame) -> DataFrame:
             .withColumn("s", F.col("s") / (F.coalesce("_sa", F.lit(1.0)) * F.coalesce("_sb", F.lit(1.0)))).drop("_sa", "_sb"))
 
 
-def design(regs: DataFrame, m: DataFrame, key="fold") -> DataFrame:
+def design(regs: DataFrame, m: DataFrame, key="fold", keys=(), by=()) -> DataFrame:
     """Moments each target needs: all pairs among its regulators, itself and the constant.
-    ``regs`` is (target, source[, model columns])."""
-    mem = regs.where("source is not null").select("target", F.col("source").alias("g")).unionByName(
-        regs.select("target", F.col("target").alias("g"))).unionByName(
-        regs.select("target", F.lit(ONE).alias("g"))).distinct()
+    ``regs`` is (keys, target, source[, model columns]): many networks are one design. ``by`` are
+    columns of ``m`` that part the samples; a network that carries one meets its own part only."""
+    keys = list(keys)
+    mem = regs.where("source is not null").select(*keys, "target", F.col("source").alias("g")).unionByName(
+        regs.select(*keys, "target", F.col("target").alias("g"))).unionByName(
+        regs.select(*keys, "target", F.lit(ONE).alias("g"))).distinct()
     # one normal matrix per target: list its cells, then look them up
-    pairs = mem.withColumnRenamed("g", "a").join(mem.withColumnRenamed("g", "b"), "target").where("a <= b")
-    return pairs.join(m, ["a", "b"]).select("target", key, "a", "b", "s")
+    pairs = mem.withColumnRenamed("g", "a").join(mem.withColumnRenamed("g", "b"), [*keys, "target"]).where("a <= b")
+    out = list(dict.fromkeys([*keys, *by]))
+    return pairs.join(m, ["a", "b", *[c for c in by if c in keys]]).select(*out, "target", key, "a", "b", "s")
+
+
+def per_target(d: DataFrame, fit, schema: str, keys=()) -> DataFrame:
+    """``fit`` on each target's rows, its result led by the key columns."""
+    keys, kinds = list(keys), dict(d.dtypes)
+
+    def run(pdf):
+        out = fit(pdf)
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
+
+    return d.groupBy(*keys, "target").applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), schema]))
 
 
 def _matrices(pdf, key):
@@ -111,39 +127,44 @@ def fold_r2(mats, alpha=1.0):
     return float(np.clip(np.mean(scores), 0, 1)) if scores else 0.0
 
 
-def ridge_cv(regs: DataFrame, m: DataFrame, alpha=1.0) -> DataFrame:
-    """(target, n_regulators, r2) by leave-one-fold-out ridge on the given regulators; 0 without any."""
+def ridge_cv(regs: DataFrame, m: DataFrame, alpha=1.0, keys=(), by=()) -> DataFrame:
+    """(keys, target, n_regulators, r2) by leave-one-fold-out ridge on the given regulators; 0 without any."""
     def fit(pdf):
         target, names, mats = _matrices(pdf, "fold")
         return pd.DataFrame({"target": [target], "n_regulators": [len(names)], "r2": [fold_r2(mats, alpha) if names else 0.0]})
 
-    return design(regs, m).groupBy("target").applyInPandas(fit, "target string, n_regulators int, r2 double")
+    return per_target(design(regs, m, "fold", keys, by), fit, "target string, n_regulators int, r2 double", list(dict.fromkeys([*keys, *by])))
 
 
-def select_regulators(edges: DataFrame, tfs: DataFrame, consensus: DataFrame, seed=0xCAFE) -> DataFrame:
-    """Top-n regulators of each target, n from the consensus table (gene, n). Where the network
-    names fewer, random factors fill up, in hash order. Returns (target, source, rn); a target
+def select_regulators(edges: DataFrame, tfs: DataFrame, consensus: DataFrame, seed=0xCAFE, keys=()) -> DataFrame:
+    """Top-n regulators of each target, n from the consensus table (gene, n). Where a network
+    names fewer, random factors fill up, in hash order. Returns (keys, target, source, rn); a target
     without any possible regulator is one row with null source, which the fit scores 0."""
+    keys = list(keys)
     need = consensus.where("n > 0").select(F.col("gene").alias("target"), "n")
+    if keys:
+        need = attach_all(need, edges.select(*keys).distinct())
+    on = [*keys, "target"]
     factors = tfs.select(F.col("tf").alias("source")).distinct()
-    named = (edges.where("source != target and weight != 0").select("source", "target", "weight").join(factors, "source", "left_semi").join(need, "target"))
+    named = (edges.where("source != target and weight != 0").select(*keys, "source", "target", "weight").join(factors, "source", "left_semi").join(need, on))
     order = [F.abs("weight").desc(), det.hash_key("source", "target", seed=seed), F.col("source")]
-    chosen = cut(top_k(named, ["target"], order, F.col("n"), ["source"], out="rn").select("target", "source", "rn"), "named")
-    have = chosen.groupBy("target").agg(F.count("*").alias("have"))
-    short = need.join(have, "target", "left").fillna(0, ["have"]).where("have < n")
+    chosen = cut(top_k(named, on, order, F.col("n"), ["source"], out="rn").select(*on, "source", "rn"), "named")
+    have = chosen.groupBy(*on).agg(F.count("*").alias("have"))
+    short = need.join(have, on, "left").fillna(0, ["have"]).where("have < n")
     # as many draws as places, own gene and named factors: what is left after these is enough
-    fill = draw(short, factors, "target", "source", F.col("n") + 1, seed).where("source != target").join(chosen, ["target", "source"], "left_anti")
-    fill = fill.withColumn("rn", F.col("have") + F.row_number().over(W.partitionBy("target").orderBy("_j"))).where("rn <= n")
-    chosen = chosen.unionByName(fill.select("target", "source", F.col("rn").cast("int").alias("rn")))
-    return need.select("target").join(chosen, "target", "left")
+    fill = draw(short, factors, "target", "source", F.col("n") + 1, seed).where("source != target").join(chosen, [*on, "source"], "left_anti")
+    fill = fill.withColumn("rn", F.col("have") + F.row_number().over(W.partitionBy(*on).orderBy("_j"))).where("rn <= n")
+    chosen = chosen.unionByName(fill.select(*on, "source", F.col("rn").cast("int").alias("rn")))
+    return need.select(*on).join(chosen, on, "left")
 
 
-def raw_regulators(edges: DataFrame, tfs: DataFrame, more_than=2) -> DataFrame:
+def raw_regulators(edges: DataFrame, tfs: DataFrame, more_than=2, keys=()) -> DataFrame:
     """All factor regulators of targets that have more than two."""
+    keys = list(keys)
     e = (edges.where("source != target and weight != 0").join(tfs.select(F.col("tf").alias("source")), "source", "left_semi")
-         .select("target", "source").distinct())
-    keep = e.groupBy("target").agg(F.count("*").alias("_n")).where(F.col("_n") > more_than).select("target")
-    return e.join(keep, "target", "left_semi")
+         .select(*keys, "target", "source").distinct())
+    keep = e.groupBy(*keys, "target").agg(F.count("*").alias("_n")).where(F.col("_n") > more_than).select(*keys, "target")
+    return e.join(keep, [*keys, "target"], "left_semi")
 
 
 def elastic_net(s, alpha=0.001, l1=0.5, rounds=1000, tol=1e-8):
@@ -163,49 +184,60 @@ def elastic_net(s, alpha=0.001, l1=0.5, rounds=1000, tol=1e-8):
     return beta
 
 
-def refit_elastic(edges: DataFrame, m: DataFrame, alpha=0.001, signed=False) -> DataFrame:
+def refit_elastic(edges: DataFrame, m: DataFrame, alpha=0.001, signed=False, keys=()) -> DataFrame:
     """New weights on a fixed topology; ``signed`` drops weights of the wrong sign."""
+    keys = list(keys)
+
     def fit(pdf):
         target, names, mats = _matrices(pdf, "fold")
         beta = elastic_net(sum(mats.values()), alpha)
         return pd.DataFrame({"source": names, "target": target, "weight": beta})
 
-    e = edges.where("source != target and weight != 0").select("source", "target", F.col("weight").alias("_w"))
-    out = design(e, m).groupBy("target").applyInPandas(fit, "source string, target string, weight double")
-    out = out.join(e, ["source", "target"])
+    e = edges.where("source != target and weight != 0").select(*keys, "source", "target", F.col("weight").alias("_w"))
+    out = per_target(design(e, m, "fold", keys), fit, "source string, target string, weight double", keys)
+    out = out.join(e, [*keys, "source", "target"])
     if signed:
         out = out.withColumn("weight", F.when(F.col("weight") * F.col("_w") < 0, 0.0).otherwise(F.col("weight")))
-    return out.select("source", "target", "weight")
+    return out.select(*keys, "source", "target", "weight")
 
 
-def propagate(shocks: DataFrame, edges: DataFrame, steps=2) -> DataFrame:
-    """Shocks pushed through the network: shock + shock A + shock A A (obs_id, gene, value)."""
-    term, total = shocks.select("obs_id", "gene", "value"), shocks.select("obs_id", "gene", "value")
+def propagate(shocks: DataFrame, edges: DataFrame, steps=2, keys=()) -> DataFrame:
+    """Shocks pushed through the network: shock + shock A + shock A A (keys, obs_id, gene, value).
+    Shocks without the key columns go through every network."""
+    keys = list(keys)
+    term = shocks.select(*[k for k in keys if k in shocks.columns], "obs_id", "gene", "value")
+    if any(k not in shocks.columns for k in keys):
+        term = attach_all(term, edges.select(*[k for k in keys if k not in shocks.columns]).distinct())
+    total = term = term.select(*keys, "obs_id", "gene", "value")
     for _ in range(steps):
-        term = (spread_join(term.withColumnRenamed("gene", "source"), edges.select("source", "target", "weight"), ["source"], ["obs_id"])
-                .groupBy("obs_id", F.col("target").alias("gene")).agg(F.sum(F.col("value") * F.col("weight")).alias("value")))
+        term = (spread_join(term.withColumnRenamed("gene", "source"), edges.select(*keys, "source", "target", "weight"), [*keys, "source"], ["obs_id"])
+                .groupBy(*keys, "obs_id", F.col("target").alias("gene")).agg(F.sum(F.col("value") * F.col("weight")).alias("value")))
         total = total.unionByName(term)
-    return total.groupBy("obs_id", "gene").agg(F.sum("value").alias("value"))
+    return total.groupBy(*keys, "obs_id", "gene").agg(F.sum("value").alias("value"))
 
 
-def shock_estimate(delta: DataFrame, edges: DataFrame, reporters: DataFrame, lam=0.001, chunk=512) -> DataFrame:
-    """Ridge estimate of the shocks behind reporter deltas, all regulators at once.
+def shock_estimate(delta: DataFrame, edges: DataFrame, reporters: DataFrame, lam=0.001, chunk=512, keys=()) -> DataFrame:
+    """Ridge estimate of the shocks behind reporter deltas, all regulators of a network at once.
 
     The response of every reporter to a unit shock on every regulator is a small table of the
     network; samples are cut in chunks, each chunk gets a copy of that table and solves the same
-    normal equations for its samples only.
+    normal equations for its samples only. ``reporters`` is (keys, gene).
     """
-    unit = edges.where("weight != 0").select("source").distinct().select(F.col("source").alias("obs_id"), F.col("source").alias("gene"), F.lit(1.0).alias("value"))
-    resp = cut(propagate(unit, edges).join(reporters.select("gene"), "gene", "left_semi").select(
-        F.col("obs_id").alias("regulator"), "gene", "value"), "response")
+    keys = list(keys)
+    unit = edges.where("weight != 0").select(*keys, "source").distinct().select(*keys, F.col("source").alias("obs_id"), F.col("source").alias("gene"), F.lit(1.0).alias("value"))
+    rep = cut(reporters.select(*keys, "gene").distinct(), "reporters")
+    resp = cut(propagate(unit, edges, keys=keys).join(rep, [*keys, "gene"], "left_semi").select(
+        *keys, F.col("obs_id").alias("regulator"), "gene", "value"), "response")
     n = delta.agg(F.approx_count_distinct("obs_id")).first()[0]
     chunks = max(1, -(-n // chunk))
-    y = delta.join(reporters.select("gene"), "gene", "left_semi").withColumn("_c", F.pmod(F.xxhash64("obs_id"), F.lit(chunks)))
+    y = spread_join(delta.select("obs_id", "gene", "value"), rep, ["gene"], ["obs_id"]).withColumn("_c", F.pmod(F.xxhash64("obs_id"), F.lit(chunks)))
     copies = resp.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))))
+    kinds = dict(edges.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "obs_id string, gene string, value double"])
 
     def solve(a, b):
         if a.empty or b.empty:
-            return pd.DataFrame({"obs_id": [], "gene": [], "value": []}).astype({"value": float})
+            return pd.DataFrame({k: [] for k in [*keys, "obs_id", "gene", "value"]}).astype({"value": float})
         obs, oi = np.unique(a["obs_id"], return_inverse=True)
         reg, ri = np.unique(b["regulator"], return_inverse=True)
         genes = pd.Index(np.unique(np.concatenate([a["gene"], b["gene"]])))
@@ -213,9 +245,9 @@ def shock_estimate(delta: DataFrame, edges: DataFrame, reporters: DataFrame, lam
         ym[oi, genes.get_indexer(a["gene"])] = a["value"]
         fm[ri, genes.get_indexer(b["gene"])] = b["value"]
         d = np.linalg.solve(fm @ fm.T + lam * np.eye(len(reg)), fm @ ym.T).T
-        return pd.DataFrame({"obs_id": np.repeat(obs, len(reg)), "gene": np.tile(reg, len(obs)), "value": d.ravel()})
+        return pd.DataFrame({**{k: a[k].iloc[0] for k in keys}, "obs_id": np.repeat(obs, len(reg)), "gene": np.tile(reg, len(obs)), "value": d.ravel()})
 
-    return y.groupBy("_c").cogroup(copies.groupBy("_c")).applyInPandas(solve, "obs_id string, gene string, value double")
+    return y.groupBy(*keys, "_c").cogroup(copies.groupBy(*keys, "_c")).applyInPandas(solve, schema)
 
 
 def anchor_shift(expr: DataFrame, obs: DataFrame, anchor: str, gamma: float) -> DataFrame:
@@ -336,7 +368,7 @@ def residual_corr(edges_by_net: DataFrame, m: DataFrame, alpha=10.0) -> DataFram
     """
     genes = m.where(F.col("a") == ONE).where(F.col("b") != ONE).select(F.col("b").alias("gene")).distinct()
     n_genes = genes.select(F.count("*")).scalar()
-    e = edges_by_net.where("source != target").select(F.concat_ws("|", "net", "target").alias("nt"), "net", "source", "target").distinct()
+    e = edges_by_net.where("source != target").select(F.to_json(F.struct("net", "target")).alias("nt"), "net", "source", "target").distinct()
     mem = e.select("nt", F.col("source").alias("g"), "target").unionByName(
         e.select("nt", F.col("target").alias("g"), "target")).unionByName(e.select("nt", F.lit(ONE).alias("g"), "target")).distinct()
     pairs = mem.withColumnRenamed("g", "a").join(mem.select("nt", F.col("g").alias("b")), "nt").where("a <= b")
@@ -363,7 +395,8 @@ def residual_corr(edges_by_net: DataFrame, m: DataFrame, alpha=10.0) -> DataFram
         fit, "nt string, fold string, target string, g string, w double, rvar double, rmean double, n double"), "residuals")
     both = m.select("fold", F.col("a").alias("g"), F.col("b").alias("z"), "s").unionByName(
         m.where("a != b").select("fold", F.col("b").alias("g"), F.col("a").alias("z"), "s")).where(F.col("z") != ONE)
-    cov = coef.join(both, ["fold", "g"]).groupBy("nt", "fold", "target", "z").agg(
+    # the constant is a regressor of every target: hot (fold, g) keys are cut in slices
+    cov = spread_join(coef, both, ["fold", "g"], ["nt"], per=2_000).groupBy("nt", "fold", "target", "z").agg(
         F.sum(F.col("w") * F.col("s")).alias("c"), F.max("rvar").alias("rvar"), F.max("rmean").alias("rmean"), F.max("n").alias("n"))
     zsum = m.where((F.col("a") == ONE) & (F.col("b") != ONE)).select("fold", F.col("b").alias("z"), F.col("s").alias("zs"))
     zvar = m.where((F.col("a") == F.col("b")) & (F.col("a") != ONE)).select("fold", F.col("a").alias("z"), F.col("s").alias("zq"))
@@ -374,10 +407,10 @@ def residual_corr(edges_by_net: DataFrame, m: DataFrame, alpha=10.0) -> DataFram
     k = e.groupBy("nt").agg(F.count("*").alias("k"))
     # genes without any product row correlate 0 and still count in the mean
     return (cov.groupBy("nt", "fold", "target").agg(F.sum(r).alias("sr")).join(k, "nt").withColumn("g", n_genes).where("k < g - 1")
-            .select(F.substring_index("nt", "|", 1).alias("net"), "fold", "target", (F.col("sr") / (F.col("g") - F.col("k"))).alias("score")))
+            .select(F.get_json_object("nt", "$.net").alias("net"), "fold", "target", (F.col("sr") / (F.col("g") - F.col("k"))).alias("score")))
 
 
-def prior_ridge(regs: DataFrame, m: DataFrame, alpha=10.0) -> DataFrame:
+def prior_ridge(regs: DataFrame, m: DataFrame, alpha=10.0, keys=()) -> DataFrame:
     """Ridge of each target on its prior regulators within each cluster, with the p-value of
     every coefficient. ``m`` has the cluster as its fold column."""
     def fit(pdf):
@@ -397,8 +430,7 @@ def prior_ridge(regs: DataFrame, m: DataFrame, alpha=10.0) -> DataFrame:
             out.append(pd.DataFrame({"cell_type": k, "source": names, "target": target, "weight": beta, "p": pv}))
         return pd.concat(out) if out else pd.DataFrame(columns=["cell_type", "source", "target", "weight", "p"])
 
-    return design(regs, m).groupBy("target").applyInPandas(
-        fit, "cell_type string, source string, target string, weight double, p double")
+    return per_target(design(regs, m, "fold", keys), fit, "cell_type string, source string, target string, weight double, p double", keys)
 
 
 def partial_corr(corr: DataFrame, m: DataFrame, k=10, l2=1e-6) -> DataFrame:
@@ -421,4 +453,4 @@ def partial_corr(corr: DataFrame, m: DataFrame, k=10, l2=1e-6) -> DataFrame:
         t = beta / np.sqrt(rss / dof * np.diag(inv))
         return pd.DataFrame({"source": names, "target": target, "weight": t / np.sqrt(t * t + dof)})
 
-    return design(regs, m).groupBy("target").applyInPandas(fit, "source string, target string, weight double")
+    return per_target(design(regs, m), fit, "source string, target string, weight double")

@@ -1,6 +1,8 @@
 """Splits, folds, null networks and noise. Every draw is hash-ordered (see functions.det); numpy
 streams of other implementations are matched in distribution, not draw by draw."""
 
+import math
+
 from pyspark.sql import Window as W, functions as F
 
 from netloom.functions import det
@@ -8,6 +10,7 @@ from netloom.functions.stats import top_k
 from netloom.operators.blocks import attach_all
 from netloom.operators.edges import by_weight
 from netloom.operators.ranking import number_rows
+from netloom.session import cut
 
 
 def split_perturbations(obs, share=0.5, tfs=None, seed=32):
@@ -43,19 +46,23 @@ def group_shuffle(obs, group, share=0.5, seed=42, ident="obs_id"):
 
 
 def group_kfold(obs, group, k=5):
-    """Fold of each group: largest group first, always to the lightest fold. Runs over one row
-    per group."""
-    g = obs.groupBy(group).agg(F.count("*").alias("n"))
-    order = F.sort_array(F.collect_list(F.struct("n", F.col(group).alias("g"))), asc=False)
-    zero = F.struct(F.array(*[F.lit(0).cast("bigint")] * k).alias("load"), F.array().cast("array<struct<g:string,fold:int>>").alias("at"))
+    """Fold of each group, balanced by rows: groups in order of size are dealt in rounds of ``k``, in turn
+    from the first and from the last fold.
 
-    def put(acc, x):
-        f = F.array_position(acc["load"], F.array_min(acc["load"])).cast("int") - 1
-        load = F.transform(acc["load"], lambda v, i: F.when(i == f, v + x["n"]).otherwise(v))
-        return F.struct(load.alias("load"), F.concat(acc["at"], F.array(F.struct(x["g"].alias("g"), f.alias("fold")))).alias("at"))
-
-    folded = g.agg(F.aggregate(order, zero, put, lambda a: a["at"]).alias("at"))
-    return folded.select(F.explode("at").alias("x")).select(F.col("x.g").alias(group), F.col("x.fold").alias("fold"))
+    Folds differ by at most the size of the largest group: within a pair of rounds what one deal
+    gives too much the next takes back. Groups are numbered inside (size, hash) parts and shifted by
+    the parts before, so there is no list of all groups, whatever their number.
+    """
+    g = obs.groupBy(group).agg(F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64(group), F.lit(64)).cast("int")
+    g = g.withColumn("_p", part)
+    size = g.groupBy("n", "_p").agg(F.count("*").alias("_c"))
+    # as many rows as there are different group sizes, times 64 at most
+    before = size.select("n", "_p", F.coalesce(F.sum("_c").over(W.orderBy(F.col("n").desc(), "_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    at = F.col("_before") + F.row_number().over(W.partitionBy("n", "_p").orderBy(group)) - 1
+    i = g.join(before, ["n", "_p"]).select(group, at.alias("_i"))
+    turn, place = F.floor(F.col("_i") / k) % 2, F.col("_i") % k
+    return i.select(group, F.when(turn == 0, place).otherwise(k - 1 - place).cast("int").alias("fold"))
 
 
 def folds(obs, column=None, k=5, seed=0xCAFE, min_rows=200, ident="obs_id"):
@@ -67,12 +74,22 @@ def folds(obs, column=None, k=5, seed=0xCAFE, min_rows=200, ident="obs_id"):
 
 
 def negative_control(genes, tfs, share=0.01, n_tfs=None, seed=0):
-    """Random signed network of all factors, or the first ``n_tfs`` by name: each sign with probability ``share``."""
+    """Random signed network of all factors, or the first ``n_tfs`` by name: each sign with probability ``share``.
+
+    A factor walks the genes, numbered in hash order, by gaps of geometric length: the same chances as
+    a draw for every (factor, gene), but only the edges are formed. Twelve deviations more gaps than
+    expected are drawn, so that the walk reaches the last gene.
+    """
     t = tfs.select(F.col("tf").alias("source")).distinct()
     t = t if n_tfs is None else t.orderBy("source").limit(n_tfs)
-    u = det.uniform("source", "target", seed=seed)
-    e = attach_all(genes.select(F.col("gene").alias("target")), t).withColumn("_u", u).where(F.col("_u") < 2 * share)
-    return e.select("source", "target", F.when(F.col("_u") < share, -1.0).otherwise(1.0).alias("weight"))
+    numbered = number_rows(genes.select(F.col("gene").alias("target")).distinct(), det.hash_key("target", seed=f"{seed}g"), "_i", tie=["target"])
+    n, p = genes.select(F.count_distinct("gene")).scalar(), 2 * share
+    draws = F.ceil(n * p + 12 * F.sqrt(n * p) + 12).cast("int")
+    walk = t.withColumn("_n", draws).withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    gap = 1 + F.floor(F.log(F.greatest(det.uniform("source", "_j", seed=f"{seed}a"), F.lit(1e-12))) / math.log(1 - p))
+    walk = walk.withColumn("_i", F.sum(gap).over(W.partitionBy("source").orderBy("_j")) - 1)
+    e = walk.select("source", "_j", "_i").join(numbered, "_i")
+    return e.select("source", "target", F.when(det.uniform("source", "_j", seed=f"{seed}b") < 0.5, -1.0).otherwise(1.0).alias("weight"))
 
 
 def next_prime(n):
@@ -137,43 +154,72 @@ def degree_null(edges, seed=7, extra=()):
 NOISE = ("direction", "sign", "weight", "net")
 
 
-def add_noise(edges, noise, degree, seed=0):
+def _mix(s, t, rows, cols, seed, back=False):
+    """Pseudo-random permutation of the places (s, t) of a rows x cols grid, or its inverse: each of four
+    rounds moves one coordinate by a hash of the other, so no place is ever listed."""
+    for r in (range(4) if not back else reversed(range(4))):
+        move = (lambda c, n: F.floor(det.uniform(c, seed=f"{seed}{r}") * n))  # noqa: B023, E731
+        sign = -1 if back else 1
+        if r % 2 == 0:
+            t = F.pmod(t + sign * move(s, cols), cols)
+        else:
+            s = F.pmod(s + sign * move(t, rows), rows)
+    return s, t
+
+
+def _sizes(edges, keys, *aggs):
+    """One row of totals per key next to the edges of the key."""
+    return edges.groupBy(*keys).agg(*aggs) if keys else edges.agg(*aggs)
+
+
+def _with(df, sizes, keys):
+    return df.join(sizes, list(keys)) if keys else attach_all(df, sizes)
+
+
+def add_noise(edges, noise, degree, seed=0, keys=()):
     """Edges with one kind of noise: swapped direction, flipped sign, gaussian weight noise or a
-    shuffled share of the whole source x target grid."""
-    e = edges.select("source", "target", "weight")
-    n = e.select(F.count("*")).scalar()
+    shuffled share of the whole source x target grid, per key.
+
+    Of the grid, a share of the places in a pseudo-random order is shuffled: the edges among these
+    places, in hash order, move to the first places of that order. Places without an edge stay implied.
+    """
+    keys = list(keys)
+    e = edges.select(*keys, "source", "target", "weight")
+    tie = ["source", "target"]
     if noise in ("direction", "sign"):
-        d = number_rows(e, det.hash_key("source", "target", seed=f"{seed}{noise}"), "_i", tie=["source", "target"])
-        hit = F.col("_i") < F.floor(n * degree)
+        d = number_rows(e, det.hash_key("source", "target", seed=f"{seed}{noise}"), "_i", keys, tie)
+        d = _with(d, _sizes(e, keys, F.count("*").alias("_n")), keys)
+        hit = F.col("_i") < F.floor(F.col("_n") * degree)
         if noise == "sign":
-            return d.select("source", "target", F.when(hit, -F.col("weight")).otherwise(F.col("weight")).alias("weight"))
-        return d.select(F.when(hit, F.col("target")).otherwise(F.col("source")).alias("source"),
+            return d.select(*keys, "source", "target", F.when(hit, -F.col("weight")).otherwise(F.col("weight")).alias("weight"))
+        return d.select(*keys, F.when(hit, F.col("target")).otherwise(F.col("source")).alias("source"),
                         F.when(hit, F.col("source")).otherwise(F.col("target")).alias("target"), "weight")
     if noise == "weight":
-        sd = e.select(F.stddev_samp("weight")).scalar()
-        return e.withColumn("weight", F.col("weight") + det.gaussian("source", "target", seed=f"{seed}w") * degree * sd)
+        d = _with(e, _sizes(e, keys, F.stddev_samp("weight").alias("_sd")), keys)
+        return d.select(*keys, "source", "target", (F.col("weight") + det.gaussian("source", "target", seed=f"{seed}w") * degree * F.col("_sd")).alias("weight"))
     if noise != "net":
         raise ValueError(f"unknown noise {noise}")
     if degree <= 0:
         return e
-    e = e.groupBy("source", "target").agg(F.avg("weight").alias("weight"))
-    grid = attach_all(e.select("target").distinct(), e.select("source").distinct())
-    size = grid.select(F.count("*")).scalar()
-    cells = grid.join(e, ["source", "target"], "left").fillna(0.0, ["weight"])
-    cells = number_rows(cells, det.hash_key("source", "target", seed=f"{seed}n"), "_i", tie=["source", "target"]).withColumn("_m", F.floor(size * degree))
-    moved = cells.where(F.col("_i") < F.col("_m"))
-    values = number_rows(moved.select("source", "target", "weight"), det.hash_key("source", "target", seed=f"{seed}v"), "_i", tie=["source", "target"])
-    shuffled = moved.select("_i", "source", "target").join(values.select("_i", "weight"), "_i")
-    return (shuffled.select("source", "target", "weight").unionByName(cells.where(F.col("_i") >= F.col("_m")).select("source", "target", "weight"))
-            .where("weight != 0"))
-
-
-def noise_sweep(edges, degrees=(0.0, 0.2, 0.5, 1.0), kinds=NOISE):
+    e = e.groupBy(*keys, "source", "target").agg(F.avg("weight").alias("weight"))
+    size = _sizes(e, keys, F.count_distinct("source").alias("_rows"), F.count_distinct("target").alias("_cols"))
+    names = [number_rows(e.select(*keys, c).distinct(), det.hash_key(c, seed=f"{seed}{c}"), i, keys, [c]) for c, i in (("source", "_row"), ("target", "_col"))]
+    e = _with(e.where("weight != 0").join(names[0], [*keys, "source"]).join(names[1], [*keys, "target"]), size, keys)
+    e = e.withColumn("_m", F.floor(F.col("_rows") * F.col("_cols") * degree))
+    s, t = _mix(F.col("_row"), F.col("_col"), F.col("_rows"), F.col("_cols"), f"{seed}n")
+    e = cut(e.withColumn("_at", s * F.col("_cols") + t), "places")
+    moved = number_rows(e.where("_at < _m").drop("_row", "_col"), det.hash_key("source", "target", seed=f"{seed}v"), "_i", keys, tie)
+    s, t = _mix(F.floor(F.col("_i") / F.col("_cols")), F.col("_i") % F.col("_cols"), F.col("_rows"), F.col("_cols"), f"{seed}n", back=True)
+    moved = moved.select(*keys, s.alias("_row"), t.alias("_col"), "weight").join(names[0], [*keys, "_row"]).join(names[1], [*keys, "_col"])
+    return moved.select(*keys, "source", "target", "weight").unionByName(e.where("_at >= _m").select(*keys, "source", "target", "weight"))
+
+
+def noise_sweep(edges, degrees=(0.0, 0.2, 0.5, 1.0), kinds=NOISE, keys=()):
     """All noise kinds at all degrees as one table (noise, level, edges)."""
     out = None
     for k in kinds:
         for d in degrees:
-            part = add_noise(edges, k, d).select(F.lit(k).alias("noise"), F.lit(float(d)).alias("level"), "source", "target", "weight")
+            part = add_noise(edges, k, d, keys=keys).select(F.lit(k).alias("noise"), F.lit(float(d)).alias("level"), *keys, "source", "target", "weight")
             out = part if out is None else out.unionByName(part)
     return out
 

@@ -179,7 +179,7 @@ def boost_by_hand(x, factors, rounds=50, rate=.1, bins=8):
         r = x[:, t] - x[:, t].mean()
         for _ in range(rounds):
             score = [(r[z].sum() ** 2 / z.sum() + r[~z].sum() ** 2 / (~z).sum()) if f != t else -1 for f, z in splits]
-            k = int(np.argmax(np.round(score, 9)))
+            k = int(np.argmax(np.array(score) >= max(score) * (1 - 1e-9)))
             f, z = splits[k]
             out[f, t] = out.get((f, t), 0) + score[k]
             r = r - rate * np.where(z, r[z].mean(), r[~z].mean())

@@ -24,6 +24,7 @@ def test_infer_by_name(table):
 def test_metrics_without_tables_are_named_not_dropped(table, monkeypatch):
     e, _, _ = tables(table)
     edges = table([("g0", "g2", 1.0)], "source string, target string, weight double")
+    monkeypatch.setattr(U, "KEYED", set())
     monkeypatch.setitem(U.METRICS, "vc", lambda ed, c: ed.select(F.lit("vc").alias("metric"), F.lit(float(len(c["cv"]))).alias("value")))
     monkeypatch.setitem(U.NEEDS, "vc", ("expr", "cv"))
     got = {r.metric: (r.value, r.reason) for r in U.evaluate(edges, {"expr": e}, dataset="nakatake").collect()}
@@ -34,6 +35,7 @@ def test_metrics_without_tables_are_named_not_dropped(table, monkeypatch):
 def test_many_networks_in_one_table(table, monkeypatch):
     p = table([("op", "a", "x", "y", 1.0), ("op", "b", "x", "y", 2.0), ("norman", "a", "x", "y", 3.0)],
               "dataset_id string, method_id string, source string, target string, weight double")
+    monkeypatch.setattr(U, "KEYED", set())
     monkeypatch.setitem(U.METRICS, "vc", lambda ed, c: ed.groupBy(F.lit("vc").alias("metric")).agg(F.sum("weight").alias("value")))
     monkeypatch.setitem(U.NEEDS, "vc", ())
     got = {(r.dataset, r.modality, r.model, r.value) for r in U.evaluate_all(p, {"op": {}, "norman": {}}, ["vc"]).collect()}
