@@ -1,9 +1,10 @@
 """SpotSigs document fingerprints, in DataFrame functions only.
 
-A signature is an anchor (a common word) with the next ``CHAIN`` content words, that is words that
-are no anchors; chains may overlap and skip any number of anchors. The start of a text is an anchor
-too, with chains of 1 to ``CHAIN`` content words, so every text with a content word has a signature;
-a text without one is a single signature of its own. The fingerprint is the sorted set of 64-bit signature
+A signature is an anchor with the next ``CHAIN`` content words, that is words that are no anchors;
+chains may overlap and skip any number of anchors. Anchors are common words and, so that lists, code
+and other languages are covered in full as well, one word in ``EVERY`` by its hash. The start and the
+end of a text are anchors too, with chains of 1 to ``CHAIN`` content words, so every text with a content
+word has a signature; a text without one is a single signature of its own. The fingerprint is the sorted set of 64-bit signature
 hashes, written as 16 hex digits each. Likeness is the Jaccard similarity of two sets; where a
 threshold is asked for, sets whose lengths alone rule it out are not intersected.
 
@@ -17,14 +18,15 @@ grows with the table, and the table of bucket heads is bounded (``HEADS`` rows).
 
 Edge cases: null text is empty; null ids come last, in the order of their texts' hashes, as do equal
 ids; repeated rows are neighbours of each other; a single row is its own next; an empty table gives
-no rows.
+no rows. Extra columns, whatever their names, are not read.
 """
 
 import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-CHAIN, PER_BUCKET, HEADS, CELLS = 2, 400, 1_000_000, 64
+CHAIN, EVERY, PER_BUCKET, HEADS, CELLS = 2, 4, 400, 1_000_000, 64
+PART_BYTES = 16 << 20  # text bytes of a shuffle partition
 #: fixed values: common words of the four languages
 ANCHORS = ("the a an of and to in is it that for on was with as be by this are at from "
            "le la les des et de en un une que dans pour est pas sur par "
@@ -32,18 +34,23 @@ ANCHORS = ("the a an of and to in is it that for on was with as be by this are a
            "el los las y del se para por con su lo").split()
 
 
+def _anchor(word: Column) -> Column:
+    return word.isin(*ANCHORS) | (F.xxhash64(word) % EVERY == 0)
+
+
 def signatures(df: DataFrame, text: str, out: str, chain=CHAIN) -> DataFrame:
     """``df`` with ``out``: the sorted distinct signature hashes of ``text`` (not null)."""
     w, c, a = f"_{out}_w", f"_{out}_c", f"_{out}_a"
     df = df.withColumn(w, F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
-    df = df.withColumn(c, F.filter(w, lambda x: ~x.isin(*ANCHORS)))
-    df = df.withColumn(a, F.filter(F.transform(w, lambda x, i: F.when(x.isin(*ANCHORS), i).otherwise(-1)), lambda p: p >= 0))
+    df = df.withColumn(c, F.filter(w, lambda x: ~_anchor(x)))
+    df = df.withColumn(a, F.filter(F.transform(w, lambda x, i: F.when(_anchor(x), i).otherwise(-1)), lambda p: p >= 0))
 
     def spot(p, rank):
         words = [F.get(c, p - rank + k) for k in range(chain)]
         return F.when(p - rank + chain <= F.size(c), F.xxhash64(F.get(w, p), *words))
 
     start = [F.xxhash64(F.lit("^"), F.array_join(F.slice(c, 1, k), " ")) for k in range(1, chain + 1)]
+    start += [F.xxhash64(F.lit("."), F.array_join(F.slice(c, F.greatest(F.size(c) - k, F.lit(0)) + 1, k), " ")) for k in range(1, chain + 1)]
     start = F.when(F.size(c) > 0, F.array(*start)).otherwise(F.array(F.xxhash64(F.lit("$"), F.col(text))))
     sigs = F.array_sort(F.array_distinct(F.array_compact(F.concat(F.transform(a, spot), start))))
     return df.withColumn(out, sigs).drop(w, c, a)
@@ -63,10 +70,10 @@ def written(sigs) -> Column:
     return F.array_join(F.transform(sigs, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
-def _bucketed(docs: DataFrame, per: int) -> DataFrame:
-    """``docs`` (id, text) with bucket ``_b``, descending in the order of rows: larger ids, larger buckets."""
+def _bucketed(docs: DataFrame, per: int) -> tuple[DataFrame, int]:
+    """``docs`` (id, text) with bucket ``_b``, descending in the order of rows (larger ids, larger buckets), and the text bytes."""
     points = F.array(*[F.lit(k / CELLS) for k in range(CELLS + 1)])
-    n, ids, bounds = docs.agg(F.count("*"), F.count("id"), F.percentile_approx("id", points, 10_000)).first()
+    n, ids, size, bounds = docs.agg(F.count("*"), F.count("id"), F.sum(F.octet_length("text")), F.percentile_approx("id", points, 10_000)).first()
     per = max(per, math.ceil(n / HEADS))
     bounds = sorted(set(bounds or [0]))
     m = max(1, math.ceil(ids / per / max(len(bounds) - 1, 1)))
@@ -80,12 +87,13 @@ def _bucketed(docs: DataFrame, per: int) -> DataFrame:
     if ids < n:  # rows without an id are dealt by their texts' hashes
         spare = math.ceil((n - ids) / per)
         bucket = F.when(F.col("id").isNull(), -1 - F.floor((F.xxhash64("text") / 2.0 ** 64 + 0.5) * spare)).otherwise(bucket)
-    return df.withColumn("_b", bucket.cast("bigint")).drop("_k", "_lo", "_hi")
+    return df.withColumn("_b", bucket.cast("bigint")).drop("_k", "_lo", "_hi"), size or 0
 
 
 def neighbours(docs: DataFrame, per=PER_BUCKET, chain=CHAIN) -> DataFrame:
     """(id, text) rows with their signatures, the next row's text and signatures."""
-    rows = _bucketed(docs, per)
+    rows, size = _bucketed(docs, per)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_BYTES))
     first = F.min(F.struct((-F.coalesce("id", F.lit(0))).alias("i"), F.when(F.col("id").isNull(), F.xxhash64("text")).alias("h")))
     heads = rows.groupBy("_b").agg(first.alias("_f"))
     order = Window.orderBy(F.desc("_b"))  # at most HEADS rows
@@ -96,7 +104,7 @@ def neighbours(docs: DataFrame, per=PER_BUCKET, chain=CHAIN) -> DataFrame:
     joined = rows.join(F.broadcast(heads), key & is_head, "left")
     own = F.struct(F.col("_b").alias("b"), F.lit(False).alias("halo"))
     copies = F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("_to").alias("b"), F.lit(True).alias("halo"))))
-    dealt = joined.select("id", "text", F.explode(copies).alias("_x")).select("id", "text", "_x.*").repartition("b")
+    dealt = joined.select("id", "text", F.explode(copies).alias("_x")).select("id", "text", "_x.*").repartition(parts, "b")
     w = Window.partitionBy("b").orderBy("halo", F.desc_nulls_last("id"), F.xxhash64("text"))
     sigs = signatures(dealt, "text", "sigs", chain)
     return (sigs.withColumn("next_text", F.lead("text").over(w)).withColumn("next_sigs", F.lead("sigs").over(w))

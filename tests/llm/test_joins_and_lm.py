@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -94,13 +95,16 @@ def spots(text):
     text = text or ""
     w = [x for x in re.split(r"[^\w]+|_", text.lower()) if x]
     out = set()
-    for k, x in enumerate(w):
-        if x in P.ANCHORS:
-            c = [y for y in w[k:] if y not in P.ANCHORS][:2]
-            if len(c) == 2:
-                out.add((x, *c))
-    c = [y for y in w if y not in P.ANCHORS][:2]
-    return out | {("^", *c[:k]) for k in range(1, len(c) + 1)} or {("$", text)}
+    is_anchor = {x: x in P.ANCHORS or xxhash.xxh64_intdigest(x.encode(), seed=42) % P.EVERY == 0 for x in w}
+    c = [y for y in w if not is_anchor[y]]
+    seen = 0
+    for x in w:
+        if is_anchor[x]:
+            if seen + 2 <= len(c):
+                out.add((x, *c[seen:seen + 2]))
+        else:
+            seen += 1
+    return out | {("^", *c[:k]) for k in (1, 2) if c} | {(".", *c[-k:]) for k in (1, 2) if c} or {("$", text)}
 
 
 def like(a, b):
@@ -114,9 +118,8 @@ def test_fingerprints_equal_brute_force(spark):
         nxt, n = data[(k + 1) % len(data)][1], len(t)
         e = t[:n - n // 3] + nxt[:n // 3]
         assert got[i].n_chars == n and got[i].edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
-        if n < 5000:
-            assert len(got[i].fingerprint) == 16 * len(spots(t))
-            assert got[i].near_edited == pytest.approx(like(t, e)) and got[i].near_next == pytest.approx(like(t, nxt))
+        assert len(got[i].fingerprint) == 16 * len(spots(t))
+        assert got[i].near_edited == pytest.approx(like(t, e)) and got[i].near_next == pytest.approx(like(t, nxt))
 
 
 def test_neighbours_across_buckets_ties_and_nulls(spark):
@@ -147,6 +150,17 @@ def test_fingerprint_edge_cases(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_fingerprints_cover_texts_without_common_words(spark):
+    rng = random.Random(8)
+    data = [" ".join(["red", "green", *(f"{c}{k}" for k in range(600))]) for c in "qz"]
+    data += ["x " * 25, "1 | 2 | 3 | 4 | 5 " * 6, " ".join(rng.choice("ab") for _ in range(30)), " ".join(f"слово{k}" for k in range(40)), "x " * 400]
+    got = {r.doc_id: r for r in P.edited(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")).collect()}
+    assert got[0].fingerprint != got[1].fingerprint and got[1].near_next < 0.05 and got[1].near_edited < 0.9
+    assert all(len(r.fingerprint) >= 3 * 16 for r in got.values())
+    for i, t in enumerate(data):
+        assert len(got[i].fingerprint) == 16 * len(spots(t))
+
+
 def test_search_equals_brute_force(spark):
     rng = random.Random(4)
     base = [" ".join(rng.choice(("the", "of", "and") + tuple(f"w{k}" for k in range(300))) for _ in range(80)) for _ in range(6)]
