@@ -1,11 +1,12 @@
 """Secret scans: pattern matches and sliding-window entropy, in DataFrame functions only.
 
 Base kinds are patterns (``BASE``). The method adds ``entropy``: candidate strings of one character
-class (hex digits, or letters, digits and base64 marks with a digit among them) over which a window
-of ``WINDOW`` characters slides. The window keeps a count per character and the sum of c log2 c; a
+class (hex digits; letters alone; letters, digits and base64 marks with a digit among them), each with
+a bound of its own, over which a window of ``WINDOW`` characters slides. The window keeps a count per character and the sum of c log2 c; a
 step changes the two counts that enter and leave and the sum with them, so a candidate costs one
 pass. It is reported if some window's entropy reaches the class's bound, unless the allow-list
-pattern fits it or a base span overlaps it.
+pattern fits it. Base spans are cut out of a candidate first; what is left on either side is a
+candidate of its own.
 
 Everything is one narrow pass: a guard that is cheap decides whether a text is split at all, spans
 come from the lengths of the pieces between matches, and nothing is shuffled. Positions are code
@@ -13,7 +14,7 @@ points, ends exclusive.
 
 Edge cases: null or empty text has no spans; spans of different kinds may overlap and are all
 reported, equal starts in the order of kinds; repeated rows are scanned one by one; texts of any
-length are scanned whole; columns named as the results are replaced.
+length are scanned whole; a column named ``base`` or ``found`` is replaced, all other columns are kept.
 """
 
 import math
@@ -27,9 +28,9 @@ BASE = {
     "hex": (r"[0-9a-f]+", 0, 16),
 }
 GUARD = {"assign": r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": "AKIA[A-Z0-9]{14}", "hex": "[0-9a-f]{16}"}
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?:(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}|[A-Za-z]{20,}(?![A-Za-z0-9+/_=-]))"
 ALLOW = r"(?i)example|sample|dummy|placeholder|x{6}|0{8}|12345678|abcdefgh|^[0-9/_=+-]+$|^[A-Za-z]+([-_/=+][A-Za-z]+)*[-_/=+]?[0-9]{1,6}$"
-WINDOW, HEX_BITS, MIXED_BITS = 20, 3.0, 3.6
+WINDOW, HEX_BITS, LETTER_BITS, MIXED_BITS = 20, 3.0, 3.95, 3.6
 KINDS = [*BASE, "entropy"]
 MATCHES = "array<struct<s:bigint,e:bigint,t:string>>"
 
@@ -91,22 +92,42 @@ def _at_least(pattern: str, group: int, least: int):
     return lambda m: F.length(F.regexp_extract(m["t"], pattern, group)) >= least
 
 
-def scan(docs: DataFrame, text_col="text", window=WINDOW, hex_bits=HEX_BITS, mixed_bits=MIXED_BITS, allow=ALLOW) -> DataFrame:
+def _remains(m: Column, base: Column) -> Column:
+    """The parts of a match that no base span covers, as array<struct<s,e,t>>."""
+    inside = F.filter(base, lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"]))
+    part = lambda s, e: F.struct(s.cast("bigint").alias("s"), e.cast("bigint").alias("e"),
+                                 F.substring(m["t"], (s - m["s"]).cast("int") + 1, (e - s).cast("int")).alias("t"))
+
+    def step(acc, b):
+        more = F.when(b["s"] > acc["at"], F.array(part(acc["at"], b["s"]))).otherwise(F.array().cast(MATCHES))
+        return F.struct(F.greatest(acc["at"], b["e"]).alias("at"), F.concat(acc["out"], more).alias("out"))
+
+    start = F.struct(m["s"].cast("bigint").alias("at"), F.array().cast(MATCHES).alias("out"))
+    rest = F.aggregate(inside, start, step, lambda acc: F.concat(acc["out"], F.when(acc["at"] < m["e"], F.array(part(acc["at"], m["e"]))).otherwise(F.array().cast(MATCHES))))
+    return F.when(F.size(inside) == 0, F.array(part(m["s"], m["e"]))).otherwise(rest)
+
+
+def scan(docs: DataFrame, text_col="text", window=WINDOW, hex_bits=HEX_BITS, letter_bits=LETTER_BITS, mixed_bits=MIXED_BITS, allow=ALLOW) -> DataFrame:
     """``docs`` with ``base`` and ``found``: arrays of (s start, k kind number, e end), sorted by start and kind."""
-    df = docs.drop("base", "found").withColumn("_x", F.coalesce(F.col(text_col), F.lit("")))
+    df, x = docs.drop("base", "found"), "_scan"
+    while any(c.startswith(x) for c in df.columns):  # own helper columns never meet the caller's
+        x = "_" + x
+    kept, df = df.columns, df.withColumn(x, F.coalesce(F.col(text_col), F.lit("")))
     for kind, (pattern, group, least) in BASE.items():
-        guard = F.col("_x").rlike(GUARD[kind])
+        guard = F.col(x).rlike(GUARD[kind])
         # a maximal run of hex digits is short or a match: asking for the length keeps words out of the arrays
-        df = _matches(df, f"_{kind}", "_x", f"[0-9a-f]{{{least},}}" if kind == "hex" else pattern, guard)
-        df = df.withColumn(f"_{kind}", F.filter(f"_{kind}", _at_least(pattern, group, least)))
-    df = _matches(df, "_cand", "_x", CANDIDATE, F.col("_x").rlike(CANDIDATE))
+        df = _matches(df, f"{x}_{kind}", x, f"[0-9a-f]{{{least},}}" if kind == "hex" else pattern, guard)
+        df = df.withColumn(f"{x}_{kind}", F.filter(f"{x}_{kind}", _at_least(pattern, group, least)))
+    cand = f"{x}_cand"
+    df = _matches(df, cand, x, CANDIDATE, F.col(x).rlike(CANDIDATE))
     span = lambda i: (lambda m: F.struct(m["s"].alias("s"), F.lit(i).alias("k"), m["e"].alias("e")))
-    df = df.withColumn("base", F.array_sort(F.concat(*[F.transform(f"_{k}", span(i)) for i, k in enumerate(BASE)])))
-    df = df.withColumn("_cand", F.filter("_cand", lambda m: ~m["t"].rlike(allow) & ~F.exists(F.col("base"), lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"]))))
-    bound = lambda m: F.when(m["t"].rlike("^[0-9A-Fa-f]+$"), hex_bits).otherwise(mixed_bits)
-    df = df.withColumn("_cand", F.filter("_cand", lambda m: entropy_peak(m["t"], window) >= bound(m)))
-    df = df.withColumn("found", F.array_sort(F.concat("base", F.transform("_cand", span(len(BASE))))))
-    return df.drop("_x", "_cand", *[f"_{k}" for k in BASE])
+    df = df.withColumn("base", F.array_sort(F.concat(*[F.transform(f"{x}_{k}", span(i)) for i, k in enumerate(BASE)])))
+    df = df.withColumn(cand, F.flatten(F.transform(cand, lambda m: _remains(m, F.col("base")))))
+    bound = lambda m: (F.when(m["t"].rlike("^[0-9A-Fa-f]+$"), hex_bits).when(m["t"].rlike("^[A-Za-z]+$"), letter_bits)
+                       .when(m["t"].rlike("[0-9]"), mixed_bits))
+    df = df.withColumn(cand, F.filter(cand, lambda m: (F.length(m["t"]) >= window) & ~m["t"].rlike(allow)))
+    df = df.withColumn(cand, F.filter(cand, lambda m: F.coalesce(entropy_peak(m["t"], window) >= bound(m), F.lit(False))))
+    return df.withColumn("found", F.array_sort(F.concat("base", F.transform(cand, span(len(BASE)))))).select(*kept, "base", "found")
 
 
 def written(spans: str) -> Column:
