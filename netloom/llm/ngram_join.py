@@ -5,24 +5,27 @@ one node. Candidates come from prefixes: a pair whose similarity reaches t share
 n - ceil(t n) + 1 n-grams of each set in any fixed order. The order puts n-grams that are frequent in
 a sample of the documents last; the sample steers cost alone, every order gives the same links.
 
-Nodes that share a prefix n-gram form tiles of at most ``TILE`` nodes, ordered by set size, and only
-nodes within the size band of each other are compared. Their bitmaps (one bit per n-gram, about two
+Nodes that share a prefix n-gram form tiles of at most ``TILE`` nodes and ``TILE_WEIGHT`` n-grams, cut in
+order of set size, and only nodes within the size band of each other are compared. Their bitmaps (one bit per n-gram, about two
 bits of room for each) bound the overlap from above: n-grams of one set whose bit the other lacks
 cannot be shared. Pairs that survive join tiles that go on to the exact step, where sorted arrays are
 intersected; pairs already connected inside a tile are skipped, as components ask only whether
 documents are connected. Tiles with the same members are compared once.
 
-N-grams with more nodes than a tile holds are dealt to tiles at random first. When the components of
-the links found are known, the n-grams that still hold nodes of several components are compared in
-full, block against block, except inside components. So a large group of near copies costs about as
-much as its size, and nothing is dropped.
+N-grams with more nodes than a tile holds are first compared in runs of like size. When the components
+of the links found are known, the n-grams that still hold nodes of several components are compared in
+full: in bands of set size, dealt to blocks that meet the blocks of their own band and of the two
+beside it, except inside components. So a large group of near copies costs about as much as its size,
+sets too unlike in size never meet, and nothing is dropped.
 
 Edge cases: null, empty or blank text has the empty set, is linked with nothing and is its own
 component; texts of fewer words than n are one n-gram; null ids are judged like others, and
 component ids ignore them unless a component has no other; repeated rows share a component; an empty
-table gives no rows; other columns are not read.
+table gives no rows; extra columns, whatever their names, are not read.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,6 +36,7 @@ from netloom.llm.graph import components
 from netloom.session import cut
 
 N, PERCENT, TILE, MAX_BROADCAST = 4, 85, 512, 2_000_000
+TILE_WEIGHT = 4_000_000  # n-grams of a tile: 32 MB of sorted arrays, unless a single set is longer
 SAMPLE, FREQUENT, MAX_FREQUENT = 5_000, 5, 1_000_000
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -150,30 +154,39 @@ def _tile_id(members: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(np.sort(members).tobytes()) - (1 << 63)
 
 
-def tiles(reps: DataFrame, tile=TILE) -> DataFrame:
-    """(kind, tile, node): kind 0, tiles of nodes that share a prefix n-gram; kind 1, the n-gram's nodes where one tile was not enough."""
+def tiles(reps: DataFrame, tile=TILE, weight=TILE_WEIGHT) -> DataFrame:
+    """(kind, tile, node, n): kind 0, tiles of nodes that share a prefix n-gram, runs in order of set size ``n``
+    of at most ``tile`` nodes and ``weight`` n-grams; kind 1, the n-gram's nodes where one tile was not enough."""
 
     def work(batches):
-        out, seen = _Rows(["kind", "tile", "node"]), set()
-        tok, pend, full = None, np.empty(0, np.int64), False
+        out, seen = _Rows(["kind", "tile", "node", "n"]), set()
+        tok, full, none = None, False, np.empty(0, np.int64)
+        pend, size = none, none
 
-        def emit(members):
+        def emit(members, sizes):
             if len(members) > 1:
                 i = _tile_id(members)
                 if i not in seen:  # the same members again: compared once
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(i)
-                    out.add(np.zeros(len(members)), np.full(len(members), i), members)
-
-        def close():
-            nonlocal pend
-            emit(pend)
-            if full and len(pend):
-                out.add(np.ones(len(pend)), np.full(len(pend), tok), pend)
+                    out.add(np.zeros(len(members)), np.full(len(members), i), members, sizes)
+
+        def shift(last):
+            """Emits full tiles, with ``last`` the rest as well."""
+            nonlocal pend, size, full
+            while len(pend):
+                most = max(1, min(tile, int(np.searchsorted(np.cumsum(size), weight, "right"))))
+                if most >= len(pend) and not last:
+                    return
+                full = full or most < len(pend)
+                emit(pend[:most], size[:most])
+                if full:
+                    out.add(np.ones(len(pend[:most])), np.full(len(pend[:most]), tok), pend[:most], size[:most])
+                pend, size = pend[most:], size[most:]
 
         for b in batches:
-            t, node = b.column("tok").to_numpy(), b.column("node").to_numpy()
+            t, node, n = b.column("tok").to_numpy(), b.column("node").to_numpy(), b.column("n").to_numpy()
             if not len(t):
                 continue
             start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
@@ -183,23 +196,19 @@ def tiles(reps: DataFrame, tile=TILE) -> DataFrame:
             for k in go.tolist():
                 s, e = start[k], end[k]
                 if t[s] != tok:
-                    close()
-                    tok, pend, full = int(t[s]), np.empty(0, np.int64), False
-                pend = np.concatenate([pend, node[s:e]])
-                while len(pend) > tile:
-                    full = True
-                    emit(pend[:tile])
-                    out.add(np.ones(tile), np.full(tile, tok), pend[:tile])
-                    pend = pend[tile:]
+                    shift(True)
+                    tok, full, pend, size = int(t[s]), False, none, none
+                pend, size = np.concatenate([pend, node[s:e]]), np.concatenate([size, n[s:e]])
+                shift(False)
             if out.count > out.size:
                 yield out.batch()
-        close()
+        shift(True)
         if out.parts:
             yield out.batch()
 
-    rows = reps.select(F.explode("pre").alias("tok"), "node")
-    dealt = rows.repartition("tok").sortWithinPartitions("tok", F.xxhash64("tok", "node"))
-    return cut(dealt.mapInArrow(work, "kind long, tile long, node long"), "tiles")
+    rows = reps.select(F.explode("pre").alias("tok"), "node", F.col("n").cast("bigint").alias("n"))
+    dealt = rows.repartition("tok").sortWithinPartitions("tok", "n", F.xxhash64("tok", "node"))
+    return cut(dealt.mapInArrow(work, "kind long, tile long, node long, n long"), "tiles")
 
 
 def _find(parent, i):
@@ -330,13 +339,31 @@ def _exact(docs, tile_rows: DataFrame, reps: DataFrame, n=N, percent=PERCENT, te
     return tile_rows.join(sets, "node").repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(work, "u long, v long")
 
 
-def _rest(big: DataFrame, comp: DataFrame, tile=TILE) -> DataFrame:
-    """Tiles for n-grams whose nodes are still of several components: every block against every block."""
-    rows = big.join(comp, "node", "left").select(F.col("tile").alias("tok"), "node", F.coalesce("root", "node").alias("comp"))
-    per = rows.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
-    rows = rows.join(per.select("tok", F.ceil(F.col("c") / (tile // 2)).cast("int").alias("blocks")), "tok")
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select(F.xxhash64("tok", F.least("b", "o"), F.greatest("b", "o")).alias("tile"), "node", "comp").distinct()
+def _rest(big: DataFrame, comp: DataFrame, tile=TILE, percent=PERCENT, weight=TILE_WEIGHT) -> DataFrame:
+    """Tiles for n-grams whose nodes are still of several components.
+
+    Linked sets differ in size by the threshold at most, so with size bands of that ratio they lie in
+    one band or in two beside each other. A band's nodes are dealt to blocks of half a tile, in nodes
+    and in n-grams; a block meets the blocks of its own band and of the two beside it.
+    """
+    rows = big.select(F.col("tile").alias("tok"), "node", "n").distinct().join(comp, "node", "left").select("tok", "node", "n", F.coalesce("root", "node").alias("comp"))
+    per = rows.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
+    band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-6))).cast("int")
+    rows = rows.join(per, "tok").withColumn("band", band)
+    size = rows.groupBy("tok", "band").agg(F.greatest(F.ceil(F.count("*") / (tile // 2)), F.ceil(F.sum("n") / (weight // 2))).cast("int").alias("own"))
+    beside = lambda by, name: size.select("tok", (F.col("band") + by).alias("band"), F.col("own").alias(name))
+    size = cut(size.join(beside(1, "below"), ["tok", "band"], "left").join(beside(-1, "above"), ["tok", "band"], "left"), "bands")
+    rows = rows.join(size, ["tok", "band"]).withColumn("b", F.pmod(F.xxhash64("node", F.lit(5)), F.col("own")).cast("int"))
+    block = F.col("b")
+
+    def met(number, lower, left, right):
+        """Tiles with each of ``number`` blocks; named by the lower band and both blocks' numbers."""
+        run = F.when(F.col(number) > 0, F.sequence(F.lit(0), F.col(number) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(run, lambda o: F.struct(F.lit(number == "own").alias("same"), lower.alias("band"), left(o).alias("i"), right(o).alias("j")))
+
+    at = F.concat(met("own", F.col("band"), lambda o: F.least(block, o), lambda o: F.greatest(block, o)),
+                  met("above", F.col("band"), lambda o: block, lambda o: o), met("below", F.col("band") - 1, lambda o: o, lambda o: block))
+    return rows.withColumn("x", F.explode(at)).select(F.xxhash64("tok", "x.same", "x.band", "x.i", "x.j").alias("tile"), "node", "comp")
 
 
 def joined(docs: DataFrame, n=N, percent=PERCENT, id_col="doc_id", text_col="text", tile=TILE, sample=SAMPLE) -> DataFrame:
@@ -353,7 +380,7 @@ def joined(docs: DataFrame, n=N, percent=PERCENT, id_col="doc_id", text_col="tex
     big = t.where("kind = 1")
     comp = components(edges)
     if not big.isEmpty():
-        more = _exact(docs, _bounded(_rest(big, comp, tile), reps, percent), reps, n, percent, text_col)
+        more = _exact(docs, _bounded(_rest(big, comp, tile, percent), reps, percent), reps, n, percent, text_col)
         comp = components(edges.union(cut(more, "links")))
     label = reps.select("node", "low").join(comp, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     least = label.groupBy("root").agg(F.min("low").alias("component_id"))

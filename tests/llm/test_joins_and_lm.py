@@ -53,6 +53,32 @@ def test_join_equals_brute_force(spark, tile):
     assert sorted(rows(J.joined(x, tile=tile)), key=repr) == linked(data)
 
 
+def test_rest_of_a_frequent_ngram_stays_within_size_bands(spark):
+    n = [int(10 * 1.0005 ** k) for k in range(20_000)]  # 10 to 220,000 n-grams
+    big = spark.createDataFrame([(7, k, s) for k, s in enumerate(n)], "tile long, node long, n long")
+    none = spark.createDataFrame([], "node long, root long")
+    got = J._rest(big, none, 512, 85, 10 ** 9).select("tile", "node").toPandas()
+    assert len(got) <= 20_000 * 9  # about 330 nodes a band, in two blocks: no block meets all others
+    tiles = got.groupby("node")["tile"].agg(set)
+    rng = random.Random(3)
+    for _ in range(3000):
+        a = rng.randrange(20_000)
+        b = rng.randrange(20_000) if rng.random() < .3 else min(19_999, a + rng.randrange(330))
+        if min(n[a], n[b]) * 100 >= 85 * max(n[a], n[b]):
+            assert tiles[a] & tiles[b]
+    assert got.groupby("tile").size().max() <= 700
+
+
+@pytest.mark.parametrize("weight", [300, 40])
+def test_tiles_are_bounded_in_ngrams(spark, weight, monkeypatch):
+    data = near_copies(weight, 160)
+    x = spark.createDataFrame(data, "doc_id long, text string")
+    monkeypatch.setattr(J, "TILE_WEIGHT", weight)
+    monkeypatch.setattr(J.tiles, "__defaults__", (J.TILE, weight))
+    monkeypatch.setattr(J._rest, "__defaults__", (J.TILE, J.PERCENT, weight))
+    assert sorted(rows(J.joined(x)), key=repr) == linked(data)
+
+
 def test_join_edge_cases(spark):
     got = rows(J.joined(docs(spark, "node", "n")))
     small = [(i, t) for i, t, *_ in DOCS if t is None or len(t) < 9000]
@@ -204,7 +230,7 @@ def katz(data):
 @pytest.mark.parametrize("part_tokens", [3_000_000, 2_000])
 def test_model_equals_brute_force(spark, part_tokens):
     data = [(r.doc_id, r.text) for r in table(spark, SF, "documents").select("doc_id", "text").collect()]
-    got = sorted(rows(L.scores(table(spark, SF, "documents"), crc_mod("doc_id", 7) == 2, part_tokens=part_tokens)))
+    got = sorted(rows(L.scores(table(spark, SF, "documents"), crc_mod("doc_id", 7) == 2, part_tokens=part_tokens, least=2)))
     for g, w in zip(got, sorted(katz(data)), strict=True):
         assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-9)
     held = [g for g in got if g[1]]
@@ -212,7 +238,7 @@ def test_model_equals_brute_force(spark, part_tokens):
 
 
 def test_model_edge_cases(spark):
-    got = sorted(rows(L.scores(docs(spark, "train", "h"), crc_mod("doc_id", 7) == 2)), key=repr)
+    got = sorted(rows(L.scores(docs(spark, "train", "h"), crc_mod("doc_id", 7) == 2, least=2)), key=repr)
     for g, w in zip(got, sorted(katz([(d[0], d[1]) for d in DOCS]), key=repr), strict=True):
         assert g[:5] == w[:5]
     assert L.scores(docs(spark, rows=[]), crc_mod("doc_id", 7) == 2).count() == 0
@@ -226,7 +252,7 @@ def test_hot_words_after_unseen_histories(spark):
     # held-out texts deal each hot word to parts that have no training token of it
     data = [(i, " ".join(f"q{i} p{k} p{(k + i) % 20}" for k in range(20)) if i in held else " ".join(passage)) for i in range(400)]
     x = spark.createDataFrame(data, "doc_id long, text string")
-    got = sorted(rows(L.scores(x, crc_mod("doc_id", 7) == 2)))
+    got = sorted(rows(L.scores(x, crc_mod("doc_id", 7) == 2, least=2)))
     for g, w in zip(got, sorted(katz(data)), strict=True):
         assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-9)
 
