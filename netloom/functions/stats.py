@@ -52,6 +52,25 @@ def scan(hist: DataFrame, keys, order, value, out, how="sum", reverse=False, inc
     return binned.join(offset, [*keys, "_bin"]).withColumns(res).drop(*drop)
 
 
+def following(df: DataFrame, keys, order, cols, out, first=None, bins=BINS) -> DataFrame:
+    """``out``: struct of ``cols`` of the next row along ``order`` within ``keys``, null for the last one;
+    ``first`` marks each key's first row. The (keys, order) pairs must be unique.
+
+    Two levels, as in ``scan``: rows look ahead inside their value bin, the last one of a bin at the first
+    row of the next bin in use.
+    """
+    keys, row = list(keys), F.struct(*cols)
+    binned = df.withColumn("_bin", value_bin(order, bins))
+    heads = binned.groupBy(*keys, "_bin").agg(F.min_by(row, order).alias("_h"))
+    w = W.partitionBy(*keys).orderBy("_bin")
+    heads = heads.select(*keys, "_bin", F.lead("_h").over(w).alias("_next"), (F.row_number().over(w) == 1).alias("_top"))
+    w = W.partitionBy(*keys, "_bin").orderBy(order)
+    d = binned.join(heads, [*keys, "_bin"]).withColumn(out, F.coalesce(F.lead(row).over(w), F.col("_next")))
+    if first:
+        d = d.withColumn(first, F.col("_top") & (F.row_number().over(w) == 1))
+    return d.drop("_bin", "_next", "_top")
+
+
 def rank_table(hist: DataFrame, keys, value, n="n") -> DataFrame:
     """Average-tie rank of every distinct value of a histogram (keys, value, n)."""
     s = scan(hist, keys, value, n, "_before", inclusive=False)

@@ -7,8 +7,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from netloom.functions import det
-from netloom.functions.stats import (bh, norm_p_two, rank_table, scan, t_p_greater, t_p_two, top_k, weighted_percentile,
-                                     welch_t)
+from netloom.functions.quantiles import exact
+from netloom.functions.stats import (
+    bh, following, norm_p_two, rank_table, scan, t_p_greater, t_p_two, top_k, weighted_percentile, welch_t)
 from netloom.functions.skew import spread_join
 from netloom.operators.blocks import attach_all, pair_sums
 from netloom.session import cut
@@ -197,13 +198,11 @@ def wasserstein(expr, obs, group="perturbation", control="control"):
     ax = cut(ax.select("gene", "value", "c", (F.col("run_n") / n0).alias("f"), ((F.col("run_n") - F.col("c")) / n0).alias("f_before"),
                    ((F.col("value") * F.col("run_n") - F.col("run_s")) / n0).alias("g")), "axis")
     ends = ax.groupBy("gene").agg(F.max_by(F.struct("value", "g"), "value").alias("end"))
-    w = W.partitionBy("gene", group).orderBy("value")
-    n1 = F.sum("n").over(W.partitionBy("gene", group))
-    steps = hist.where(F.col(group) != control).withColumn(
-        "level", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)) / n1)
-    at = steps.join(ax.drop("c"), ["gene", "value"])
-    nxt = F.lead(F.struct("value", "f_before", "g")).over(w)
-    at = cut(at.withColumn("nxt", nxt).withColumn("first", F.row_number().over(w) == 1), "steps")
+    # running totals and neighbours are found bin by bin: one gene with most of the values is spread over tasks
+    own = hist.where(F.col(group) != control)
+    steps = scan(own, ["gene", group], "value", "n", "run").join(own.groupBy("gene", group).agg(F.sum("n").alias("n1")), ["gene", group])
+    at = steps.select("gene", group, "value", (F.col("run") / F.col("n1")).alias("level")).join(ax.drop("c"), ["gene", "value"])
+    at = cut(following(at, ["gene", group], "value", ["value", "f_before", "g"], "nxt", "first"), "steps")
     inside = at.where("nxt is not null")
     crossing = (F.col("f") < F.col("level")) & (F.col("nxt.f_before") > F.col("level"))
     asked = inside.where(crossing)
@@ -410,7 +409,7 @@ def dispersion(act, groups, keys=()):
     consistency 1 - clip(mad / p95, 0, 1)."""
     keys = list(keys)
     a = cut(act.join(groups.select("obs_id", "grp"), "obs_id"), "activity")
-    med = (a.groupBy(*keys, "source", "grp").agg(F.median("activity").alias("med"), F.count("*").alias("n")).where("n >= 2"))
+    med = exact(a, [*keys, "source", "grp"], "activity", [0.5]).where("n >= 2").select(*keys, "source", "grp", F.col("value").alias("med"))
     mad = (a.join(med, [*keys, "source", "grp"]).groupBy(*keys, "source", "grp")
            .agg(F.avg(F.abs(F.col("activity") - F.col("med"))).alias("mad"))
            .groupBy(*keys, "source").agg(F.avg("mad").alias("mad")))
