@@ -19,8 +19,9 @@ Pass two gets back the histories' weights that a part asks for and sends, per bl
 partial sums. log alpha of a history is added where the history's own word is, so no part needs more
 than its own words and the histories of its kept pairs.
 
-Words are 64-bit hashes, histories 48 bits of them; a sample of the documents tells which histories
-get short codes and which words are split, which changes sizes alone, never results.
+Words are 64-bit hashes, histories 48 bits of them. A sample of the documents tells which words get
+short codes, by falling frequency, and which are split, which changes sizes alone, never results. In a
+block and part the words, and the histories of each word, are ordered by code and stored as differences.
 
 Edge cases: null or empty text is the end token alone; null ids are not held out by accident (crc32
 of the empty text) and stay null; repeated rows are scored one by one; without training documents
@@ -42,10 +43,11 @@ from netloom.session import cut, scratch
 
 END, START = np.uint64(1 << 16), 0  # the end token's hash; the start history's code
 K, BLOCK_TOKENS, BLOCK_DOCS, PART_TOKENS = 5, 700_000, 60_000, 1_800_000
-SAMPLE, CODES = 4_000, 60_000
-BLOBS = ("w", "wn", "hc", "hx", "pn", "d", "train", "ids")
+SAMPLE, CODES = 4_000, 200_000
+RARE = np.uint64(1 << 50)  # added to a history without a code, to sort it behind those with one
+BLOBS = ("wc", "wx", "wn", "hk", "hc", "hx", "pn", "d", "train", "ids")
 TABLE = "part int, block long, docs int, " + ", ".join(f"{c} binary" for c in BLOBS)
-STATS = "part int, h long, j int, c long, b long, " + ", ".join(f"n{r} long" for r in range(1, K + 3)) + ", total long, types long"
+STATS = "part int, h long, j int, c long, b long, " + ", ".join(f"n{r} long" for r in range(1, K + 3)) + ", total long, types long, ask boolean"
 
 
 def _word(w: bytes) -> int:
@@ -104,6 +106,16 @@ def _unplanes(b: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
+def _steps(x: np.ndarray, width: int) -> bytes:
+    """Differences of consecutive numbers, the first from 0, wrapped to ``width`` bytes."""
+    return _zip(_planes(np.diff(x.astype(np.uint64), prepend=np.uint64(0)), width))
+
+
+def _unsteps(b: bytes, width: int) -> np.ndarray:
+    x = np.cumsum(_unplanes(b, width), dtype=np.uint64)
+    return x if width == 8 else x & np.uint64((1 << 8 * width) - 1)
+
+
 def part_of(w, h, hot, parts):
     """Part of each token: by word, for hot words by word and history."""
     is_hot = np.isin(w, hot)
@@ -113,10 +125,12 @@ def part_of(w, h, hot, parts):
 
 def dealt(docs: DataFrame, codes: np.ndarray, hot: np.ndarray, parts: int, keys: list) -> DataFrame:
     """(id, text, train) -> ``TABLE`` rows: the tokens of a block of documents that belong to a part."""
-    shared = docs.sparkSession.sparkContext.broadcast((np.sort(codes >> np.uint64(16)), hot, np.array(keys)))
+    shared = docs.sparkSession.sparkContext.broadcast((codes, hot, np.array(keys)))
 
     def work(batches):
-        short, hot_, key = shared.value
+        code_words, hot_, key = shared.value
+        by_word = np.argsort(code_words)
+        sorted_words = code_words[by_word]
         cache = _codes()
         block, toks, ids, train, held = TaskContext.get().partitionId() << 24, [], [], [], 0
 
@@ -127,10 +141,16 @@ def dealt(docs: DataFrame, codes: np.ndarray, hot: np.ndarray, parts: int, keys:
             h[1:] = w[:-1] >> np.uint64(16)
             h[first] = START
             d = np.repeat(np.arange(len(toks), dtype=np.uint16), [len(t) for t in toks])
-            o = np.lexsort((h, w))
+            i = np.minimum(np.searchsorted(sorted_words, w), len(sorted_words) - 1)
+            code = np.where(sorted_words[i] == w, by_word[i], -1)
+            before = np.empty_like(code)
+            before[1:] = code[:-1]
+            before[first] = 0  # the start history has the first code
             p = part_of(w, h, hot_, parts)
+            h = np.where(before >= 0, before.astype(np.uint64), h + RARE)
+            o = np.lexsort((h, w))
             o = o[np.argsort(p[o].astype(np.uint16) if parts < 65536 else p[o], kind="stable")]
-            w, h, d, p = w[o], h[o], d[o], p[o]
+            w, h, d, p, code = w[o], h[o], d[o], p[o], code[o]
             cuts = np.searchsorted(p, np.arange(parts + 1))
             mine = block % parts
             rows = []
@@ -142,15 +162,15 @@ def dealt(docs: DataFrame, codes: np.ndarray, hot: np.ndarray, parts: int, keys:
                 new_w = np.r_[True, W[1:] != W[:-1]] if e > s else np.empty(0, bool)
                 new_p = new_w | np.r_[True, H[1:] != H[:-1]] if e > s else new_w
                 at_w, at_p = np.flatnonzero(new_w), np.flatnonzero(new_p)
-                hp = H[at_p]
-                i = np.minimum(np.searchsorted(short, hp), len(short) - 1) if len(short) else np.zeros(len(hp), int)
-                known = short[i] == hp if len(short) else np.zeros(len(hp), bool)
-                code = np.where(known, i, 65535).astype(np.uint16)
-                rows.append((int(key[k]), block, len(toks), _zip(W[at_w]), _zip(np.diff(np.r_[np.searchsorted(at_p, at_w), len(at_p)]).astype(np.uint32)),
-                             _zip(_planes(code, 2)), _zip(_planes(hp[~known], 6)), _zip(np.diff(np.r_[at_p, e - s]).astype(np.uint32)), _zip(_planes(D, 2)),
+                hp, wc = H[at_p], code[s:e][at_w]
+                known = hp < RARE
+                rows.append((int(key[k]), block, len(toks), _steps(np.sort(wc[wc >= 0]), 3), _steps(W[at_w][wc < 0], 8),
+                             _zip(np.diff(np.r_[np.searchsorted(at_p, at_w), len(at_p)]).astype(np.uint32)),
+                             _zip(np.packbits(known)), _steps(hp[known], 3), _zip(_planes(hp[~known] - RARE, 6)),
+                             _zip(np.diff(np.r_[at_p, e - s]).astype(np.uint32)), _zip(_planes(D, 2)),
                              np.packbits(train).tobytes(), _zip(np.array([x if x is not None else 0 for x in ids], np.int64)) if k == mine else None,
                              np.packbits([x is None for x in ids]).tobytes() if k == mine else None))
-            types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 9]
+            types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * (len(BLOBS) + 1)]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["part", "block", "docs", *BLOBS, "nulls"])
 
         for b in batches:
@@ -170,16 +190,16 @@ def dealt(docs: DataFrame, codes: np.ndarray, hot: np.ndarray, parts: int, keys:
 class Part:
     """The decoded rows of one part: pairs with their training counts, and tokens by block."""
 
-    def __init__(self, t: pa.Table, short: np.ndarray):
+    def __init__(self, t: pa.Table, codes: np.ndarray):
         w, h, self.rows, seen = [], [], [], []
         at, keep = 0, ("block", "docs", "train", "ids", "nulls")
         for i in range(t.num_rows):  # one block's columns at a time
             r = t.slice(i, 1).to_pylist()[0]
-            W, wn, pn = _unzip(r["w"], np.uint64), _unzip(r["wn"], np.uint32), _unzip(r["pn"], np.uint32)
-            code, rest = _unplanes(r["hc"], 2).astype(np.int64), _unplanes(r["hx"], 6)
-            hp = np.empty(len(code), np.uint64)
-            known = code != 65535
-            hp[known], hp[~known] = short[code[known]], rest
+            W = np.sort(np.concatenate([codes[_unsteps(r["wc"], 3).astype(np.int64)], _unsteps(r["wx"], 8)]))
+            wn, pn = _unzip(r["wn"], np.uint32), _unzip(r["pn"], np.uint32)
+            known = np.unpackbits(_unzip(r["hk"], np.uint8), count=len(pn)).astype(bool)
+            hp = np.empty(len(pn), np.uint64)
+            hp[known], hp[~known] = codes[_unsteps(r["hc"], 3).astype(np.int64)] >> np.uint64(16), _unplanes(r["hx"], 6)
             d = _unplanes(r["d"], 2).astype(np.uint16)
             train = np.unpackbits(np.frombuffer(r["train"], np.uint8), count=r["docs"])
             pair = np.repeat(np.arange(len(pn), dtype=np.int32), pn)
@@ -204,9 +224,9 @@ class Part:
         self.word_c = np.add.reduceat(self.c, first) if len(first) else np.empty(0, np.int64)
 
 
-def _stats(part_table: pa.Table, short, hot, least: int) -> pa.Table:
+def _stats(part_table: pa.Table, codes, hot, least: int) -> pa.Table:
     """``STATS`` rows of one part."""
-    p = Part(part_table, short)
+    p = Part(part_table, codes)
     part = part_table.column("part")[0].as_py()
     hot_of = np.searchsorted(hot, p.words) if len(hot) else np.zeros(len(p.words), int)
     is_hot = hot[np.minimum(hot_of, len(hot) - 1)] == p.words if len(hot) else np.zeros(len(p.words), bool)
@@ -240,8 +260,11 @@ def _stats(part_table: pa.Table, short, hot, least: int) -> pa.Table:
         put(1, h=[-2], j=[int(hot_of[i])], c=[int(p.word_c[i])])
     out = {k: np.concatenate(v) for k, v in cols.items()}
     n = len(out["h"])
-    return pa.table([pa.array(np.full(n, part), pa.int32()), pa.array(out["h"]), pa.array(out["j"], pa.int32()), *(pa.array(out[k]) for k in list(cols)[2:])],
-                    names=["part", *cols])
+    ask = np.zeros(n, bool)  # one row of each history that this part needs
+    ask[np.unique(out["h"], return_index=True)[1]] = True
+    ask &= out["h"] >= 0
+    return pa.table([pa.array(np.full(n, part), pa.int32()), pa.array(out["h"]), pa.array(out["j"], pa.int32()), *(pa.array(out[k]) for k in list(cols)[2:]), pa.array(ask)],
+                    names=["part", *cols, "ask"])
 
 
 def discounts(n: dict) -> list:
@@ -291,28 +314,27 @@ def _sums(p: Part, hist: pa.Table, hot, hot_c, d, log_d: float, least: int):
 PARTIAL = "block long, docs int, at binary, n binary, known binary, base binary, more binary, train binary, ids binary, nulls binary"
 
 
-def scores(docs: DataFrame, held_out, id_col="doc_id", text_col="text", part_tokens=PART_TOKENS, sample=SAMPLE, min_parts=8, least=2) -> DataFrame:
+def scores(docs: DataFrame, held_out, id_col="doc_id", text_col="text", part_tokens=PART_TOKENS, sample=SAMPLE, min_parts=8, least=1) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score); trained on rows where the column ``held_out`` is false.
 
-    Bigrams of fewer than ``least`` training occurrences count as unseen; 1 is Katz's whole model.
+    Katz's whole model keeps every bigram; those of fewer than ``least`` training occurrences count as unseen.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), (~F.coalesce(held_out, F.lit(False))).alias("train"))
     n, per_doc, words, share = sampled(src, sample)
     parts = max(min_parts, math.ceil(n * per_doc / part_tokens))
     hot = np.sort(words[share > 1 / (4 * parts)])  # at most 4 words a part
-    codes = words[:CODES]
+    codes = np.r_[np.zeros(1, np.uint64), words[:CODES]]  # the first one stands for the start history
     # part numbers that hash to partitions of their own
     deal = spark.range(40 * parts + 200).select("id", F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("p")).groupBy("p").agg(F.min("id").alias("k"))
     keys = {r.p: r.k for r in deal.collect()}
     spare = iter(range(40 * parts + 200, 10 ** 9))
     keys = [int(keys.get(p, -1)) if p in keys else next(spare) for p in range(parts)]
-    name = f"llm_tokens_{uuid.uuid4().hex}"
+    name = f"llm_tokens_{uuid.uuid4().hex}"  # a bucketed table must have a name; it is dropped when the plan has it
     (dealt(src, codes, hot, parts, keys).repartition(parts, "part").write.bucketBy(parts, "part").option("path", scratch(spark, "tokens"))
      .option("compression", "uncompressed").saveAsTable(name))
     tok = spark.table(name)
-    short = np.sort(codes >> np.uint64(16))
-    shared = spark.sparkContext.broadcast((short, hot))
+    shared = spark.sparkContext.broadcast((codes, hot))
 
     def count(t: pa.Table) -> pa.Table:
         return _stats(t, *shared.value, least)
@@ -337,18 +359,19 @@ def scores(docs: DataFrame, held_out, id_col="doc_id", text_col="text", part_tok
     h = cut(h.select("h", "la", (F.col("s") - F.col("la")).alias("g")), "histories")
     start = h.where(F.col("h") == START).first()
     start = start.la if start else 0.0
-    asked = stats.where("h >= 0").select("part", "h").distinct().join(h, "h").select("part", "h", "g", "la")
+    asked = stats.where("ask").select("part", "h").join(h, "h").select("part", "h", "g", "la")
     log_d = math.log10(size)
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        s, hot_ = shared.value
-        rows = _sums(Part(left, s), right, hot_, hot_c, d, log_d, least) if left.num_rows else []
+        codes_, hot_ = shared.value
+        rows = _sums(Part(left, codes_), right, hot_, hot_c, d, log_d, least) if left.num_rows else []
         types_ = [pa.int64(), pa.int32(), *[pa.binary()] * 8]
         names = [x.split()[0] for x in PARTIAL.split(", ")]
         cols = zip(*rows) if rows else [[]] * len(names)
         return pa.table([pa.array(c, ty) for c, ty in zip(cols, types_)], names=names)
 
     partial = tok.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(add, PARTIAL)
+    spark.sql(f"DROP TABLE {name}")  # the plan has the files and their buckets; they stay in the run's folder
 
     def whole(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
