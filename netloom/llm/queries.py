@@ -54,19 +54,23 @@ def op8_ngram_join(spark, sf_dir):
     return ngram_join.joined(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-#: fixed values: the query's rules, and the host labels its list blocks where no rule fits
+#: fixed values: the query's rules, and words of host labels that its list blocks where no rule fits
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-LABELS = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+WORDS = """ad ads adserver adtrack adult affiliate bet bets betting bingo casino casinos clickbait coupon crack cracked dating download escort
+    forex gamble gambling hack hentai jackpot keygen loan loans lottery malware nude payday pharma pharmacy phishing pills piracy poker popup porn
+    porno promo proxy ringtone scam sex slots spam spyware sweepstakes torrent torrents tracker tracking viagra virus warez webcam xxx""".split()
 
 
 def op9_url_filters(spark, sf_dir):
-    return url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url"), url_filters.build(RULES, labels=LABELS))
+    lists = url_filters.as_table(spark, RULES, words=WORDS)
+    return url_filters.judge_lists(table(spark, sf_dir, "pages").select("page_id", "url"), lists)
 
 
 def _url_sql():
     fits = {r: (f"(host = '{r.split('/')[0]}' or ends_with(host, '.{r.split('/')[0]}')) and starts_with(path, '{r[r.index('/'):]}')") for _, r in RULES}
     longest = sorted(RULES, key=lambda x: -len(x[1]))
-    label = " or ".join(f"list_contains(string_split(host, '.'), '{x}')" for x in LABELS)
+    words = ", ".join(f"'{w}'" for w in WORDS)
+    label = f"list_has_any(string_split(replace(host, '-', '.'), '.'), [{words}])"
     return f"""
     with a as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
     b as (select page_id, regexp_extract(rest, '^[^/?#]*') as raw, rest from a),

@@ -1,21 +1,24 @@
 """URL filters: a memory-mapped sorted array of 64-bit digests, confirmed against stored strings.
 
 An index holds rules ``host/path`` (fits the host and its subdomains if the url's path starts with
-the rule's path), exact urls and host labels. Each key's xxhash64 is stored in ascending order with
-an offset into the strings. A batch of urls makes its candidate keys (host suffixes x path lengths
-that rules have, the url itself, its labels), probes the array by one vectorised binary search, and
-compares every hit with the stored string, so a digest collision cannot give a verdict.
+the rule's path), exact urls, host labels, and words of host labels (between hyphens). Each key's
+xxhash64 is stored in ascending order with an offset into the strings. A batch of urls makes its
+candidate keys (host suffixes x path lengths that rules have, the url itself, its labels and their
+words), probes the array by one vectorised binary search, and compares every hit with the stored
+string, so a digest collision cannot give a verdict.
 
-The index is bytes; each task writes them to an unlinked file of its own and maps it, so nothing is
-left behind and pages are shared with the page cache. Indexes over ``MAX_BYTES`` are not sent around:
-``judge_joined`` matches the exploded candidate keys with a rules table by a join.
+Lists are tables (kind, key, verdict), see ``KINDS``. A counted list of at most ``MAX_BYTES`` is one index
+that is sent to every task, which maps it from an unlinked file of its own. A longer one is dealt to
+buckets by digest: each bucket's index is built where its probes arrive, distinct candidate keys of
+all urls, and the hits go back to the rows. Both ways give the same rows.
 
-The longest fitting rule wins; of equal keys, block wins. Without a rule, a url in the list of
-urls or with a label in the list of labels is blocked, else allowed.
+The longest fitting rule wins; of equal keys, block wins. Without a rule, a url is blocked if the url,
+one of its host's labels or one of their words is listed for blocking, else allowed.
 
 Edge cases: a null url or one without "://" has empty host and path and is allowed; hosts may be
-empty or hold ports; repeated rows are judged one by one; an empty table gives no rows; an empty
-index allows everything.
+empty or hold ports; repeated rows and repeated ids are judged row by row; an empty table gives no
+rows; an empty list allows everything; null keys of a list are left out. Of the caller's columns those
+in ``keep`` are returned; result columns win over ``keep`` columns of the same name.
 """
 
 import mmap
@@ -27,26 +30,53 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from netloom.functions.skew import spread_join
+from netloom.session import cut
+
 MAX_BYTES = 64 << 20
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def build(rules=(), urls=(), labels=()) -> bytes:
-    """Index of (verdict, "host/path") rules, blocked urls and blocked host labels."""
+#: kind of a list's key -> its mark in an index
+KINDS = {"rule": b"r", "url": b"u", "label": b"l", "word": b"w"}
+BUCKET = 500_000  # keys of a bucket's index
+
+
+def as_table(spark, rules=(), urls=(), labels=(), words=()) -> DataFrame:
+    """List table of (verdict, "host/path") rules and of blocked urls, host labels and their words."""
+    rows = [("rule", r, v) for v, r in rules] + [(k, x, "block") for k, xs in (("url", urls), ("label", labels), ("word", words)) for x in xs]
+    return spark.createDataFrame(rows, "kind string, key string, verdict string")
+
+
+def _keys(rows) -> dict:
+    """Marked key -> verdict; of equal keys block wins."""
     keys: dict = {}
-    for verdict, rule in rules:
-        if keys.get(b"r" + rule.encode()) != "block":
-            keys[b"r" + rule.encode()] = verdict
-    keys.update((b"u" + u.encode(), "block") for u in urls)
-    keys.update((b"l" + x.encode(), "block") for x in labels)
+    for kind, key, verdict in rows:
+        k = KINDS[kind] + key.encode()
+        if keys.get(k) != "block":
+            keys[k] = verdict
+    return keys
+
+
+def build(rules=(), urls=(), labels=(), words=()) -> bytes:
+    """Index of (verdict, "host/path") rules, blocked urls, host labels and words."""
+    return pack(_keys([("rule", r, v) for v, r in rules] + [(k, x, "block") for k, xs in (("url", urls), ("label", labels), ("word", words)) for x in xs]))
+
+
+def pack(keys: dict) -> bytes:
+    """Index of marked keys with their verdicts."""
     rows = sorted((xxhash.xxh64_intdigest(k), k, v) for k, v in keys.items())
     text = [v[:1].encode() + k for _, k, v in rows]
-    lengths = sorted({len(r[r.index("/"):]) for _, r in rules})
+    lengths = sorted({len(path_of(k[1:].decode())) for k in keys if k[:1] == b"r"})
     head = struct.pack("<QQ", len(rows), len(lengths)) + np.array(lengths, "<u8").tobytes()
     return (head + np.array([h for h, _, _ in rows], "<u8").tobytes()
             + np.cumsum([0, *map(len, text)]).astype("<u8").tobytes() + b"".join(text))
 
 
+def path_of(rule: str) -> str:
+    return rule[rule.index("/"):] if "/" in rule else ""
+
+
 class Index:
     """A mapped index; ``find`` probes many keys at once."""
 
@@ -95,56 +125,93 @@ def candidates(url, host, path, lengths):
     """Keys to probe, longest rule first, then the url and the labels."""
     labels = host.split(".") if host else []
     rules = [".".join(labels[k:]) + path[:n] for k in range(len(labels)) for n in lengths if n <= len(path)]
-    return sorted(rules, key=len, reverse=True), [b"u" + (url or "").encode(), *(b"l" + x.encode() for x in labels)]
+    return sorted(rules, key=len, reverse=True), [b"u" + (url or "").encode(), *(b"l" + x.encode() for x in labels),
+                                                 *(b"w" + w.encode() for x in labels for w in x.split("-") if w)]
+
+
+RESULT = ("host", "path", "rule", "verdict")
+
+
+def _choice(rules: list, lists: list, find) -> tuple:
+    """(rule, verdict) from the verdict initials that ``find`` gives to marked keys."""
+    for r in rules:
+        v = find(b"r" + r.encode())
+        if v:
+            return r, "block" if v == "b" else "allow"
+    return None, "block" if any(find(k) == "b" for k in lists) else "allow"
 
 
 def judge(pages: DataFrame, index: bytes, url_col="url", keep=("page_id",)) -> DataFrame:
     """``keep`` columns with host, path, rule and verdict of each url. Narrow: no shuffle."""
-    if len(index) > MAX_BYTES:
-        raise ValueError("index too large to send to every task: use judge_joined")
-    shared, keep = pages.sparkSession.sparkContext.broadcast(index), list(keep)
+    shared, keep = pages.sparkSession.sparkContext.broadcast(index), [c for c in keep if c not in RESULT]
 
     def work(batches):
         ix = Index(shared.value)
         for b in batches:
-            host, path, keys, spans = [], [], [], []
+            host, path, keys, cand = [], [], [], []
             for u in b.column(url_col).to_pylist():
                 h, p = parts(u)
                 rules, lists = candidates(u, h, p, ix.lengths)
-                host.append(h), path.append(p), spans.append((len(keys), rules, len(lists)))
+                host.append(h), path.append(p), cand.append((rules, lists))
                 keys += [b"r" + r.encode() for r in rules] + lists
-            got = ix.find(keys)
-            rule, verdict = [], []
-            for at, rules, n in spans:
-                k = next((k for k in range(len(rules)) if got[at + k]), None)
-                rule.append(None if k is None else rules[k])
-                if k is None:
-                    verdict.append("block" if any(got[at + len(rules):at + len(rules) + n]) else "allow")
-                else:
-                    verdict.append("block" if got[at + k] == "b" else "allow")
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(x, pa.string()) for x in (host, path, rule, verdict))],
-                                             [*keep, "host", "path", "rule", "verdict"])
+            found = dict(zip(keys, ix.find(keys)))
+            rule, verdict = zip(*[_choice(r, x, found.get) for r, x in cand]) if cand else ((), ())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(x, pa.string()) for x in (host, path, rule, verdict))], [*keep, *RESULT])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema]
     return pages.select(*keep, *([] if url_col in keep else [url_col])).mapInArrow(work, ", ".join([*fields, "host string, path string, rule string, verdict string"]))
 
 
-def judge_joined(pages: DataFrame, rules: DataFrame, lengths, url_col="url", key="page_id") -> DataFrame:
-    """(key, rule, verdict) by a join with a ``rules`` table (rule, verdict) of any size; unmatched urls are allowed.
-    ``lengths``: the path lengths that rules have. ``key`` must identify a row."""
-    lengths = list(lengths)
+def judge_lists(pages: DataFrame, lists: DataFrame, url_col="url", keep=("page_id",), most=MAX_BYTES) -> DataFrame:
+    """``judge`` with list tables of any size."""
+    lists = lists.where("key is not null").groupBy("kind", "key").agg(F.max("verdict").alias("verdict"))  # block sorts after allow
+    n, size = lists.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key") + 24), F.lit(0))).first()
+    if size <= most:
+        return judge(pages, pack(_keys(map(tuple, lists.select("kind", "key", "verdict").collect()))), url_col, keep)
+    lengths = [r[0] for r in lists.where("kind = 'rule'").select(F.length(F.regexp_extract("key", "/.*", 0))).distinct().collect()]  # as many as rules have path lengths
+    return _judge_buckets(pages, lists, sorted(lengths), max(1, -(-n // BUCKET)), url_col, [c for c in keep if c not in RESULT])
 
-    def work(batches):
+
+def _judge_buckets(pages: DataFrame, lists: DataFrame, lengths: list, buckets: int, url_col: str, keep: list) -> DataFrame:
+    kept = F.struct(*keep) if keep else F.lit(None).cast("int")
+    rows = cut(pages.select(kept.alias("kept"), F.col(url_col).cast("string").alias("url"), F.monotonically_increasing_id().alias("row")), "urls")
+
+    def probes(batches):
         for b in batches:
-            keys, rule = [], []
-            for k, u in zip(b.column(key).to_pylist(), b.column(url_col).to_pylist()):
-                got = candidates(u, *parts(u), lengths)[0]
-                keys += [k] * len(got)
-                rule += got
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(key).type), pa.array(rule, pa.string())], [key, "rule"])
-
-    probes = pages.select(key, url_col).mapInArrow(work, f"`{key}` {pages.schema[key].dataType.simpleString()}, rule string")
-    one = rules.groupBy("rule").agg(F.max("verdict").alias("verdict"))  # block sorts after allow
-    best = (probes.join(one, "rule").groupBy(key)
-            .agg(F.max_by(F.struct("rule", "verdict"), F.length("rule")).alias("_b")).select(key, "_b.rule", "_b.verdict"))
-    return pages.select(key).join(best, key, "left").withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
+            row, key = [], []
+            for r, u in zip(b.column("row").to_pylist(), b.column("url").to_pylist()):
+                rules, more = candidates(u, *parts(u), lengths)
+                mine = [b"r" + x.encode() for x in rules] + more
+                row += [r] * len(mine)
+                key += mine
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(key, pa.binary())], ["row", "key"])
+
+    asked = cut(rows.select("row", "url").mapInArrow(probes, "row long, key binary"), "probes")
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
+    marks = F.create_map(*[F.lit(x) for k, m in KINDS.items() for x in (k, m)])
+    listed = lists.select(F.concat(F.element_at(marks, F.col("kind")), F.col("key").cast("binary")).alias("key"), F.substring("verdict", 1, 1).alias("v"))
+
+    def find(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys = left.column("key").to_pylist()
+        ix = Index(pack({k: "block" if v == "b" else "allow" for k, v in zip(right.column("key").to_pylist(), right.column("v").to_pylist())}))
+        hit = [(k, v) for k, v in zip(keys, ix.find(keys)) if v]
+        return pa.table([pa.array([k for k, _ in hit], pa.binary()), pa.array([v for _, v in hit], pa.string())], names=["key", "v"])
+
+    # every key is probed once, however many urls hold it; a key that hits may belong to very many rows
+    distinct = asked.select("key").distinct().withColumn("b", bucket)
+    found = cut(distinct.groupBy("b").cogroup(listed.withColumn("lb", bucket).groupBy("lb")).applyInArrow(find, "key binary, v string"), "hits")
+    hits = spread_join(asked, found, ["key"], ["row"]).groupBy("row").agg(F.collect_list(F.struct("key", "v")).alias("hits"))
+
+    def choose(batches):
+        for b in batches:
+            out = []
+            for u, hit in zip(b.column("url").to_pylist(), b.column("hits").to_pylist()):
+                h, p = parts(u)
+                got = {x["key"]: x["v"] for x in hit or ()}
+                out.append((h, p, *_choice(*candidates(u, h, p, lengths), got.get)))
+            cols = list(zip(*out)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([b.column("kept"), *(pa.array(c, pa.string()) for c in cols)], ["kept", *RESULT])
+
+    joined = rows.join(hits, "row", "left").select("kept", "url", "hits")
+    out = joined.mapInArrow(choose, f"kept {rows.schema['kept'].dataType.simpleString()}, host string, path string, rule string, verdict string")
+    return out.select(*[F.col(f"kept.{c}").alias(c) for c in keep], *RESULT)

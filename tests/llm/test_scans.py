@@ -85,16 +85,15 @@ URLS = [None, "", "nourl", "http://", "http://Example.NET/en/1", "https://a.b.ex
 
 def test_urls_equal_sql_and_the_join(spark):
     pages = spark.createDataFrame([(k, u, "h") for k, u in enumerate(URLS)] + [(0, None, "h")], "page_id long, url string, rule string")
-    got = U.judge(pages.drop("rule"), U.build(queries.RULES, labels=queries.LABELS))
+    lists = U.as_table(spark, queries.RULES, words=queries.WORDS)
+    got = U.judge_lists(pages, lists)
+    assert Counter(rows(U.judge_lists(pages, lists, most=0).select(got.columns))) == Counter(rows(got))  # the way of long lists, row by row
     con = duckdb.connect()
     con.execute("create table pages (page_id bigint, url varchar)")
     con.executemany("insert into pages values (?, ?)", [*enumerate(URLS), (0, None)])
     cur = con.execute(queries.ORACLES["op9_url_filters"])
     key = lambda r: tuple("" if x is None else str(x) for x in r)
     assert sorted(map(tuple, got.select([d[0] for d in cur.description]).collect()), key=key) == sorted(cur.fetchall(), key=key)
-    table_ = spark.createDataFrame([(r, v) for v, r in queries.RULES], "rule string, verdict string")
-    joined = {r.page_id: (r.rule, r.verdict) for r in U.judge_joined(pages.drop("rule"), table_, [1, 4]).collect()}
-    assert all(joined[r.page_id] == (r.rule, r.verdict) for r in U.judge(pages.drop("rule"), U.build(queries.RULES)).collect())
     assert U.judge(pages.drop("rule").limit(0), U.build()).count() == 0
     assert {r.verdict for r in U.judge(pages.drop("rule"), U.build()).collect()} == {"allow"}
 
@@ -105,12 +104,33 @@ def test_equal_digests_are_told_apart_by_their_strings(monkeypatch):
     assert ix.find([b"ra/", b"rb/", b"rc/"]) == ["b", "a", None]
 
 
-def test_block_wins_between_equal_rules_and_large_indexes_are_refused(spark, monkeypatch):
+def test_block_wins_between_equal_rules(spark):
     ix = U.Index(U.build([("block", "a/"), ("allow", "a/")]))
     assert ix.find([b"ra/"]) == ["b"]
-    monkeypatch.setattr(U, "MAX_BYTES", 10)
-    with pytest.raises(ValueError):
-        U.judge(table(spark, SF, "pages"), U.build(queries.RULES))
+    lists = U.as_table(spark, [("allow", "a/"), ("block", "a/")]).union(spark.createDataFrame([("url", None, "block")], "kind string, key string, verdict string"))
+    pages = spark.createDataFrame([(1, "x://a/"), (1, "x://b/")], "page_id long, url string")
+    for most in (U.MAX_BYTES, 0):
+        assert sorted(r[-1] for r in rows(U.judge_lists(pages, lists, most=most))) == ["allow", "block"]
+
+
+@pytest.mark.parametrize("most", [1 << 30, 0])
+def test_a_million_keys_of_all_kinds_and_repeated_ids(spark, most, monkeypatch):
+    monkeypatch.setattr(U, "BUCKET", 120_000)
+    n = 250_000
+    lists = spark.range(n).selectExpr("explode(array(named_struct('kind', 'rule', 'key', concat('h', id, '.net/p', id % 7), 'verdict', if(id % 2 = 0, 'block', 'allow')), "
+                                      "named_struct('kind', 'url', 'key', concat('http://u', id, '/'), 'verdict', 'block'), named_struct('kind', 'label', 'key', concat('l', id), 'verdict', 'block'), "
+                                      "named_struct('kind', 'word', 'key', concat('w', id), 'verdict', 'block'))) as x").select("x.*")
+    want = [("http://a.h10.net/p3/x", "h10.net/p3", "block"), ("http://h11.net/p4", "h11.net/p4", "allow"), ("http://h10.net/p4", None, "allow"), ("http://u77/", None, "block"),
+            ("http://u77/x", None, "allow"), ("http://l5.example.org", None, "block"), ("http://x.a-w9-b.org/", None, "block"), ("http://xw9.org/", None, "allow"), (None, None, "allow")]
+    pages = spark.createDataFrame([(k // 2, u, "kept") for k, (u, *_) in enumerate(want * 2)], "page_id long, url string, host string")
+    got = U.judge_lists(pages, lists, keep=("page_id", "url", "host"), most=most)
+    assert got.columns == ["page_id", "url", *U.RESULT]
+    assert Counter((r.page_id, r.url, r.rule, r.verdict) for r in got.collect()) == Counter((k // 2, *w) for k, w in enumerate(want * 2))
+
+
+def test_digest_collisions_in_a_bucket(spark):
+    x = U.pack({b"wa": "block", b"wb": "allow"})
+    assert U.Index(x).find([b"wa", b"wb", b"wc"]) == ["b", "a", None]
 
 
 def test_warc_round_trip_in_chunks(spark):
