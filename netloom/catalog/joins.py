@@ -6,6 +6,8 @@ from netloom.catalog import query
 from netloom.catalog.filters import r6
 from netloom.operators import blocks, edges as E, enrichment as N, expression as X, intervals as I
 from netloom.functions import det
+from netloom.operators.neighbours import knn_approx, recall
+from netloom.session import cut
 
 
 @query("c1_symmetric_links", "SELECT DISTINCT a.source, a.target, a.weight FROM v_nat a JOIN v_nat b ON a.source = b.target AND a.target = b.source AND a.weight = b.weight")
@@ -123,6 +125,13 @@ def _(v):
     return blocks.knn(v.emb, 10).select("obs_id", "neighbor", r6("dist").alias("dist"), "rn")
 
 
+@query("c16_knn_approx", "SELECT count(*) AS n_rows, count(*) * 10 AS n_pairs, true AS recall_at_least_09 FROM v_emb")
+def _(v):
+    near = cut(knn_approx(v.emb, 10), "approx")
+    n = near.agg(F.count_distinct("obs_id").alias("n_rows"), F.count("*").alias("n_pairs"))
+    return n.withColumn("recall_at_least_09", F.lit(recall(near, blocks.knn(v.emb, 10)) >= 0.9))
+
+
 @query("c18_drop_blacklisted", """SELECT event_id FROM v_peaks p WHERE NOT EXISTS (SELECT 1 FROM v_peaks b WHERE b.tf = 'error' AND b.score > 80
 AND b.chrom = p.chrom AND p.stop > b.start AND p.start < b.stop)""")
 def _(v):

@@ -130,3 +130,41 @@ def test_following_rows_across_bins(spark):
     df = spark.createDataFrame([(k, x) for k in "pq" for x in v], "k string, v double")
     got = {(r.k, r.v): (r.n.v if r.n else None, r.first) for r in following(df, ["k"], "v", ["v"], "n", "first").collect()}
     assert got == {(k, x): (v[i + 1] if i + 1 < len(v) else None, i == 0) for k in "pq" for i, x in enumerate(v)}
+
+
+def test_approximate_neighbours_reach_their_recall_with_a_third_of_copies(spark):
+    from netloom.operators.neighbours import knn_approx, recall
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 24))
+    x[::3] = x[0]  # one vector owns a third of the rows
+    e = spark.createDataFrame([(f"c{k}", [float(v) for v in r]) for k, r in enumerate(x)], "obs_id string, vec array<double>")
+    truth = blocks.knn(e, 8)
+    unlike = truth.where("cast(substring(obs_id, 2) as int) % 3 <> 0")  # copies have a thousand equally near neighbours
+    got = knn_approx(e, 8, piece=64).cache()
+    assert got.count() == 900 * 8 and recall(got, unlike) >= 0.9
+    near = {(r.obs_id, r.rn): r.dist for r in got.collect()}
+    assert all(near[f"c{k}", 1] < 1e-9 for k in range(0, 900, 3)) and all(near[f"c{k}", r] <= near[f"c{k}", r + 1] for k in range(900) for r in range(1, 8))
+
+
+def test_topics_predict_held_out_regions_as_well_as_the_library_model(spark):
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer
+
+    from netloom.operators.chromatin import topics
+    rng = np.random.default_rng(3)
+    phi = rng.dirichlet(np.full(80, .08), 3)
+    theta = rng.dirichlet(np.full(3, .3), 150)
+    pairs = sorted({(c, int(p)) for c in range(150) for p in rng.choice(80, 30, p=theta[c] @ phi)})
+    test = {x for x in pairs if rng.random() < .2 and any(y[1] == x[1] and y != x for y in pairs)}
+    train = spark.createDataFrame([(f"c{c}", f"p{p}", 1.0) for c, p in pairs if (c, p) not in test], "obs_id string, peak string, value double")
+    cell, region = topics(train, 3, max_iter=30)
+    p, q = ({(r[0], r[1]): r[2] for r in d.collect()} for d in (cell, region))
+    assert all(abs(sum(p[f"c{c}", t] for t in range(3)) - 1) < 1e-9 for c in range(150)) and abs(sum(v for (t, _), v in q.items() if t == 0) - 1) < 1e-9
+    score = lambda p, q: np.mean([np.log(sum(p[f"c{c}", t] * q.get((t, f"p{r}"), 1e-9) for t in range(3))) for c, r in sorted(test)])
+    docs = train.groupBy("obs_id").agg(F.collect_set("peak").alias("tokens"))
+    cv = CountVectorizer(inputCol="tokens", outputCol="features", minDF=1.0).fit(docs)
+    lda = LDA(k=3, seed=1, maxIter=30, featuresCol="features").fit(cv.transform(docs))
+    lib_p = {(r.obs_id, t): float(v) for r in lda.transform(cv.transform(docs)).select("obs_id", "topicDistribution").collect() for t, v in enumerate(r.topicDistribution)}
+    m = lda.topicsMatrix().toArray()
+    lib_q = {(t, w): m[i, t] / m[:, t].sum() for i, w in enumerate(cv.vocabulary) for t in range(3)}
+    assert score(p, q) >= score(lib_p, lib_q) - 0.05
