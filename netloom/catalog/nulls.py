@@ -1,9 +1,11 @@
 """I: splits, sampling, null models."""
 
+import re
+
 from pyspark.sql import Window as W, functions as F
 
 from netloom.catalog import query
-from netloom.catalog.aggregates import rr
+from netloom.catalog.aggregates import ULM, rr
 from netloom.operators import nulls as Z
 from netloom.plans import metrics as M
 
@@ -156,7 +158,29 @@ def _(v):
     return rr(Z.noise_sweep(v.net, [0.5], keys=["model"]).drop("level"), "weight")
 
 
-@query("i13_noise_sweep")
+def sweep_sql(degrees=(0.0, 0.2, 0.5, 1.0)):
+    """All kinds at all degrees as networks of their own, then replicate consistency of each as in K7."""
+    ctes, parts = [], []
+    for i, degree in enumerate(degrees):
+        c, u = noise_sql(degree)
+        keep, moved = c.split(",\nmv AS ", 1)
+        moved, u = (re.sub(r"\b(mv|bk)\b", rf"\g<1>{i}", x) for x in (f"mv AS {moved}", u))
+        ctes += [keep, moved] if not i else [moved]
+        parts.append(f"SELECT concat(noise, '~{degree}~', model) AS k, source, target, weight FROM ({u}) u{i}")
+    net = "net AS (SELECT concat(k, '|', source) AS source, target, weight FROM (" + " UNION ALL ".join(parts) + ") w)"
+    return f"""WITH {', '.join(ctes)}, {net}, {ULM}, {CONSISTENT}, y AS (SELECT model, sum(s) / 10 AS value FROM rc GROUP BY model),
+z AS (SELECT split_part(model, '~', 1) AS noise, CAST(split_part(model, '~', 2) AS DOUBLE) AS level, split_part(model, '~', 3) AS model, value FROM y)
+SELECT noise, level, model, r(value) AS value, r(max(value) FILTER (level = 0) OVER (PARTITION BY noise, model) - value) AS "drop" FROM z"""
+
+
+CONSISTENT = """am AS (SELECT u.source, o.cell_type AS grp, u.activity, median(u.activity) OVER (PARTITION BY u.source, o.cell_type) AS med FROM ulm u JOIN v_bobs o USING (obs_id)),
+md AS (SELECT source, avg(mad) AS mad FROM (SELECT source, grp, avg(abs(activity - med)) AS mad FROM am GROUP BY ALL HAVING count(*) >= 2) x GROUP BY 1),
+ce AS (SELECT source, split_part(source, '|', 1) AS model, row_number() OVER (PARTITION BY split_part(source, '|', 1) ORDER BY count(*) DESC, source) AS rank FROM net GROUP BY source), sz AS (SELECT unnest([10, 42, 74, 106, 138, 171, 203, 235, 267, 300]) AS size),
+dm AS (SELECT model, size, mad FROM md JOIN ce USING (source) JOIN sz ON size >= rank), dq AS (SELECT model, size, quantile_cont(mad, 0.95) AS p95 FROM dm GROUP BY 1, 2),
+rc AS (SELECT model, size, sum(1 - greatest(0, least(1, mad / p95))) / size AS s FROM dm JOIN dq USING (model, size) GROUP BY model, size)"""
+
+
+@query("i13_noise_sweep", sweep_sql())
 def _(v):
     return rr(M.robustness(v.net, v.bulk, v.bobs.withColumn("grp", F.col("cell_type")), keys=["model"]), "value", "drop")
 
