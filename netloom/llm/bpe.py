@@ -12,7 +12,8 @@ normaliser, as its tables may be newer. Decoding joins the tokens' texts by a sp
 without decoder does.
 
 Edge cases: null or empty text has no ids and decodes to the empty text; special tokens in a text
-are single ids; words of any length are one array slice; repeated rows give repeated results.
+are single ids; words of any length are one array slice; repeated rows give repeated results; result
+columns win over ``keep`` columns of the same name, other columns are not read.
 Memory: one Arrow batch, its distinct words, and a word cache of fixed size.
 """
 
@@ -183,7 +184,8 @@ class Splitter:
 
 def encoded(docs: DataFrame, tokenizer: str, text_col="text", keep=("doc_id",), digests=False) -> DataFrame:
     """``keep`` columns, n_tokens, and ids with the decoded text, or their SHA-256 digests."""
-    keep = list(keep)
+    results = ("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("n_tokens", "ids", "decoded")
+    keep = [c for c in keep if c not in results]
 
     def work(batches):
         v = Vocabulary(tokenizer)

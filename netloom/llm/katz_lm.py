@@ -25,7 +25,8 @@ block and part the words, and the histories of each word, are ordered by code an
 
 Edge cases: null or empty text is the end token alone; null ids are not held out by accident (crc32
 of the empty text) and stay null; repeated rows are scored one by one; without training documents
-every count is 0 and N = V = 0; an empty table gives no rows.
+every count is 0 and N = V = 0; an empty table gives no rows. Extra columns, whatever their names, are
+not read.
 """
 
 import math
