@@ -12,7 +12,7 @@ from netloom.catalog.standins import TABLES
 SF = "/root/testdata/sf0.001"
 Q, O = load()
 SOME = ["b6_qc_perturbation", "c3_matched_control", "c6_peaks_near_tss", "d9_rank_sum_de", "d10_wasserstein", "d12_corr_spearman", "d19_ulm",
-        "e8_benjamini_hochberg", "e20_consensus_peaks", "i11_degree_null", "k1_clean_edges", "k15_leaderboard", "s2_live_leaderboard", "a18_read_trace"]
+        "e4_regulators", "e8_benjamini_hochberg", "i7_negative_control", "i12_edge_noise", "j8_first_split", "k6_gs_recovery", "e20_consensus_peaks", "i11_degree_null", "k1_clean_edges", "k15_leaderboard", "s2_live_leaderboard", "a18_read_trace"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
