@@ -116,7 +116,7 @@ def test_overlap_join_brute(table):
     b = [("chr1", int(s), int(s + w), i) for i, (s, w) in enumerate(zip(rng.integers(0, 5000, 60), rng.integers(0, 200, 60)))]
     x = table(a, "chrom string, a_start bigint, a_end bigint, i int")
     y = table(b, "chrom string, b_start bigint, b_end bigint, j int")
-    got = rows(I.overlap_join(x, y, width=500), "i", "j")
+    got = rows(I.overlap_join(x, y), "i", "j")
     assert got == sorted((p[3], q[3]) for p in a for q in b if q[2] >= p[1] and q[1] <= p[2])
 
 
