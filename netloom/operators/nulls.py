@@ -86,7 +86,8 @@ def negative_control(genes, tfs, share=0.01, n_tfs=None, seed=0):
     n, p = genes.select(F.count_distinct("gene")).scalar(), 2 * share
     draws = F.ceil(n * p + 12 * F.sqrt(n * p) + 12).cast("int")
     walk = t.withColumn("_n", draws).withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    gap = 1 + F.floor(F.log(F.greatest(det.uniform("source", "_j", seed=f"{seed}a"), F.lit(1e-12))) / math.log(1 - p))
+    skip = F.floor(F.log(F.greatest(det.uniform("source", "_j", seed=f"{seed}a"), F.lit(1e-12))) / math.log(1 - p)) if p < 1 else F.lit(0).cast("bigint")
+    gap = 1 + skip
     walk = walk.withColumn("_i", F.sum(gap).over(W.partitionBy("source").orderBy("_j")) - 1)
     e = walk.select("source", "_j", "_i").join(numbered, "_i")
     return e.select("source", "target", F.when(det.uniform("source", "_j", seed=f"{seed}b") < 0.5, -1.0).otherwise(1.0).alias("weight"))
