@@ -1,12 +1,14 @@
 """Small helpers the operators share: table access, row keys, words, bounded caches."""
 
+import contextlib
+import ctypes
 import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-CACHE = 200_000  # entries a per-task word cache may hold before it starts again
+CACHE = 100_000  # entries a per-task word cache may hold before it starts again
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,13 @@ def raw(batch: pa.RecordBatch, name: str) -> list:
     return [b"" if x is None else x for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def trim():
+    """Gives back what earlier tasks of this worker have freed: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Cache(dict):
     """word -> make(word), emptied when it holds ``CACHE`` entries, so a task's memory is bounded."""
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from netloom.llm.common import LOWER, Cache, raw
+from netloom.llm.common import LOWER, Cache, raw, trim
 from netloom.llm.graph import components
 from netloom.session import cut
 
@@ -98,6 +98,7 @@ def nodes(docs: DataFrame, hot: np.ndarray, n=N, percent=PERCENT, id_col="doc_id
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def work(batches):
+        trim()
         codes, order = _codes(), shared.value
         for b in batches:
             size, node, bits, pre = [], [], [], []
@@ -135,7 +136,7 @@ def _runs(batches, key):
 class _Rows:
     """Collects rows of fixed integer columns and gives batches of them."""
 
-    def __init__(self, names, size=200_000):
+    def __init__(self, names, size=50_000):
         self.names, self.size, self.parts, self.count = names, size, [], 0
 
     def add(self, *cols):
@@ -159,6 +160,7 @@ def tiles(reps: DataFrame, tile=TILE, weight=TILE_WEIGHT) -> DataFrame:
     of at most ``tile`` nodes and ``weight`` n-grams; kind 1, the n-gram's nodes where one tile was not enough."""
 
     def work(batches):
+        trim()
         out, seen = _Rows(["kind", "tile", "node", "n"]), set()
         tok, full, none = None, False, np.empty(0, np.int64)
         pend, size = none, none
@@ -167,7 +169,7 @@ def tiles(reps: DataFrame, tile=TILE, weight=TILE_WEIGHT) -> DataFrame:
             if len(members) > 1:
                 i = _tile_id(members)
                 if i not in seen:  # the same members again: compared once
-                    if len(seen) > 500_000:
+                    if len(seen) > 200_000:
                         seen.clear()
                     seen.add(i)
                     out.add(np.zeros(len(members)), np.full(len(members), i), members, sizes)
@@ -258,6 +260,7 @@ def _bounded(tile_rows: DataFrame, reps: DataFrame, percent=PERCENT) -> DataFram
     """(tile, node, comp) rows -> smaller tiles of rows that bitmaps connect."""
 
     def work(batches):
+        trim()
         out = _Rows(["tile", "node", "comp"])
         for _, t in _runs(batches, "tile"):
             node, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
@@ -305,13 +308,14 @@ def _exact(docs, tile_rows: DataFrame, reps: DataFrame, n=N, percent=PERCENT, te
     small = wanted.count() <= MAX_BROADCAST
 
     def make(batches):
+        trim()
         codes, seen = _codes(), set()
         for b in batches:
             node, sets = [], []
             for k, t in zip(b.column("key").to_pylist(), raw(b, text_col)):
                 if k in seen:
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(k)
                 s = shingles(t, codes, n)
@@ -323,6 +327,7 @@ def _exact(docs, tile_rows: DataFrame, reps: DataFrame, n=N, percent=PERCENT, te
     sets = src.join(F.broadcast(wanted) if small else wanted, "key", "left_semi").mapInArrow(make, "node long, s binary").dropDuplicates(["node"])
 
     def work(batches):
+        trim()
         out = _Rows(["u", "v"])
         for _, t in _runs(batches, "tile"):
             if t.num_rows < 2:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from netloom.llm.common import Cache, crc, raw
+from netloom.llm.common import Cache, crc, raw, trim
 
 BITS, MAX_ROWS, SHARDS, EPOCHS = 18, 24_000, 8, 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.5
@@ -114,6 +114,7 @@ def score(docs: DataFrame, weights: np.ndarray, text_col="text", out="score") ->
     shared = docs.sparkSession.sparkContext.broadcast(np.asarray(weights, np.float32))
 
     def work(batches):
+        trim()
         w, codes = shared.value, Cache(_word)
         for b in batches:
             s = np.empty(b.num_rows)

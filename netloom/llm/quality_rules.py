@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from netloom.llm.common import raw
+from netloom.llm.common import raw, trim
 from netloom.session import cut
 
 LEVELS, RISK, DELTA, MAX_BROADCAST = 24, 0.01, 0.05, 100_000
@@ -84,6 +84,7 @@ def measured(docs: DataFrame, text_col="text", keep_text=False) -> DataFrame:
     keep = [c for c in docs.columns if c not in names and (keep_text or c != text_col)]
 
     def work(batches):
+        trim()
         for b in batches:
             got = [measure(t) for t in raw(b, text_col)]
             cols = [pa.array(x, pa.int64()) for x in zip(*got)] if got else [pa.array([], pa.int64())] * 6
