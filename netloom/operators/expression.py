@@ -154,7 +154,8 @@ def rank_sum(expr, obs, group="perturbation", control="control", max_controls=No
     u = (hist.where(F.col(group) != control).join(below, ["gene", "value"])
          .groupBy("gene", group).agg(F.sum(F.col("n") * (F.col("less") + F.col("c") / 2)).alias("u"), F.sum("n").alias("n1")))
     u = u.withColumn("n0", n0)
-    sd = F.sqrt(F.col("n0") * F.col("n1") * (F.col("n0") + F.col("n1") + 1) / 12.0)
+    # a product of three counts leaves the range of a long from some millions of samples on
+    sd = F.sqrt(F.col("n0").cast("double") * F.col("n1") * (F.col("n0") + F.col("n1") + 1) / 12.0)
     return u.select(group, "gene", "n1", "n0", ((F.col("u") - F.col("n0") * F.col("n1") / 2) / sd).alias("score"))
 
 
@@ -169,7 +170,7 @@ def rank_sum_rest(expr, obs, group):
     tot = r.groupBy("gene").agg(F.sum("s1").alias("s"))
     r = r.join(tot, "gene").withColumn("n", total)
     n1, n2 = F.col("n1"), F.col("n") - F.col("n1")
-    z = (F.col("r1") - n1 * (F.col("n") + 1) / 2.0) / F.sqrt(n1 * n2 * (F.col("n") + 1) / 12.0)
+    z = (F.col("r1") - n1 * (F.col("n") + 1) / 2.0) / F.sqrt(n1.cast("double") * n2 * (F.col("n") + 1) / 12.0)
     rest = F.greatest(F.lit(0.0), F.round(F.col("s") - F.col("s1"), 9))  # a difference of sums: no noise below 1e-9
     lfc = F.log2((F.round("s1", 9) / n1 + 1e-9) / (rest / n2 + 1e-9))
     return r.select(group, "gene", z.alias("score"), lfc.alias("lfc"))

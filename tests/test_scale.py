@@ -168,3 +168,15 @@ def test_topics_predict_held_out_regions_as_well_as_the_library_model(spark):
     m = lda.topicsMatrix().toArray()
     lib_q = {(t, w): m[i, t] / m[:, t].sum() for i, w in enumerate(cv.vocabulary) for t in range(3)}
     assert score(p, q) >= score(lib_p, lib_q) - 0.05
+
+
+def test_rank_sum_of_millions_of_samples_does_not_overflow(spark):
+    from netloom.operators import expression as X
+    obs = spark.range(5_000_000).select(F.concat(F.lit("o"), "id").alias("obs_id"), F.lit("p").alias("perturbation"), (F.col("id") % 2 == 0).alias("is_control"))
+    e = spark.createDataFrame([("o1", "g", 1.0), ("o2", "g", 2.0)], "obs_id string, gene string, value double")
+    n = 2_500_000
+    u = (n - 1) * (n - 1) / 2 + (n - 1) - n * n / 2  # zeros against half of the zeros, the 1 above them all
+    [r] = X.rank_sum(e, obs).collect()
+    assert (r.n1, r.n0) == (n, n) and r.score == pytest.approx(u / (float(n) * n * (2 * n + 1) / 12) ** 0.5, abs=1e-9)
+    [a, b] = X.rank_sum_rest(e, obs.withColumn("perturbation", F.col("is_control").cast("string")), "perturbation").collect()
+    assert a.score == pytest.approx(-b.score, abs=1e-9)
