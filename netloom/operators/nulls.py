@@ -89,7 +89,8 @@ def negative_control(genes, tfs, share=0.01, n_tfs=None, seed=0):
     skip = F.floor(F.log(F.greatest(det.uniform("source", "_j", seed=f"{seed}a"), F.lit(1e-12))) / math.log(1 - p)) if p < 1 else F.lit(0).cast("bigint")
     gap = 1 + skip
     walk = walk.withColumn("_i", F.sum(gap).over(W.partitionBy("source").orderBy("_j")) - 1)
-    e = walk.select("source", "_j", "_i").join(numbered, "_i")
+    # the planner takes the walk for as small as the table it is exploded from, and would collect it for a broadcast
+    e = walk.select("source", "_j", "_i").join(numbered.hint("merge"), "_i")
     return e.select("source", "target", F.when(det.uniform("source", "_j", seed=f"{seed}b") < 0.5, -1.0).otherwise(1.0).alias("weight"))
 
 
@@ -115,7 +116,7 @@ def draw(groups, items, by, item, wanted, seed):
     stride = 1 + F.floor(det.uniform(by, seed=f"{seed}s") * (p - 1))
     steps = F.sequence(F.lit(0).cast("bigint"), F.least(wanted.cast("bigint") + (p - n), F.lit(p).cast("bigint")) - 1)
     at = groups.where(wanted > 0).withColumn("_j", F.explode(steps)).withColumn("_i", (start + F.col("_j") * stride) % p)
-    return at.join(numbered, "_i").drop("_i")
+    return at.join(numbered.hint("merge"), "_i").drop("_i")  # the draws are many more than their size estimate tells
 
 
 def random_partners(edges, genes, by="source", seed=42, extra=(), allow_self=False):

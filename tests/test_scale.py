@@ -180,3 +180,15 @@ def test_rank_sum_of_millions_of_samples_does_not_overflow(spark):
     assert (r.n1, r.n0) == (n, n) and r.score == pytest.approx(u / (float(n) * n * (2 * n + 1) / 12) ** 0.5, abs=1e-9)
     [a, b] = X.rank_sum_rest(e, obs.withColumn("perturbation", F.col("is_control").cast("string")), "perturbation").collect()
     assert a.score == pytest.approx(-b.score, abs=1e-9)
+
+
+def test_the_walk_of_the_negative_control_is_not_collected(spark):
+    genes = spark.range(3000).select(F.concat(F.lit("g"), "id").alias("gene"))
+    tfs = spark.createDataFrame([(f"t{k}",) for k in range(5)], "tf string")
+    e = Z.negative_control(genes, tfs)
+    groups = tfs.withColumn("k", F.lit(20))
+    for d, n in ((e, None), (Z.draw(groups, genes, "tf", "gene", F.col("k"), 3), 20)):
+        plan = d._jdf.queryExecution().optimizedPlan().toString() + d._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "BroadcastHashJoin [_i" in x] and "SortMergeJoin [_i" in plan
+        per = d.groupBy(d.columns[0]).agg(F.count("*"), F.count_distinct("target" if n is None else "gene")).collect()
+        assert len(per) == 5 and all(r[1] == r[2] and r[1] >= (n or 20) for r in per)
