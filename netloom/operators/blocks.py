@@ -8,11 +8,13 @@ No task sees a whole row, column or group.
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from netloom.functions.stats import top_k
 
 CHUNK, BLOCK = 1024, 256
+DIMS, ITEMS = 4096, 1024  # of a piece of a sparse product
 
 
 MOST = 50_000  # rows of a lookup that may travel as one array
@@ -110,6 +112,82 @@ def paired(left, right, dim, item, value, keys=(), upper=False, block=BLOCK, chu
     return lp.repartition(n, *on).join(rp.repartition(n, *on), on).drop("_c")
 
 
+def _pieces(df, dim, item, value, keys, n_chunks, n_blocks, other_blocks, tag, side):
+    """One row per (keys, chunk, block) and partner block: names ``i``, and entries ``p`` (place in i), ``d``, ``v``, ``z`` (null)."""
+    keyed = df.where(F.col(dim).isNotNull()).select(
+        *keys, F.xxhash64(F.col(dim).cast("string")).alias("_d"), F.col(item).cast("string").alias("_i"), F.col(value).cast("double").alias("_v"))
+    keyed = keyed.withColumn("_c", F.pmod(F.xxhash64("_d"), F.lit(n_chunks)).cast("int")).withColumn("_b", F.pmod(F.xxhash64("_i"), F.lit(n_blocks)).cast("int"))
+    rows = keyed.repartition(*keys, "_c", "_b").groupBy(*keys, "_c", "_b", "_i").agg(
+        F.collect_list("_d").alias("d"), F.collect_list(F.coalesce("_v", F.lit(0.0))).alias("v"), F.collect_list(F.col("_v").isNull()).alias("z"))
+    packed = rows.groupBy(*keys, "_c", "_b").agg(F.collect_list(F.struct("_i", "d", "v", "z")).alias("_e"))
+    own, other = ("_l", "_r") if side == "left" else ("_r", "_l")
+    return packed.select(*keys, "_c", F.col("_b").alias(own), F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))).alias(other),
+                         F.col("_e._i").alias(f"i{tag}"), F.transform("_e", lambda e: F.size(e["d"])).alias(f"n{tag}"),
+                         *[F.flatten(F.col(f"_e.{f}")).alias(f"{f}{tag}") for f in "dvz"])
+
+
+def sparse_product(left: DataFrame, right: DataFrame, dim, item, other, value="value", weight="weight", out="value", keys=()) -> DataFrame:
+    """(item, other, out): sums over ``dim`` of value * weight, as a join on ``dim`` with a grouped sum gives them.
+
+    ``left`` holds (keys, dim, item, value), ``right`` (keys, dim, other, weight). The joined rows are never formed: pieces of
+    at most ``DIMS`` x ``ITEMS`` entries are multiplied in tasks, and partial sums are shuffled only where the dims fill more
+    than one chunk. A pair is a row if it meets at all, also with sum 0; its sum is null if all its products are.
+    """
+    keys = list(keys)
+
+    def sized(df, name):
+        per = df.groupBy(*keys).agg(F.approx_count_distinct(dim).alias("d"), F.approx_count_distinct(name).alias("i"))
+        return [x or 0 for x in per.agg(F.max("d"), F.max("i"), F.count("*")).first()]
+
+    (ld, li, lk), (rd, ri, rk) = sized(left, item), sized(right, other)
+    n_chunks, lb, rb = max(1, -(-max(ld, rd) // DIMS)), max(1, -(-li // ITEMS)), max(1, -(-ri // ITEMS))
+    lp = _pieces(left, dim, item, value, keys, n_chunks, lb, rb, "", "left")
+    rp = _pieces(right, dim, other, weight, keys, n_chunks, rb, lb, "2", "right")
+    pairs, on = n_chunks * lb * rb * max(1, min(lk, rk)), [*keys, "_c", "_l", "_r"]
+    n = min(pairs, max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs // 4))
+    joined = lp.repartition(n, *on).join(rp.repartition(n, *on), on).select(*[f"{c}{t}" for t in ("", "2") for c in "indvz"])
+
+    def matrix(row, tag, axis):
+        size, d, v, z = (row[f"{c}{tag}"].values.to_numpy(zero_copy_only=False) for c in "ndvz")
+        at = (np.searchsorted(axis, d), np.repeat(np.arange(len(size)), size))
+        m = [np.zeros((len(axis), len(size)), t) for t in (float, np.float32, np.float32)]
+        odd = ~np.isfinite(v)
+        np.add.at(m[0], (at[0][~odd], at[1][~odd]), v[~odd])
+        m[1][at] = 1
+        m[2][at[0][~z], at[1][~z]] = 1
+        return m, (at[0][odd], at[1][odd], v[odd]), bool(z.any())
+
+    def work(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k] for c in batch.schema.names}
+                d, d2 = (np.unique(row[c].values.to_numpy()) for c in ("d", "d2"))
+                axis = np.union1d(d, d2)
+                (a, ap, an), a_odd, a_null = matrix(row, "", axis)
+                (b, bp, bn), b_odd, b_null = matrix(row, "2", axis)
+                # a product with a value that is not finite is added where both sides are stored, not where one is absent
+                rough = [np.unique(np.concatenate([a_odd[0], b_odd[0]]))] if len(a_odd[0]) or len(b_odd[0]) else []
+                for o, m in ((a_odd, a), (b_odd, b)) if rough else ():
+                    np.add.at(m, o[:2], o[2])
+                left_names, right_names = row["i"].values, row["i2"].values
+                for lo in range(0, a.shape[1], 64):
+                    hi = min(lo + 64, a.shape[1])
+                    if rough:
+                        keep = np.setdiff1d(np.arange(len(axis)), rough[0])
+                        s = a[keep, lo:hi].T @ b[keep]
+                        for x in rough[0]:
+                            p, q = np.nonzero(an[x, lo:hi])[0], np.nonzero(bn[x])[0]
+                            s[np.ix_(p, q)] += np.outer(a[x, lo:hi][p], b[x][q])
+                    else:
+                        s = a[:, lo:hi].T @ b
+                    p, q = np.nonzero(ap[:, lo:hi].T @ bp)
+                    none = (an[:, lo:hi].T @ bn == 0)[p, q] if a_null or b_null else None
+                    yield pa.RecordBatch.from_arrays([left_names.take(pa.array(p + lo)), right_names.take(pa.array(q)), pa.array(s[p, q], mask=none)], names=[item, other, out])
+
+    sums = joined.mapInArrow(work, f"{item} string, {other} string, {out} double")
+    return sums if n_chunks == 1 and not keys else sums.groupBy(item, other).agg(F.sum(out).alias(out))
+
+
 def knn(emb: DataFrame, k: int, ident="obs_id", vec="vec", block=1024) -> DataFrame:
     """Exact k nearest neighbours by Euclidean distance: (obs_id, neighbor, dist, rn).
 

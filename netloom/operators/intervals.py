@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from netloom.functions.skew import grid_join, spread_join
 from netloom.functions.stats import bh, t_p_two
+from netloom.operators.blocks import sparse_product
 from netloom.operators.filters import parse_peak
+from netloom.session import cut
 
 LEAST_LEVEL = 3  # bins of level k are 4**k wide
 
@@ -125,13 +127,16 @@ def peak_gene_corr(access, expr, obs, links, method="pearson"):
     from netloom.operators.expression import gene_moments, rank_transform
     a = access.withColumnRenamed("peak", "gene")
     if method == "spearman":
-        a, expr = rank_transform(a, obs), rank_transform(expr, obs)
+        a, expr = cut(rank_transform(a, obs), "ranks"), cut(rank_transform(expr, obs), "ranks")
+    links = cut(links.select("peak", "gene").join(expr.select("gene").distinct(), "gene", "left_semi"), "links")
     ma = gene_moments(a, obs).select(F.col("gene").alias("peak"), F.col("s").alias("sa"), F.col("q").alias("qa"))
     mb = gene_moments(expr, obs).select("gene", F.col("s").alias("sb"), F.col("q").alias("qb"), "n")
-    # a region open in most cells and near many genes is cut in slices; a (sample, gene) has one value
-    cross = (spread_join(a.select("obs_id", F.col("gene").alias("peak"), F.col("value").alias("x")), links.select("peak", "gene"), ["peak"], ["obs_id"])
-             .join(expr.select("obs_id", "gene", F.col("value").alias("y")), ["obs_id", "gene"])
-             .groupBy("peak", "gene").agg(F.sum(F.col("x") * F.col("y")).alias("sxy")))
+    # only linked pairs are wanted: peaks meet genes inside stretches of the genome, blocks of one with blocks of the other
+    stretch = F.concat_ws(":", F.substring_index("peak", ":", 1), F.floor(F.regexp_extract("peak", r":(\d+)-", 1).try_cast("bigint") / 2 ** 20).cast("string"))
+    near = links.withColumn("_k", stretch)
+    x = a.select("obs_id", F.col("gene").alias("peak"), F.col("value").alias("x")).join(near.select("peak", "_k").distinct(), "peak")
+    y = expr.select("obs_id", "gene", F.col("value").alias("y")).join(near.select("gene", "_k").distinct(), "gene")
+    cross = sparse_product(x, y, "obs_id", "peak", "gene", "x", "y", "sxy", keys=["_k"])
     d = links.select("peak", "gene").join(ma, "peak").join(mb, "gene").join(cross, ["peak", "gene"], "left")
     n = F.col("n")
     va, vb = n * F.col("qa") - F.pow("sa", 2), n * F.col("qb") - F.pow("sb", 2)

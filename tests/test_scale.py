@@ -192,3 +192,25 @@ def test_the_walk_of_the_negative_control_is_not_collected(spark):
         assert not [x for x in plan.splitlines() if "BroadcastHashJoin [_i" in x] and "SortMergeJoin [_i" in plan
         per = d.groupBy(d.columns[0]).agg(F.count("*"), F.count_distinct("target" if n is None else "gene")).collect()
         assert len(per) == 5 and all(r[1] == r[2] and r[1] >= (n or 20) for r in per)
+
+
+@pytest.mark.parametrize("dims, items", [(4096, 1024), (3, 4)])
+def test_sparse_product_equals_the_joined_sum(spark, monkeypatch, dims, items):
+    monkeypatch.setattr(blocks, "DIMS", dims)
+    monkeypatch.setattr(blocks, "ITEMS", items)
+    nan, inf = float("nan"), float("inf")
+    rng = np.random.default_rng(2)
+    a = [(f"d{d}", f"a{i}", float(rng.integers(-2, 3))) for i in range(9) for d in rng.choice(12, 5, replace=False)]
+    b = [(f"d{d}", f"b{i}", float(rng.integers(-2, 3))) for i in range(10) for d in rng.choice(12, 4, replace=False)]
+    a += [("d1", "a1", 2.0), (None, "a1", 1.0), ("d1", None, 3.0), ("d2", "an", None), ("d3", "ax", nan), ("d4", "ax", 1.0), ("d5", "ai", inf), ("e", "az", 1.0)]
+    b += [(None, "b1", 1.0), ("d3", None, 2.0), ("d2", "bn", None), ("d4", "bx", inf), ("d5", "bz", 0.0), ("d5", "by", 1.0)]
+    left = spark.createDataFrame(a, "d string, i string, value double")
+    right = spark.createDataFrame(b, "d string, j string, weight double")
+    got = blocks.sparse_product(left, right, "d", "i", "j")
+    key = lambda r: repr((r.i, r.j, None if r.value is None else round(r.value, 9) + 0.0))
+    want = left.join(right, "d").groupBy("i", "j").agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    both = lambda x: x.withColumn("k", F.explode(F.array(F.lit("p"), F.lit("q"))))
+    keyed = blocks.sparse_product(both(left), both(right), "d", "i", "j", keys=["k"])
+    twice = want.withColumn("value", F.col("value") * 2)
+    assert sorted(map(key, keyed.collect())) == sorted(map(key, twice.collect()))
