@@ -214,3 +214,23 @@ def test_sparse_product_equals_the_joined_sum(spark, monkeypatch, dims, items):
     keyed = blocks.sparse_product(both(left), both(right), "d", "i", "j", keys=["k"])
     twice = want.withColumn("value", F.col("value") * 2)
     assert sorted(map(key, keyed.collect())) == sorted(map(key, twice.collect()))
+
+
+def test_linked_sums_form_no_joined_rows(spark):
+    from netloom.operators import chromatin as H
+    access = spark.createDataFrame([(f"o{k % 7}", f"chr1:{k * 100}-{k * 100 + 50}", float(k)) for k in range(30)], "obs_id string, peak string, value double")
+    links = access.select("peak", F.concat(F.lit("g"), F.col("value").cast("int") % 3).alias("gene")).distinct()
+    tss = spark.createDataFrame([("chr1", 500, "g1"), ("chr1", 900, "g2")], "chrom string, tss long, gene string")
+    ct = spark.createDataFrame([("o1", "0", 0.5), ("o2", "1", 0.25)], "obs_id string, topic string, p double")
+    tr = spark.createDataFrame([("0", "p1", 0.5), ("1", "p1", 0.0)], "topic string, peak string, q double")
+    obs = access.select("obs_id").distinct()
+    expr = access.select("obs_id", F.lit("g1").alias("gene"), "value").groupBy("obs_id", "gene").agg(F.sum("value").alias("value"))
+    for d in (H.dorc(access, links), I.gene_activity(access, tss), H.impute(ct, tr), I.peak_gene_corr(access, expr, obs, links)):
+        assert "MapInArrow" in d._jdf.queryExecution().executedPlan().toString()
+    assert rows(H.impute(ct, tr)) == [("o1", "p1", 250000)]
+    depth = {r.obs_id: r.d for r in access.groupBy("obs_id").agg(F.avg("value").alias("d")).collect()}
+    want = {}
+    for r in access.collect():
+        g = f"g{int(r.value) % 3}"
+        want[r.obs_id, g] = want.get((r.obs_id, g), 0) + r.value / depth[r.obs_id]
+    assert {(r.obs_id, r.gene): r.value for r in H.dorc(access, links).collect()} == pytest.approx(want)
