@@ -188,32 +188,61 @@ def sparse_product(left: DataFrame, right: DataFrame, dim, item, other, value="v
     return sums if n_chunks == 1 and not keys else sums.groupBy(item, other).agg(F.sum(out).alias(out))
 
 
-def knn(emb: DataFrame, k: int, ident="obs_id", vec="vec", block=1024) -> DataFrame:
+def knn(emb: DataFrame, k: int, ident="obs_id", vec="vec", block=16384, part=2048, tasks=64) -> DataFrame:
     """Exact k nearest neighbours by Euclidean distance: (obs_id, neighbor, dist, rn).
 
-    Each block pair keeps its own k best per row before anything is shuffled, so the n x n
-    distances never leave a task.
+    Parts of ``part`` rows meet blocks of ``block`` rows, and each pair keeps its own k best per row before
+    anything is shuffled, so the n x n distances never leave a task. A product in single precision
+    leaves the rows that lie within its rounding of the k-th; these are measured by differences.
     """
     n = emb.count()
-    n_blocks = max(1, -(-n // block))
-    e = emb.select(F.col(ident).cast("string").alias("i"), F.col(vec).cast("array<double>").alias("v"),
-                   F.pmod(F.xxhash64(ident), F.lit(n_blocks)).alias("b"))
-    packed = e.groupBy("b").agg(F.collect_list(F.struct("i", "v")).alias("e")).select("b", F.col("e.i").alias("i"), F.col("e.v").alias("v"))
-    left = packed.select("i", "v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("b"))
-    right = packed.select("b", F.col("i").alias("i2"), F.col("v").alias("v2"))
+    n_blocks, n_parts = max(1, -(-n // block)), max(1, -(-n // part))
+    slices = min(n_parts, max(1, -(-tasks // n_blocks)))  # copies of a block, for as many tasks
+    kind = emb.schema[vec].dataType.simpleString()
+    e = emb.select(F.col(ident).cast("string").alias("i"), F.col(vec).cast(kind if kind == "array<float>" else "array<double>").alias("v"), F.xxhash64(ident).alias("h"))
+
+    def packed(count):
+        g = e.groupBy(F.pmod("h", F.lit(count)).cast("int").alias("b")).agg(F.collect_list(F.struct("i", "v")).alias("e"))
+        return g.select("b", F.col("e.i").alias("i"), F.flatten("e.v").alias("v"))
+
+    left = packed(n_parts).select("i", "v", F.pmod("b", F.lit(slices)).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"))
+    right = packed(n_blocks).select("b", F.col("i").alias("i2"), F.col("v").alias("v2"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("s"))
+    count = max(n_blocks * slices, min(n_blocks * n_parts, int(emb.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def work(batches):
-        for pdf in batches:
-            for r in pdf.to_dict("records"):
-                a, b = np.stack(r["v"]), np.stack(r["v2"])
-                ids, ids2 = np.asarray(r["i"], object), np.asarray(r["i2"], object)
-                d = np.sqrt(np.stack([((b - x) ** 2).sum(1) for x in a]))
-                d[ids[:, None] == ids2[None, :]] = np.inf
-                m = min(k, len(ids2))
-                edge = np.partition(d, m - 1, axis=1)[:, [m - 1]]
-                p, q = np.nonzero((d <= edge) & np.isfinite(d))
-                yield pd.DataFrame({"obs_id": ids[p], "neighbor": ids2[q], "dist": d[p, q]})
-
-    best = left.join(right, "b").select("i", "v", "i2", "v2").mapInPandas(
+        for batch in batches:
+            for r in range(batch.num_rows):
+                yield from near(*[batch.column(c)[r].values for c in ("i", "v", "i2", "v2")])
+
+    def near(ids, v, ids2, v2):
+        a, b = (x.to_numpy().astype(float).reshape(len(y), -1) for x, y in ((v, ids), (v2, ids2)))
+        aa, bb = (a * a).sum(1), (b * b).sum(1)
+        good, good2 = np.isfinite(aa), np.isfinite(bb)
+        most = max(aa[good].max(initial=0), bb[good2].max(initial=0))
+        kind = np.float32 if 1e-20 < most < 1e30 else float
+        # |b|^2 - 2ab in one product; what is not finite is nobody's neighbour
+        y = np.vstack([np.where(good2, b.T, 0), np.where(good2, bb, 0)]).astype(kind)
+        slack = 4 * (a.shape[1] + 8) * np.finfo(kind).eps * (aa + 2 * most)
+        place = {}
+        for at, name in enumerate(ids2.to_pylist()):
+            place.setdefault(name, []).append(at)
+        names, m = ids.to_pylist(), min(k, len(b))
+        groups = len(b) // 8 if len(b) // 8 >= 4 * k else 0
+        for lo in range(0, len(a), 256):
+            x = np.column_stack([np.where(good[lo:lo + 256, None], -2 * a[lo:lo + 256], 0), np.ones(len(a[lo:lo + 256]))]).astype(kind)
+            d = x @ y
+            d[:, ~good2] = np.inf
+            d[~good[lo:lo + 256]] = np.inf
+            for j, name in enumerate(names[lo:lo + 256]):
+                if name in place:
+                    d[j, place[name]] = np.inf
+            # the k-th least of the least of disjoint groups is no less than the k-th least of all
+            top = d[:, :groups * 8].reshape(len(d), 8, groups).min(1) if groups else d
+            edge = np.partition(top, m - 1, axis=1)[:, m - 1] + slack[lo:lo + 256]
+            p, q = np.nonzero((d <= edge[:, None]) & np.isfinite(d))
+            dist = np.sqrt(((b[q] - a[lo + p]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(lo + p)), ids2.take(pa.array(q)), pa.array(dist)], names=["obs_id", "neighbor", "dist"])
+
+    best = left.repartition(count, "b", "s").join(right.repartition(count, "b", "s"), ["b", "s"]).select("i", "v", "i2", "v2").mapInArrow(
         work, "obs_id string, neighbor string, dist double")
     return top_k(best, ["obs_id"], [F.col("dist"), F.col("neighbor")], k, ["neighbor"], out="rn")

@@ -234,3 +234,22 @@ def test_linked_sums_form_no_joined_rows(spark):
         g = f"g{int(r.value) % 3}"
         want[r.obs_id, g] = want.get((r.obs_id, g), 0) + r.value / depth[r.obs_id]
     assert {(r.obs_id, r.gene): r.value for r in H.dorc(access, links).collect()} == pytest.approx(want)
+
+
+def test_knn_in_parts_and_blocks_equals_brute_force(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 5)).astype(np.float32).astype(float)
+    x[::7] = x[0]
+    x[5, 2] = float("nan")
+    x[400:420] += 1000.0  # a cluster far out, whose distances lose digits in a product
+    e = spark.createDataFrame([(f"c{k:03}", [float(v) for v in r]) for k, r in enumerate(x)], "obs_id string, vec array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = {k: sorted((d[k, j], f"c{j:03}") for j in range(700) if j != k and np.isfinite(d[k, j]))[:6] for k in range(700)}
+    for vec in ("array<double>", "array<float>"):
+        got = {}
+        for r in blocks.knn(e.withColumn("vec", F.col("vec").cast(vec)), 6, block=300, part=90).collect():
+            got.setdefault(int(r.obs_id[1:]), []).append((r.rn, r.dist, r.neighbor))
+        assert len(got) == 699
+        for k, found in got.items():
+            assert [b for _, _, b in sorted(found)] == [b for _, b in want[k]] or vec == "array<float>"
+            assert [a for _, a, _ in sorted(found)] == pytest.approx([a for a, _ in want[k]], abs=1e-4)
