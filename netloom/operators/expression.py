@@ -499,9 +499,16 @@ def perturbation_delta(expr, obs, strict, loose):
     l = ctrl.groupBy(*loose).agg(F.max_by("obs_id", "row_no").alias("_c2"))
     first = ctrl.agg(F.min_by("obs_id", "row_no")).scalar()
     m = obs.join(s, strict, "left").join(l, loose, "left").select("obs_id", F.coalesce("_c1", "_c2", first).alias("control_id"))
-    own = expr.join(m.select("obs_id"), "obs_id", "left_semi").select("obs_id", "gene", "value")
-    profile = expr.select(F.col("obs_id").alias("control_id"), "gene", "value")
-    ref = (spread_join(m, profile, ["control_id"], ["obs_id"], per=2_000)
-           .select("obs_id", "gene", (-F.col("value")).alias("value")))
-    # a union and one sum: same result as a full join, with map-side combine
-    return own.unionByName(ref).groupBy("obs_id", "gene").agg(F.sum("value").alias("value")), m
+    # control profiles are few and stored, so a small table of them travels to the samples; a sample's own values and its
+    # controls lie in one row, and the sum needs no further shuffle
+    entry = lambda v: F.collect_list(F.struct("gene", v.alias("value")))
+    v = F.col("value")
+    profile = cut(expr.withColumnRenamed("obs_id", "control_id").join(m.select("control_id").distinct(), "control_id", "left_semi")
+                  .groupBy("control_id").agg(entry(-v).alias("_ref")), "profiles")
+    own = expr.groupBy("obs_id").agg(entry(v).alias("_own"))
+    per = m.groupBy("obs_id").agg(F.collect_list("control_id").alias("_c")).join(own, "obs_id", "left")
+    per = per.select("obs_id", "_own", F.posexplode_outer("_c").alias("_at", "control_id")).join(profile, "control_id", "left")
+    none = F.array().cast(own.schema["_own"].dataType)
+    mine = F.when(F.coalesce("_at", F.lit(0)) == 0, F.coalesce("_own", none)).otherwise(none)
+    both = per.select("obs_id", F.explode(F.concat(mine, F.coalesce("_ref", none))).alias("_e"))
+    return both.groupBy("obs_id", "_e.gene").agg(F.sum("_e.value").alias("value")), m
