@@ -11,7 +11,7 @@ from netloom.functions.quantiles import exact
 from netloom.functions.stats import (
     bh, following, norm_p_two, rank_table, scan, t_p_greater, t_p_two, top_k, weighted_percentile, welch_t)
 from netloom.functions.skew import spread_join
-from netloom.operators.blocks import attach_all, pair_sums
+from netloom.operators.blocks import attach_all, pair_sums, sparse_product
 from netloom.session import cut
 
 
@@ -378,13 +378,14 @@ def ulm(expr, edges, tmin=5, obs=None, keys=(), genes=None):
     net = edges.select(*keys, "source", F.col("target").alias("gene"), "weight").join(genes, "gene", "left_semi")
     src = (net.groupBy(*keys, "source").agg(F.sum("weight").alias("sw"), F.sum(F.col("weight") * F.col("weight")).alias("qw"), F.count("*").alias("k"))
            .where(F.col("k") >= tmin))
-    net = net.join(src.select(*keys, "source"), [*keys, "source"], "left_semi")
+    # a network's source is one column of a matrix: samples meet all of them in blocks, not edge by edge
+    src = src.withColumn("_id", F.to_json(F.struct(*keys, "source")))
+    net = net.join(src.select(*keys, "source", "_id"), [*keys, "source"])
     smp = expr.groupBy("obs_id").agg(F.sum("value").alias("sy"), F.sum(F.col("value") * F.col("value")).alias("qy"))
     if obs is not None:
         smp = obs.select("obs_id").join(smp, "obs_id", "left").fillna(0.0)
-    cross = (spread_join(expr.select("obs_id", "gene", "value"), net, ["gene"], ["obs_id"]).groupBy("obs_id", *keys, "source")
-             .agg(F.sum(F.col("value") * F.col("weight")).alias("swy")))
-    full = attach_all(smp, src).join(cross, ["obs_id", *keys, "source"], "left").withColumn("m", m)
+    cross = sparse_product(expr.select("obs_id", "gene", "value"), net.select("gene", "_id", "weight"), "gene", "obs_id", "_id", out="swy")
+    full = attach_all(smp, src).join(cross, ["obs_id", "_id"], "left").withColumn("m", m)
     return full.select("obs_id", *keys, "source", ulm_t("m", "sw", "qw", "sy", "qy", F.coalesce("swy", F.lit(0.0))).alias("activity"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from netloom.functions import quantiles as Q
 from netloom.functions.skew import grid_join
 from netloom.functions.stats import following
-from netloom.operators import blocks, intervals as I, nulls as Z
+from netloom.operators import blocks, expression as X, intervals as I, nulls as Z
 
 
 def rows(df):
@@ -253,3 +253,18 @@ def test_knn_in_parts_and_blocks_equals_brute_force(spark):
         for k, found in got.items():
             assert [b for _, _, b in sorted(found)] == [b for _, b in want[k]] or vec == "array<float>"
             assert [a for _, a, _ in sorted(found)] == pytest.approx([a for a, _ in want[k]], abs=1e-4)
+
+
+def test_activities_come_from_blocks_not_from_joined_edges(spark):
+    rng = np.random.default_rng(8)
+    y, w = rng.random((6, 12)), rng.standard_normal((2, 3, 12))
+    expr = spark.createDataFrame([(f"o{i}", f"g{j}", float(y[i, j])) for i in range(6) for j in range(12)], "obs_id string, gene string, value double")
+    net = spark.createDataFrame([(m + 0.5, f"s{s}", f"g{j}", float(w[m, s, j])) for m in range(2) for s in range(3) for j in range(12)],
+                                "level double, source string, target string, weight double")
+    got = X.ulm(expr, net, 5, keys=["level"])
+    assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+    r = {(r.obs_id, r.level, r.source): r.activity for r in got.collect()}
+    assert len(r) == 6 * 2 * 3
+    for (o, level, s), t in r.items():
+        c = np.corrcoef(y[int(o[1:])], w[int(level), int(s[1:])])[0, 1]
+        assert t == pytest.approx(c * np.sqrt(10 / (1 - c * c)), abs=1e-6)
