@@ -56,6 +56,24 @@ def overlap_join(a: DataFrame, b: DataFrame, closed=True, side=None) -> DataFram
     return met.where(hit & home).drop("_level", "_side", "_bin")
 
 
+def merged(df: DataFrame, by, start, end, closed=True, width=4096) -> DataFrame:
+    """Unions (by, start, end) of overlapping intervals of the same ``by``, run by run inside bins of ``width``.
+
+    An interval overlaps a union exactly where it overlaps one of its members, so what asks only whether
+    two names meet can join unions: a crowded stretch is then a few rows per name and bin. ``closed`` also
+    unites intervals that touch; half-open ones that only touch stay apart, or an empty one between them would meet.
+    """
+    by = list(by)
+    d = df.where(F.col(end) >= F.col(start)).select(*by, F.floor(F.col(start) / width).alias("_bin"), start, end)
+    d = d.repartition(*by, "_bin").groupBy(*by, "_bin", start).agg(F.max(end).alias(end))  # one shuffle for all that follows
+    order = W.partitionBy(*by, "_bin").orderBy(start)
+    reach = F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1))
+    apart = F.col(start) > reach if closed else F.col(start) >= reach
+    d = d.withColumn("_new", F.when(reach.isNull() | apart, 1).otherwise(0)).withColumn("_run", F.sum("_new").over(order))
+    d = d.groupBy(*by, "_bin", "_run").agg(F.min(start).alias(start), F.max(end).alias(end))
+    return cut(d.select(*by, start, end), "unions")
+
+
 def tss_window(tss, up=1000, down=100):
     """Strand-aware window around each start site, clipped at 0."""
     lo = F.when(F.col("strand") == "+", F.col("tss") - up).otherwise(F.col("tss") - down)
@@ -69,16 +87,16 @@ def peaks_near_tss(peaks, tss, up=1000, down=100, extra=()):
     """Distinct (source, target): a binding peak of the factor touches the window of the gene."""
     extra = list(extra)
     w = tss_window(tss, up, down).distinct()
-    p = (peaks.where("start >= 0 and stop >= 0").groupBy(*extra, "chrom", "start", "stop", "tf").agg(F.lit(1).alias("_one"))
-         .select(*extra, "chrom", F.col("start").alias("b_start"), F.col("stop").alias("b_end"), "tf"))
+    p = peaks.where("start >= 0 and stop >= 0").select(*extra, "chrom", F.col("start").alias("b_start"), F.col("stop").alias("b_end"), "tf")
+    p = merged(p, [*extra, "chrom", "tf"], "b_start", "b_end")
     return overlap_join(w, p).select(*extra, F.col("tf").alias("source"), F.col("gene").alias("target")).distinct()
 
 
 def promoter_skeleton(tss, motifs, flank=1000):
     """Motif hits in the flank around each start site, half-open intervals."""
     g = tss.select("chrom", (F.col("tss") - flank).alias("a_start"), (F.col("tss") + 1 + flank).alias("a_end"), "gene").distinct()
-    m = motifs.select("chrom", F.col("start").alias("b_start"), F.col("stop").alias("b_end"), "tf").distinct()
-    return overlap_join(g, m, closed=False).select(F.col("tf").alias("source"), F.col("gene").alias("target")).distinct()
+    m = motifs.select("chrom", F.col("start").alias("b_start"), F.col("stop").alias("b_end"), "tf")
+    return overlap_join(g, merged(m, ["chrom", "tf"], "b_start", "b_end", closed=False), closed=False).select(F.col("tf").alias("source"), F.col("gene").alias("target")).distinct()
 
 
 def peak2gene(tss, peaks, reach=150_000):
@@ -91,8 +109,8 @@ def peak2gene(tss, peaks, reach=150_000):
 
 def peak2tf(peaks, motifs):
     p = parse_peak(peaks.select("peak").distinct()).select("chrom", F.col("start").alias("a_start"), F.col("end").alias("a_end"), "peak")
-    m = motifs.select("chrom", F.col("start").alias("b_start"), F.col("stop").alias("b_end"), "tf").distinct()
-    return overlap_join(p, m, closed=False).select(F.col("tf").alias("source"), "peak").distinct()
+    m = motifs.select("chrom", F.col("start").alias("b_start"), F.col("stop").alias("b_end"), "tf")
+    return overlap_join(p, merged(m, ["chrom", "tf"], "b_start", "b_end", closed=False), closed=False).select(F.col("tf").alias("source"), "peak").distinct()
 
 
 def bridge(gene_links, tf_links):

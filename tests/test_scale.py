@@ -268,3 +268,23 @@ def test_activities_come_from_blocks_not_from_joined_edges(spark):
     for (o, level, s), t in r.items():
         c = np.corrcoef(y[int(o[1:])], w[int(level), int(s[1:])])[0, 1]
         assert t == pytest.approx(c * np.sqrt(10 / (1 - c * c)), abs=1e-6)
+
+
+def test_crowded_motifs_are_united_before_they_meet_genes(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    tss = [("chr1", int(x), "+-"[k % 2], f"g{k}") for k, x in enumerate(rng.integers(0, 40_000, 60))]
+    hits = [("chr1", int(x), int(x + n), f"t{k % 3}") for k, (x, n) in enumerate(zip(rng.integers(0, 40_000, 90), rng.integers(0, 40, 90)))]
+    hits += [("chr1", 9_000 + k % 50, 9_030 + k % 50, "hot") for k in range(3000)] + [("chr1", t + d, t + d, f"edge{d}") for _, t, _, _ in tss[:5] for d in (-1000, 1001, -999, 1000)]
+    hits += [("chr1", 8_000, 7_000, "backwards"), ("chr2", 1, 9, "elsewhere"), ("chr1", 20_000, 20_400, None)]
+    genes = spark.createDataFrame(tss, "chrom string, tss long, strand string, gene string")
+    motifs = spark.createDataFrame(hits, "chrom string, start long, stop long, tf string")
+    seen = []
+    monkeypatch.setattr(I, "grid_join", lambda a, b, *x: seen.append(b.count()) or grid_join(a, b, *x))
+    order = lambda s: sorted(s, key=str)
+    got = I.promoter_skeleton(genes, motifs).collect()
+    want = {(f, g) for c, t, _, g in tss for d, s, e, f in hits if c == d and e >= s and e > t - 1000 and s < t + 1001}
+    assert order(map(tuple, got)) == order(want)
+    near = I.peaks_near_tss(motifs, genes).collect()
+    lo, hi = (lambda t, s: max(0, t - (1000 if s == "+" else 100))), (lambda t, s: t + (100 if s == "+" else 1000))
+    assert order(map(tuple, near)) == order({(f, g) for c, t, w, g in tss for d, s, e, f in hits if c == d and e >= s and e >= lo(t, w) and s <= hi(t, w)})
+    assert len(seen) == 2 and max(seen) < 600
