@@ -5,6 +5,8 @@ these over all samples (blocked products, see operators.blocks); a fit then sees
 per target, whose size follows the number of regulators and never the number of samples.
 """
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -169,19 +171,21 @@ def raw_regulators(edges: DataFrame, tfs: DataFrame, more_than=2, keys=()) -> Da
 
 def elastic_net(s, alpha=0.001, l1=0.5, rounds=1000, tol=1e-8):
     """Elastic net without intercept by coordinate descent on a moment matrix."""
-    n, x, y = s[0, 0], s[1:-1, 1:-1], s[1:-1, -1]
-    beta = np.zeros(len(x))
+    n, x, left = s[0, 0], s[1:-1, 1:-1], s[1:-1, -1].copy()  # left: y - x @ beta, kept up to date
+    own, cut_, beta = np.diag(x).tolist(), n * alpha * l1, [0.0] * len(x)
     for _ in range(rounds):
         step = 0.0
-        for j in range(len(beta)):
-            if x[j, j] <= 0:
+        for j, old in enumerate(beta):
+            if own[j] <= 0:
                 continue
-            rho = y[j] - x[j] @ beta + x[j, j] * beta[j]
-            new = np.sign(rho) * max(abs(rho) - n * alpha * l1, 0.0) / (x[j, j] + n * alpha * (1 - l1))
-            step, beta[j] = max(step, abs(new - beta[j])), new
+            rho = left.item(j) + own[j] * old
+            new = math.copysign(max(abs(rho) - cut_, 0.0), rho) / (own[j] + n * alpha * (1 - l1))
+            if new != old:
+                left -= x[j] * (new - old)
+                step, beta[j] = max(step, abs(new - old)), new
         if step < tol:
             break
-    return beta
+    return np.array(beta)
 
 
 def refit_elastic(edges: DataFrame, m: DataFrame, alpha=0.001, signed=False, keys=()) -> DataFrame:

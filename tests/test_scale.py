@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from netloom.functions import quantiles as Q
 from netloom.functions.skew import grid_join
 from netloom.functions.stats import following
-from netloom.operators import blocks, expression as X, intervals as I, nulls as Z
+from netloom.operators import blocks, expression as X, fits as J, intervals as I, nulls as Z
 
 
 def rows(df):
@@ -288,3 +288,23 @@ def test_crowded_motifs_are_united_before_they_meet_genes(spark, monkeypatch):
     lo, hi = (lambda t, s: max(0, t - (1000 if s == "+" else 100))), (lambda t, s: t + (100 if s == "+" else 1000))
     assert order(map(tuple, near)) == order({(f, g) for c, t, w, g in tss for d, s, e, f in hits if c == d and e >= s and e >= lo(t, w) and s <= hi(t, w)})
     assert len(seen) == 2 and max(seen) < 600
+
+
+def test_elastic_net_keeps_the_residual_and_multiplies_no_matrix():
+    class Counted(np.ndarray):
+        products = 0
+
+        def __matmul__(self, other):
+            Counted.products += 1
+            return np.asarray(self) @ np.asarray(other)
+
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((80, 6))
+    z = np.column_stack([np.ones(80), x, x[:, 0] * 2 - x[:, 3] + 0.1 * rng.standard_normal(80)])
+    s = z.T @ z
+    beta = J.elastic_net(s.view(Counted), alpha=0.05)
+    assert Counted.products == 0
+    c, y = s[1:-1, 1:-1], s[1:-1, -1]
+    slope = y - c @ beta - 80 * 0.05 * 0.5 * beta  # optimality: equal to the bound where a weight is, below it elsewhere
+    assert np.allclose(slope[beta != 0], 80 * 0.05 * 0.5 * np.sign(beta[beta != 0]), atol=1e-5) and (abs(slope[beta == 0]) <= 2 + 1e-9).all()
+    assert abs(beta[0] - 2) < 0.2 and abs(beta[3] + 1) < 0.2
