@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from netloom.functions import quantiles as Q
 from netloom.functions.skew import grid_join
 from netloom.functions.stats import following
-from netloom.operators import blocks, expression as X, fits as J, intervals as I, nulls as Z
+from netloom.operators import blocks, chromatin as H, expression as X, fits as J, intervals as I, nulls as Z
+from netloom.session import bucketed
 
 
 def rows(df):
@@ -308,3 +309,18 @@ def test_elastic_net_keeps_the_residual_and_multiplies_no_matrix():
     slope = y - c @ beta - 80 * 0.05 * 0.5 * beta  # optimality: equal to the bound where a weight is, below it elsewhere
     assert np.allclose(slope[beta != 0], 80 * 0.05 * 0.5 * np.sign(beta[beta != 0]), atol=1e-5) and (abs(slope[beta == 0]) <= 2 + 1e-9).all()
     assert abs(beta[0] - 2) < 0.2 and abs(beta[3] + 1) < 0.2
+
+
+def test_topic_rounds_shuffle_no_pairs(spark):
+    e = bucketed(spark.range(400).selectExpr("concat('c', id % 40) as obs_id", "concat('p', id % 9) as peak", "array(1D, 2D) as r"), "obs_id")
+    cell = e.groupBy("obs_id").agg(F.array(F.sum(F.col("r")[0])).alias("nc"))
+    met = e.hint("merge").join(cell, "obs_id")
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and met.count() == 400
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("stage_")]
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(H, "bucketed", lambda df, by, name: seen.append(by) or bucketed(df, by, name))
+        _, region = H.topics(e.select("obs_id", "peak", F.lit(1.0).alias("value")).distinct(), 2, max_iter=2)
+        q = region.groupBy("topic").agg(F.sum("q").alias("q")).collect()
+    assert seen == ["obs_id"] * 3 and [round(r.q, 9) for r in q] == [1.0, 1.0]
