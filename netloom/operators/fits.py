@@ -171,7 +171,7 @@ def raw_regulators(edges: DataFrame, tfs: DataFrame, more_than=2, keys=()) -> Da
 
 def elastic_net(s, alpha=0.001, l1=0.5, rounds=1000, tol=1e-8):
     """Elastic net without intercept by coordinate descent on a moment matrix."""
-    n, x, left = s[0, 0], s[1:-1, 1:-1], s[1:-1, -1].copy()  # left: y - x @ beta, kept up to date
+    n, x, left = s[0, 0], s[1:-1, 1:-1], s[1:-1, -1].astype(float)  # left: y - x @ beta, kept up to date
     own, cut_, beta = np.diag(x).tolist(), n * alpha * l1, [0.0] * len(x)
     for _ in range(rounds):
         step = 0.0
@@ -180,9 +180,10 @@ def elastic_net(s, alpha=0.001, l1=0.5, rounds=1000, tol=1e-8):
                 continue
             rho = left.item(j) + own[j] * old
             new = math.copysign(max(abs(rho) - cut_, 0.0), rho) / (own[j] + n * alpha * (1 - l1))
+            beta[j] = new
             if new != old:
                 left -= x[j] * (new - old)
-                step, beta[j] = max(step, abs(new - old)), new
+                step = max(step, abs(new - old))
         if step < tol:
             break
     return np.array(beta)
