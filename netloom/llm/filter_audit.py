@@ -83,8 +83,8 @@ class Counters:
         return int.from_bytes(fields.astype("<u8").tobytes(), "little")
 
     def unpack(self, total: int) -> dict:
-        """Outcome -> counts of all steps."""
-        fields = np.frombuffer(total.to_bytes(len(OUTCOMES) * len(self.bit) * 8, "little"), "<u8").astype(np.int64)
+        """Outcome -> counts of all steps, as Python integers: their sum over all orders may pass 64 bits."""
+        fields = np.frombuffer(total.to_bytes(len(OUTCOMES) * len(self.bit) * 8, "little"), "<u8").astype(object)
         return dict(zip(OUTCOMES, fields.reshape(len(OUTCOMES), -1)))
 
 

@@ -284,8 +284,7 @@ def top(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, iden
                 ids, floor = _array(r["ids"], np.int64), _array(r["floor"])
                 data = _array(r["data"], float, r["dim"]) if r["dim"] else np.zeros((len(ids), 0))
                 q = _array(r["q"], float, r["q_dim"]) if r["q_dim"] else np.zeros((len(floor), 0))
-                blocks = -(-len(ids) // BLOCK)
-                hi, lo = (_array(r[c], float).reshape(blocks, r["dim"]) for c in ("hi", "lo"))
+                hi, lo = (_array(r[c], float, r["dim"]) if r["dim"] else None for c in ("hi", "lo"))  # as many blocks as the index was cut into
                 own_shard, own_row, after, q_ids = (_array(r[c], np.int64) for c in ("own_shard", "own_row", "after", "q_ids"))
                 own = np.where(own_shard == r["shard"], own_row, -1)
                 who, got, found = search(q, own, Shard(ids, data, hi, lo), k, floor, after)
