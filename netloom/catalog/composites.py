@@ -201,7 +201,7 @@ def _(v):
 @query("k13_evaluate_all")
 def _(v):
     bg = v.net.where("model = 'A'").select("source", "target", F.abs("weight").alias("ws_distance"))
-    ctx = {"expr": v.bulk, "obs": bulk_obs(v), "groups": groups(v), "tfs": v.gtfs, "genes": v.counts.select("gene").distinct(), "truths": truths(v), "de": de_table(v),
+    ctx = {"expr": v.bulk, "obs": bulk_obs(v), "groups": groups(v), "tfs": v.gtfs, "genes": cut(v.counts.select("gene").distinct(), "genes"), "truths": truths(v), "de": de_table(v),
            "sets": v.genesets, "background": bg, "edge_counts": cut(E.consensus_edges(v.net, v.gtfs), "consensus"), "regulators": consensus(v),
            "strict": ["donor_id", "cell_type"], "loose": ["donor_id"], "cv": ["perturbation", "cell_type"], "early": early(v)}
     p = tf_net(v).select(F.lit("op").alias("dataset_id"), F.col("model").alias("method_id"), "source", "target", "weight")

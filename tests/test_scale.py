@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from netloom.functions import quantiles as Q
 from netloom.functions.skew import grid_join
 from netloom.functions.stats import following
-from netloom.catalog.standins import SPARK_VIEWS, VIEWS, Views
+from netloom.catalog import standins
+from netloom.catalog.standins import SPARK_VIEWS, TABLES, VIEWS, Views, _inline
 from netloom.operators import blocks, chromatin as H, expression as X, fits as J, intervals as I, nulls as Z
 from netloom.session import bucketed
 
@@ -337,3 +338,43 @@ def test_the_normalised_view_shuffles_counts_once(spark, tmp_path):
     key = lambda d: sorted(map(str, d.select("obs_id", "gene", F.round("value", 9)).collect()))
     assert key(got) == key(plain) and got.count() > 0
     assert "Join" not in v.sql(SPARK_VIEWS["v_norm"])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bulk_views_shuffle_neither_counts_nor_samples(spark, tmp_path):
+    part = spark.createDataFrame([(1, "A", "x"), (2, "B", None), (3, "A/x", "y"), (3, "A", "x/y"), (4, None, "y")], "p_partkey long, p_brand string, p_type string")
+    line = spark.createDataFrame([(o, p, q) for o in (1, 1, 2, 3, 4, None) for p in (1, 2, 3, 3, 4) for q in (1.0, 3.0, None)], "l_orderkey long, l_partkey long, l_quantity double")
+    orders = spark.createDataFrame([(1, 1, "5-LOW"), (2, 2, "1-URGENT"), (2, 1, "5-LOW"), (2, 1, "5-LOW"), (3, 2, None), (5, 1, "5-LOW"), (None, 1, "5-LOW")],
+                                   "o_orderkey long, o_custkey long, o_orderpriority string").withColumn("o_orderdate", F.lit("1995-01-02").cast("date"))
+    customer = spark.createDataFrame([(1, 1, "M"), (2, 2, None), (2, 3, "N")], "c_custkey long, c_nationkey int, c_mktsegment string")
+    for name, df in (("part", part), ("lineitem", line), ("orders", orders), ("customer", customer)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    v = Views(spark, str(tmp_path))
+    key = lambda d: sorted(map(str, d.collect()))
+    for name in ("counts", "bsum", "bulk", "bobs"):
+        got, plain = getattr(v, name), spark.sql(_base(VIEWS[f"v_{name}"], tmp_path))
+        assert got.dtypes == plain.dtypes and key(got) == key(plain) and got.count() > 0
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for name in ("bsum", "bobs"):
+            plan = v.sql(SPARK_VIEWS.get(f"v_{name}", VIEWS[f"v_{name}"]))._jdf.queryExecution().executedPlan().toString()
+            assert "Join" in plan and plan.count("Exchange") == 1  # the sums over bulk samples alone
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def _base(sql, folder):
+    """The view's text on the base tables alone, nothing of it stored."""
+    sql = _inline(sql)
+    for t in TABLES:
+        sql = sql.replace("{" + t + "}", f"parquet.`{folder}/{t}.parquet`")
+    return sql
+
+
+def test_buckets_of_stored_views_stay_bounded(spark, tmp_path, monkeypatch):
+    spark.range(41).write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for most, want in ((1000, parts), (41, parts), (5, parts * -(-41 // (5 * parts)))):
+        monkeypatch.setattr(standins, "LINES", most)
+        n = Views(spark, str(tmp_path)).buckets()
+        assert n == want and (41 <= most * n)
