@@ -219,6 +219,30 @@ def test_sparse_product_equals_the_joined_sum(spark, monkeypatch, dims, items):
     assert sorted(map(key, keyed.collect())) == sorted(map(key, twice.collect()))
 
 
+def test_sparse_product_stores_no_copies_of_its_blocks(spark, monkeypatch):
+    # 7 x 9 pairs of blocks: every block is dealt once, and a pair's chunks are added up where they meet
+    monkeypatch.setattr(blocks, "ITEMS", 8)
+    left = spark.range(600).selectExpr("id % 13 as d", "concat('a', id % 50) as i", "cast(id as double) as value").distinct()
+    right = spark.range(900).selectExpr("id % 13 as d", "concat('b', id % 70) as j", "1.0D as weight").distinct()
+    want = rows(left.join(right, "d").groupBy("i", "j").agg(F.sum(F.col("value") * F.col("weight")).alias("value")))
+    for dims in (4096, 4):
+        monkeypatch.setattr(blocks, "DIMS", dims)
+        got = blocks.sparse_product(left, right, "d", "i", "j")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "sequence" not in plan.lower()
+        assert rows(got) == want
+
+
+def test_rounding_of_long_results_is_that_of_round(spark):
+    from netloom.catalog.filters import r6, r6_double
+    rng = np.random.default_rng(5)
+    ties = np.arange(-500, 500) / 1e6 + 5e-7
+    x = np.concatenate([rng.normal(size=4000), rng.normal(size=4000) * 10.0 ** rng.integers(-12, 20, 4000), ties, np.nextafter(ties, 1), np.nextafter(ties, -1),
+                        ties + 123456.0, [0.0, -0.0, -1e-9, 1e11, 1e-7, np.nan, np.inf, -np.inf, 1e300, 1e-300]])
+    d = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double").select(r6("x").alias("a"), r6_double("x").alias("b"))
+    assert [repr(r.a) for r in d.collect()] == [repr(r.b) for r in d.collect()]
+
+
 def test_linked_sums_form_no_joined_rows(spark):
     from netloom.operators import chromatin as H
     access = spark.createDataFrame([(f"o{k % 7}", f"chr1:{k * 100}-{k * 100 + 50}", float(k)) for k in range(30)], "obs_id string, peak string, value double")
