@@ -3,6 +3,8 @@ streams of other implementations are matched in distribution, not draw by draw."
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window as W, functions as F
 
 from netloom.functions import det
@@ -73,19 +75,28 @@ def folds(obs, column=None, k=5, seed=0xCAFE, min_rows=200, ident="obs_id"):
     return obs.join(keep, column, "left_semi").select(ident, F.col(column).cast("string").alias("fold"))
 
 
+FEW = 1_000_000  # draws of a random network that are rows before they meet their genes
+DRAWS = 4_000_000  # of a task beyond that
+BOX, PIECE = 1 << 21, 1 << 16  # names of genes that such a task holds, and that are stored as one row
+
+
 def negative_control(genes, tfs, share=0.01, n_tfs=None, seed=0):
     """Random signed network of all factors, or the first ``n_tfs`` by name: each sign with probability ``share``.
 
     A factor walks the genes, numbered in hash order, by gaps of geometric length: the same chances as
     a draw for every (factor, gene), but only the edges are formed. Twelve deviations more gaps than
-    expected are drawn, so that the walk reaches the last gene.
+    expected are drawn, so that the walk reaches the last gene. A long network is walked in tasks (``_walked``).
     """
     t = tfs.select(F.col("tf").alias("source")).distinct()
     t = t if n_tfs is None else t.orderBy("source").limit(n_tfs)
-    numbered = number_rows(genes.select(F.col("gene").alias("target")).distinct(), det.hash_key("target", seed=f"{seed}g"), "_i", tie=["target"])
-    n, p = genes.select(F.count_distinct("gene")).scalar(), 2 * share
-    draws = F.ceil(n * p + 12 * F.sqrt(n * p) + 12).cast("int")
-    walk = t.withColumn("_n", draws).withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    t, g = cut(t, "factors"), cut(genes.select(F.col("gene").alias("target")).distinct(), "genes")
+    numbered = number_rows(g, det.hash_key("target", seed=f"{seed}g"), "_i", tie=["target"])
+    (n, rows), p = g.agg(F.count("target"), F.count("*")).first(), 2 * share
+    draws = math.ceil(n * p + 12 * math.sqrt(n * p) + 12)
+    factors = t.count()
+    if factors * draws > FEW:
+        return _walked(t, numbered, rows, p, draws, factors, seed)
+    walk = t.withColumn("_n", F.lit(draws)).withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     skip = F.floor(F.log(F.greatest(det.uniform("source", "_j", seed=f"{seed}a"), F.lit(1e-12))) / math.log(1 - p)) if p < 1 else F.lit(0).cast("bigint")
     gap = 1 + skip
     walk = walk.withColumn("_i", F.sum(gap).over(W.partitionBy("source").orderBy("_j")) - 1)
@@ -94,6 +105,84 @@ def negative_control(genes, tfs, share=0.01, n_tfs=None, seed=0):
     return e.select("source", "target", F.when(det.uniform("source", "_j", seed=f"{seed}b") < 0.5, -1.0).otherwise(1.0).alias("weight"))
 
 
+def _walked(t, numbered, rows, p, draws, factors, seed):
+    """The edges of ``negative_control``, each formed where its draw is made.
+
+    Factors are dealt to slices, numbered names to boxes. A task reads one slice and one box, walks its factors inside the box
+    and emits edges: nothing is sorted or shuffled but factors and names, once each. Beyond one box a first pass finds where
+    each factor's walk enters it.
+    """
+    slices, boxes = min(factors, max(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-factors * draws // DRAWS))), max(1, -(-rows // BOX))
+    kind, kind2, width, piece = t.schema["source"].dataType.simpleString(), numbered.schema["target"].dataType.simpleString(), BOX, PIECE
+    gap_seed, sign_seed = (f":{seed}{x}".encode() for x in "ab")
+
+    def steps(source, j, at):
+        """(first draw, places before and after each draw) in runs, from draw ``j`` at place ``at`` on."""
+        prefix = b"" if source is None else source.encode() + b":"
+        while j <= draws and at < rows:
+            end = min(draws + 1, j + (1 << 16))
+            u = np.maximum(det.heads(prefix, j, end, gap_seed) / 4294967296.0, 1e-12)
+            gap = 1 + (np.floor(np.log(u) / math.log(1 - p)).astype(np.int64) if p < 1 else np.zeros(len(u), np.int64))
+            place = np.concatenate([[at], at + np.cumsum(gap)])
+            yield prefix, j, place
+            j, at = end, int(place[-1])
+
+    def entered(batches):
+        for batch in batches:
+            for source in batch.column("source").to_pylist():
+                seen = -1
+                for _, j, place in steps(source, 1, -1):
+                    first = np.flatnonzero(np.diff(np.concatenate([[seen], np.minimum(place[1:], rows) // width])))
+                    first = first[place[1:][first] < rows]
+                    yield pa.RecordBatch.from_arrays([pa.array([source] * len(first), pa.string()), pa.array(place[1:][first] // width, pa.int32()), pa.array(j + first, pa.int64()), pa.array(place[first], pa.int64())],
+                                                     names=["source", "_b", "_j", "_at"])
+                    seen = place[-1] // width
+
+    t = t.select(F.col("source").cast("string").alias("source")).repartition(slices, "source")
+    if boxes > 1:
+        begun = t.mapInArrow(entered, "source string, _b int, _j long, _at long")
+    else:
+        begun = t.select("source", F.lit(0).alias("_b"), F.lit(1).cast("bigint").alias("_j"), F.lit(-1).cast("bigint").alias("_at"))
+    slice_ = F.pmod(F.xxhash64("source"), F.lit(slices)).cast("int").alias("_s")
+    begun = begun.groupBy(slice_, "_b").agg(F.collect_list(F.struct("source", "_j", "_at")).alias("w"))
+    named = numbered.select(F.floor(F.col("_i") / piece).cast("int").alias("_k"), "_i", F.col("target").cast("string").alias("target"))
+    named = named.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_i", "target")))["target"].alias("e")).withColumn("_b", F.floor(F.col("_k") / (width // piece)).cast("int"))
+    met = begun.repartitionById(slices, F.col("_s")).hint("shuffle_replicate_nl").join(named.repartitionById(boxes, F.col("_b")), "_b")
+
+    def work(batches):
+        held, left = {}, {}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                b, s, piece_no = (batch.column(c)[k].as_py() for c in ("_b", "_s", "_k"))
+                lo, hi = b * width, min(rows, (b + 1) * width)
+                names = held.setdefault(b, {})
+                if piece_no not in names:
+                    names[piece_no] = batch.column("e")[k].values
+                left[s, b] = left.get((s, b), -(-(hi - lo) // piece)) - 1
+                if left[s, b] == 0:  # the box is whole
+                    yield from edges(batch.column("w")[k].values, pa.concat_arrays([names[x] for x in sorted(names)]), lo, hi)
+
+    def edges(begun, names, lo, hi):
+        out, count = [], 0
+        for source, j0, at0 in zip(*(begun.field(c).to_pylist() for c in ("source", "_j", "_at"))):
+            for prefix, j, place in steps(source, j0, at0):
+                place = place[1:]
+                n = int(np.searchsorted(place, hi))
+                sign = np.where(det.heads(prefix, j, j + n, sign_seed) < 1 << 31, -1.0, 1.0)
+                out.append([pa.repeat(pa.scalar(source, pa.string()), n), names.take(pa.array(place[:n] - lo)), pa.array(sign, pa.float64())])
+                count += n
+                if count >= 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*out)], names=["source", "target", "weight"])
+                    out, count = [], 0
+                if n < len(place):
+                    break
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*out)], names=["source", "target", "weight"])
+
+    found = met.select("_b", "_s", "_k", "w", "e").mapInArrow(work, "source string, target string, weight double")
+    return found.select(F.col("source").cast(kind).alias("source"), F.col("target").cast(kind2).alias("target"), "weight")
+
+
 def next_prime(n):
     """Least prime of at least ``n``."""
     p = max(n, 2)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.functions import quantiles as Q
+from netloom.functions import det, quantiles as Q
 from netloom.functions.skew import grid_join
 from netloom.functions.stats import following
 from netloom.catalog import standins
@@ -197,6 +197,26 @@ def test_the_walk_of_the_negative_control_is_not_collected(spark):
         assert len(per) == 5 and all(r[1] == r[2] and r[1] >= (n or 20) for r in per)
 
 
+def test_digests_of_many_numbers_at_once_are_md5():
+    import hashlib
+    for prefix, lo, hi in ((b"S12:", 1, 12_000), (b"", 95, 1_100), ("F\u00e9".encode() * 30 + b":", 7, 3_000), (b"x" * 52, 1, 400)):
+        want = [int(hashlib.md5(prefix + str(j).encode() + b":0a").hexdigest()[:8], 16) for j in range(lo, hi)]
+        assert det.heads(prefix, lo, hi, b":0a").tolist() == want
+
+
+@pytest.mark.parametrize("box, share", [(1 << 21, 0.01), (256, 0.01), (256, 0.3), (256, 0.5)])
+def test_a_long_negative_control_is_walked_in_tasks(spark, monkeypatch, box, share):
+    genes = spark.range(3000).select(F.concat(F.lit("g"), "id").alias("gene")).unionByName(spark.createDataFrame([(None,), ("g1",)], "gene string"))
+    tfs = spark.createDataFrame([(f"t{k}",) for k in range(40)] + [(None,), ("t1",), ("",), ("\u00e9" * 40,)], "tf string")
+    want = rows(Z.negative_control(genes, tfs, share).select(*(F.coalesce(c, F.lit("-")).alias(c) for c in ("source", "target")), "weight"))
+    for name, value in (("FEW", 0), ("BOX", box), ("PIECE", 64), ("DRAWS", 500)):
+        monkeypatch.setattr(Z, name, value)
+    e = Z.negative_control(genes, tfs, share)
+    plan = e._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Window" not in plan.split("CartesianProduct")[0]
+    assert rows(e.select(*(F.coalesce(c, F.lit("-")).alias(c) for c in ("source", "target")), "weight")) == want and len(want) > 1000
+
+
 @pytest.mark.parametrize("dims, items", [(4096, 1024), (3, 4)])
 def test_sparse_product_equals_the_joined_sum(spark, monkeypatch, dims, items):
     monkeypatch.setattr(blocks, "DIMS", dims)
