@@ -15,6 +15,7 @@ from netloom.functions.stats import top_k
 
 CHUNK, BLOCK = 1024, 256
 DIMS, ITEMS = 4096, 1024  # of a piece of a sparse product
+GROUP = 4  # blocks of neighbours that a part meets in one task
 
 
 MOST = 50_000  # rows of a lookup that may travel as one array
@@ -246,13 +247,15 @@ def sparse_product(left: DataFrame, right: DataFrame, dim, item, other, value="v
 def knn(emb: DataFrame, k: int, ident="obs_id", vec="vec", block=16384, part=2048, tasks=64) -> DataFrame:
     """Exact k nearest neighbours by Euclidean distance: (obs_id, neighbor, dist, rn).
 
-    Parts of ``part`` rows meet blocks of ``block`` rows, and each pair keeps its own k best per row before
-    anything is shuffled, so the n x n distances never leave a task. A product in single precision
+    Parts of ``part`` rows meet blocks of ``block`` rows, and a part keeps its own k best per row of ``GROUP`` blocks before
+    anything is shuffled, so the n x n distances never leave a task. Parts and blocks are stored once: a task reads
+    a slice of the parts and a group of the blocks. A product in single precision
     leaves the rows that lie within its rounding of the k-th; these are measured by differences.
     """
     n = emb.count()
     n_blocks, n_parts = max(1, -(-n // block)), max(1, -(-n // part))
-    slices = min(n_parts, max(1, -(-tasks // n_blocks)))  # copies of a block, for as many tasks
+    groups = -(-n_blocks // GROUP)
+    slices = min(n_parts, max(1, -(-tasks // groups)))
     kind = emb.schema[vec].dataType.simpleString()
     e = emb.select(F.col(ident).cast("string").alias("i"), F.col(vec).cast(kind if kind == "array<float>" else "array<double>").alias("v"), F.xxhash64(ident).alias("h"))
 
@@ -260,14 +263,32 @@ def knn(emb: DataFrame, k: int, ident="obs_id", vec="vec", block=16384, part=204
         g = e.groupBy(F.pmod("h", F.lit(count)).cast("int").alias("b")).agg(F.collect_list(F.struct("i", "v")).alias("e"))
         return g.select("b", F.col("e.i").alias("i"), F.flatten("e.v").alias("v"))
 
-    left = packed(n_parts).select("i", "v", F.pmod("b", F.lit(slices)).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"))
-    right = packed(n_blocks).select("b", F.col("i").alias("i2"), F.col("v").alias("v2"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("s"))
-    count = max(n_blocks * slices, min(n_blocks * n_parts, int(emb.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    left = packed(n_parts).select("i", "v", F.col("b").alias("p")).repartitionById(slices, F.pmod("p", F.lit(slices)))
+    right = packed(n_blocks).select(F.col("i").alias("i2"), F.col("v").alias("v2"), "b").repartitionById(groups, F.pmod("b", F.lit(groups)))
+    pairs = left.hint("shuffle_replicate_nl").crossJoin(right).select("p", "i", "v", "i2", "v2")
 
     def work(batches):
+        at, found = None, []
         for batch in batches:
             for r in range(batch.num_rows):
-                yield from near(*[batch.column(c)[r].values for c in ("i", "v", "i2", "v2")])
+                p, row = batch.column("p")[r].as_py(), [batch.column(c)[r].values for c in ("i", "v", "i2", "v2")]
+                if p != at and found:  # a part meets the blocks of its group one after the other
+                    yield best(found)
+                    found = []
+                at = p
+                found.extend(near(*row))
+        if found:
+            yield best(found)
+
+    def best(found):
+        ids, names = found[0][0], pa.concat_arrays([x[2] for x in found])
+        at, dist = (np.concatenate([x[c] for x in found]) for c in (1, 3))
+        order = np.lexsort((dist, at))
+        rank = np.arange(len(at)) - np.searchsorted(at[order], at[order])
+        edge = np.full(len(ids), np.inf)  # the k-th least of each row that has as many
+        edge[at[order][rank == k - 1]] = dist[order][rank == k - 1]
+        keep = np.nonzero(dist <= edge[at])[0]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(at[keep])), names.take(pa.array(keep)), pa.array(dist[keep])], names=["obs_id", "neighbor", "dist"])
 
     def near(ids, v, ids2, v2):
         a, b = (x.to_numpy().astype(float).reshape(len(y), -1) for x, y in ((v, ids), (v2, ids2)))
@@ -296,8 +317,6 @@ def knn(emb: DataFrame, k: int, ident="obs_id", vec="vec", block=16384, part=204
             edge = np.partition(top, m - 1, axis=1)[:, m - 1] + slack[lo:lo + 256]
             p, q = np.nonzero((d <= edge[:, None]) & np.isfinite(d))
             dist = np.sqrt(((b[q] - a[lo + p]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(lo + p)), ids2.take(pa.array(q)), pa.array(dist)], names=["obs_id", "neighbor", "dist"])
+            yield ids, lo + p, ids2.take(pa.array(q)), dist
 
-    best = left.repartition(count, "b", "s").join(right.repartition(count, "b", "s"), ["b", "s"]).select("i", "v", "i2", "v2").mapInArrow(
-        work, "obs_id string, neighbor string, dist double")
-    return top_k(best, ["obs_id"], [F.col("dist"), F.col("neighbor")], k, ["neighbor"], out="rn")
+    return top_k(pairs.mapInArrow(work, "obs_id string, neighbor string, dist double"), ["obs_id"], [F.col("dist"), F.col("neighbor")], k, ["neighbor"], out="rn")

@@ -283,6 +283,27 @@ def test_linked_sums_form_no_joined_rows(spark):
     assert {(r.obs_id, r.gene): r.value for r in H.dorc(access, links).collect()} == pytest.approx(want)
 
 
+def test_neighbours_are_found_without_copies_of_vectors_or_hopeless_pairs(spark, monkeypatch):
+    from netloom.operators.neighbours import _best
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 6))
+    e = spark.createDataFrame([(f"c{k:03}", [float(v) for v in r]) for k, r in enumerate(x)], "obs_id string, vec array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    want = sorted((f"c{k:03}", f"c{j:03}", n + 1) for k in range(400) for n, j in enumerate(np.argsort(d[k])[:5]))
+    for group in (1, 3):
+        monkeypatch.setattr(blocks, "GROUP", group)
+        got = blocks.knn(e, 5, block=60, part=50)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "sequence" not in plan.lower()
+        assert sorted((r.obs_id, r.neighbor, r.rn) for r in got.collect()) == want
+    ids, most = np.array([f"c{k}" for k in range(400)], object), np.sort(d, axis=1)[:, 3]
+    all_, near = _best(ids[:50], x[:50], ids, x, 30), _best(ids[:50], x[:50], ids, x, 30, most[:50])
+    assert len(all_) == 1500 and near.groupby("obs_id").size().tolist() == [4] * 50
+    merged = all_.merge(near, on=["obs_id", "neighbor", "dist"])
+    assert len(merged) == 200 and (merged["dist"].to_numpy() <= merged["obs_id"].map(dict(zip(ids, most))).to_numpy()).all()
+
+
 def test_knn_in_parts_and_blocks_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(700, 5)).astype(np.float32).astype(float)
